@@ -1,0 +1,17 @@
+"""Size checks before anything is shipped whole to every task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast hint only when the row count is proven to be at most ``max_rows``.
+
+    Above the bound the DataFrame is returned unchanged, so the join shuffles
+    (sort-merge or AQE's own runtime choice). The count is one small job over a
+    side table (dictionary, concept index), never over the main data.
+    """
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df
