@@ -72,3 +72,21 @@ class Flow:
     @cached_property
     def drafts(self) -> DataFrame:
         return extract.drafts(self.postings, self.spans, key="id")
+
+    # --- matching and consolidation --------------------------------------
+    @cached_property
+    def mappings(self) -> DataFrame:
+        from skillweave.operators.requirements import map_spans
+        c = self.config
+        return map_spans(self.spans, self.concepts, c.top_k, c.threshold, encoder="trigram",
+                         profiles=c.encoder_profiles, salt_buckets=c.salt_buckets)
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        from skillweave.operators.requirements import accepted_spans
+        return accepted_spans(self.spans, self.mappings)
+
+    @cached_property
+    def requirements(self) -> DataFrame:
+        from skillweave.operators.requirements import consolidate
+        return consolidate(self.accepted, self.postings, self.config.level_map, self.config.fallback_level)

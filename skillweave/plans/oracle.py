@@ -195,3 +195,71 @@ ORACLE: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+def _trigrams(src: str, key: str, text: str) -> str:
+    return f"""
+  SELECT key, gram, tf, sqrt(CAST(sum(tf * tf) OVER (PARTITION BY key) AS DOUBLE)) AS norm
+  FROM (SELECT key, gram, CAST(count(*) AS BIGINT) AS tf
+        FROM (SELECT key, substr(p, k, 3) AS gram
+              FROM (SELECT key, p, unnest(range(1, length(p) - 1)) AS k
+                    FROM (SELECT {key} AS key, ' ' || lower({text}) || ' ' AS p FROM {src})
+                    WHERE length(p) >= 3))
+        GROUP BY key, gram)"""
+
+
+frag("qtexts", "SELECT DISTINCT text FROM spans", ["spans"])
+frag("qfeat", _trigrams("qtexts", "text", "text"), ["qtexts"])
+frag("cfeat", _trigrams("benchmark", "item_id", "text"), [])
+frag("smatch", f"""
+  SELECT key AS text, CAST(rank AS INTEGER) AS rank, ord AS concept_ord, score,
+         CASE WHEN rank = 1 AND score >= {B.SPARSE_THRESHOLD} THEN 'accepted' ELSE 'rejected' END AS decision
+  FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, ord ASC) AS rank
+        FROM (SELECT q.key, c.key AS ord, sum(q.tf * c.tf) / (max(q.norm) * max(c.norm)) AS score
+              FROM qfeat q JOIN cfeat c ON q.gram = c.gram GROUP BY q.key, c.key))
+  WHERE rank <= {3}""", ["qfeat", "cfeat"])
+frag("mappings", f"""
+  SELECT 'mapping-' || substr(sha256(s.id || chr(1) || CAST(m.rank AS VARCHAR)), 1, 8) AS id,
+         s.id AS span_id, '{CONCEPT_NS}' || CAST(m.concept_ord AS VARCHAR) AS concept_uri,
+         m.score, m.decision, m.rank
+  FROM spans s JOIN smatch m ON s.text = m.text""", ["spans", "smatch"])
+frag("accepted", """
+  SELECT s.*, m.concept_uri, m.score AS mapping_score
+  FROM spans s JOIN mappings m ON m.span_id = s.id WHERE m.decision = 'accepted'""", ["spans", "mappings"])
+
+
+def _fold(src: str) -> str:
+    """Ordered consolidation fold per (posting, concept) over ``src``.
+
+    src: posting_id, concept_uri, o (order), span_id, score, kind.
+    """
+    return f"""
+  SELECT posting_id, concept_uri, first_ord, w.span_id AS span_id, w.score AS score, w.kind AS kind,
+         CAST(row_number() OVER (PARTITION BY posting_id ORDER BY first_ord) AS BIGINT) AS req_ord
+  FROM (SELECT posting_id, concept_uri, min(o) AS first_ord,
+               list_reduce(list({{'o': o, 'span_id': span_id, 'score': CAST(score AS DOUBLE), 'kind': kind}} ORDER BY o),
+                           lambda c, x: CASE WHEN x.score > c.score OR (c.kind = 'nice_to_have' AND x.kind = 'must')
+                                             THEN x ELSE c END) AS w
+        FROM {src} GROUP BY posting_id, concept_uri)"""
+
+
+LEVEL_CASE = ("CASE isco_group " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in
+                                            sorted(__import__('skillweave.config', fromlist=['x']).ISCO_MAJOR_GROUP_LEVEL.items()))
+              + " ELSE 'DQR4' END")
+frag("reqs", f"""
+  SELECT 'req-' || substr(sha256(f.posting_id || chr(1) || f.concept_uri), 1, 8) AS id,
+         f.posting_id, f.req_ord, f.concept_uri AS refers_to_competence,
+         {LEVEL_CASE} AS required_level,
+         (isco_group IS NULL OR isco_group NOT BETWEEN 1 AND 9) AS level_is_fallback,
+         f.kind AS requirement_kind, f.score AS provenance_confidence, f.span_id
+  FROM ({_fold("(SELECT posting_id, concept_uri, span_ord AS o, id AS span_id, mapping_score AS score, requirement_kind AS kind FROM accepted)")}) f
+  JOIN postings p ON p.id = f.posting_id""", ["accepted", "postings"])
+
+ORACLE.update({
+    "sparse_matches": build(["smatch"], "SELECT text, rank, concept_ord, round(score, 4) AS score, decision FROM smatch"),
+    "mappings": build(["mappings"], "SELECT id, span_id, concept_uri, round(score, 4) AS score, decision, rank FROM mappings"),
+    "accepted_spans": build(["accepted"], """SELECT id, posting_id, span_ord, requirement_kind, concept_uri,
+                                                    round(mapping_score, 4) AS mapping_score FROM accepted"""),
+    "requirements": build(["reqs"], """SELECT id, posting_id, req_ord, refers_to_competence, required_level,
+        level_is_fallback, requirement_kind, round(provenance_confidence, 4) AS provenance_confidence, span_id FROM reqs"""),
+})

@@ -95,3 +95,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "span_counts": q_span_counts,
     "drafts": q_drafts,
 }
+
+
+def q_sparse_matches(spark, sf):
+    """Distinct span texts matched to benchmark concepts (trigram cosine, top-3)."""
+    from skillweave.operators.match import decide, sparse_top_k
+    f = flow(spark, sf)
+    texts = f.spans.select("text").distinct().select(F.col("text").alias("key"), "text")
+    top = decide(sparse_top_k(texts, f.concepts, f.config.top_k), f.config.threshold)
+    return top.select(F.col("key").alias("text"), F.col("rank").cast("int").alias("rank"),
+                      F.col("ord").alias("concept_ord"), F.round("score", 4).alias("score"), "decision")
+
+
+def q_mappings(spark, sf):
+    m = flow(spark, sf).mappings
+    return m.withColumn("score", F.round("score", 4))
+
+
+def q_accepted_spans(spark, sf):
+    a = flow(spark, sf).accepted
+    return a.select("id", "posting_id", "span_ord", "requirement_kind", "concept_uri",
+                    F.round("mapping_score", 4).alias("mapping_score"))
+
+
+def q_requirements(spark, sf):
+    r = flow(spark, sf).requirements
+    return r.withColumn("provenance_confidence", F.round("provenance_confidence", 4))
+
+
+QUERIES.update({
+    "sparse_matches": q_sparse_matches,
+    "mappings": q_mappings,
+    "accepted_spans": q_accepted_spans,
+    "requirements": q_requirements,
+})
