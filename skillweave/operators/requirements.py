@@ -35,7 +35,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, salt_of: str, buckets
 
 def map_spans(spans: DataFrame, concepts: DataFrame, top_k: int, threshold: float,
               encoder: str = "trigram", profiles: dict | None = None, salt_buckets: int = 16) -> DataFrame:
-    """Mappings (id, span_id, concept_uri, score, decision, rank) for every span."""
+    """Mappings (id, span_id, posting_id, concept_uri, score, decision, rank) for every span."""
     profiles = profiles or {}
     texts = spans.select("text").distinct()
     q = texts.select(F.col("text").alias("key"),
@@ -45,18 +45,18 @@ def map_spans(spans: DataFrame, concepts: DataFrame, top_k: int, threshold: floa
     top = sparse_top_k(q, c, top_k, q_key="key", q_text="qtext")
     uris = F.broadcast(concepts.select("ord", F.col("uri").alias("concept_uri")))
     matches = decide(top.join(uris, "ord"), threshold).withColumnRenamed("key", "text")
-    joined = salted_join(spans.select(F.col("id").alias("span_id"), "text"), matches, "text", "span_id",
-                         salt_buckets)
+    joined = salted_join(spans.select(F.col("id").alias("span_id"), "posting_id", "text"), matches, "text",
+                         "span_id", salt_buckets)
     return joined.select(
         F.concat(F.lit("mapping-"), short_hash("span_id", F.col("rank").cast("string"))).alias("id"),
-        "span_id", "concept_uri", F.col("score").cast("double").alias("score"), "decision",
+        "span_id", "posting_id", "concept_uri", F.col("score").cast("double").alias("score"), "decision",
         F.col("rank").cast("int").alias("rank"),
     )
 
 
 def accepted_spans(spans: DataFrame, mappings: DataFrame) -> DataFrame:
     """Spans joined with their accepted mapping; spans without one drop out."""
-    acc = mappings.filter(F.col("decision") == "accepted").select(
+    acc = mappings.filter(F.col("decision") == "accepted").select(  # posting_id comes from spans
         F.col("span_id").alias("id"), "concept_uri", F.col("score").alias("mapping_score"))
     return spans.join(acc, "id")
 

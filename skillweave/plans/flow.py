@@ -90,3 +90,14 @@ class Flow:
     def requirements(self) -> DataFrame:
         from skillweave.operators.requirements import consolidate
         return consolidate(self.accepted, self.postings, self.config.level_map, self.config.fallback_level)
+
+    # --- reports ----------------------------------------------------------
+    @cached_property
+    def overlap(self) -> DataFrame:
+        from skillweave.operators.compare import extractor_overlap
+        return extractor_overlap(self.spans, "adj_noun", self.config.tagger_name)
+
+    @cached_property
+    def stage_counts(self) -> DataFrame:
+        from skillweave.operators.counters import stage_counts
+        return stage_counts(self)

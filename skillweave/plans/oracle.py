@@ -220,7 +220,7 @@ frag("smatch", f"""
   WHERE rank <= {3}""", ["qfeat", "cfeat"])
 frag("mappings", f"""
   SELECT 'mapping-' || substr(sha256(s.id || chr(1) || CAST(m.rank AS VARCHAR)), 1, 8) AS id,
-         s.id AS span_id, '{CONCEPT_NS}' || CAST(m.concept_ord AS VARCHAR) AS concept_uri,
+         s.id AS span_id, s.posting_id, '{CONCEPT_NS}' || CAST(m.concept_ord AS VARCHAR) AS concept_uri,
          m.score, m.decision, m.rank
   FROM spans s JOIN smatch m ON s.text = m.text""", ["spans", "smatch"])
 frag("accepted", """
@@ -257,9 +257,111 @@ frag("reqs", f"""
 
 ORACLE.update({
     "sparse_matches": build(["smatch"], "SELECT text, rank, concept_ord, round(score, 4) AS score, decision FROM smatch"),
-    "mappings": build(["mappings"], "SELECT id, span_id, concept_uri, round(score, 4) AS score, decision, rank FROM mappings"),
+    "mappings": build(["mappings"], "SELECT id, span_id, posting_id, concept_uri, round(score, 4) AS score, decision, rank FROM mappings"),
     "accepted_spans": build(["accepted"], """SELECT id, posting_id, span_ord, requirement_kind, concept_uri,
                                                     round(mapping_score, 4) AS mapping_score FROM accepted"""),
     "requirements": build(["reqs"], """SELECT id, posting_id, req_ord, refers_to_competence, required_level,
         level_is_fallback, requirement_kind, round(provenance_confidence, 4) AS provenance_confidence, span_id FROM reqs"""),
 })
+
+
+frag("dvec", f"""
+  SELECT 'full64' AS model_id, vec_id AS key, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings
+  UNION ALL
+  SELECT 'half32', vec_id, list_transform(h, lambda x: x / sqrt(list_reduce(list_transform(h, lambda y: y * y), lambda a, b: a + b)))
+  FROM (SELECT vec_id, list_slice(CAST(embedding AS DOUBLE[]), 1, {B.DENSE_HALF_DIMS}) AS h FROM embeddings)""", [])
+frag("dmatch", """
+  SELECT model_id, key, ord, score, rank FROM (
+    SELECT q.model_id, q.key, i.key AS ord, list_dot_product(q.vec, i.vec) AS score,
+           row_number() OVER (PARTITION BY q.model_id, q.key ORDER BY list_dot_product(q.vec, i.vec) DESC, i.key) AS rank
+    FROM dvec q JOIN dvec i ON q.model_id = i.model_id AND q.key % 5 = 0 AND i.key % 5 <> 0)
+  WHERE rank <= 3""", ["dvec"])
+
+ORACLE.update({
+    "dense_matches": build(["dmatch"], f"""
+        SELECT model_id, key AS query_id, CAST(rank AS INTEGER) AS rank, ord AS concept_id, round(score, 4) AS score,
+               CASE WHEN rank = 1 AND score >= {B.DENSE_THRESHOLD} THEN 'accepted' ELSE 'rejected' END AS decision
+        FROM dmatch"""),
+    "encoder_comparison": build(["dmatch"], """
+        SELECT model_id, query_id, top1_concept, round(top1_score, 4) AS top1_score, round(margin, 4) AS margin FROM (
+          SELECT model_id, key AS query_id, ord AS top1_concept, score AS top1_score,
+                 score - lead(score) OVER (PARTITION BY model_id, key ORDER BY rank) AS margin, rank
+          FROM dmatch) WHERE rank = 1"""),
+    "dense_requirements": build(["dmatch"], f"""
+        SELECT posting_id, req_ord, concept_uri AS refers_to_competence, kind AS requirement_kind,
+               round(score, 4) AS provenance_confidence, span_id
+        FROM ({_fold(f'''(SELECT CAST(key % 20 AS VARCHAR) AS posting_id, CAST(ord % 7 AS VARCHAR) AS concept_uri,
+                                 key AS o, CAST(key AS VARCHAR) AS span_id, score,
+                                 CASE WHEN (key // 5) % 2 = 0 THEN 'must' ELSE 'nice_to_have' END AS kind
+                          FROM dmatch WHERE model_id = 'full64' AND rank = 1 AND score >= {B.DENSE_FOLD_THRESHOLD})''')})"""),
+})
+
+
+def _slug(x: str) -> str:
+    return (f"coalesce(nullif(trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-'), ''), "
+            f"'{__import__('skillweave.config', fromlist=['x']).SLUG_FALLBACK}')")
+
+
+frag("page_postings", r"""
+  SELECT 'page-' || regexp_extract(url, '/([0-9]+)', 1) AS id, url AS source_uri, '2024-01-01' AS crawl_date,
+         regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS platform,
+         regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS employer, '2024-01-01' AS posting_date,
+         nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, html AS raw_text,
+         CAST(NULL AS VARCHAR) AS isco_group
+  FROM pages""", [])
+
+frag("overlap", """
+  SELECT s.posting_id, s.id, s.extractor, s.char_start, s.char_end, s.text, s.span_type,
+         EXISTS (SELECT 1 FROM spans o WHERE o.posting_id = s.posting_id AND o.extractor <> s.extractor
+                 AND s.char_start < o.char_end AND o.char_start < s.char_end) AS overlaps
+  FROM spans s""", ["spans"])
+
+_REQ = ["id", "source_uri", "crawl_date", "platform", "employer", "posting_date", "title", "raw_text"]
+_checks = ", ".join([f"CASE WHEN {c} IS NULL THEN 'missing:{c}' END" for c in _REQ]
+                    + ["CASE WHEN isco_group IS NOT NULL AND try_cast(isco_group AS INTEGER) IS NULL THEN 'bad_type:isco_group' END"]
+                    + [f"CASE WHEN {c} IS NOT NULL AND try_strptime({c}, '%Y-%m-%d') IS NULL THEN 'bad_date:{c}' END"
+                       for c in ("crawl_date", "posting_date")]
+                    + ["CASE WHEN n_same_id > 1 THEN 'duplicate_id' END"])
+_PROFILES = __import__('skillweave.config', fromlist=['x']).ENCODER_PROFILES
+_ENC_VALUES = ", ".join(f"('{m}', '{mode}', '{p.get(mode + '_prefix', '')}')" for m, p in _PROFILES.items()
+                        for mode in ("query", "passage"))
+_H = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source_uri))"
+
+ORACLE.update({
+    "extractor_overlap": build(["overlap"], "SELECT * FROM overlap"),
+    "extractor_totals": build(["overlap", "postings"], """
+        SELECT p.id AS posting_id,
+               count(*) FILTER (WHERE o.extractor = 'adj_noun') AS n_rule,
+               count(*) FILTER (WHERE o.extractor = 'tagger') AS n_tagger,
+               count(*) FILTER (WHERE o.extractor = 'adj_noun' AND o.overlaps) AS n_overlap
+        FROM postings p LEFT JOIN overlap o ON o.posting_id = p.id GROUP BY ROLLUP (p.id)"""),
+    "stage_counts": build(["postings", "tokens", "sentences", "spans", "mappings", "reqs"], """
+        SELECT p.id AS posting_id,
+               coalesce((SELECT count(*) FROM tokens t WHERE t.posting_id = p.id), 0) AS n_tokens,
+               coalesce((SELECT count(*) FROM sentences t WHERE t.posting_id = p.id), 0) AS n_sentences,
+               coalesce((SELECT count(*) FROM spans t WHERE t.posting_id = p.id), 0) AS n_spans,
+               coalesce((SELECT count(*) FROM mappings t WHERE t.posting_id = p.id), 0) AS n_mappings,
+               coalesce((SELECT count(*) FROM mappings t WHERE t.posting_id = p.id AND t.decision = 'accepted'), 0) AS n_accepted,
+               coalesce((SELECT count(*) FROM reqs t WHERE t.posting_id = p.id), 0) AS n_requirements
+        FROM postings p"""),
+    "isco_levels": build(["postings"], f"""
+        SELECT id, isco_group, {LEVEL_CASE} AS required_level,
+               (isco_group IS NULL OR isco_group NOT BETWEEN 1 AND 9) AS level_is_fallback FROM postings"""),
+    "concepts": f"""SELECT '{CONCEPT_NS}' || CAST(item_id AS VARCHAR) AS uri, text AS pref_label,
+                           CAST(0 AS BIGINT) AS n_alt_labels, CAST(NULL AS VARCHAR) AS definition, item_id AS ord
+                    FROM benchmark""",
+    "encoder_inputs": f"""SELECT m.model_id, m.mode, b.item_id AS key, m.prefix || b.text AS input_text
+                          FROM benchmark b, (VALUES {_ENC_VALUES}) m(model_id, mode, prefix)""",
+    "page_keys": build(["page_postings"], f"""
+        SELECT id, source_uri AS url, substr(h, 1, 8) AS posting_key,
+               substr(h, 1, 12) || '5' || substr(h, 14, 3)
+                 || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 15) AS posting_uuid,
+               {_slug('employer')} AS employer_slug, {_slug('title')} AS title_slug,
+               'draft-' || id AS draft_id,
+               '{__import__('skillweave.config', fromlist=['x']).DEFAULT.data_ns}req_' || substr(h, 1, 8) || '_' AS req_uri_prefix
+        FROM (SELECT *, {_H} AS h FROM page_postings)"""),
+    "posting_checks": build(["page_postings"], f"""
+        SELECT id, source_uri, reasons, reasons = '' AS is_valid, n_same_id FROM (
+          SELECT id, source_uri, n_same_id, concat_ws('|', {_checks}) AS reasons
+          FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n_same_id FROM page_postings))"""),
+})

@@ -129,3 +129,114 @@ QUERIES.update({
     "accepted_spans": q_accepted_spans,
     "requirements": q_requirements,
 })
+
+
+def _dense(spark, sf):
+    from skillweave.operators.match import dense_top_k
+    q, idx = B.dense_vectors(spark, sf)
+    return dense_top_k(q, idx.select("model_id", F.col("key").alias("ord"), "vec"), DEFAULT.top_k,
+                       DEFAULT.broadcast_budget, DEFAULT.index_block_rows)
+
+
+def q_dense_matches(spark, sf):
+    from skillweave.operators.match import decide
+    m = decide(_dense(spark, sf), B.DENSE_THRESHOLD)
+    return m.select("model_id", F.col("key").alias("query_id"), F.col("rank").cast("int").alias("rank"),
+                    F.col("ord").alias("concept_id"), F.round("score", 4).alias("score"), "decision")
+
+
+def q_encoder_comparison(spark, sf):
+    from skillweave.operators.compare import encoder_comparison
+    c = encoder_comparison(_dense(spark, sf))
+    return c.select("model_id", F.col("key").alias("query_id"), F.col("top1_ord").alias("top1_concept"),
+                    F.round("top1_score", 4).alias("top1_score"), F.round("margin", 4).alias("margin"))
+
+
+def q_dense_requirements(spark, sf):
+    """Consolidation fold on dense top-1 matches regrouped into many-span groups."""
+    from skillweave.operators.requirements import consolidate
+    m = _dense(spark, sf).filter((F.col("model_id") == "full64") & (F.col("rank") == 1)
+                                 & (F.col("score") >= B.DENSE_FOLD_THRESHOLD))
+    acc = m.select(
+        (F.col("key") % 20).cast("string").alias("posting_id"),
+        F.col("key").alias("span_ord"),
+        F.col("key").cast("string").alias("id"),
+        (F.col("ord") % 7).cast("string").alias("concept_uri"),
+        F.col("score").alias("mapping_score"),
+        F.when((F.floor(F.col("key") / 5) % 2) == 0, "must").otherwise("nice_to_have").alias("requirement_kind"),
+    )
+    groups = acc.select(F.col("posting_id").alias("id"), F.lit(None).cast("int").alias("isco_group")).distinct()
+    r = consolidate(acc, groups, DEFAULT.level_map, DEFAULT.fallback_level)
+    return r.select("posting_id", "req_ord", "refers_to_competence", "requirement_kind",
+                    F.round("provenance_confidence", 4).alias("provenance_confidence"), "span_id")
+
+
+QUERIES.update({
+    "dense_matches": q_dense_matches,
+    "encoder_comparison": q_encoder_comparison,
+    "dense_requirements": q_dense_requirements,
+})
+
+
+def q_extractor_overlap(spark, sf):
+    return flow(spark, sf).overlap
+
+
+def q_extractor_totals(spark, sf):
+    from skillweave.operators.compare import extractor_totals
+    f = flow(spark, sf)
+    return extractor_totals(f.overlap, f.postings, "adj_noun", f.config.tagger_name)
+
+
+def q_stage_counts(spark, sf):
+    return flow(spark, sf).stage_counts
+
+
+def q_isco_levels(spark, sf):
+    from skillweave.functions.levels import level_is_fallback, required_level
+    p = B.postings(spark, sf, partitioned=False)
+    return p.select("id", "isco_group", required_level("isco_group").alias("required_level"),
+                    level_is_fallback("isco_group").alias("level_is_fallback"))
+
+
+def q_concepts(spark, sf):
+    c = B.concepts(spark, sf)
+    return c.select("uri", "pref_label", F.size("alt_labels").cast("long").alias("n_alt_labels"), "definition", "ord")
+
+
+def q_encoder_inputs(spark, sf):
+    from skillweave.operators.encode import encoder_inputs
+    b = B.table(spark, sf, "benchmark")
+    return encoder_inputs(b, "item_id", "text", list(DEFAULT.encoder_profiles), DEFAULT.encoder_profiles)
+
+
+def q_page_keys(spark, sf):
+    from skillweave.sources.adverts import page_postings
+    from skillweave.functions import text as T
+    p = page_postings(B.table(spark, sf, "pages"))
+    return p.select(
+        "id", F.col("source_uri").alias("url"),
+        T.posting_key("source_uri").alias("posting_key"),
+        T.posting_uuid("source_uri").alias("posting_uuid"),
+        T.employer_slug("employer").alias("employer_slug"),
+        T.employer_slug("title").alias("title_slug"),
+        F.concat(F.lit("draft-"), "id").alias("draft_id"),
+        F.concat(F.lit(DEFAULT.data_ns + "req_"), T.posting_key("source_uri"), F.lit("_")).alias("req_uri_prefix"),
+    )
+
+
+def q_posting_checks(spark, sf):
+    from skillweave.sources.adverts import page_postings, validate_postings
+    return validate_postings(page_postings(B.table(spark, sf, "pages")))
+
+
+QUERIES.update({
+    "extractor_overlap": q_extractor_overlap,
+    "extractor_totals": q_extractor_totals,
+    "stage_counts": q_stage_counts,
+    "isco_levels": q_isco_levels,
+    "concepts": q_concepts,
+    "encoder_inputs": q_encoder_inputs,
+    "page_keys": q_page_keys,
+    "posting_checks": q_posting_checks,
+})
