@@ -80,3 +80,27 @@ def dense_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     ).select(F.col("m.model_id").alias("model_id"), F.col("vec_id").alias("key"), F.col("m.vec").alias("vec"))
     is_query = F.col("key") % 5 == 0
     return vecs.filter(is_query), vecs.filter(~is_query)
+
+
+def inject_faults(tr: DataFrame) -> DataFrame:
+    """Triples with one kind of fault per posting class (document number mod 13),
+    so every constraint kind of the delivery shapes is exercised."""
+    from skillweave.config import ONTOLOGY_NS as ONT, XSD_NS
+    m = F.when(F.col("posting_id").isNull(), F.lit(-1)).otherwise(
+        F.regexp_extract("posting_id", r"([0-9]+)$", 1).cast("long") % 13)
+    t = tr.withColumn("m_", m)
+    p = F.col("p")
+    t = t.filter(~((F.col("m_") == 1) & (p == ONT + "postingDate")))
+    o = (F.when((F.col("m_") == 2) & (p == ONT + "postingDate"), F.lit("2024-13-45"))
+         .when((F.col("m_") == 3) & (p == ONT + "requirementKind"), F.lit("maybe"))
+         .when((F.col("m_") == 4) & (p == ONT + "provenanceConfidence"), F.lit("1.50"))
+         .when((F.col("m_") == 7) & (p == ONT + "requiredLevel"), F.lit(ONT + "DQR9"))
+         .otherwise(F.col("o")))
+    kind = F.when((F.col("m_") == 6) & (p == ONT + "refersToCompetence"), F.lit("literal")).otherwise(F.col("o_kind"))
+    dt = (F.when((F.col("m_") == 6) & (p == ONT + "refersToCompetence"), F.lit(XSD_NS + "string"))
+          .when((F.col("m_") == 8) & (p == ONT + "sourceUrl"), F.lit(XSD_NS + "string"))
+          .otherwise(F.col("datatype")))
+    extra = (t.filter((F.col("m_") == 5) & (p == ONT + "issuedBy"))
+             .withColumn("o", F.concat(F.col("o"), F.lit("-2"))))
+    changed = t.withColumn("o", o).withColumn("o_kind", kind).withColumn("datatype", dt)
+    return changed.unionByName(extra).drop("m_")

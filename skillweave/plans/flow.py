@@ -101,3 +101,14 @@ class Flow:
     def stage_counts(self) -> DataFrame:
         from skillweave.operators.counters import stage_counts
         return stage_counts(self)
+
+    # --- delivery -----------------------------------------------------------
+    @cached_property
+    def triples(self) -> DataFrame:
+        from skillweave.operators.rdf import triples
+        return triples(self.postings, self.requirements, self.config)
+
+    @cached_property
+    def turtle(self) -> DataFrame:
+        from skillweave.operators.rdf import turtle_documents
+        return turtle_documents(self.postings, self.requirements, self.config)

@@ -365,3 +365,143 @@ ORACLE.update({
           SELECT id, source_uri, n_same_id, concat_ws('|', {_checks}) AS reasons
           FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n_same_id FROM page_postings))"""),
 })
+
+
+# --- RDF delivery ---------------------------------------------------------------
+def _rdf_fragments():
+    from skillweave.config import (DEFAULT, LABEL_LANG, ONTOLOGY_NS as ONT, PROVENANCE_SOURCE, RDF_LANGSTRING,
+                                   RDF_TYPE, RDFS_LABEL, XSD_NS)
+    from skillweave.operators.rdf import turtle_prefixes
+    from skillweave.operators.shapes import CONSTRAINT_ROWS, _expand
+    d = DEFAULT
+    frag("ids", f"""
+      SELECT posting_id, posting_key, '{d.data_ns}posting_' || posting_key AS posting_iri,
+             '{d.employer_ns}' || {_slug('employer')} AS employer_iri, {_slug('employer')} AS slug,
+             employer, title, posting_date, source_uri
+      FROM (SELECT id AS posting_id, substr({_H}, 1, 8) AS posting_key, employer, title, posting_date, source_uri
+            FROM postings)""", ["postings"])
+    N = "CAST(NULL AS VARCHAR)"
+
+    def t(pid, s, p, o, kind, dt=None, lang=None):
+        dt_s = f"'{dt}'" if dt else N
+        lang_s = f"'{lang}'" if lang else N
+        return f"SELECT {pid} AS posting_id, {s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS o_kind, {dt_s} AS datatype, {lang_s} AS lang"
+
+    rq = f"(SELECT r.*, i.posting_iri, '{d.data_ns}req_' || i.posting_key || '_' || CAST(r.req_ord AS VARCHAR) AS req_iri FROM reqs r JOIN ids i ON i.posting_id = r.posting_id)"
+    parts = [
+        t(N, "employer_iri", RDF_TYPE, f"'{ONT}Employer'", "iri") + " FROM (SELECT DISTINCT employer_iri FROM ids)",
+        t(N, "employer_iri", RDFS_LABEL, "employer", "literal", RDF_LANGSTRING, LABEL_LANG)
+        + " FROM (SELECT DISTINCT employer_iri, employer FROM ids)",
+        t("posting_id", "posting_iri", RDF_TYPE, f"'{ONT}JobPosting'", "iri") + " FROM ids",
+        t("posting_id", "posting_iri", RDFS_LABEL, "title", "literal", RDF_LANGSTRING, LABEL_LANG) + " FROM ids",
+        t("posting_id", "posting_iri", ONT + "postingDate", "posting_date", "literal", XSD_NS + "date") + " FROM ids",
+        t("posting_id", "posting_iri", ONT + "issuedBy", "employer_iri", "iri") + " FROM ids",
+        t("posting_id", "posting_iri", ONT + "sourceUrl", "source_uri", "literal", XSD_NS + "anyURI") + " FROM ids",
+        t("posting_id", "posting_iri", ONT + "hasRequirement", "req_iri", "iri") + f" FROM {rq}",
+        t("posting_id", "req_iri", RDF_TYPE, f"'{ONT}QualificationRequirement'", "iri") + f" FROM {rq}",
+        t("posting_id", "req_iri", ONT + "refersToCompetence", "refers_to_competence", "iri") + f" FROM {rq}",
+        t("posting_id", "req_iri", ONT + "requiredLevel", f"'{ONT}' || required_level", "iri") + f" FROM {rq}",
+        t("posting_id", "req_iri", ONT + "requirementKind", "requirement_kind", "literal", XSD_NS + "string") + f" FROM {rq}",
+        t("posting_id", "req_iri", ONT + "provenanceConfidence", "printf('%.2f', provenance_confidence)", "literal",
+          XSD_NS + "decimal") + f" FROM {rq}",
+        t("posting_id", "req_iri", ONT + "provenanceSource", f"'{PROVENANCE_SOURCE}'", "literal", XSD_NS + "string")
+        + f" FROM {rq}",
+    ]
+    frag("triples", "\n  UNION ALL ".join(parts), ["ids", "reqs"])
+
+    m = ("CASE WHEN posting_id IS NULL THEN -1 ELSE "
+         "CAST(regexp_extract(posting_id, '([0-9]+)$', 1) AS BIGINT) % 13 END")
+    frag("faulty", f"""
+      SELECT posting_id, s, p,
+             CASE WHEN m_ = 2 AND p = '{ONT}postingDate' THEN '2024-13-45'
+                  WHEN m_ = 3 AND p = '{ONT}requirementKind' THEN 'maybe'
+                  WHEN m_ = 4 AND p = '{ONT}provenanceConfidence' THEN '1.50'
+                  WHEN m_ = 7 AND p = '{ONT}requiredLevel' THEN '{ONT}DQR9' ELSE o END AS o,
+             CASE WHEN m_ = 6 AND p = '{ONT}refersToCompetence' THEN 'literal' ELSE o_kind END AS o_kind,
+             CASE WHEN m_ = 6 AND p = '{ONT}refersToCompetence' THEN '{XSD_NS}string'
+                  WHEN m_ = 8 AND p = '{ONT}sourceUrl' THEN '{XSD_NS}string' ELSE datatype END AS datatype, lang
+      FROM (SELECT *, {m} AS m_ FROM triples) WHERE NOT (m_ = 1 AND p = '{ONT}postingDate')
+      UNION ALL
+      SELECT posting_id, s, p, o || '-2', o_kind, datatype, lang
+      FROM (SELECT *, {m} AS m_ FROM triples) WHERE m_ = 5 AND p = '{ONT}issuedBy'""", ["triples"])
+
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, list):
+            return "[" + ", ".join(lit(x) for x in v) + "]"
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return repr(v)
+
+    rows = ",\n        ".join("(" + ", ".join(lit(x) for x in _expand(r)) + ")" for r in CONSTRAINT_ROWS)
+    cols = ("shape, target_class, path, min_count, max_count, node_kind, datatype_c, pattern, allowed, "
+            "min_incl, max_incl, min_excl, min_length, message")
+    frag("cons", f"""
+      SELECT shape, target_class, path, CAST(min_count AS INTEGER) AS min_count, CAST(max_count AS INTEGER) AS max_count,
+             node_kind, datatype_c, pattern, CAST(allowed AS VARCHAR[]) AS allowed, CAST(min_incl AS DOUBLE) AS min_incl,
+             CAST(max_incl AS DOUBLE) AS max_incl, CAST(min_excl AS DOUBLE) AS min_excl,
+             CAST(min_length AS INTEGER) AS min_length, message
+      FROM (VALUES {rows}) v({cols})""", [])
+    frag("fv", f"""
+      SELECT fc.*, v.o, v.o_kind, v.datatype AS datatype_v
+      FROM (SELECT f.focus, c.* FROM (SELECT DISTINCT s AS focus, o AS target_class FROM faulty WHERE p = '{RDF_TYPE}') f
+            JOIN cons c ON c.target_class = f.target_class) fc
+      LEFT JOIN faulty v ON v.s = fc.focus AND v.p = fc.path""", ["faulty", "cons"])
+    num = "try_cast(o AS DECIMAL(38,18))"
+    ill = (f"((datatype_v = '{XSD_NS}date' AND try_strptime(o, '%Y-%m-%d') IS NULL) OR "
+           f"(datatype_v = '{XSD_NS}decimal' AND ({num} IS NULL OR NOT regexp_matches(o, '^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)$'))))")
+    checks = {
+        "nodeKind": "node_kind IS NOT NULL AND o_kind <> 'iri'",
+        "datatype": f"datatype_c IS NOT NULL AND (o_kind <> 'literal' OR NOT coalesce(datatype_v = datatype_c, false) OR {ill})",
+        "pattern": "pattern IS NOT NULL AND NOT regexp_matches(o, pattern)",
+        "in": f"allowed IS NOT NULL AND NOT (o_kind = 'literal' AND coalesce(datatype_v = '{XSD_NS}string', false) AND list_contains(allowed, o))",
+        "minInclusive": f"min_incl IS NOT NULL AND NOT coalesce({num} >= min_incl, false)",
+        "maxInclusive": f"max_incl IS NOT NULL AND NOT coalesce({num} <= max_incl, false)",
+        "minExclusive": f"min_excl IS NOT NULL AND NOT coalesce({num} > min_excl, false)",
+        "minLength": "min_length IS NOT NULL AND length(o) < min_length",
+    }
+    value_parts = [f"SELECT focus, shape, path, message, '{k}' AS \"constraint\", o AS value FROM fv WHERE o IS NOT NULL AND {c}"
+                   for k, c in checks.items()]
+    card = "(SELECT focus, shape, path, message, min_count, max_count, count(o) AS n FROM fv GROUP BY ALL)"
+    frag("violations", "\n  UNION ALL ".join([
+        f"SELECT focus, shape, path, message, 'minCount' AS \"constraint\", CAST(n AS VARCHAR) AS value FROM {card} WHERE n < min_count",
+        f"SELECT focus, shape, path, message, 'maxCount', CAST(n AS VARCHAR) FROM {card} WHERE n > max_count",
+    ] + value_parts), ["fv"])
+
+    def esc(x):
+        return f"replace(replace(replace(replace({x}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r')"
+
+    prefixes = turtle_prefixes(d).replace("'", "''")
+    name = "'data:req_' || i.posting_key || '_' || CAST(r.req_ord AS VARCHAR)"
+    block = (f"{name} || chr(10) || '  a                          hrqde:QualificationRequirement ;' || chr(10)"
+             f" || '  hrqde:refersToCompetence   <' || r.refers_to_competence || '> ;' || chr(10)"
+             f" || '  hrqde:requiredLevel        hrqde:' || r.required_level || ' ;' || chr(10)"
+             f" || '  hrqde:requirementKind      \"' || r.requirement_kind || '\" ;' || chr(10)"
+             f" || '  hrqde:provenanceConfidence \"' || printf('%.2f', r.provenance_confidence) || '\"^^xsd:decimal ;' || chr(10)"
+             f" || '  hrqde:provenanceSource     \"{PROVENANCE_SOURCE}\" .' || chr(10)")
+    frag("ttl_reqs", f"""
+      SELECT r.posting_id, string_agg({name}, ' ,' || chr(10) || '                       ' ORDER BY r.req_ord) AS names,
+             string_agg({block}, chr(10) ORDER BY r.req_ord) AS blocks
+      FROM reqs r JOIN ids i ON i.posting_id = r.posting_id GROUP BY r.posting_id""", ["reqs", "ids"])
+    head = (f"'{prefixes}' || chr(10) || 'employer:' || i.slug || chr(10) || '  a           hrqde:Employer ;' || chr(10)"
+            f" || '  rdfs:label  \"' || {esc('i.employer')} || '\"@de .' || chr(10) || chr(10)"
+            f" || 'data:posting_' || i.posting_key || chr(10) || '  a                    hrqde:JobPosting ;' || chr(10)"
+            f" || '  rdfs:label           \"' || {esc('i.title')} || '\"@de ;' || chr(10)"
+            f" || '  hrqde:postingDate    \"' || {esc('i.posting_date')} || '\"^^xsd:date ;' || chr(10)"
+            f" || '  hrqde:issuedBy       employer:' || i.slug || ' ;' || chr(10)"
+            f" || '  hrqde:sourceUrl      \"' || {esc('i.source_uri')} || '\"^^xsd:anyURI'")
+    tail = ("CASE WHEN t.names IS NULL THEN ' .' || chr(10) ELSE ' ;' || chr(10) || '  hrqde:hasRequirement ' || t.names"
+            " || ' .' || chr(10) || chr(10) || t.blocks END")
+    frag("ttl", f"""
+      SELECT i.posting_id, i.posting_id || '.ttl' AS file_name, {head} || {tail} AS turtle
+      FROM ids i LEFT JOIN ttl_reqs t ON t.posting_id = i.posting_id""", ["ids", "ttl_reqs"])
+
+
+_rdf_fragments()
+
+ORACLE.update({
+    "triples": build(["triples"], "SELECT * FROM triples"),
+    "validation_report": build(["violations"], "SELECT * FROM violations"),
+    "turtle_documents": build(["ttl"], "SELECT * FROM ttl"),
+})

@@ -240,3 +240,23 @@ QUERIES.update({
     "page_keys": q_page_keys,
     "posting_checks": q_posting_checks,
 })
+
+
+def q_triples(spark, sf):
+    return flow(spark, sf).triples
+
+
+def q_validation_report(spark, sf):
+    from skillweave.operators.shapes import constraints, validate
+    return validate(B.inject_faults(flow(spark, sf).triples), constraints(spark))
+
+
+def q_turtle_documents(spark, sf):
+    return flow(spark, sf).turtle
+
+
+QUERIES.update({
+    "triples": q_triples,
+    "validation_report": q_validation_report,
+    "turtle_documents": q_turtle_documents,
+})
