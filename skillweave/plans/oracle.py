@@ -505,3 +505,24 @@ ORACLE.update({
     "validation_report": build(["violations"], "SELECT * FROM violations"),
     "turtle_documents": build(["ttl"], "SELECT * FROM ttl"),
 })
+
+
+ORACLE.update({
+    "mapping_review": build(["mappings", "spans"], """
+        SELECT m.posting_id, m.span_id, coalesce(s.text, '') AS span_text, coalesce(s.extractor, '') AS extractor,
+               m.rank, m.concept_uri, printf('%.4f', m.score) AS score, m.decision
+        FROM mappings m LEFT JOIN spans s ON s.id = m.span_id"""),
+    "run_metadata": f"""
+        SELECT '{__import__('skillweave').__version__}' AS pipeline_version, 'documents' AS input,
+               count(*) AS posting_count, CAST(3 AS BIGINT) AS n_outputs,
+               CAST({B.SPARSE_THRESHOLD} AS DOUBLE) AS mapping_threshold, CAST(3 AS BIGINT) AS mapping_top_k,
+               '{__import__('skillweave.config', fromlist=['x']).DEFAULT_ENCODER}' AS encoder
+        FROM documents""",
+    "vector_cache": build(["cfeat"], f"""
+        SELECT 'trigram' AS model_id, '{CONCEPT_NS}' || CAST(b.item_id AS VARCHAR) AS uri, sha256(b.text) AS label_hash,
+               f.n_terms, round(f.norm, 6) AS norm,
+               CAST(CASE WHEN upper(b.text) = b.text THEN 1 ELSE 2 END AS BIGINT) AS n_versions
+        FROM benchmark b JOIN (SELECT key, count(*) AS n_terms, max(norm) AS norm FROM cfeat GROUP BY key) f
+          ON f.key = b.item_id"""),
+    "full_run": ORACLE["requirements"],
+})

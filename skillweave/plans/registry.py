@@ -260,3 +260,66 @@ QUERIES.update({
     "validation_report": q_validation_report,
     "turtle_documents": q_turtle_documents,
 })
+
+
+def q_mapping_review(spark, sf):
+    """Review CSV of all mappings, written (sharded) and read back."""
+    from skillweave.session import scratch_path
+    from skillweave.sources import sinks
+    f = flow(spark, sf)
+    path = sinks.write_mapping_csv(sinks.mapping_review(f.mappings, f.spans), scratch_path(spark, "review"))
+    return sinks.read_mapping_csv(spark, path)
+
+
+def q_run_metadata(spark, sf):
+    """Run metadata written as JSON and read back (timestamp and paths left out)."""
+    from skillweave.session import scratch_path
+    from skillweave.sources import sinks
+    f = flow(spark, sf)
+    path = sinks.write_json(sinks.run_metadata(f.postings, "documents", ["mappings_csv", "ntriples", "turtle"],
+                                               f.config), scratch_path(spark, "meta"))
+    m = spark.read.json(path)
+    params = F.from_json("parameters", "mapping_threshold double, mapping_top_k long, encoder string")
+    return m.select("pipeline_version", "input", F.col("posting_count").cast("long").alias("posting_count"),
+                    F.size("output_files").cast("long").alias("n_outputs"),
+                    params["mapping_threshold"].alias("mapping_threshold"),
+                    params["mapping_top_k"].alias("mapping_top_k"), params["encoder"].alias("encoder"))
+
+
+def q_vector_cache(spark, sf):
+    """Concept vectors cached, labels edited, refreshed: only valid entries are served."""
+    from skillweave.session import scratch_path
+    from skillweave.sources import vector_store as V
+    c = B.concepts(spark, sf)
+    path = scratch_path(spark, "vectors")
+    enc = V.trigram_encoder("trigram")
+    V.refresh(spark, path, c.withColumn("pref_label", F.upper("pref_label")), "trigram", enc)
+    V.refresh(spark, path, c, "trigram", enc)
+    V.refresh(spark, path, c, "trigram", enc)  # nothing new: all keys present
+    versions = spark.read.parquet(path).groupBy("uri").agg(F.count(F.lit(1)).alias("n_versions"))
+    cur = V.current_vectors(spark, path, c, "trigram")
+    return cur.join(versions, "uri").select("model_id", "uri", "label_hash", F.size("terms").cast("long").alias("n_terms"),
+                                            F.round("norm", 6).alias("norm"), "n_versions")
+
+
+def q_full_run(spark, sf):
+    """End to end: every sink written; the requirements table read back."""
+    from skillweave.plans.run import run
+    f = flow(spark, sf)
+    fresh = type(f)(postings=f.postings, concepts=f.concepts, dictionary=f.dictionary,
+                    tagger_sizes=f.tagger_sizes, tagger_models=f.tagger_models, config=f.config)
+    paths = run(spark, fresh, input_desc="documents")
+    r = spark.read.parquet(paths["requirements"])
+    return r.withColumn("provenance_confidence", F.round("provenance_confidence", 4))
+
+
+def flagship(spark, sf):
+    return q_full_run(spark, sf)
+
+
+QUERIES.update({
+    "mapping_review": q_mapping_review,
+    "run_metadata": q_run_metadata,
+    "vector_cache": q_vector_cache,
+    "full_run": q_full_run,
+})
