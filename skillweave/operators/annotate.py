@@ -75,16 +75,19 @@ def tokens(postings: DataFrame, key: str = "posting_id", text_col: str = "raw_te
              .when(F.col("pos") == "NOUN", F.regexp_replace(lw, r"(ung|heit|keit|schaft|tion)en$", "$1"))
              .when(F.col("pos").isin("PUNCT", "NUM"), F.col("text"))
              .otherwise(lw))
+    # Nearest noun ahead = first non-null in frame order; its end offset comes
+    # along, so the rule extractor needs no self-join on the token table.
     wh = Window.partitionBy("posting_id").orderBy("i").rowsBetween(1, head_window)
-    noun_ahead = F.min(F.when(F.col("pos") == "NOUN", F.col("i"))).over(wh)
+    noun = F.when(F.col("pos") == "NOUN", F.struct(F.col("i").alias("hi"), F.col("char_end").alias("he")))
     tagged = placed.withColumn("pos", pos).withColumn("lemma", lemma)
-    with_head = tagged.withColumn("noun_ahead", noun_ahead)
+    with_head = tagged.withColumn("noun_ahead", F.first(noun, ignorenulls=True).over(wh))
     adj_with_head = (F.col("pos") == "ADJ") & F.col("noun_ahead").isNotNull()
     return with_head.select(
         "posting_id", "i", "text", "pos", "lemma",
         F.when(adj_with_head, F.lit("nk")).otherwise(F.lit("ROOT")).alias("dep"),
-        F.when(adj_with_head, F.col("noun_ahead")).otherwise(F.col("i")).alias("head_i"),
+        F.when(adj_with_head, F.col("noun_ahead.hi")).otherwise(F.col("i")).alias("head_i"),
         "char_start", "char_end",
+        F.when(adj_with_head, F.col("noun_ahead.he")).alias("head_end"),
     )
 
 

@@ -25,11 +25,17 @@ def adj_noun_spans(tokens: DataFrame, postings: DataFrame, key: str = "posting_i
     Span = tokens adjective..head; text is the slice of the raw text (0-based
     offsets converted to 1-based ``substring`` here only).
     """
-    adj = (tokens.filter((F.col("pos") == "ADJ") & F.col("dep").isin("nk", "amod"))
-           .select("posting_id", F.col("i").alias("a_i"), "head_i", "char_start"))
-    heads = (tokens.filter(F.col("pos").isin("NOUN", "PROPN"))
-             .select("posting_id", F.col("i").alias("head_i"), F.col("char_end")))
-    pairs = adj.join(heads, ["posting_id", "head_i"]).filter(F.col("a_i") <= F.col("head_i"))
+    adj = tokens.filter((F.col("pos") == "ADJ") & F.col("dep").isin("nk", "amod"))
+    if "head_end" in tokens.columns:
+        # The default annotator ships the head's end offset (its heads are nouns).
+        pairs = adj.filter(F.col("head_end").isNotNull() & (F.col("i") <= F.col("head_i"))).select(
+            "posting_id", F.col("i").alias("a_i"), "head_i", "char_start", F.col("head_end").alias("char_end"))
+    else:
+        # Any parser: equi-join on (posting, head index), co-partitioned by posting.
+        a = adj.select("posting_id", F.col("i").alias("a_i"), "head_i", "char_start")
+        heads = (tokens.filter(F.col("pos").isin("NOUN", "PROPN"))
+                 .select("posting_id", F.col("i").alias("head_i"), F.col("char_end")))
+        pairs = a.join(heads, ["posting_id", "head_i"]).filter(F.col("a_i") <= F.col("head_i"))
     texts = postings.select(F.col(key).alias("posting_id"), F.col(text_col).alias("raw_text"))
     spans = pairs.join(texts, "posting_id")
     n = F.row_number().over(Window.partitionBy("posting_id").orderBy("a_i"))

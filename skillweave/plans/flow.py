@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +64,10 @@ class Flow:
     @cached_property
     def spans(self) -> DataFrame:
         combined = extract.combine_spans(self.rule_spans, self.tagged_spans)
-        return extract.classify_kinds(combined, self.sentences, self.config.markers)
+        # Read by mappings, requirements, counters, reports and sinks: kept once
+        # (memory, spilling to disk; a lost block is recomputed from lineage).
+        return extract.classify_kinds(combined, self.sentences, self.config.markers).persist(
+            StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def span_counts(self) -> DataFrame:
@@ -79,7 +83,8 @@ class Flow:
         from skillweave.operators.requirements import map_spans
         c = self.config
         return map_spans(self.spans, self.concepts, c.top_k, c.threshold, encoder="trigram",
-                         profiles=c.encoder_profiles, salt_buckets=c.salt_buckets)
+                         profiles=c.encoder_profiles, salt_buckets=c.salt_buckets).persist(
+            StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def accepted(self) -> DataFrame:

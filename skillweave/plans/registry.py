@@ -43,7 +43,7 @@ def q_postings(spark, sf):
 
 
 def q_tokens(spark, sf):
-    return flow(spark, sf).tokens.withColumnRenamed("posting_id", "posting_id")
+    return flow(spark, sf).tokens.drop("head_end")
 
 
 def q_marker_sentences(spark, sf):
