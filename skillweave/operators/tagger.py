@@ -30,28 +30,29 @@ def _norm(word_col) -> F.Column:
     return F.lower(strip_trailing(word_col))
 
 
-def _frames(words_df: DataFrame, max_n: int) -> DataFrame:
-    """Each word with the structs of itself and the next ``max_n - 1`` words."""
-    w = Window.partitionBy("posting_id").orderBy("w").rowsBetween(0, max_n - 1)
-    item = F.struct("w", "word", "char_start", "char_end", _norm("word").alias("norm"))
-    return words_df.select("posting_id", "w", F.collect_list(item).over(w).alias("frame"))
+def _gram_key(n: int) -> F.Column:
+    """Normalised n-gram starting at the current word (null past the end)."""
+    parts = [F.col("norm")]
+    for j in range(1, n):
+        parts += [F.lit(" "), F.col(f"l{j}_")]
+    return F.concat(*parts)
 
 
-def _grams(frames: DataFrame, sizes: list[int]) -> DataFrame:
-    g = frames.select("posting_id", "frame", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
-    g = g.filter(F.size("frame") >= F.col("n"))
-    part = F.slice("frame", F.lit(1), F.col("n"))
-    return g.select("posting_id", "n", part.alias("part"),
-                    F.array_join(F.transform(part, lambda x: x["norm"]), " ").alias("key"))
+def _with_leads(words_df: DataFrame, max_n: int) -> DataFrame:
+    w = Window.partitionBy("posting_id").orderBy("w")
+    base = words_df.withColumn("norm", _norm("word"))
+    for j in range(1, max_n):
+        base = base.withColumn(f"l{j}_", F.lead("norm", j).over(w))
+    return base
 
 
 def gram_dictionary(texts: DataFrame, n: int, model: str, key: str = "item_id",
                     text_col: str = "text") -> DataFrame:
     """All word n-grams of reference texts; weight = 1 / number of texts holding it."""
     wt = word_table(texts.select(F.col(key).cast("string").alias("posting_id"), F.col(text_col).alias("raw_text")))
-    grams = _grams(_frames(wt, n), [n])
-    return (grams.groupBy("n", "key").agg(F.countDistinct("posting_id").alias("n_items"))
-            .select(F.lit(model).alias("model"), F.col("n").cast("int").alias("n"), "key",
+    grams = _with_leads(wt, n).select("posting_id", _gram_key(n).alias("key")).filter(F.col("key").isNotNull())
+    return (grams.groupBy("key").agg(F.countDistinct("posting_id").alias("n_items"))
+            .select(F.lit(model).alias("model"), F.lit(n).cast("int").alias("n"), "key",
                     (F.lit(1.0) / F.col("n_items")).alias("weight")))
 
 
@@ -68,23 +69,43 @@ def label_dictionary(concepts: DataFrame, model: str = "skill", weight: float =
             .dropDuplicates(["model", "n", "key"]))
 
 
-def dictionary_hits(postings: DataFrame, dictionary: DataFrame, sizes: list[int],
+def dictionary_sizes(dictionary: DataFrame) -> list[tuple[str, int]]:
+    """The (model, n) pairs of a dictionary: a handful of rows from a small side table."""
+    return sorted((r["model"], int(r["n"])) for r in dictionary.select("model", "n").distinct().collect())
+
+
+def dictionary_hits(postings: DataFrame, dictionary: DataFrame, pairs: list[tuple[str, int]],
                     key: str = "posting_id", text_col: str = "raw_text",
                     broadcast_rows: int = 2_000_000) -> DataFrame:
     """Raw word-level hits: every word covered by a dictionary n-gram occurrence.
 
     One hit per (posting, model, word); score = highest weight of the covering
-    occurrences.
+    occurrences. Keys of the n-grams starting at each word come from ``lead``;
+    each (model, n) sub-dictionary is a left hash join (broadcast after a size
+    check); a word's score under a model is the maximum match weight over the
+    frame of the n - 1 preceding words and itself. All of it stays on the
+    per-posting partitioning, without arrays or lambdas.
     """
     wt = word_table(postings.select(F.col(key).alias("posting_id"), F.col(text_col).alias("raw_text")))
-    grams = _grams(_frames(wt, max(sizes)), sizes)
-    dic = broadcast_if_small(dictionary.select("model", "n", "key", "weight"), broadcast_rows)
-    occ = grams.join(dic, ["n", "key"])
-    covered = occ.select("posting_id", "model", "weight", F.explode("part").alias("x"))
-    return (covered.groupBy("posting_id", "model", F.col("x.w").alias("hit_ord"))
-            .agg(F.max("x.word").alias("word"), F.max("x.char_start").alias("start"),
-                 F.max("x.char_end").alias("end"), F.max("weight").alias("score"))
-            .select(*HIT_COLUMNS))
+    w = Window.partitionBy("posting_id").orderBy("w")
+    base = _with_leads(wt, max(n for _, n in pairs))
+    dic = dictionary.select("model", "n", "key", "weight")
+    for m, n in pairs:
+        sub = broadcast_if_small(dic.filter((F.col("model") == m) & (F.col("n") == n))
+                                 .select(F.col("key").alias(f"k_{m}_{n}"), F.col("weight").alias(f"w_{m}_{n}")),
+                                 broadcast_rows)
+        base = base.join(sub, _gram_key(n) == F.col(f"k_{m}_{n}"), "left").drop(f"k_{m}_{n}")
+    models = sorted({m for m, _ in pairs})
+    for m in models:
+        cover = [F.max(f"w_{m}_{n}").over(w.rowsBetween(-(n - 1), 0)) for mm, n in pairs if mm == m]
+        base = base.withColumn(f"s_{m}", cover[0] if len(cover) == 1 else F.greatest(*cover))
+    per_model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"s_{m}").alias("score"))
+                                    for m in models])).alias("h")
+    return (base.select("posting_id", "w", "word", "char_start", "char_end", per_model)
+            .filter(F.col("h.score").isNotNull())
+            .select("posting_id", F.col("h.model").alias("model"), F.col("w").alias("hit_ord"), "word",
+                    F.col("char_start").alias("start"), F.col("char_end").alias("end"),
+                    F.col("h.score").alias("score")))
 
 
 def strip_hits(hits: DataFrame, chars: str = TRAILING_PUNCT) -> DataFrame:

@@ -25,7 +25,7 @@ class Flow:
     postings: DataFrame  # id, source_uri, ..., raw_text, isco_group
     concepts: DataFrame  # uri, pref_label, alt_labels, definition, ord
     dictionary: DataFrame  # model, n, key, weight
-    tagger_sizes: list[int]
+    tagger_sizes: list[tuple[str, int]]  # (model, n) pairs of the dictionary
     tagger_models: list[str]
     config: Config = field(default_factory=lambda: DEFAULT)
 

@@ -31,7 +31,7 @@ def flow(spark: SparkSession, sf_dir: str) -> Flow:
             postings=B.postings(spark, sf_dir),
             concepts=B.concepts(spark, sf_dir),
             dictionary=dic,
-            tagger_sizes=sorted(set(B.TAGGER_SIZES.values())),
+            tagger_sizes=sorted(B.TAGGER_SIZES.items()),
             tagger_models=B.TAGGER_MODELS,
             config=DEFAULT.with_(markers=B.TEST_MARKERS, threshold=B.SPARSE_THRESHOLD),
         )

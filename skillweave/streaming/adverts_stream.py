@@ -30,9 +30,15 @@ def advert_stream(spark: SparkSession, in_dir: str, max_files: int = 100) -> Dat
 
 def start(spark: SparkSession, in_dir: str, out_dir: str, concepts: DataFrame, dictionary: DataFrame,
           tagger_sizes: list[int], tagger_models: list[str], config: Config = DEFAULT,
-          trigger_once: bool = False):
-    """Start the streaming query; returns the StreamingQuery."""
-    ckpt = ensure_checkpoint_dir(spark).rstrip("/") + "/advert-stream"
+          trigger_once: bool = False, checkpoint_location: str | None = None):
+    """Start the streaming query; returns the StreamingQuery.
+
+    The default checkpoint is named after the input folder, so restarting the
+    same stream resumes where it stopped.
+    """
+    import hashlib
+    tag = hashlib.sha1(in_dir.encode("utf-8")).hexdigest()[:12]
+    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/advert-stream-{tag}"
 
     def batch(df: DataFrame, epoch: int) -> None:
         if df.isEmpty():
