@@ -45,15 +45,29 @@ def map_spans(spans: DataFrame, concepts: DataFrame, top_k: int, threshold: floa
     top = sparse_top_k(q, c, top_k, q_key="key", q_text="qtext")
     uris = F.broadcast(concepts.select("ord", F.col("uri").alias("concept_uri")))
     matches = decide(top.join(uris, "ord"), threshold).withColumnRenamed("key", "text")
-    joined = salted_join(spans.select(F.col("id").alias("span_id"), "posting_id", "text"), matches, "text",
+    # span_ord and requirement_kind ride along, so consolidation needs no second span join
+    carry = [c for c in ("span_ord", "requirement_kind") if c in spans.columns]
+    joined = salted_join(spans.select(F.col("id").alias("span_id"), "posting_id", "text", *carry), matches, "text",
                          "span_id", salt_buckets)
     return joined.select(
         F.concat(F.lit("mapping-"), short_hash("span_id", F.col("rank").cast("string"))).alias("id"),
         "span_id", "posting_id", "concept_uri", F.col("score").cast("double").alias("score"), "decision",
-        F.col("rank").cast("int").alias("rank"),
+        F.col("rank").cast("int").alias("rank"), *carry,
     )
 
 
+MAPPING_COLUMNS = ["id", "span_id", "posting_id", "concept_uri", "score", "decision", "rank"]
+
+
+def accepted_from_mappings(mappings: DataFrame) -> DataFrame:
+    """Accepted mappings in the consolidation input shape, partitioned by posting once
+    (the fold's groupBy and the numbering window both reuse it)."""
+    return (mappings.filter(F.col("decision") == "accepted")
+            .select("posting_id", "span_ord", F.col("span_id").alias("id"), "concept_uri",
+                    F.col("score").alias("mapping_score"), "requirement_kind")
+            .repartition("posting_id"))
+
+
 def accepted_spans(spans: DataFrame, mappings: DataFrame) -> DataFrame:
     """Spans joined with their accepted mapping; spans without one drop out."""
     acc = mappings.filter(F.col("decision") == "accepted").select(  # posting_id comes from spans

@@ -93,8 +93,9 @@ class Flow:
 
     @cached_property
     def requirements(self) -> DataFrame:
-        from skillweave.operators.requirements import consolidate
-        return consolidate(self.accepted, self.postings, self.config.level_map, self.config.fallback_level)
+        from skillweave.operators.requirements import accepted_from_mappings, consolidate
+        return consolidate(accepted_from_mappings(self.mappings), self.postings, self.config.level_map,
+                           self.config.fallback_level)
 
     # --- reports ----------------------------------------------------------
     @cached_property

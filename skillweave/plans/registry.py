@@ -108,7 +108,8 @@ def q_sparse_matches(spark, sf):
 
 
 def q_mappings(spark, sf):
-    m = flow(spark, sf).mappings
+    from skillweave.operators.requirements import MAPPING_COLUMNS
+    m = flow(spark, sf).mappings.select(*MAPPING_COLUMNS)
     return m.withColumn("score", F.round("score", 4))
 
 
