@@ -20,3 +20,28 @@ def encoder_inputs(texts: DataFrame, key: str, text: str, models: list[str], pro
                         F.concat(encoder_prefix(profiles, F.col("mm.model_id"), mode), F.col("text")).alias("input_text")))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def encoder_slot(texts: DataFrame, encode_batch, key: str = "key", text: str = "text",
+                 model_id: str = "model") -> DataFrame:
+    """Encode texts with a sentence encoder via ``mapInPandas``.
+
+    ``encode_batch(list[str]) -> 2-D array`` (rows unit-normalised by the slot);
+    the result (model_id, key, vec) feeds ``match.dense_top_k``. Encode distinct
+    texts only: deduplicate before calling the slot.
+    """
+    import numpy as np
+
+    schema = f"model_id string, key {texts.schema[key].dataType.simpleString()}, vec array<double>"
+
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            m = np.asarray(encode_batch(pdf[text].tolist()), dtype=np.float64)
+            n = np.linalg.norm(m, axis=1, keepdims=True)
+            m = m / np.where(n == 0, 1.0, n)
+            yield pd.DataFrame({"model_id": model_id, "key": pdf[key].to_numpy(), "vec": list(m)})
+
+    return texts.select(key, text).mapInPandas(run, schema)

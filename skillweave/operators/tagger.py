@@ -161,3 +161,20 @@ def tagger_spans(merged: DataFrame, models: list[str], tagger_name: str,
         F.lit(1).alias("extractor_ord"),
         "kind_ord",
     )
+
+
+def tagger_slot(postings: DataFrame, tag_batch, key: str = "posting_id", text_col: str = "raw_text") -> DataFrame:
+    """Run a token-classification model over the adverts with ``mapInPandas``.
+
+    ``tag_batch(pdf) -> pdf`` gets (posting_id, raw_text) batches and returns
+    raw hits with ``HIT_COLUMNS`` (one row per model and hit); the model is
+    loaded once per Python worker by the callable. The output then goes
+    through ``strip_hits`` and ``merge_adjacent`` like the dictionary hits.
+    """
+    schema = "posting_id string, model string, hit_ord long, word string, start long, end long, score double"
+
+    def run(batches):
+        for pdf in batches:
+            yield tag_batch(pdf)
+
+    return postings.select(F.col(key).alias("posting_id"), F.col(text_col).alias("raw_text")).mapInPandas(run, schema)
