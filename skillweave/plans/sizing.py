@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +11,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only when the row count is proven to be at most ``max_rows``.
 
     Above the bound the DataFrame is returned unchanged, so the join shuffles
-    (sort-merge or AQE's own runtime choice). The count is one small job over a
-    side table (dictionary, concept index), never over the main data.
+    (sort-merge, or AQE's own runtime choice). The count is one job over a side
+    table (dictionary, concept index), never over the main data; the checked
+    table is kept so the join does not compute it again.
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.count()
+    if n <= max_rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
