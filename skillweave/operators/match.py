@@ -105,12 +105,18 @@ def _emit(model: str, keys, ords: np.ndarray, idx: np.ndarray, sc: np.ndarray) -
 
 
 def dense_top_k(queries: DataFrame, index: DataFrame, k: int, budget_bytes: int = 64 << 20,
-                block_rows: int = 50_000) -> DataFrame:
+                block_rows: int = 50_000, exclude_self: bool = False) -> DataFrame:
     """Top-k index rows per (model_id, query key) by dot product.
 
     queries: (model_id, key, vec array<double>); index: (model_id, ord long, vec).
-    Output: (model_id, key, rank int, ord long, score double).
+    Output: (model_id, key, rank int, ord long, score double). With
+    ``exclude_self`` (queries and index are the same set, key = ord) the k best
+    other rows are returned: the k + 1 best hold them whether or not the row
+    itself is among those.
     """
+    if exclude_self:
+        top = dense_top_k(queries, index, k + 1, budget_bytes, block_rows)
+        return rank_top_k(top.filter(F.col("ord") != F.col("key")).drop("rank"), k, "model_id", "key")
     key_type = queries.schema["key"].dataType.simpleString()
     schema = f"model_id string, key {key_type}, rank int, ord long, score double"
     stats = index.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).collect()

@@ -5,8 +5,8 @@
 * concepts  <- benchmark: one taxonomy concept per benchmark passage.
 * tagger dictionaries <- word 3-grams (model "skill") and 5-grams (model
   "knowledge") of the benchmark passages.
-* vectors   <- embeddings: every fifth vector is a query, the others the index
-  (every row takes part); a second "model" uses the first 32 dimensions.
+* vectors   <- embeddings: every vector is matched against all other vectors
+  (self excluded); a second "model" uses the first 32 dimensions.
 
 The oracle SQL in ``plans/oracle.py`` states the same bindings for DuckDB.
 """
@@ -64,7 +64,7 @@ def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, index) of both models: columns model_id, key, vec (array<double>)."""
+    """(queries, index) of both models: columns model_id, key, vec (array<double>); all vectors on both sides."""
     e = table(spark, sf_dir, "embeddings")
     full = F.transform("embedding", lambda x: x.cast("double"))
     half_raw = F.slice(full, 1, DENSE_HALF_DIMS)
@@ -78,8 +78,7 @@ def dense_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
                      F.transform("half_raw", lambda x: x / F.col("norm")).alias("vec")),
         )).alias("m"),
     ).select(F.col("m.model_id").alias("model_id"), F.col("vec_id").alias("key"), F.col("m.vec").alias("vec"))
-    is_query = F.col("key") % 5 == 0
-    return vecs.filter(is_query), vecs.filter(~is_query)
+    return vecs, vecs
 
 
 def inject_faults(tr: DataFrame) -> DataFrame:

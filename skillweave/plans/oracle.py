@@ -274,7 +274,7 @@ frag("dmatch", """
   SELECT model_id, key, ord, score, rank FROM (
     SELECT q.model_id, q.key, i.key AS ord, list_dot_product(q.vec, i.vec) AS score,
            row_number() OVER (PARTITION BY q.model_id, q.key ORDER BY list_dot_product(q.vec, i.vec) DESC, i.key) AS rank
-    FROM dvec q JOIN dvec i ON q.model_id = i.model_id AND q.key % 5 = 0 AND i.key % 5 <> 0)
+    FROM dvec q JOIN dvec i ON q.model_id = i.model_id AND q.key <> i.key)
   WHERE rank <= 3""", ["dvec"])
 
 ORACLE.update({

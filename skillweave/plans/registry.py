@@ -136,7 +136,7 @@ def _dense(spark, sf):
     from skillweave.operators.match import dense_top_k
     q, idx = B.dense_vectors(spark, sf)
     return dense_top_k(q, idx.select("model_id", F.col("key").alias("ord"), "vec"), DEFAULT.top_k,
-                       DEFAULT.broadcast_budget, DEFAULT.index_block_rows)
+                       DEFAULT.broadcast_budget, DEFAULT.index_block_rows, exclude_self=True)
 
 
 def q_dense_matches(spark, sf):

@@ -145,3 +145,22 @@ def test_overlap_flags_match_pairwise(spark):
     for a in rows:
         want[a[1]] = any(a[3] < b[4] and b[3] < a[4] for b in rows if b[2] != a[2])
     assert got == want
+
+
+def test_dense_exclude_self_against_brute_force(spark):
+    import numpy as np
+    rnd = np.random.default_rng(11)
+    m = rnd.normal(size=(40, 6))
+    m[5] = m[4]  # duplicate vectors: ties broken by ordinal
+    rows = [("m", i, m[i].tolist()) for i in range(40)]
+    q = spark.createDataFrame(rows, "model_id string, key long, vec array<double>")
+    idx = q.withColumnRenamed("key", "ord")
+    for budget in (64 << 20, 0):
+        got = sorted((r.key, r.rank, r.ord) for r in
+                     match.dense_top_k(q, idx, 3, budget_bytes=budget, block_rows=9, exclude_self=True).collect())
+        want = []
+        for i in range(40):
+            sc = m @ m[i]
+            order = sorted((j for j in range(40) if j != i), key=lambda j: (-sc[j], j))[:3]
+            want += [(i, r + 1, j) for r, j in enumerate(order)]
+        assert got == sorted(want)
