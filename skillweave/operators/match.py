@@ -161,25 +161,27 @@ def _dense_blocked(queries: DataFrame, index: DataFrame, k: int, schema: str, st
     n_query = queries.count()
     nb = max(1, math.ceil(n_index / block_rows))
     nq = max(1, math.ceil(n_query / block_rows))
-    ib = index.select("model_id", "ord", "vec",
-                      F.pmod(F.xxhash64("ord"), F.lit(nb)).alias("ib"),
-                      F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
-    qb = queries.select("model_id", "key", "vec",
-                        F.pmod(F.xxhash64("key"), F.lit(nq)).alias("qb"),
-                        F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("ib"))
+    # Fresh aliases per side: both sides may come from one DataFrame (self match),
+    # and cogroup needs unambiguous columns.
+    ib = index.select(F.col("model_id").alias("m_"), F.col("ord").alias("o_"), F.col("vec").alias("iv_"),
+                      F.pmod(F.xxhash64("ord"), F.lit(nb)).alias("ib_"),
+                      F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb_"))
+    qb = queries.select(F.col("model_id").alias("m_"), F.col("key").alias("k_"), F.col("vec").alias("qv_"),
+                        F.pmod(F.xxhash64("key"), F.lit(nq)).alias("qb_"),
+                        F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("ib_"))
 
     def cell(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or ipdf.empty:
             return pd.DataFrame({c: [] for c in ["model_id", "key", "rank", "ord", "score"]})
-        ipdf = ipdf.sort_values("ord")
-        ords = ipdf["ord"].to_numpy(np.int64)
-        mat = np.vstack(ipdf["vec"].to_numpy()).astype(np.float64)
-        q = np.vstack(qpdf["vec"].to_numpy()).astype(np.float64)
+        ipdf = ipdf.sort_values("o_")
+        ords = ipdf["o_"].to_numpy(np.int64)
+        mat = np.vstack(ipdf["iv_"].to_numpy()).astype(np.float64)
+        q = np.vstack(qpdf["qv_"].to_numpy()).astype(np.float64)
         idx, sc = _topk_rows(q @ mat.T, k)
-        return _emit(qpdf["model_id"].iloc[0], qpdf["key"].to_numpy(), ords, idx, sc)
+        return _emit(qpdf["m_"].iloc[0], qpdf["k_"].to_numpy(), ords, idx, sc)
 
-    local = (qb.groupBy("model_id", "qb", "ib")
-             .cogroup(ib.groupBy("model_id", "qb", "ib"))
+    local = (qb.groupBy("m_", "qb_", "ib_")
+             .cogroup(ib.groupBy("m_", "qb_", "ib_"))
              .applyInPandas(cell, schema))
     return rank_top_k(local.drop("rank"), k, "model_id", "key")
 
