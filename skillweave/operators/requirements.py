@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from skillweave.functions.levels import level_is_fallback, required_level
 from skillweave.functions.text import encoder_prefix, short_hash
 from skillweave.operators.match import decide, sparse_top_k
+from skillweave.plans.sizing import broadcast_if_small
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, salt_of: str, buckets: int,
@@ -43,7 +44,7 @@ def map_spans(spans: DataFrame, concepts: DataFrame, top_k: int, threshold: floa
     c = concepts.select("ord", F.concat(encoder_prefix(profiles, F.lit(encoder), "passage"),
                                         F.col("pref_label")).alias("pref_label"))
     top = sparse_top_k(q, c, top_k, q_key="key", q_text="qtext")
-    uris = F.broadcast(concepts.select("ord", F.col("uri").alias("concept_uri")))
+    uris = broadcast_if_small(concepts.select("ord", F.col("uri").alias("concept_uri")), 5_000_000)
     matches = decide(top.join(uris, "ord"), threshold).withColumnRenamed("key", "text")
     # span_ord and requirement_kind ride along, so consolidation needs no second span join
     carry = [c for c in ("span_ord", "requirement_kind") if c in spans.columns]
