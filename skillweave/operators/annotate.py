@@ -60,9 +60,10 @@ def tokens(postings: DataFrame, key: str = "posting_id", text_col: str = "raw_te
     w = (Window.partitionBy("posting_id").orderBy("pos_")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     n = F.length("text").cast("long")
+    # both running sums in one projection: one Window operator, one sort
     placed = (exploded
-              .withColumn("char_end", F.sum(n).over(w))
-              .withColumn("i", F.sum(is_tok.cast("long")).over(w) - 1)
+              .select("posting_id", "text", F.sum(n).over(w).alias("char_end"),
+                      (F.sum(is_tok.cast("long")).over(w) - 1).alias("i"))
               .withColumn("char_start", F.col("char_end") - n)
               .filter(is_tok))
     lw = F.lower("text")
@@ -101,14 +102,18 @@ def sentences(postings: DataFrame, key: str = "posting_id", text_col: str = "raw
 
 def words(postings: DataFrame, key: str = "posting_id", text_col: str = "raw_text") -> DataFrame:
     """Whitespace-delimited words with offsets and word index w (tagger input)."""
-    t = tile(postings.select(F.col(key).alias("posting_id"), F.col(text_col)), "posting_id", text_col,
-             WORD_PATTERN)
+    exploded = postings.select(
+        F.col(key).alias("posting_id"),
+        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(WORD_PATTERN), 0)).alias("pos", "piece"))
     is_word = ~F.col("piece").rlike(r"^\s")
     w = (Window.partitionBy("posting_id").orderBy("pos")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (t.withColumn("w", F.sum(is_word.cast("long")).over(w) - 1)
-            .filter(is_word)
-            .select("posting_id", "w", F.col("piece").alias("word"), "char_start", "char_end"))
+    n = F.length("piece").cast("long")
+    placed = exploded.select("posting_id", "piece", F.sum(n).over(w).alias("char_end"),
+                             (F.sum(is_word.cast("long")).over(w) - 1).alias("w"))
+    return (placed.filter(is_word)
+            .select("posting_id", "w", F.col("piece").alias("word"), (F.col("char_end") - n).alias("char_start"),
+                    "char_end"))
 
 
 def annotator_slot(postings: DataFrame, annotate_batch, key: str = "posting_id",
