@@ -17,6 +17,8 @@ ALLOWED = {
 def _functions_with(pattern):
     hits = set()
     for path in ROOT.rglob("*.py"):
+        if path.is_relative_to(ROOT / "llm"):  # has its own tests
+            continue
         current = None
         for line in path.read_text(encoding="utf-8").splitlines():
             m = re.match(r"\s*def (\w+)\(", line)
