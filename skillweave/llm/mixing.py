@@ -56,7 +56,8 @@ def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
     taken = [c for c in ("source_size", "target", "copies") if c in documents.columns]
     out = sized.drop(*taken).join(per_source, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")),
+                              1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
     return out.withColumn("copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long"))
 
 

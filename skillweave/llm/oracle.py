@@ -5,19 +5,19 @@ ORACLE = {}
 ORACLE["op6_cuckoo_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no
   FROM documents),
 keyed AS (
-  SELECT doc_id, at, line,
+  SELECT doc_id, line_no, line,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
 held AS (
   SELECT key, count(DISTINCT doc_id) AS n, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key),
 marked AS (
-  SELECT k.doc_id, k.at, k.line, coalesce(h.n >= 3 AND k.doc_id < h.top, false) AS gone
+  SELECT k.doc_id, k.line_no, k.line, coalesce(h.n >= 3 AND k.doc_id < h.top, false) AS gone
   FROM keyed k LEFT JOIN held h ON h.key = k.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 
@@ -40,6 +40,82 @@ cap AS (SELECT *, stop::DOUBLE / w <= level AS capped FROM lev),
 tgt AS (
   SELECT source, source_size,
          CASE WHEN capped THEN stop::DOUBLE ELSE w * max(CASE WHEN NOT capped THEN level END) OVER () END AS target FROM cap)
-SELECT d.doc_id, d.size, t.source_size, t.target
+SELECT d.doc_id, d.size, t.source_size, t.target,
+       CAST(d.size * (floor(t.target / t.source_size)
+            + CASE WHEN CAST('0x' || substr(md5(concat_ws(':', 7, d.doc_id)), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE
+                        < t.target / t.source_size - floor(t.target / t.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM docs d JOIN tgt t ON t.source IS NOT DISTINCT FROM d.source
 """
+
+ORACLE["op1_winnowing_decontamination"] = r"""
+WITH dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bspan AS (
+  SELECT item_id, least(10, len(w)) AS n,
+         unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS span
+  FROM bw WHERE len(w) > 0),
+dspan AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS first_at,
+         unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS span
+  FROM dw, (SELECT DISTINCT n FROM bspan) WHERE len(w) >= n),
+hit AS (SELECT d.doc_id, d.n, d.first_at, b.item_id FROM dspan d JOIN bspan b ON b.n = d.n AND b.span = d.span),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(first_at, first_at + n)) AS pos FROM hit) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN words h USING (doc_id) LEFT JOIN items i USING (doc_id)
+"""
+
+ORACLE["op2_arc_to_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN size >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 1000 AND page_id < top THEN top END AS refers_to
+FROM p
+"""
+
+ORACLE["op3_quotation_linking"] = r"""
+WITH opening AS (
+  SELECT conv_id, turn, min(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS q
+  FROM conversations GROUP BY 1, 2),
+mail AS (
+  SELECT row_number() OVER () AS id, c.conv_id, c.turn, c.role,
+         concat_ws(chr(10), '>> ' || b.q, '> ' || a.q, c.text) AS text
+  FROM conversations c
+  LEFT JOIN opening a ON a.conv_id = c.conv_id AND a.turn + 1 = c.turn
+  LEFT JOIN opening b ON b.conv_id = c.conv_id AND b.turn + 2 = c.turn),
+lines AS (
+  SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS raw,
+         generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM mail),
+leveled AS (
+  SELECT *, regexp_extract(raw, '^([ \t]*>)*[ \t]*') AS marks FROM lines),
+said AS (
+  SELECT id, conv_id, turn, line_no, raw, len(marks) - len(replace(marks, '>', '')) AS level,
+         lower(trim(regexp_replace(substr(raw, len(marks) + 1), '\s+', ' ', 'g'))) AS said FROM leveled),
+runs AS (
+  SELECT *, line_no - row_number() OVER (PARTITION BY id, level ORDER BY line_no) AS run FROM said),
+firsts AS (
+  SELECT conv_id, said, min(turn) AS first_turn FROM said WHERE level = 0 AND said <> '' GROUP BY 1, 2),
+passages AS (
+  SELECT r.id, r.level, r.run, count(*) = count(f.first_turn) AS linked, max(f.first_turn) AS original
+  FROM runs r LEFT JOIN firsts f ON f.conv_id = r.conv_id AND f.said = r.said AND f.first_turn < r.turn
+  WHERE r.level > 0 AND r.said <> '' GROUP BY 1, 2, 3),
+each AS (
+  SELECT id, count(*) AS n_passages, count(*) FILTER (linked) AS n_linked,
+         max(original) FILTER (linked AND level = 1) AS reply_to FROM passages GROUP BY 1),
+bodies AS (
+  SELECT id, max(level) AS max_level,
+         trim(coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (level = 0), ''), chr(10)) AS body FROM said GROUP BY 1)
+SELECT m.conv_id, m.turn, m.role, b.body, CAST(b.max_level AS INTEGER) AS max_level,
+       CAST(coalesce(e.n_passages, 0) AS BIGINT) AS n_passages, CAST(coalesce(e.n_linked, 0) AS BIGINT) AS n_linked, e.reply_to
+FROM mail m JOIN bodies b USING (id) LEFT JOIN each e USING (id)
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillweave.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from skillweave.llm import (decontaminate, hamming_search, line_dedup, line_quality, mixing, quotations, simhash,
+                            token_counts, toxicity, warc)
 from skillweave.llm.common import table
 from skillweave.llm.oracle import ORACLE
 
@@ -16,6 +17,22 @@ def op1_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link(quotations.as_mail(table(spark, sf_dir, "conversations")))
+
+
+def op4_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    field = line_quality.trained(documents, table(spark, sf_dir, "labels"))
+    return line_quality.score(documents, field).select("doc_id", toxicity.held_out(3, 1).alias("held_out"), "score",
+                                                       "predicted")
+
+
 def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.trained(documents, table(spark, sf_dir, "labels"))
@@ -31,13 +48,28 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % hamming_search.QUERY_MODULUS == 0)
+
+
+def op9_merged_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_winnowing_decontamination, op5_ftrl_toxicity, op6_cuckoo_line_dedup, op7_source_mixing,
-                            op10_pivot_simhash)}
+    f.__name__: f for f in (op1_winnowing_decontamination, op2_arc_to_warc, op3_quotation_linking, op4_line_crf_quality,
+                            op5_ftrl_toxicity, op6_cuckoo_line_dedup, op7_source_mixing,
+                            op8_multi_index_hashing, op9_merged_token_counts, op10_pivot_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
