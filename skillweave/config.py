@@ -99,14 +99,8 @@ class Config:
     data_ns: str = "http://example.org/demand/"
     employer_ns: str = "http://example.org/demand/employer/"
     tagger_name: str = "tagger"
-    # Rule annotator: head noun must follow the adjective within this many tokens.
-    head_window: int = 3
-    # Tagger models: name -> n (dictionary n-gram length in words).
-    tagger_models: tuple[tuple[str, str], ...] = (("skill", "skill"), ("knowledge", "knowledge"))
-    # Size budget (bytes) of anything shipped whole to every task.
-    broadcast_budget: int = 64 * 1024 * 1024
-    # Rows per index block in the blocked similarity join.
-    index_block_rows: int = 50_000
+    # IRIs with the full 128-bit key of the source address; False gives the short 32-bit form.
+    full_keys: bool = True
     # Salt buckets for joins on a possibly hot key (span text).
     salt_buckets: int = 16
 

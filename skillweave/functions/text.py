@@ -78,6 +78,6 @@ def encoder_prefix(profiles: dict, model_col, mode: str) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*entries), _col(model_col)), F.lit(""))
 
 
-def short_hash(*cols, n: int = 8) -> Column:
-    """Deterministic short id from column values (stable across task retries)."""
+def short_hash(*cols, n: int = 32) -> Column:
+    """Deterministic id from column values (stable across task retries); 128 bits by default."""
     return F.substring(F.sha2(F.concat_ws("\u0001", *[_col(c) for c in cols]), 256), 1, n)

@@ -1,119 +1,194 @@
-"""Text annotation: tiling tokenizer, suffix-rule annotator, sentence splitter.
+"""Text annotation: tokenizer, suffix-rule annotator, sentence splitter, and the scan for span candidates.
 
-All three share one idea: a regex whose alternatives tile the whole text is
-expanded with ``posexplode``; character offsets are the running sum of piece
-lengths over a window per posting. The postings must be partitioned by the
-key once (``repartition(key)``); every window and aggregate keyed by the
-posting then runs without another shuffle.
+A text is cut where it lies: one Arrow pass per advert yields pieces with code-point offsets, so no text is shuffled
+and nothing is sorted per token. ``tokens``, ``sentences`` and ``words`` give every piece as a row; ``scan`` gives
+only what the extractors need (adjective + noun pairs, dictionary n-gram candidates, marker sentences), with the
+slices of the text cut on the spot.
 
-The annotator is the default of a model slot: a real tagger/parser can supply
-a table with the same columns (see ``annotator_slot``).
+The annotator is the default of a model slot: a real tagger/parser can supply a table with the token columns (see
+``annotator_slot``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillweave.config import TRAILING_PUNCT
+from skillweave.functions.bitmaps import in_bitmap
+
+_WS = r" \t\n\x0b\f\r"
 # Words, single punctuation marks, whitespace runs. Together they cover every char.
-TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]|\s+"
+TOKEN = regex.compile(rf"[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}{_WS}]|[{_WS}]+")
 # Text up to and including sentence terminators, or a trailing piece without one.
-SENTENCE_PATTERN = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
-# Whitespace-delimited words (tagger input) and the whitespace between them.
-WORD_PATTERN = r"\S+|\s+"
+SENTENCE = regex.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
+# Whitespace-delimited words (tagger input).
+WORD = regex.compile(rf"[^{_WS}]+")
+# What the rule looks at: words and the marks that end a sentence.
+RULE_PIECE = regex.compile(r"[\p{L}\p{N}]+|[.!?\n]")
+NUMBER = regex.compile(r"\p{N}+")
+LETTER = regex.compile(r"[\p{L}\p{N}]")
 
 # Suffix rules of the default annotator (lower-cased word).
-ADJ_SUFFIX = r"(lich|isch|ig|bar|sam)(e|er|en|es|em)?$"
-NOUN_SUFFIX = r"(ung|heit|keit|schaft|tion)(en)?$"
-
-TOKEN_COLUMNS = ["posting_id", "i", "text", "pos", "lemma", "dep", "head_i",
-                 "char_start", "char_end"]
-
-
-def tile(df: DataFrame, key: str, text_col: str, pattern: str) -> DataFrame:
-    """Pieces of ``text_col`` matched by a tiling ``pattern``.
-
-    Returns (key, pos, piece, char_start, char_end) with 0-based, end-exclusive
-    code-point offsets.
-    """
-    exploded = df.select(
-        key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).alias("pos", "piece")
-    )
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.length("piece")
-    return (exploded.withColumn("char_end", F.sum(n).over(w).cast("long"))
-            .withColumn("char_start", F.col("char_end") - n.cast("long")))
-
-
-def tokens(postings: DataFrame, key: str = "posting_id", text_col: str = "raw_text",
-           head_window: int = 3) -> DataFrame:
-    """Token table of the default annotator; whitespace tokens are dropped.
-
-    i counts the kept tokens from 0. POS by suffix rules; an adjective's head is
-    the nearest noun among the next ``head_window`` tokens (dep ``nk``).
-    """
-    exploded = postings.select(
-        F.col(key).alias("posting_id"),
-        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)).alias("pos_", "text"),
-    )
-    is_tok = ~F.col("text").rlike(r"^\s")
-    w = (Window.partitionBy("posting_id").orderBy("pos_")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    n = F.length("text").cast("long")
-    # both running sums in one projection: one Window operator, one sort
-    placed = (exploded
-              .select("posting_id", "text", F.sum(n).over(w).alias("char_end"),
-                      (F.sum(is_tok.cast("long")).over(w) - 1).alias("i"))
-              .withColumn("char_start", F.col("char_end") - n)
-              .filter(is_tok))
-    lw = F.lower("text")
-    pos = (F.when(~F.col("text").rlike(r"^[\p{L}\p{N}]"), "PUNCT")
-           .when(F.col("text").rlike(r"^\p{N}+$"), "NUM")
-           .when(lw.rlike(NOUN_SUFFIX), "NOUN")
-           .when(lw.rlike(ADJ_SUFFIX), "ADJ")
-           .otherwise("X"))
-    lemma = (F.when(F.col("pos") == "ADJ", F.regexp_replace(lw, r"(lich|isch|ig|bar|sam)(e|er|en|es|em)$", "$1"))
-             .when(F.col("pos") == "NOUN", F.regexp_replace(lw, r"(ung|heit|keit|schaft|tion)en$", "$1"))
-             .when(F.col("pos").isin("PUNCT", "NUM"), F.col("text"))
-             .otherwise(lw))
-    # Nearest noun ahead = first non-null in frame order; its end offset comes
-    # along, so the rule extractor needs no self-join on the token table.
-    wh = Window.partitionBy("posting_id").orderBy("i").rowsBetween(1, head_window)
-    noun = F.when(F.col("pos") == "NOUN", F.struct(F.col("i").alias("hi"), F.col("char_end").alias("he")))
-    tagged = placed.withColumn("pos", pos).withColumn("lemma", lemma)
-    with_head = tagged.withColumn("noun_ahead", F.first(noun, ignorenulls=True).over(wh))
-    adj_with_head = (F.col("pos") == "ADJ") & F.col("noun_ahead").isNotNull()
-    return with_head.select(
-        "posting_id", "i", "text", "pos", "lemma",
-        F.when(adj_with_head, F.lit("nk")).otherwise(F.lit("ROOT")).alias("dep"),
-        F.when(adj_with_head, F.col("noun_ahead.hi")).otherwise(F.col("i")).alias("head_i"),
-        "char_start", "char_end",
-        F.when(adj_with_head, F.col("noun_ahead.he")).alias("head_end"),
-    )
+_ADJ = tuple(s + e for s in ("lich", "isch", "ig", "bar", "sam") for e in ("", "e", "er", "en", "es", "em"))
+_NOUN = tuple(s + e for s in ("ung", "heit", "keit", "schaft", "tion") for e in ("", "en"))
+_ADJ_LEMMA = regex.compile(r"(lich|isch|ig|bar|sam)(e|er|en|es|em)$")
+_NOUN_LEMMA = regex.compile(r"(ung|heit|keit|schaft|tion)en$")
+
+TOKEN_COLUMNS = ["posting_id", "i", "text", "pos", "lemma", "dep", "head_i", "char_start", "char_end"]
+#: Rows handed on at a time.
+BATCH_ROWS = 20_000
+
+
+def _rows(df: DataFrame, key: str, text_col: str, schema: str, fields: pa.Schema, make: Callable) -> DataFrame:
+    """Rows of ``make(text)`` for each text, with the key in front; null texts give none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), fields)], schema=fields)
+        for batch in batches:
+            for pid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                for row in make(text) if text else ():
+                    held.append((pid, *row))
+                    if len(held) >= BATCH_ROWS:
+                        yield out()
+                        held = []
+        if held:
+            yield out()
+    return df.select(F.col(key).cast("string"), F.col(text_col)).mapInArrow(run, schema)
+
+
+def _kind(word: str, low: str) -> str:
+    if NUMBER.fullmatch(word):
+        return "NUM"
+    return "NOUN" if low.endswith(_NOUN) else "ADJ" if low.endswith(_ADJ) else "X"
+
+
+def _tokens(text: str) -> list[tuple]:
+    """i, text, pos, lemma, dep, head_i, char_start, char_end; an adjective's head is the next noun of its sentence."""
+    out, sentence, i = [], 0, 0
+    for m in TOKEN.finditer(text):
+        piece = m.group()
+        if piece[0] in " \t\n\x0b\f\r":
+            sentence += "\n" in piece
+            continue
+        low = piece.lower()
+        pos = _kind(piece, low) if LETTER.match(piece) else "PUNCT"
+        lemma = (piece if pos in ("PUNCT", "NUM") else _ADJ_LEMMA.sub(r"\1", low) if pos == "ADJ"
+                 else _NOUN_LEMMA.sub(r"\1", low) if pos == "NOUN" else low)
+        out.append([i, piece, pos, lemma, "ROOT", i, m.start(), m.end(), sentence])
+        sentence += piece in ".!?"
+        i += 1
+    noun = None
+    for row in reversed(out):
+        if row[2] == "NOUN":
+            noun = row
+        elif row[2] == "ADJ" and noun is not None and noun[8] == row[8]:
+            row[4], row[5] = "nk", noun[0]
+    return [tuple(r[:8]) for r in out]
+
+
+def tokens(postings: DataFrame, key: str = "posting_id", text_col: str = "raw_text") -> DataFrame:
+    """Token table of the default annotator; whitespace is dropped, i counts the kept tokens from 0."""
+    return _rows(postings, key, text_col, "posting_id string, i long, text string, pos string, lemma string, dep string, "
+                                          "head_i long, char_start long, char_end long",
+                 pa.schema([("posting_id", pa.string()), ("i", pa.int64()), ("text", pa.string()), ("pos", pa.string()),
+                            ("lemma", pa.string()), ("dep", pa.string()), ("head_i", pa.int64()),
+                            ("char_start", pa.int64()), ("char_end", pa.int64())]), _tokens)
 
 
 def sentences(postings: DataFrame, key: str = "posting_id", text_col: str = "raw_text") -> DataFrame:
     """Sentence pieces covering each text: (posting_id, sent_ord, char_start, char_end, text)."""
-    t = tile(postings.select(F.col(key).alias("posting_id"), F.col(text_col)), "posting_id", text_col,
-             SENTENCE_PATTERN)
-    return t.select("posting_id", F.col("pos").cast("long").alias("sent_ord"), "char_start", "char_end",
-                    F.col("piece").alias("text"))
+    return _rows(postings, key, text_col, "posting_id string, sent_ord long, char_start long, char_end long, text string",
+                 pa.schema([("posting_id", pa.string()), ("sent_ord", pa.int64()), ("char_start", pa.int64()),
+                            ("char_end", pa.int64()), ("text", pa.string())]),
+                 lambda text: ((i, m.start(), m.end(), m.group()) for i, m in enumerate(SENTENCE.finditer(text))))
 
 
 def words(postings: DataFrame, key: str = "posting_id", text_col: str = "raw_text") -> DataFrame:
     """Whitespace-delimited words with offsets and word index w (tagger input)."""
-    exploded = postings.select(
-        F.col(key).alias("posting_id"),
-        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(WORD_PATTERN), 0)).alias("pos", "piece"))
-    is_word = ~F.col("piece").rlike(r"^\s")
-    w = (Window.partitionBy("posting_id").orderBy("pos")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    n = F.length("piece").cast("long")
-    placed = exploded.select("posting_id", "piece", F.sum(n).over(w).alias("char_end"),
-                             (F.sum(is_word.cast("long")).over(w) - 1).alias("w"))
-    return (placed.filter(is_word)
-            .select("posting_id", "w", F.col("piece").alias("word"), (F.col("char_end") - n).alias("char_start"),
-                    "char_end"))
+    return _rows(postings, key, text_col, "posting_id string, w long, word string, char_start long, char_end long",
+                 pa.schema([("posting_id", pa.string()), ("w", pa.int64()), ("word", pa.string()),
+                            ("char_start", pa.int64()), ("char_end", pa.int64())]),
+                 lambda text: ((w, m.group(), m.start(), m.end()) for w, m in enumerate(WORD.finditer(text))))
+
+
+# ---- candidates only -------------------------------------------------------------------------------------------
+
+def _pairs(text: str) -> list[dict]:
+    """Adjective + head slices of the default annotator, in text order."""
+    out, open_ = [], []
+    for m in RULE_PIECE.finditer(text):
+        piece = m.group()
+        if piece in ".!?\n":
+            open_ = []
+            continue
+        kind = _kind(piece, piece.lower())
+        if kind == "ADJ":
+            open_.append(m.start())
+        elif kind == "NOUN" and open_:
+            out += [{"char_start": a, "char_end": m.end(), "text": text[a:m.end()]} for a in open_]
+            open_ = []
+    return out
+
+
+def _grams(text: str, sizes: list[int], bitmap: np.ndarray) -> list[dict]:
+    """n-grams of normalised words that may be in the dictionary, with the words they cover."""
+    found = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
+    norm = [w.rstrip(TRAILING_PUNCT).lower() for w, _, _ in found]
+    out = []
+    for n in sizes:
+        if len(norm) < n:
+            continue
+        keys = [" ".join(norm[i:i + n]) for i in range(len(norm) - n + 1)]
+        h = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), dtype=np.uint64, count=len(keys))
+        for i in np.flatnonzero(in_bitmap(bitmap, h)).tolist():
+            out.append({"n": n, "key": keys[i], "words": [
+                {"w": i + j, "word": found[i + j][0], "start": found[i + j][1], "end": found[i + j][2]} for j in range(n)]})
+    return out
+
+
+_SPOT = "struct<char_start:long,char_end:long>"
+SCAN_SCHEMA = ("posting_id string, pairs array<struct<char_start:long,char_end:long,text:string>>, "
+               "grams array<struct<n:int,key:string,words:array<struct<w:long,word:string,start:long,end:long>>>>, "
+               f"marked array<{_SPOT}>")
+_SCAN = pa.schema([
+    ("posting_id", pa.string()),
+    ("pairs", pa.list_(pa.struct([("char_start", pa.int64()), ("char_end", pa.int64()), ("text", pa.string())]))),
+    ("grams", pa.list_(pa.struct([("n", pa.int32()), ("key", pa.string()), ("words", pa.list_(pa.struct([
+        ("w", pa.int64()), ("word", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]))),
+    ("marked", pa.list_(pa.struct([("char_start", pa.int64()), ("char_end", pa.int64())])))])
+
+
+def scan(postings: DataFrame, sizes: list[int], bitmap: np.ndarray, markers, key: str = "id",
+         text_col: str = "raw_text") -> DataFrame:
+    """One row per advert: rule pairs, dictionary candidates (``sizes`` words; ``bitmap`` of the dictionary's key
+    hashes) and marker sentences. Everything the extractors need, in one pass over the text where it lies."""
+    shared = postings.sparkSession.sparkContext.broadcast(bitmap)
+    marker = regex.compile("|".join(map(regex.escape, markers)), regex.IGNORECASE) if markers else None
+
+    def one(text: str):
+        marked = [{"char_start": m.start(), "char_end": m.end()} for m in SENTENCE.finditer(text)
+                  if marker.search(m.group())] if marker and marker.search(text) else []
+        return _pairs(text), _grams(text, sizes, shared.value), marked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = [one(t.as_py() or "") for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).cast(pa.string()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(_SCAN)[1:]))],
+                    schema=_SCAN)
+    return postings.select(F.col(key).cast("string").alias("posting_id"), F.col(text_col)).mapInArrow(run, SCAN_SCHEMA)
 
 
 def annotator_slot(postings: DataFrame, annotate_batch, key: str = "posting_id",

@@ -1,35 +1,26 @@
-"""Stage counters per posting, and run totals via ``DataFrame.observe``."""
+"""Stage counters per posting."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from functools import reduce
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def _per_posting(df: DataFrame, name: str, cond=None) -> DataFrame:
-    c = F.count(F.lit(1)) if cond is None else F.count(F.when(cond, 1))
-    return df.groupBy("posting_id").agg(c.alias(name))
+STAGES = ("n_tokens", "n_sentences", "n_spans", "n_mappings", "n_accepted", "n_requirements")
 
 
 def stage_counts(flow) -> DataFrame:
-    """tokens, sentences, spans, mappings, accepted mappings, requirements per posting (0 if none)."""
+    """tokens, sentences, spans, mappings, accepted mappings, requirements per posting (0 if none): one union of
+    (posting, stage) rows and one aggregation, partial in each task."""
+    accepted = (F.col("decision") == "accepted").cast("long")
     parts = [
-        _per_posting(flow.tokens, "n_tokens"),
-        _per_posting(flow.sentences, "n_sentences"),
-        _per_posting(flow.spans, "n_spans"),
-        _per_posting(flow.mappings, "n_mappings"),
-        _per_posting(flow.mappings, "n_accepted", F.col("decision") == "accepted"),
-        _per_posting(flow.requirements, "n_requirements"),
+        flow.postings.select(F.col("id").alias("posting_id")),
+        flow.tokens.select("posting_id", F.lit(1).cast("long").alias("n_tokens")),
+        flow.sentences.select("posting_id", F.lit(1).cast("long").alias("n_sentences")),
+        flow.spans.select("posting_id", F.lit(1).cast("long").alias("n_spans")),
+        flow.mappings.select("posting_id", F.lit(1).cast("long").alias("n_mappings"), accepted.alias("n_accepted")),
+        flow.requirements.select("posting_id", F.lit(1).cast("long").alias("n_requirements")),
     ]
-    out = flow.postings.select(F.col("id").alias("posting_id"))
-    names = []
-    for p in parts:
-        out = out.join(p, "posting_id", "left")
-        names.append(p.columns[1])
-    return out.select("posting_id", *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names])
-
-
-def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Attach a run-level row counter that is filled when the DataFrame is written."""
-    obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy("posting_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in STAGES])

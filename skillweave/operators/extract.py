@@ -20,32 +20,33 @@ SPAN_COLUMNS = ["id", "posting_id", "span_ord", "text", "span_type", "char_start
 
 def adj_noun_spans(tokens: DataFrame, postings: DataFrame, key: str = "posting_id",
                    text_col: str = "raw_text", id_infix: str = RULE_ID_INFIX) -> DataFrame:
-    """Adjective (dep nk/amod) + its NOUN/PROPN head, adjective not after the head.
-
-    Span = tokens adjective..head; text is the slice of the raw text (0-based
-    offsets converted to 1-based ``substring`` here only).
-    """
-    adj = tokens.filter((F.col("pos") == "ADJ") & F.col("dep").isin("nk", "amod"))
-    if "head_end" in tokens.columns:
-        # The default annotator ships the head's end offset (its heads are nouns).
-        pairs = adj.filter(F.col("head_end").isNotNull() & (F.col("i") <= F.col("head_i"))).select(
-            "posting_id", F.col("i").alias("a_i"), "head_i", "char_start", F.col("head_end").alias("char_end"))
-    else:
-        # Any parser: equi-join on (posting, head index), co-partitioned by posting.
-        a = adj.select("posting_id", F.col("i").alias("a_i"), "head_i", "char_start")
-        heads = (tokens.filter(F.col("pos").isin("NOUN", "PROPN"))
-                 .select("posting_id", F.col("i").alias("head_i"), F.col("char_end")))
-        pairs = a.join(heads, ["posting_id", "head_i"]).filter(F.col("a_i") <= F.col("head_i"))
-    texts = postings.select(F.col(key).alias("posting_id"), F.col(text_col).alias("raw_text"))
-    spans = pairs.join(texts, "posting_id")
-    n = F.row_number().over(Window.partitionBy("posting_id").orderBy("a_i"))
+    """Adjective (dep nk/amod) + its NOUN/PROPN head, adjective not after the head, of any token table.
+
+    Span = tokens adjective..head; text is the slice of the raw text (0-based offsets converted to 1-based
+    ``substring`` here only). The default annotator's pairs come with their slices (``rule_spans``)."""
+    a = (tokens.filter((F.col("pos") == "ADJ") & F.col("dep").isin("nk", "amod"))
+         .select("posting_id", F.col("i").alias("a_i"), "head_i", "char_start"))
+    heads = (tokens.filter(F.col("pos").isin("NOUN", "PROPN"))
+             .select("posting_id", F.col("i").alias("head_i"), "char_end"))
+    spots = (a.join(heads, ["posting_id", "head_i"]).filter(F.col("a_i") <= F.col("head_i"))
+             .groupBy("posting_id").agg(F.array_sort(F.collect_list(F.struct("a_i", "char_start", "char_end"))).alias("s")))
+    texts = postings.select(F.col(key).cast("string").alias("posting_id"), F.col(text_col).alias("raw_text"))
+    cut = F.transform("s", lambda x: F.struct(
+        x["char_start"].alias("char_start"), x["char_end"].alias("char_end"),
+        F.substring(F.col("raw_text"), x["char_start"].cast("int") + 1, (x["char_end"] - x["char_start"]).cast("int"))
+        .alias("text")))
+    return rule_spans(spots.join(texts, "posting_id").select("posting_id", cut.alias("pairs")), id_infix)
+
+
+def rule_spans(scanned: DataFrame, id_infix: str = RULE_ID_INFIX) -> DataFrame:
+    """Spans of the rule from ``pairs`` (array of char_start, char_end, text in adjective order)."""
+    spans = scanned.select("posting_id", F.posexplode("pairs").alias("n", "x"))
     return spans.select(
-        F.concat_ws("-", "posting_id", F.lit(id_infix), n.cast("string")).alias("id"),
+        F.concat_ws("-", "posting_id", F.lit(id_infix), (F.col("n") + 1).cast("string")).alias("id"),
         "posting_id",
-        F.substring(F.col("raw_text"), F.col("char_start").cast("int") + 1,
-                    (F.col("char_end") - F.col("char_start")).cast("int")).alias("text"),
+        F.col("x.text").alias("text"),
         F.lit("skill").alias("span_type"),
-        "char_start", "char_end",
+        F.col("x.char_start").alias("char_start"), F.col("x.char_end").alias("char_end"),
         F.lit(RULE_EXTRACTOR).alias("extractor"),
         F.lit(None).cast("double").alias("score"),
         F.lit(0).alias("extractor_ord"),
@@ -61,9 +62,13 @@ def classify_kinds(spans: DataFrame, sentences: DataFrame, markers) -> DataFrame
     marker sentence iff its start is below the running maximum end of the
     marker sentences that start at or before it.
     """
-    marked = (sentences.filter(has_marker("text", markers))
-              .select("posting_id", F.col("char_start").alias("p_"), F.lit(0).alias("t_"),
-                      F.col("char_end").alias("m_end_")))
+    return kinds_by_marked(spans, sentences.filter(has_marker("text", markers)))
+
+
+def kinds_by_marked(spans: DataFrame, marked: DataFrame) -> DataFrame:
+    """``classify_kinds`` with the marker sentences (posting_id, char_start, char_end) already found."""
+    marked = marked.select("posting_id", F.col("char_start").alias("p_"), F.lit(0).alias("t_"),
+                           F.col("char_end").alias("m_end_"))
     tagged = spans.withColumn("p_", F.col("char_start")).withColumn("t_", F.lit(1))
     stream = tagged.unionByName(marked, allowMissingColumns=True)
     w = (Window.partitionBy("posting_id").orderBy("p_", "t_")

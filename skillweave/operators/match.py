@@ -1,67 +1,143 @@
-"""Similarity matching of span texts (queries) against a concept index.
-
-Two encoders share the ranking contract ``(key, rank, ord, score)``, k best
-per query by score, ties broken by the concept ordinal:
-
-* sparse (default, no model): character trigrams of the lower-cased padded
-  text; cosine = integer dot product / (norm_q * norm_c). The dot product is an
-  exact integer, so scores and ties are bit-identical in any engine.
-* dense (model slot): unit vectors, dot product. The index is shipped to the
-  tasks only after its size was checked; above the budget the index is cut in
-  blocks and matched cell by cell (query batch x index block) with cogrouped
-  pandas, then the per-block top-k lists are merged. No query x concept pair
-  ever becomes a row.
+"""Similarity matching of texts (queries) against a concept index.
+
+Two encoders share one matcher and its result ``(key, rank, ord, score)``: the min(k, n) best of the n concepts per
+query by score, ties broken by the concept ordinal.
+
+* sparse (default, no model): character trigrams of the lower-cased padded text; cosine = integer dot product /
+  (norm_q * norm_c). The dot product is an exact integer, so scores and ties are the same in any engine; concepts
+  without a common trigram have score 0 and are ranked like any other.
+* dense (model slot): vectors, dot product in double precision, summed row by row so that equal vectors have equal
+  scores wherever they lie.
+
+The index is cut into blocks of at most ``budget_bytes``; each block is broadcast and meets the queries where they
+lie, so queries are never shuffled and no query x concept pair becomes a row. A block hands on k rows per query,
+which are merged by one window if there is more than one block. Inside a task scores are computed for so many
+queries at a time that the score matrix stays within ``CHUNK_BYTES``.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillweave.plans.sizing import broadcast_if_small
+#: Bound of the score matrix that a task holds.
+CHUNK_BYTES = 16 << 20
+#: Scores this close to the k-th best are recomputed row by row before ranking.
+SLACK = 1e-9
 
 
 # --------------------------------------------------------------------------
-# sparse encoder
+# kernels
 # --------------------------------------------------------------------------
-def trigram_features(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, gram, tf) of ' ' || lower(text) || ' ', plus the L2 norm per key.
-
-    Expects ``df`` hash-partitioned by ``key`` (e.g. after a dedup on it): the
-    count per (key, gram) and the norm window then need no further shuffle.
-    """
-    padded = F.concat(F.lit(" "), F.lower(F.col(text)), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.length("p_") - 2)
-    grams = (df.select(F.col(key).alias("key"), padded.alias("p_"))
-             .filter(F.length("p_") >= 3)
-             .select("key", F.explode(F.transform(starts, lambda s: F.substring(F.col("p_"), s, 3))).alias("gram")))
-    tf = grams.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("key")).cast("double"))
-    return tf.withColumn("norm", norm)
-
-
-def sparse_top_k(queries: DataFrame, concepts: DataFrame, k: int, index_rows_budget: int = 5_000_000,
-                 q_key: str = "key", q_text: str = "text") -> DataFrame:
-    """Top-k concepts per query text by trigram cosine.
-
-    ``concepts`` has (ord, pref_label). The concept features are broadcast only
-    when their row count is within ``index_rows_budget``.
-    """
-    qf = trigram_features(queries, q_key, q_text).select(
-        F.col("key"), "gram", F.col("tf").alias("tf_q"), F.col("norm").alias("norm_q"))
-    cf = trigram_features(concepts, "ord", "pref_label").select(
-        F.col("key").alias("ord"), "gram", F.col("tf").alias("tf_c"), F.col("norm").alias("norm_c"))
-    cf = broadcast_if_small(cf, index_rows_budget)
-    dots = (qf.join(cf, "gram")
-            .groupBy("key", "ord")
-            .agg(F.sum(F.col("tf_q") * F.col("tf_c")).alias("dot"),
-                 F.max("norm_q").alias("norm_q"), F.max("norm_c").alias("norm_c")))
-    scored = dots.select("key", "ord", (F.col("dot") / (F.col("norm_q") * F.col("norm_c"))).alias("score"))
-    return rank_top_k(scored, k, "key")
+def top_k_rows(scores: np.ndarray, k: int, exact: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k best columns per row, best first, ties by lower column.
+
+    ``exact(rows, columns)`` recomputes the scores of the contenders, where the matrix may be off in its last bits."""
+    n_rows, n_cols = scores.shape
+    kk = min(k, n_cols)
+    if not n_rows or not kk:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, np.zeros(0)
+    kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
+    rows, cols = np.nonzero(scores >= (kth - (SLACK if exact else 0.0))[:, None])
+    values = exact(rows, cols) if exact else scores[rows, cols]
+    order = np.lexsort((cols, -values, rows))
+    rows, cols, values = rows[order], cols[order], values[order]
+    first = np.searchsorted(rows, np.arange(n_rows))
+    keep = np.arange(len(rows)) - first[rows] < kk
+    return rows[keep], cols[keep], values[keep]
+
+
+def chunk_rows(n_cols: int, chunk_bytes: int = 0) -> int:
+    """Queries scored at a time: their score matrix takes at most ``chunk_bytes``."""
+    return max(1, (chunk_bytes or CHUNK_BYTES) // (8 * max(1, n_cols)))
+
+
+class DenseBlock:
+    """Index vectors in ordinal order."""
+
+    def __init__(self, ords: np.ndarray, vectors) -> None:
+        order = np.argsort(ords, kind="stable")
+        self.ords = ords[order]
+        self.mat = np.vstack([np.asarray(vectors[i], dtype=np.float64) for i in order])
+
+    def best(self, queries, k: int):
+        step = chunk_rows(len(self.ords))
+        for at in range(0, len(queries), step):
+            q = np.vstack([np.asarray(x, dtype=np.float64) for x in queries[at:at + step]])
+            rows, cols, values = top_k_rows(q @ self.mat.T, k, lambda r, c: (q[r] * self.mat[c]).sum(axis=1))
+            yield rows + at, self.ords[cols], values
+
+
+class GramBlock:
+    """Inverted lists of concept trigrams: gram -> (positions, counts)."""
+
+    def __init__(self, ords: np.ndarray, grams) -> None:
+        order = np.argsort(ords, kind="stable")
+        self.ords = ords[order]
+        self.norms, lists = np.zeros(len(order)), {}
+        for at, i in enumerate(order):
+            counts = Counter(grams[i])
+            self.norms[at] = math.sqrt(sum(n * n for n in counts.values()))
+            for g, n in counts.items():
+                lists.setdefault(g, ([], []))[0].append(at)
+                lists[g][1].append(n)
+        self.lists = {g: (np.array(p), np.array(n, dtype=np.int64)) for g, (p, n) in lists.items()}
+
+    def best(self, queries, k: int):
+        step = chunk_rows(len(self.ords))
+        for at in range(0, len(queries), step):
+            part = queries[at:at + step]
+            scores = np.zeros((len(part), len(self.ords)))
+            for r, grams in enumerate(part):
+                counts = Counter(grams)
+                dot = np.zeros(len(self.ords), dtype=np.int64)
+                for g, n in counts.items():
+                    if g in self.lists:
+                        places, own = self.lists[g]
+                        dot[places] += n * own
+                norm = math.sqrt(sum(n * n for n in counts.values())) * self.norms
+                np.divide(dot, norm, out=scores[r], where=norm > 0)
+            rows, cols, values = top_k_rows(scores, k)
+            yield rows + at, self.ords[cols], values
+
+
+# --------------------------------------------------------------------------
+# matcher
+# --------------------------------------------------------------------------
+def _match(queries: DataFrame, index: DataFrame, k: int, value: str, block_type, row_bytes: int, n_rows: int,
+           budget_bytes: int) -> DataFrame:
+    """queries (key, value), index (ord, value) -> (key, rank, ord, score); one pass over queries per index block."""
+    spark = queries.sparkSession
+    kind = queries.schema["key"].dataType.simpleString()
+    blocks = max(1, math.ceil(n_rows * max(1, row_bytes) / max(1, budget_bytes)))
+    parts = []
+    for b in range(blocks):
+        rows = index if blocks == 1 else index.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == b)
+        pdf = rows.select("ord", value).toPandas()  # one block, at most about budget_bytes
+        if pdf.empty:
+            continue
+        shared = spark.sparkContext.broadcast(block_type(pdf["ord"].to_numpy(np.int64), pdf[value].tolist()))
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                keys = batch["key"].to_numpy()
+                for rows, ords, scores in shared.value.best(batch[value].tolist(), k):
+                    yield pd.DataFrame({"key": keys[rows], "ord": ords, "score": scores})
+
+        parts.append(queries.select("key", value).mapInPandas(run, f"key {kind}, ord long, score double"))
+    if not parts:
+        return spark.createDataFrame([], f"key {kind}, ord long, score double, rank int")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return rank_top_k(found, k, "key")
 
 
 def rank_top_k(scored: DataFrame, k: int, *part: str) -> DataFrame:
@@ -70,120 +146,44 @@ def rank_top_k(scored: DataFrame, k: int, *part: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-# --------------------------------------------------------------------------
-# dense encoder output
-# --------------------------------------------------------------------------
-def _topk_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Column indices and scores of the k best per row; ties by lower column."""
-    nq, ni = scores.shape
-    kk = min(k, ni)
-    if kk == 0:
-        return np.zeros((nq, 0), dtype=np.int64), np.zeros((nq, 0))
-    part = np.argpartition(-scores, kk - 1, axis=1)[:, :kk]
-    kth = np.take_along_axis(scores, part, 1).min(axis=1)
-    ties = (scores >= kth[:, None]).sum(axis=1) > kk
-    out = np.empty((nq, kk), dtype=np.int64)
-    for r in range(nq):
-        if ties[r]:
-            cand = np.nonzero(scores[r] >= kth[r])[0]
-        else:
-            cand = part[r]
-        order = np.lexsort((cand, -scores[r, cand]))[:kk]
-        out[r] = cand[order]
-    return out, np.take_along_axis(scores, out, 1)
-
-
-def _emit(model: str, keys, ords: np.ndarray, idx: np.ndarray, sc: np.ndarray) -> pd.DataFrame:
-    nq, kk = idx.shape
-    return pd.DataFrame({
-        "model_id": model,
-        "key": np.repeat(np.asarray(keys), kk),
-        "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), nq),
-        "ord": ords[idx].reshape(-1).astype(np.int64),
-        "score": sc.reshape(-1).astype(np.float64),
-    })
+def trigrams(text):
+    """All character trigrams of ' ' || lower(text) || ' ', repeats included; none for shorter texts."""
+    padded = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+    return F.when(F.length(padded) >= 3, F.transform(F.sequence(F.lit(1), F.length(padded) - 2),
+                                                     lambda i: F.substring(padded, i, 3))
+                  ).otherwise(F.array().cast("array<string>"))
+
+
+def sparse_top_k(queries: DataFrame, concepts: DataFrame, k: int, budget_bytes: int = 64 << 20,
+                 q_key: str = "key", q_text: str = "text") -> DataFrame:
+    """Top-k concepts (ord, pref_label) per query text by trigram cosine: (key, rank, ord, score)."""
+    size = concepts.agg(F.count("*").alias("n"), F.max(F.length("pref_label")).alias("c")).first()
+    q = queries.select(F.col(q_key).alias("key"), trigrams(F.col(q_text)).alias("grams"))
+    index = concepts.select("ord", trigrams(F.col("pref_label")).alias("grams"))
+    # a trigram and its list entries take about 100 bytes in Python
+    return _match(q, index, k, "grams", GramBlock, 100 * int(size["c"] or 1), size["n"], budget_bytes)
 
 
 def dense_top_k(queries: DataFrame, index: DataFrame, k: int, budget_bytes: int = 64 << 20,
-                block_rows: int = 50_000, exclude_self: bool = False) -> DataFrame:
+                exclude_self: bool = False) -> DataFrame:
     """Top-k index rows per (model_id, query key) by dot product.
 
-    queries: (model_id, key, vec array<double>); index: (model_id, ord long, vec).
-    Output: (model_id, key, rank int, ord long, score double). With
-    ``exclude_self`` (queries and index are the same set, key = ord) the k best
-    other rows are returned: the k + 1 best hold them whether or not the row
-    itself is among those.
-    """
+    queries: (model_id, key, vec array<double>); index: (model_id, ord long, vec). Output: (model_id, key, rank, ord,
+    score). With ``exclude_self`` (queries and index are the same set, key = ord) the k best other rows are returned:
+    the k + 1 best hold them whether or not the row itself is among those."""
     if exclude_self:
-        top = dense_top_k(queries, index, k + 1, budget_bytes, block_rows)
+        top = dense_top_k(queries, index, k + 1, budget_bytes)
         return rank_top_k(top.filter(F.col("ord") != F.col("key")).drop("rank"), k, "model_id", "key")
-    key_type = queries.schema["key"].dataType.simpleString()
-    schema = f"model_id string, key {key_type}, rank int, ord long, score double"
-    stats = index.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).collect()
-    need = sum(int(r["n"]) * int(r["d"] or 0) * 8 for r in stats)
-    if need <= budget_bytes:
-        return _dense_broadcast(queries, index, k, schema)
-    return _dense_blocked(queries, index, k, schema, stats, block_rows)
-
-
-def _dense_broadcast(queries: DataFrame, index: DataFrame, k: int, schema: str) -> DataFrame:
-    spark = queries.sparkSession
-    # Size was checked by the caller: the whole index is within the budget.
-    pdf = index.select("model_id", "ord", "vec").toPandas()
-    mats = {}
-    for model, g in pdf.groupby("model_id"):
-        g = g.sort_values("ord")
-        mats[model] = (g["ord"].to_numpy(np.int64), np.vstack(g["vec"].to_numpy()).astype(np.float64))
-    bc = spark.sparkContext.broadcast(mats)
-
-    def run(batches):
-        m = bc.value
-        for pdf_q in batches:
-            for model, g in pdf_q.groupby("model_id"):
-                if model not in m:
-                    continue
-                ords, mat = m[model]
-                q = np.vstack(g["vec"].to_numpy()).astype(np.float64)
-                idx, sc = _topk_rows(q @ mat.T, k)
-                yield _emit(model, g["key"].to_numpy(), ords, idx, sc)
-
-    return queries.select("model_id", "key", "vec").mapInPandas(run, schema)
-
-
-def _dense_blocked(queries: DataFrame, index: DataFrame, k: int, schema: str, stats, block_rows: int) -> DataFrame:
-    """Exact top-k for an index beyond the broadcast budget.
-
-    Index rows go to ``nb`` hash blocks, queries to ``nq`` hash batches; every
-    (batch, block) cell is one cogroup holding at most ~block_rows of each side.
-    The per-cell top-k lists (k per query and block) are merged by a window.
-    """
-    n_index = max(int(r["n"]) for r in stats)
-    n_query = queries.count()
-    nb = max(1, math.ceil(n_index / block_rows))
-    nq = max(1, math.ceil(n_query / block_rows))
-    # Fresh aliases per side: both sides may come from one DataFrame (self match),
-    # and cogroup needs unambiguous columns.
-    ib = index.select(F.col("model_id").alias("m_"), F.col("ord").alias("o_"), F.col("vec").alias("iv_"),
-                      F.pmod(F.xxhash64("ord"), F.lit(nb)).alias("ib_"),
-                      F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb_"))
-    qb = queries.select(F.col("model_id").alias("m_"), F.col("key").alias("k_"), F.col("vec").alias("qv_"),
-                        F.pmod(F.xxhash64("key"), F.lit(nq)).alias("qb_"),
-                        F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("ib_"))
-
-    def cell(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or ipdf.empty:
-            return pd.DataFrame({c: [] for c in ["model_id", "key", "rank", "ord", "score"]})
-        ipdf = ipdf.sort_values("o_")
-        ords = ipdf["o_"].to_numpy(np.int64)
-        mat = np.vstack(ipdf["iv_"].to_numpy()).astype(np.float64)
-        q = np.vstack(qpdf["qv_"].to_numpy()).astype(np.float64)
-        idx, sc = _topk_rows(q @ mat.T, k)
-        return _emit(qpdf["m_"].iloc[0], qpdf["k_"].to_numpy(), ords, idx, sc)
-
-    local = (qb.groupBy("m_", "qb_", "ib_")
-             .cogroup(ib.groupBy("m_", "qb_", "ib_"))
-             .applyInPandas(cell, schema))
-    return rank_top_k(local.drop("rank"), k, "model_id", "key")
+    out = None
+    for r in index.groupBy("model_id").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).collect():
+        own = F.col("model_id") == r["model_id"]
+        part = _match(queries.where(own), index.where(own), k, "vec", DenseBlock, 8 * int(r["d"] or 1), r["n"],
+                      budget_bytes).withColumn("model_id", F.lit(r["model_id"]))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        kind = queries.schema["key"].dataType.simpleString()
+        return queries.sparkSession.createDataFrame([], f"model_id string, key {kind}, rank int, ord long, score double")
+    return out.select("model_id", "key", "rank", "ord", "score")
 
 
 def decide(matches: DataFrame, threshold: float) -> DataFrame:

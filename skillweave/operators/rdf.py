@@ -1,8 +1,13 @@
 """RDF delivery: a triples table and per-posting Turtle documents.
 
-Triples: (posting_id, s, p, o, o_kind, datatype, lang); posting_id is null for
-employer triples, which come from the distinct employers (no global dedup
-shuffle over all triples). Literals are escaped in Turtle output.
+Triples: (posting_id, s, p, o, o_kind, datatype, lang), each once however many
+adverts state it (posting_id is then the smallest); posting_id is null for
+employer triples, which come from the distinct employers. Literals are escaped
+in Turtle output.
+
+IRIs carry the full key of the source address (``Config.full_keys``, the
+default): 32-bit keys, the short form, meet by chance from some ten thousand
+adverts on.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 from skillweave.config import (DEFAULT, LABEL_LANG, ONTOLOGY_NS, PROVENANCE_SOURCE, RDF_LANGSTRING, RDF_TYPE,
                                RDFS_LABEL, XSD_NS, Config)
 from skillweave.functions.fmt import fixed
-from skillweave.functions.text import employer_slug, posting_key
+from skillweave.functions.text import employer_slug, posting_key, posting_uuid
 
 XSD_STRING = XSD_NS + "string"
 XSD_DATE = XSD_NS + "date"
@@ -34,7 +39,7 @@ def _emit(df: DataFrame, posting_col, items) -> DataFrame:
 
 def iris(postings: DataFrame, cfg: Config = DEFAULT, key: str = "id") -> DataFrame:
     """Per posting: posting key, posting IRI and employer IRI."""
-    k = posting_key("source_uri")
+    k = posting_uuid("source_uri") if cfg.full_keys else posting_key("source_uri")
     return postings.select(
         F.col(key).alias("posting_id"), k.alias("posting_key"),
         F.concat(F.lit(cfg.data_ns + "posting_"), k).alias("posting_iri"),
@@ -74,7 +79,9 @@ def triples(postings: DataFrame, requirements: DataFrame, cfg: Config = DEFAULT,
         _t(ri, ONT + "provenanceConfidence", fixed("provenance_confidence", 2), "literal", XSD_DECIMAL),
         _t(ri, ONT + "provenanceSource", F.lit(PROVENANCE_SOURCE), "literal", XSD_STRING),
     ])
-    return e1.unionByName(e2).unionByName(post).unionByName(reqs)
+    stated = post.unionByName(reqs).groupBy("s", "p", "o", "o_kind", "datatype", "lang").agg(
+        F.min("posting_id").alias("posting_id"))
+    return e1.unionByName(e2).unionByName(stated)
 
 
 def escape_literal(c) -> F.Column:
@@ -94,11 +101,11 @@ def n_triples(tr: DataFrame) -> DataFrame:
 
 
 def turtle_prefixes(cfg: Config = DEFAULT) -> str:
-    return (f"@prefix hrqde:      <{ONT}> .\n"
-            f"@prefix data:       <{cfg.data_ns}> .\n"
-            f"@prefix employer:   <{cfg.employer_ns}> .\n"
-            "@prefix rdfs:       <http://www.w3.org/2000/01/rdf-schema#> .\n"
-            f"@prefix xsd:        <{XSD_NS}> .\n\n")
+    return (f"@prefix ont: <{ONT}> .\n"
+            f"@prefix data: <{cfg.data_ns}> .\n"
+            f"@prefix employer: <{cfg.employer_ns}> .\n"
+            "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n"
+            f"@prefix xsd: <{XSD_NS}> .\n\n")
 
 
 def turtle_documents(postings: DataFrame, requirements: DataFrame, cfg: Config = DEFAULT,
@@ -113,12 +120,12 @@ def turtle_documents(postings: DataFrame, requirements: DataFrame, cfg: Config =
     slug = employer_slug("employer")
     req_name = F.concat(F.lit("data:req_"), F.col("posting_key"), F.lit("_"), F.col("req_ord").cast("string"))
     block = F.concat(
-        req_name, F.lit("\n  a                          hrqde:QualificationRequirement ;\n"),
-        F.lit("  hrqde:refersToCompetence   <"), F.col("refers_to_competence"), F.lit("> ;\n"),
-        F.lit("  hrqde:requiredLevel        hrqde:"), F.col("required_level"), F.lit(" ;\n"),
-        F.lit('  hrqde:requirementKind      "'), F.col("requirement_kind"), F.lit('" ;\n'),
-        F.lit('  hrqde:provenanceConfidence "'), fixed("provenance_confidence", 2), F.lit('"^^xsd:decimal ;\n'),
-        F.lit(f'  hrqde:provenanceSource     "{PROVENANCE_SOURCE}" .\n'),
+        req_name, F.lit("\n  a ont:QualificationRequirement ;\n"),
+        F.lit("  ont:refersToCompetence <"), F.col("refers_to_competence"), F.lit("> ;\n"),
+        F.lit("  ont:requiredLevel ont:"), F.col("required_level"), F.lit(" ;\n"),
+        F.lit('  ont:requirementKind "'), F.col("requirement_kind"), F.lit('" ;\n'),
+        F.lit('  ont:provenanceConfidence "'), fixed("provenance_confidence", 2), F.lit('"^^xsd:decimal ;\n'),
+        F.lit(f'  ont:provenanceSource "{PROVENANCE_SOURCE}" .\n'),
     )
     req = (requirements.join(ids.select("posting_id", "posting_key"), "posting_id")
            .select("posting_id", F.struct(F.col("req_ord"), req_name.alias("name"), block.alias("block")).alias("r"))
@@ -126,16 +133,16 @@ def turtle_documents(postings: DataFrame, requirements: DataFrame, cfg: Config =
     doc = ids.join(req, "posting_id", "left").withColumn("rs", F.coalesce("rs", F.array().cast(req.schema["rs"].dataType)))
     has = F.size("rs") > 0
     head = F.concat(
-        F.lit(turtle_prefixes(cfg)), F.lit("\nemployer:"), slug, F.lit("\n  a           hrqde:Employer ;\n"),
-        F.lit('  rdfs:label  "'), escape_literal(F.col("employer")), F.lit('"@de .\n\n'),
-        F.lit("data:posting_"), F.col("posting_key"), F.lit("\n  a                    hrqde:JobPosting ;\n"),
-        F.lit('  rdfs:label           "'), escape_literal(F.col("title")), F.lit('"@de ;\n'),
-        F.lit('  hrqde:postingDate    "'), escape_literal(F.col("posting_date")), F.lit('"^^xsd:date ;\n'),
-        F.lit("  hrqde:issuedBy       employer:"), slug, F.lit(" ;\n"),
-        F.lit('  hrqde:sourceUrl      "'), escape_literal(F.col("source_uri")), F.lit('"^^xsd:anyURI'),
+        F.lit(turtle_prefixes(cfg)), F.lit("\nemployer:"), slug, F.lit("\n  a ont:Employer ;\n"),
+        F.lit('  rdfs:label "'), escape_literal(F.col("employer")), F.lit('"@de .\n\n'),
+        F.lit("data:posting_"), F.col("posting_key"), F.lit("\n  a ont:JobPosting ;\n"),
+        F.lit('  rdfs:label "'), escape_literal(F.col("title")), F.lit('"@de ;\n'),
+        F.lit('  ont:postingDate "'), escape_literal(F.col("posting_date")), F.lit('"^^xsd:date ;\n'),
+        F.lit("  ont:issuedBy employer:"), slug, F.lit(" ;\n"),
+        F.lit('  ont:sourceUrl "'), escape_literal(F.col("source_uri")), F.lit('"^^xsd:anyURI'),
     )
-    reqlist = F.array_join(F.transform("rs", lambda x: x["name"]), " ,\n                       ")
-    tail = F.when(has, F.concat(F.lit(" ;\n  hrqde:hasRequirement "), reqlist, F.lit(" .\n\n"),
+    reqlist = F.array_join(F.transform("rs", lambda x: x["name"]), " ,\n    ")
+    tail = F.when(has, F.concat(F.lit(" ;\n  ont:hasRequirement "), reqlist, F.lit(" .\n\n"),
                                 F.array_join(F.transform("rs", lambda x: x["block"]), "\n")))
     tail = F.coalesce(tail, F.lit(" .\n"))
     return doc.select("posting_id", F.concat(F.col("posting_id"), F.lit(".ttl")).alias("file_name"),

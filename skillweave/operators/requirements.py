@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from skillweave.functions.levels import level_is_fallback, required_level
 from skillweave.functions.text import encoder_prefix, short_hash
-from skillweave.operators.match import decide, sparse_top_k
-from skillweave.plans.sizing import broadcast_if_small
+from skillweave.operators.encode import encoder_slot
+from skillweave.operators.match import decide, dense_top_k, sparse_top_k
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, salt_of: str, buckets: int,
@@ -35,16 +35,25 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, salt_of: str, buckets
 
 
 def map_spans(spans: DataFrame, concepts: DataFrame, top_k: int, threshold: float,
-              encoder: str = "trigram", profiles: dict | None = None, salt_buckets: int = 16) -> DataFrame:
-    """Mappings (id, span_id, posting_id, concept_uri, score, decision, rank) for every span."""
+              encoder: str = "trigram", profiles: dict | None = None, salt_buckets: int = 16,
+              encode=None, vectors: DataFrame | None = None) -> DataFrame:
+    """Mappings (id, span_id, posting_id, concept_uri, score, decision, rank) for every span.
+
+    Without ``encode`` texts are matched by trigrams. With it (list of texts -> vectors) they are matched by their
+    vectors against ``vectors`` (ord, vec) of the concepts, or against freshly encoded labels."""
     profiles = profiles or {}
     texts = spans.select("text").distinct()
     q = texts.select(F.col("text").alias("key"),
                      F.concat(encoder_prefix(profiles, F.lit(encoder), "query"), F.col("text")).alias("qtext"))
-    c = concepts.select("ord", F.concat(encoder_prefix(profiles, F.lit(encoder), "passage"),
-                                        F.col("pref_label")).alias("pref_label"))
-    top = sparse_top_k(q, c, top_k, q_key="key", q_text="qtext")
-    uris = broadcast_if_small(concepts.select("ord", F.col("uri").alias("concept_uri")), 5_000_000)
+    c = concept_passages(concepts, encoder, profiles)
+    if encode is None:
+        top = sparse_top_k(q, c, top_k, q_key="key", q_text="qtext")
+    else:
+        index = vectors if vectors is not None else encoder_slot(c, encode, "ord", "pref_label", encoder).select(
+            F.col("key").alias("ord"), "vec")
+        top = dense_top_k(encoder_slot(q, encode, "key", "qtext", encoder),
+                          index.select(F.lit(encoder).alias("model_id"), "ord", "vec"), top_k).drop("model_id")
+    uris = concepts.select("ord", F.col("uri").alias("concept_uri"))
     matches = decide(top.join(uris, "ord"), threshold).withColumnRenamed("key", "text")
     # span_ord and requirement_kind ride along, so consolidation needs no second span join
     carry = [c for c in ("span_ord", "requirement_kind") if c in spans.columns]
@@ -57,6 +66,12 @@ def map_spans(spans: DataFrame, concepts: DataFrame, top_k: int, threshold: floa
     )
 
 
+def concept_passages(concepts: DataFrame, encoder: str, profiles: dict) -> DataFrame:
+    """(uri, ord, pref_label) with the encoder's passage prefix before the label."""
+    return concepts.select("uri", "ord", F.concat(encoder_prefix(profiles, F.lit(encoder), "passage"),
+                                                  F.col("pref_label")).alias("pref_label"))
+
+
 MAPPING_COLUMNS = ["id", "span_id", "posting_id", "concept_uri", "score", "decision", "rank"]
 
 

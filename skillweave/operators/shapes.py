@@ -133,7 +133,8 @@ def validate(triples: DataFrame, cons: DataFrame) -> DataFrame:
              .select(F.col("s").alias("focus"), F.col("o").alias("target_class")).distinct())
     # The constraint table is fixed data (37 rows): a proven size bound.
     fc = focus.join(F.broadcast(cons.withColumnRenamed("datatype", "datatype_c")), "target_class")
-    vals = triples.select(F.col("s").alias("focus"), F.col("p").alias("path"), "o", "o_kind", "datatype")
+    # a graph is a set: a value stated twice is one value
+    vals = triples.select(F.col("s").alias("focus"), F.col("p").alias("path"), "o", "o_kind", "datatype", "lang").distinct()
     fv = fc.join(vals, ["focus", "path"], "left")
     base = ["focus", "shape", "path", "message"]
 
@@ -170,3 +171,9 @@ def validate(triples: DataFrame, cons: DataFrame) -> DataFrame:
     value_v = (v.select(*base, F.explode(checks).alias("constraint"), F.col("o").alias("value"))
                .filter(F.col("constraint").isNotNull()))
     return card.unionByName(value_v)
+
+
+def conforms(violations: DataFrame) -> DataFrame:
+    """One row: whether there is no violation, and how many there are."""
+    return violations.agg(F.count("*").alias("n_violations")).select((F.col("n_violations") == 0).alias("conforms"),
+                                                                     "n_violations")

@@ -8,9 +8,8 @@ previous hit's end is at most one character are merged into one span whose
 text is the words joined by a blank and whose score is the running pairwise
 average ``(prev + next) / 2``.
 
-Matching is an equi-join of document word n-grams with the dictionary on the
-normalised n-gram; the dictionary is broadcast only after its size was
-checked, else the join shuffles.
+The text is cut into words where it lies; only n-grams whose hash is in a fixed-size bitmap of the dictionary's keys
+become rows, and one inner join on (n, key) keeps the true ones. Words without a match are never shuffled or sorted.
 """
 
 from __future__ import annotations
@@ -20,8 +19,12 @@ from pyspark.sql import functions as F
 
 from skillweave.config import TRAILING_PUNCT
 from skillweave.functions.text import strip_trailing
+from skillweave.functions.bitmaps import slot_bitmap
+from skillweave.operators import annotate
 from skillweave.operators.annotate import words as word_table
-from skillweave.plans.sizing import broadcast_if_small
+
+#: The bitmap of dictionary keys takes 2**KEY_BITS / 8 bytes (1 MB) at any size of the dictionary.
+KEY_BITS = 23
 
 HIT_COLUMNS = ["posting_id", "model", "hit_ord", "word", "start", "end", "score"]
 
@@ -74,38 +77,27 @@ def dictionary_sizes(dictionary: DataFrame) -> list[tuple[str, int]]:
     return sorted((r["model"], int(r["n"])) for r in dictionary.select("model", "n").distinct().collect())
 
 
+def key_bitmap(dictionary: DataFrame):
+    """Bitmap of the hashes of all dictionary keys."""
+    return slot_bitmap(dictionary.select(F.xxhash64("key").alias("h")), "h", KEY_BITS)
+
+
 def dictionary_hits(postings: DataFrame, dictionary: DataFrame, pairs: list[tuple[str, int]],
-                    key: str = "posting_id", text_col: str = "raw_text",
-                    broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Raw word-level hits: every word covered by a dictionary n-gram occurrence.
-
-    One hit per (posting, model, word); score = highest weight of the covering
-    occurrences. Keys of the n-grams starting at each word come from ``lead``;
-    each (model, n) sub-dictionary is a left hash join (broadcast after a size
-    check); a word's score under a model is the maximum match weight over the
-    frame of the n - 1 preceding words and itself. All of it stays on the
-    per-posting partitioning, without arrays or lambdas.
-    """
-    wt = word_table(postings.select(F.col(key).alias("posting_id"), F.col(text_col).alias("raw_text")))
-    w = Window.partitionBy("posting_id").orderBy("w")
-    base = _with_leads(wt, max(n for _, n in pairs))
-    dic = dictionary.select("model", "n", "key", "weight")
-    for m, n in pairs:
-        sub = broadcast_if_small(dic.filter((F.col("model") == m) & (F.col("n") == n))
-                                 .select(F.col("key").alias(f"k_{m}_{n}"), F.col("weight").alias(f"w_{m}_{n}")),
-                                 broadcast_rows)
-        base = base.join(sub, _gram_key(n) == F.col(f"k_{m}_{n}"), "left").drop(f"k_{m}_{n}")
-    models = sorted({m for m, _ in pairs})
-    for m in models:
-        cover = [F.max(f"w_{m}_{n}").over(w.rowsBetween(-(n - 1), 0)) for mm, n in pairs if mm == m]
-        base = base.withColumn(f"s_{m}", cover[0] if len(cover) == 1 else F.greatest(*cover))
-    per_model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"s_{m}").alias("score"))
-                                    for m in models])).alias("h")
-    return (base.select("posting_id", "w", "word", "char_start", "char_end", per_model)
-            .filter(F.col("h.score").isNotNull())
-            .select("posting_id", F.col("h.model").alias("model"), F.col("w").alias("hit_ord"), "word",
-                    F.col("char_start").alias("start"), F.col("char_end").alias("end"),
-                    F.col("h.score").alias("score")))
+                    key: str = "posting_id", text_col: str = "raw_text") -> DataFrame:
+    """Raw word-level hits: every word covered by a dictionary n-gram occurrence, one per (posting, model, word)."""
+    scanned = annotate.scan(postings, sorted({n for _, n in pairs}), key_bitmap(dictionary), (), key, text_col)
+    return hits_of(scanned.select("posting_id", F.explode("grams").alias("g")), dictionary)
+
+
+def hits_of(grams: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Hits of candidate n-grams (posting_id, g) that are in the dictionary; score = highest weight of the covering
+    occurrences. Only matched occurrences reach the aggregation."""
+    found = (grams.select("posting_id", "g.n", "g.key", "g.words")
+             .join(dictionary.select("model", "n", "key", "weight"), ["n", "key"])
+             .select("posting_id", "model", "weight", F.explode("words").alias("x")))
+    return (found.groupBy("posting_id", "model", F.col("x.w").alias("hit_ord"))
+            .agg(F.max("x.word").alias("word"), F.max("x.start").alias("start"), F.max("x.end").alias("end"),
+                 F.max("weight").alias("score")))
 
 
 def strip_hits(hits: DataFrame, chars: str = TRAILING_PUNCT) -> DataFrame:

@@ -6,7 +6,9 @@
 * tagger dictionaries <- word 3-grams (model "skill") and 5-grams (model
   "knowledge") of the benchmark passages.
 * vectors   <- embeddings: every vector is matched against all other vectors
-  (self excluded); a second "model" uses the first 32 dimensions.
+  (self excluded); a second "model" squares each component, keeping its sign.
+* raw adverts, faults among them <- documents (for the readers and the rejects)
+  and pages (for the checks).
 
 The oracle SQL in ``plans/oracle.py`` states the same bindings for DuckDB.
 """
@@ -26,29 +28,62 @@ DENSE_FOLD_THRESHOLD = 0.30
 TAGGER_SIZES = {"skill": 3, "knowledge": 5}
 TAGGER_MODELS = ["skill", "knowledge"]
 CONCEPT_NS = ESCO_SKILL_NS + "bench/"
-DENSE_HALF_DIMS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def postings(spark: SparkSession, sf_dir: str, partitioned: bool = True) -> DataFrame:
-    """Adverts from documents; hash-partitioned by id once for all per-advert work."""
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adverts from documents, whole texts; the title is the first line that is not blank. Every 50th advert states
+    the source address of the one before, so the delivered graph holds adverts that share one."""
     d = table(spark, sf_dir, "documents")
     doc = F.col("doc_id").cast("string")
-    out = d.select(
+    source = F.when(F.col("doc_id") % 50 == 1, F.col("doc_id") - 1).otherwise(F.col("doc_id")).cast("string")
+    return d.select(
         F.concat(F.lit("doc-"), doc).alias("id"),
-        F.concat(F.lit("https://example.com/doc/"), doc).alias("source_uri"),
+        F.concat(F.lit("https://example.com/doc/"), source).alias("source_uri"),
         F.lit("2024-01-01").alias("crawl_date"),
         F.col("source").alias("platform"),
         F.concat_ws(" ", F.col("source"), F.upper("lang")).alias("employer"),
         F.lit("2024-01-01").alias("posting_date"),
-        F.substring("text", 1, 40).alias("title"),
+        F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0)).alias("title"),
         F.col("text").alias("raw_text"),
         F.when(F.col("doc_id") % 11 == 10, F.lit(None)).otherwise(F.col("doc_id") % 11).cast("int").alias("isco_group"),
     )
-    return out.repartition("id") if partitioned else out
+
+
+def with_faults(raw: DataFrame, number) -> DataFrame:
+    """Raw adverts, all fields strings, with one kind of fault for some ``number`` mod 29."""
+    m = number % 29
+    fault = lambda c, k, v: F.when(m == k, F.lit(v).cast("string")).otherwise(F.col(c).cast("string")).alias(c)
+    return raw.select(
+        F.when(m == 1, F.lit(None)).when(m.isin(2, 3), F.concat(F.lit("twin-"), F.floor(number / 29).cast("string")))
+        .otherwise(F.col("id")).alias("id"),
+        "source_uri", fault("crawl_date", 4, "01.01.2024"), fault("platform", 5, None), "employer",
+        fault("posting_date", 6, "2024-02-30"), fault("title", 7, None), "raw_text", fault("isco_group", 8, "drei"))
+
+
+def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = postings(spark, sf_dir)
+    return with_faults(p, F.regexp_extract("id", r"([0-9]+)$", 1).cast("long"))
+
+
+def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skillweave.sources.adverts import page_postings
+    p = page_postings(table(spark, sf_dir, "pages"))
+    return with_faults(p, F.regexp_extract("id", r"([0-9]+)$", 1).cast("long"))
+
+
+def hashed_trigrams(texts: list[str]):
+    """Stand-in for a sentence encoder: counts of character trigrams in 64 slots (restated in the oracle)."""
+    import numpy as np
+    out = np.zeros((len(texts), 64))
+    for row, text in zip(out, texts):
+        c = [ord(x) for x in f" {text.lower()} "]
+        for i in range(len(c) - 2):
+            row[(c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 64] += 1
+    return out
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,15 +102,14 @@ def dense_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """(queries, index) of both models: columns model_id, key, vec (array<double>); all vectors on both sides."""
     e = table(spark, sf_dir, "embeddings")
     full = F.transform("embedding", lambda x: x.cast("double"))
-    half_raw = F.slice(full, 1, DENSE_HALF_DIMS)
-    norm = F.sqrt(F.aggregate(half_raw, F.lit(0.0), lambda acc, x: acc + x * x))
-    base = e.select("vec_id", full.alias("full"), half_raw.alias("half_raw"), norm.alias("norm"))
+    raw = F.transform(full, lambda x: x * F.abs(x))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, x: acc + x * x))
+    base = e.select("vec_id", full.alias("full"), raw.alias("raw")).withColumn("norm", norm)
     vecs = base.select(
         "vec_id",
         F.explode(F.array(
-            F.struct(F.lit("full64").alias("model_id"), F.col("full").alias("vec")),
-            F.struct(F.lit("half32").alias("model_id"),
-                     F.transform("half_raw", lambda x: x / F.col("norm")).alias("vec")),
+            F.struct(F.lit("plain").alias("model_id"), F.col("full").alias("vec")),
+            F.struct(F.lit("squared").alias("model_id"), F.transform("raw", lambda x: x / F.col("norm")).alias("vec")),
         )).alias("m"),
     ).select(F.col("m.model_id").alias("model_id"), F.col("vec_id").alias("key"), F.col("m.vec").alias("vec"))
     return vecs, vecs

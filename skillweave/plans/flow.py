@@ -1,14 +1,17 @@
 """The whole advert-to-requirements flow as one lazily built DataFrame graph.
 
-Each property is a DataFrame built on first use; nothing runs until a sink or
-the caller acts. Postings are hash-partitioned by id once; tokens, sentences,
-hits, spans and their windows keep that partitioning. The only other
-shuffles are the dedup of span texts for matching and the regrouping of
-accepted mappings by (posting, concept).
+Each property is a DataFrame built on first use. Texts are scanned once, where they lie, for everything the
+extractors need (``annotate.scan``); only candidates, spans and their windows are shuffled, by advert. The scan, spans
+and mappings are kept (memory, spilling to disk) while the flow is in use; ``release`` frees them.
+
+Models plug in as callables: ``annotator`` (texts -> token rows), ``tag`` (texts -> raw hits) and ``encode`` (texts ->
+vectors, under the name ``config.encoder``). Without them the deterministic defaults run. With ``vector_cache`` the
+concept vectors are kept in that Parquet table, so each concept label is encoded once over all runs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -16,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.config import DEFAULT, Config
+from skillweave.config import DEFAULT, TAGGER_ID_INFIX, Config
 from skillweave.operators import annotate, extract, tagger
 
 
@@ -28,24 +31,68 @@ class Flow:
     tagger_sizes: list[tuple[str, int]]  # (model, n) pairs of the dictionary
     tagger_models: list[str]
     config: Config = field(default_factory=lambda: DEFAULT)
+    annotator: Callable | None = None
+    tag: Callable | None = None
+    encode: Callable | None = None
+    vector_cache: str | None = None
+    _kept: list[DataFrame] = field(default_factory=list)
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self._kept[-1]
+
+    def release(self) -> None:
+        """Frees what the flow keeps."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
+
+    def fresh(self) -> Flow:
+        """A flow of the same inputs and models that keeps nothing yet."""
+        return Flow(self.postings, self.concepts, self.dictionary, self.tagger_sizes, self.tagger_models, self.config,
+                    self.annotator, self.tag, self.encode, self.vector_cache)
+
+    @property
+    def encoder(self) -> str:
+        """The encoder that matches spans to concepts."""
+        return self.config.encoder if self.encode is not None else "trigram"
+
+    def models(self) -> dict:
+        """What runs in each slot, for the run's metadata."""
+        name = lambda f, default: default if f is None else getattr(f, "__name__", type(f).__name__)
+        return {"annotator": name(self.annotator, "suffix rules"),
+                "extractors": {"adj_noun": "adjective + head noun rule", self.config.tagger_name: name(
+                    self.tag, "dictionary")},
+                "tagger_models": self.tagger_models, "encoder": self.encoder}
 
     # --- annotation -----------------------------------------------------
     @cached_property
     def tokens(self) -> DataFrame:
-        return annotate.tokens(self.postings, key="id", head_window=self.config.head_window)
+        if self.annotator is not None:
+            return annotate.annotator_slot(self.postings, self.annotator, key="id")
+        return annotate.tokens(self.postings, key="id")
 
     @cached_property
     def sentences(self) -> DataFrame:
         return annotate.sentences(self.postings, key="id")
 
+    @cached_property
+    def scanned(self) -> DataFrame:
+        return self._keep(annotate.scan(self.postings, sorted({n for _, n in self.tagger_sizes}),
+                                        tagger.key_bitmap(self.dictionary), self.config.markers))
+
     # --- extraction -----------------------------------------------------
     @cached_property
     def rule_spans(self) -> DataFrame:
-        return extract.adj_noun_spans(self.tokens, self.postings, key="id")
+        if self.annotator is not None:
+            return extract.adj_noun_spans(self.tokens, self.postings, key="id")
+        return extract.rule_spans(self.scanned)
 
     @cached_property
     def raw_hits(self) -> DataFrame:
-        return tagger.dictionary_hits(self.postings, self.dictionary, self.tagger_sizes, key="id")
+        if self.tag is not None:
+            return tagger.tagger_slot(self.postings, self.tag, key="id")
+        return tagger.hits_of(self.scanned.select("posting_id", F.explode("grams").alias("g")), self.dictionary)
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -57,17 +104,14 @@ class Flow:
 
     @cached_property
     def tagged_spans(self) -> DataFrame:
-        from skillweave.config import TAGGER_ID_INFIX
         return tagger.tagger_spans(self.merged_hits, self.tagger_models, self.config.tagger_name,
                                    TAGGER_ID_INFIX)
 
     @cached_property
     def spans(self) -> DataFrame:
         combined = extract.combine_spans(self.rule_spans, self.tagged_spans)
-        # Read by mappings, requirements, counters, reports and sinks: kept once
-        # (memory, spilling to disk; a lost block is recomputed from lineage).
-        return extract.classify_kinds(combined, self.sentences, self.config.markers).persist(
-            StorageLevel.MEMORY_AND_DISK)
+        marked = self.scanned.select("posting_id", F.explode("marked").alias("x")).select("posting_id", "x.*")
+        return self._keep(extract.kinds_by_marked(combined, marked))
 
     @cached_property
     def span_counts(self) -> DataFrame:
@@ -82,9 +126,22 @@ class Flow:
     def mappings(self) -> DataFrame:
         from skillweave.operators.requirements import map_spans
         c = self.config
-        return map_spans(self.spans, self.concepts, c.top_k, c.threshold, encoder="trigram",
-                         profiles=c.encoder_profiles, salt_buckets=c.salt_buckets).persist(
-            StorageLevel.MEMORY_AND_DISK)
+        return self._keep(map_spans(self.spans, self.concepts, c.top_k, c.threshold, encoder=self.encoder,
+                                    profiles=c.encoder_profiles, salt_buckets=c.salt_buckets, encode=self.encode,
+                                    vectors=self.concept_vectors))
+
+    @cached_property
+    def concept_vectors(self) -> DataFrame | None:
+        """(ord, vec) from the vector cache, brought up to date first; None without a cache."""
+        if self.encode is None or self.vector_cache is None:
+            return None
+        from skillweave.operators.requirements import concept_passages
+        from skillweave.sources import vector_store as store
+        spark, passages = self.concepts.sparkSession, concept_passages(self.concepts, self.encoder,
+                                                                       self.config.encoder_profiles)
+        store.refresh(spark, self.vector_cache, passages, self.encoder, store.dense_encoder(self.encoder, self.encode))
+        current = store.current_vectors(spark, self.vector_cache, passages, self.encoder)
+        return current.select("uri", "vec").join(self.concepts.select("uri", "ord"), "uri").select("ord", "vec")
 
     @cached_property
     def accepted(self) -> DataFrame:

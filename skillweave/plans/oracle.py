@@ -25,7 +25,9 @@ def _tile(src: str, key: str, text: str, pattern: str) -> str:
          CAST(sum(length(piece)) OVER (PARTITION BY posting_id ORDER BY pos_
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS char_end,
          CAST(sum(CASE WHEN regexp_matches(piece, '^\\s') THEN 0 ELSE 1 END) OVER (PARTITION BY posting_id
-              ORDER BY pos_ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - 1 AS k
+              ORDER BY pos_ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - 1 AS k,
+         sum(CASE WHEN regexp_matches(piece, '[.!?\\n]') THEN 1 ELSE 0 END) OVER (PARTITION BY posting_id
+              ORDER BY pos_ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sent
   FROM (SELECT posting_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos_
         FROM (SELECT {key} AS posting_id, regexp_extract_all({text}, '{pattern}') AS p FROM {src}))"""
 
@@ -60,15 +62,15 @@ def frag(name: str, sql: str, deps: list[str]):
 
 frag("postings", """
   SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS id,
-         'https://example.com/doc/' || CAST(doc_id AS VARCHAR) AS source_uri,
+         'https://example.com/doc/' || CAST(CASE WHEN doc_id % 50 = 1 THEN doc_id - 1 ELSE doc_id END AS VARCHAR) AS source_uri,
          '2024-01-01' AS crawl_date, source AS platform,
          concat_ws(' ', source, upper(lang)) AS employer,
-         '2024-01-01' AS posting_date, substr(text, 1, 40) AS title, text AS raw_text,
+         '2024-01-01' AS posting_date, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1] AS title, text AS raw_text,
          CAST(CASE WHEN doc_id % 11 = 10 THEN NULL ELSE doc_id % 11 END AS INTEGER) AS isco_group
   FROM documents""", [])
 
 frag("tok_tagged", f"""
-  SELECT posting_id, k AS i, piece AS text, char_end - length(piece) AS char_start, char_end,
+  SELECT posting_id, k AS i, sent, piece AS text, char_end - length(piece) AS char_start, char_end,
          CASE WHEN NOT regexp_matches(piece, '^[\\p{{L}}\\p{{N}}]') THEN 'PUNCT'
               WHEN regexp_matches(piece, '^\\p{{N}}+$') THEN 'NUM'
               WHEN regexp_matches(lower(piece), '(ung|heit|keit|schaft|tion)(en)?$') THEN 'NOUN'
@@ -85,8 +87,8 @@ frag("tokens", """
          CASE WHEN pos = 'ADJ' AND na IS NOT NULL THEN 'nk' ELSE 'ROOT' END AS dep,
          CAST(CASE WHEN pos = 'ADJ' AND na IS NOT NULL THEN na ELSE i END AS BIGINT) AS head_i,
          char_start, char_end
-  FROM (SELECT *, min(CASE WHEN pos = 'NOUN' THEN i END) OVER (PARTITION BY posting_id ORDER BY i
-                      ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS na FROM tok_tagged)""", ["tok_tagged"])
+  FROM (SELECT *, min(CASE WHEN pos = 'NOUN' THEN i END) OVER (PARTITION BY posting_id, sent ORDER BY i
+                      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS na FROM tok_tagged)""", ["tok_tagged"])
 
 frag("sentences", f"""
   SELECT posting_id, CAST(pos_ - 1 AS BIGINT) AS sent_ord, char_end - length(piece) AS char_start, char_end,
@@ -215,11 +217,14 @@ frag("smatch", f"""
   SELECT key AS text, CAST(rank AS INTEGER) AS rank, ord AS concept_ord, score,
          CASE WHEN rank = 1 AND score >= {B.SPARSE_THRESHOLD} THEN 'accepted' ELSE 'rejected' END AS decision
   FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, ord ASC) AS rank
-        FROM (SELECT q.key, c.key AS ord, sum(q.tf * c.tf) / (max(q.norm) * max(c.norm)) AS score
-              FROM qfeat q JOIN cfeat c ON q.gram = c.gram GROUP BY q.key, c.key))
-  WHERE rank <= {3}""", ["qfeat", "cfeat"])
+        FROM (SELECT t.text AS key, b.item_id AS ord, coalesce(d.score, 0.0) AS score
+              FROM qtexts t CROSS JOIN benchmark b
+              LEFT JOIN (SELECT q.key, c.key AS ord, sum(q.tf * c.tf) / (max(q.norm) * max(c.norm)) AS score
+                         FROM qfeat q JOIN cfeat c ON q.gram = c.gram GROUP BY q.key, c.key) d
+                ON d.key = t.text AND d.ord = b.item_id))
+  WHERE rank <= {3}""", ["qtexts", "qfeat", "cfeat"])
 frag("mappings", f"""
-  SELECT 'mapping-' || substr(sha256(s.id || chr(1) || CAST(m.rank AS VARCHAR)), 1, 8) AS id,
+  SELECT 'mapping-' || substr(sha256(s.id || chr(1) || CAST(m.rank AS VARCHAR)), 1, 32) AS id,
          s.id AS span_id, s.posting_id, '{CONCEPT_NS}' || CAST(m.concept_ord AS VARCHAR) AS concept_uri,
          m.score, m.decision, m.rank
   FROM spans s JOIN smatch m ON s.text = m.text""", ["spans", "smatch"])
@@ -247,7 +252,7 @@ LEVEL_CASE = ("CASE isco_group " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in
                                             sorted(__import__('skillweave.config', fromlist=['x']).ISCO_MAJOR_GROUP_LEVEL.items()))
               + " ELSE 'DQR4' END")
 frag("reqs", f"""
-  SELECT 'req-' || substr(sha256(f.posting_id || chr(1) || f.concept_uri), 1, 8) AS id,
+  SELECT 'req-' || substr(sha256(f.posting_id || chr(1) || f.concept_uri), 1, 32) AS id,
          f.posting_id, f.req_ord, f.concept_uri AS refers_to_competence,
          {LEVEL_CASE} AS required_level,
          (isco_group IS NULL OR isco_group NOT BETWEEN 1 AND 9) AS level_is_fallback,
@@ -265,11 +270,11 @@ ORACLE.update({
 })
 
 
-frag("dvec", f"""
-  SELECT 'full64' AS model_id, vec_id AS key, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings
+frag("dvec", """
+  SELECT 'plain' AS model_id, vec_id AS key, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings
   UNION ALL
-  SELECT 'half32', vec_id, list_transform(h, lambda x: x / sqrt(list_reduce(list_transform(h, lambda y: y * y), lambda a, b: a + b)))
-  FROM (SELECT vec_id, list_slice(CAST(embedding AS DOUBLE[]), 1, {B.DENSE_HALF_DIMS}) AS h FROM embeddings)""", [])
+  SELECT 'squared', vec_id, list_transform(h, lambda x: x / sqrt(list_reduce(list_transform(h, lambda y: y * y), lambda a, b: a + b)))
+  FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * abs(x)) AS h FROM embeddings)""", [])
 frag("dmatch", """
   SELECT model_id, key, ord, score, rank FROM (
     SELECT q.model_id, q.key, i.key AS ord, list_dot_product(q.vec, i.vec) AS score,
@@ -293,7 +298,7 @@ ORACLE.update({
         FROM ({_fold(f'''(SELECT CAST(key % 20 AS VARCHAR) AS posting_id, CAST(ord % 7 AS VARCHAR) AS concept_uri,
                                  key AS o, CAST(key AS VARCHAR) AS span_id, score,
                                  CASE WHEN (key // 5) % 2 = 0 THEN 'must' ELSE 'nice_to_have' END AS kind
-                          FROM dmatch WHERE model_id = 'full64' AND rank = 1 AND score >= {B.DENSE_FOLD_THRESHOLD})''')})"""),
+                          FROM dmatch WHERE model_id = 'plain' AND rank = 1 AND score >= {B.DENSE_FOLD_THRESHOLD})''')})"""),
 })
 
 
@@ -303,13 +308,29 @@ def _slug(x: str) -> str:
 
 
 frag("page_postings", r"""
-  SELECT 'page-' || regexp_extract(url, '/([0-9]+)', 1) AS id, url AS source_uri, '2024-01-01' AS crawl_date,
+  SELECT 'page-' || CAST(page_id AS VARCHAR) AS id, url AS source_uri, '2024-01-01' AS crawl_date,
          regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS platform,
          regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS employer, '2024-01-01' AS posting_date,
          nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, html AS raw_text,
          CAST(NULL AS VARCHAR) AS isco_group
   FROM pages""", [])
 
+
+
+def _faults(src: str) -> str:
+    """Raw adverts of ``src`` with the faults of the binding."""
+    return f"""
+  SELECT CASE WHEN m = 1 THEN NULL WHEN m IN (2, 3) THEN 'twin-' || CAST(num // 29 AS VARCHAR) ELSE id END AS id, source_uri,
+         CASE WHEN m = 4 THEN '01.01.2024' ELSE crawl_date END AS crawl_date, CASE WHEN m = 5 THEN NULL ELSE platform END AS platform,
+         employer, CASE WHEN m = 6 THEN '2024-02-30' ELSE posting_date END AS posting_date,
+         CASE WHEN m = 7 THEN NULL ELSE title END AS title, raw_text,
+         CASE WHEN m = 8 THEN 'drei' ELSE CAST(isco_group AS VARCHAR) END AS isco_group
+  FROM (SELECT *, num % 29 AS m FROM (SELECT *, CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS num FROM {src}))"""
+
+
+frag("raw_pages", _faults("page_postings"), ["page_postings"])
+frag("raw_postings", _faults("postings"), ["postings"])
+
 frag("overlap", """
   SELECT s.posting_id, s.id, s.extractor, s.char_start, s.char_end, s.text, s.span_type,
          EXISTS (SELECT 1 FROM spans o WHERE o.posting_id = s.posting_id AND o.extractor <> s.extractor
@@ -321,10 +342,12 @@ _checks = ", ".join([f"CASE WHEN {c} IS NULL THEN 'missing:{c}' END" for c in _R
                     + ["CASE WHEN isco_group IS NOT NULL AND try_cast(isco_group AS INTEGER) IS NULL THEN 'bad_type:isco_group' END"]
                     + [f"CASE WHEN {c} IS NOT NULL AND try_strptime({c}, '%Y-%m-%d') IS NULL THEN 'bad_date:{c}' END"
                        for c in ("crawl_date", "posting_date")]
-                    + ["CASE WHEN n_same_id > 1 THEN 'duplicate_id' END"])
+                    )
 _PROFILES = __import__('skillweave.config', fromlist=['x']).ENCODER_PROFILES
 _ENC_VALUES = ", ".join(f"('{m}', '{mode}', '{p.get(mode + '_prefix', '')}')" for m, p in _PROFILES.items()
                         for mode in ("query", "passage"))
+_UUID = ("substr({h}, 1, 12) || '5' || substr({h}, 14, 3) || substr('89ab89ab89ab89ab', "
+         "instr('0123456789abcdef', substr({h}, 17, 1)), 1) || substr({h}, 18, 15)")
 _H = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source_uri))"
 
 ORACLE.update({
@@ -360,10 +383,22 @@ ORACLE.update({
                'draft-' || id AS draft_id,
                '{__import__('skillweave.config', fromlist=['x']).DEFAULT.data_ns}req_' || substr(h, 1, 8) || '_' AS req_uri_prefix
         FROM (SELECT *, {_H} AS h FROM page_postings)"""),
-    "posting_checks": build(["page_postings"], f"""
-        SELECT id, source_uri, reasons, reasons = '' AS is_valid, n_same_id FROM (
-          SELECT id, source_uri, n_same_id, concat_ws('|', {_checks}) AS reasons
-          FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n_same_id FROM page_postings))"""),
+    "posting_checks": build(["raw_pages"], f"""
+        SELECT id, source_uri, concat_ws('|', nullif(own, ''), CASE WHEN n_same_id > 1 THEN 'duplicate_id' END) AS reasons,
+               own = '' AS is_valid, n_same_id
+        FROM (SELECT *, concat_ws('|', {_checks}) AS own,
+                     CASE WHEN id IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY id) END AS n_same_id FROM raw_pages)"""),
+    "postings_json": build(["raw_postings"], f"""
+        SELECT id, source_uri, crawl_date, platform, employer, posting_date, title, raw_text,
+               CAST(isco_group AS INTEGER) AS isco_group
+        FROM (SELECT * FROM raw_postings WHERE concat_ws('|', {_checks}) = '')"""),
+    "rejects": build(["raw_postings"], f"""
+        SELECT id, source_uri, reasons FROM (SELECT *, concat_ws('|', {_checks}) AS reasons FROM raw_postings)
+        WHERE reasons <> ''"""),
+    "concepts_json": f"""SELECT '{CONCEPT_NS}' || CAST(item_id AS VARCHAR) AS uri, text AS pref_label,
+                           CAST(0 AS BIGINT) AS n_alt_labels, CAST(NULL AS VARCHAR) AS definition,
+                           row_number() OVER (ORDER BY '{CONCEPT_NS}' || CAST(item_id AS VARCHAR)) AS ord
+                    FROM benchmark""",
 })
 
 
@@ -378,7 +413,7 @@ def _rdf_fragments():
       SELECT posting_id, posting_key, '{d.data_ns}posting_' || posting_key AS posting_iri,
              '{d.employer_ns}' || {_slug('employer')} AS employer_iri, {_slug('employer')} AS slug,
              employer, title, posting_date, source_uri
-      FROM (SELECT id AS posting_id, substr({_H}, 1, 8) AS posting_key, employer, title, posting_date, source_uri
+      FROM (SELECT id AS posting_id, {_UUID.format(h=_H)} AS posting_key, employer, title, posting_date, source_uri
             FROM postings)""", ["postings"])
     N = "CAST(NULL AS VARCHAR)"
 
@@ -407,7 +442,11 @@ def _rdf_fragments():
         t("posting_id", "req_iri", ONT + "provenanceSource", f"'{PROVENANCE_SOURCE}'", "literal", XSD_NS + "string")
         + f" FROM {rq}",
     ]
-    frag("triples", "\n  UNION ALL ".join(parts), ["ids", "reqs"])
+    stated = "\n  UNION ALL ".join(parts[2:])
+    frag("triples", "\n  UNION ALL ".join(parts[:2]) + f"""
+  UNION ALL
+  SELECT min(posting_id) AS posting_id, s, p, o, o_kind, datatype, lang
+  FROM ({stated}) GROUP BY s, p, o, o_kind, datatype, lang""", ["ids", "reqs"])
 
     m = ("CASE WHEN posting_id IS NULL THEN -1 ELSE "
          "CAST(regexp_extract(posting_id, '([0-9]+)$', 1) AS BIGINT) % 13 END")
@@ -443,11 +482,13 @@ def _rdf_fragments():
              CAST(max_incl AS DOUBLE) AS max_incl, CAST(min_excl AS DOUBLE) AS min_excl,
              CAST(min_length AS INTEGER) AS min_length, message
       FROM (VALUES {rows}) v({cols})""", [])
-    frag("fv", f"""
+    fv = lambda graph: f"""
       SELECT fc.*, v.o, v.o_kind, v.datatype AS datatype_v
-      FROM (SELECT f.focus, c.* FROM (SELECT DISTINCT s AS focus, o AS target_class FROM faulty WHERE p = '{RDF_TYPE}') f
+      FROM (SELECT f.focus, c.* FROM (SELECT DISTINCT s AS focus, o AS target_class FROM {graph} WHERE p = '{RDF_TYPE}') f
             JOIN cons c ON c.target_class = f.target_class) fc
-      LEFT JOIN faulty v ON v.s = fc.focus AND v.p = fc.path""", ["faulty", "cons"])
+      LEFT JOIN (SELECT DISTINCT s, p, o, o_kind, datatype, lang FROM {graph}) v ON v.s = fc.focus AND v.p = fc.path"""
+    frag("fv", fv("faulty"), ["faulty", "cons"])
+    frag("fv_clean", fv("triples"), ["triples", "cons"])
     num = "try_cast(o AS DECIMAL(38,18))"
     ill = (f"((datatype_v = '{XSD_NS}date' AND try_strptime(o, '%Y-%m-%d') IS NULL) OR "
            f"(datatype_v = '{XSD_NS}decimal' AND ({num} IS NULL OR NOT regexp_matches(o, '^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)$'))))")
@@ -461,37 +502,41 @@ def _rdf_fragments():
         "minExclusive": f"min_excl IS NOT NULL AND NOT coalesce({num} > min_excl, false)",
         "minLength": "min_length IS NOT NULL AND length(o) < min_length",
     }
-    value_parts = [f"SELECT focus, shape, path, message, '{k}' AS \"constraint\", o AS value FROM fv WHERE o IS NOT NULL AND {c}"
-                   for k, c in checks.items()]
-    card = "(SELECT focus, shape, path, message, min_count, max_count, count(o) AS n FROM fv GROUP BY ALL)"
-    frag("violations", "\n  UNION ALL ".join([
+    def violations(fv):
+        value_parts = [f"SELECT focus, shape, path, message, '{k}' AS \"constraint\", o AS value FROM {fv} WHERE o IS NOT NULL AND {c}"
+                       for k, c in checks.items()]
+        card = f"(SELECT focus, shape, path, message, min_count, max_count, count(o) AS n FROM {fv} GROUP BY ALL)"
+        return "\n  UNION ALL ".join([
         f"SELECT focus, shape, path, message, 'minCount' AS \"constraint\", CAST(n AS VARCHAR) AS value FROM {card} WHERE n < min_count",
         f"SELECT focus, shape, path, message, 'maxCount', CAST(n AS VARCHAR) FROM {card} WHERE n > max_count",
-    ] + value_parts), ["fv"])
+        ] + value_parts)
+
+    frag("violations", violations("fv"), ["fv"])
+    frag("violations_clean", violations("fv_clean"), ["fv_clean"])
 
     def esc(x):
         return f"replace(replace(replace(replace({x}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r')"
 
     prefixes = turtle_prefixes(d).replace("'", "''")
     name = "'data:req_' || i.posting_key || '_' || CAST(r.req_ord AS VARCHAR)"
-    block = (f"{name} || chr(10) || '  a                          hrqde:QualificationRequirement ;' || chr(10)"
-             f" || '  hrqde:refersToCompetence   <' || r.refers_to_competence || '> ;' || chr(10)"
-             f" || '  hrqde:requiredLevel        hrqde:' || r.required_level || ' ;' || chr(10)"
-             f" || '  hrqde:requirementKind      \"' || r.requirement_kind || '\" ;' || chr(10)"
-             f" || '  hrqde:provenanceConfidence \"' || printf('%.2f', r.provenance_confidence) || '\"^^xsd:decimal ;' || chr(10)"
-             f" || '  hrqde:provenanceSource     \"{PROVENANCE_SOURCE}\" .' || chr(10)")
+    block = (f"{name} || chr(10) || '  a ont:QualificationRequirement ;' || chr(10)"
+             f" || '  ont:refersToCompetence <' || r.refers_to_competence || '> ;' || chr(10)"
+             f" || '  ont:requiredLevel ont:' || r.required_level || ' ;' || chr(10)"
+             f" || '  ont:requirementKind \"' || r.requirement_kind || '\" ;' || chr(10)"
+             f" || '  ont:provenanceConfidence \"' || printf('%.2f', r.provenance_confidence) || '\"^^xsd:decimal ;' || chr(10)"
+             f" || '  ont:provenanceSource \"{PROVENANCE_SOURCE}\" .' || chr(10)")
     frag("ttl_reqs", f"""
-      SELECT r.posting_id, string_agg({name}, ' ,' || chr(10) || '                       ' ORDER BY r.req_ord) AS names,
+      SELECT r.posting_id, string_agg({name}, ' ,' || chr(10) || '    ' ORDER BY r.req_ord) AS names,
              string_agg({block}, chr(10) ORDER BY r.req_ord) AS blocks
       FROM reqs r JOIN ids i ON i.posting_id = r.posting_id GROUP BY r.posting_id""", ["reqs", "ids"])
-    head = (f"'{prefixes}' || chr(10) || 'employer:' || i.slug || chr(10) || '  a           hrqde:Employer ;' || chr(10)"
-            f" || '  rdfs:label  \"' || {esc('i.employer')} || '\"@de .' || chr(10) || chr(10)"
-            f" || 'data:posting_' || i.posting_key || chr(10) || '  a                    hrqde:JobPosting ;' || chr(10)"
-            f" || '  rdfs:label           \"' || {esc('i.title')} || '\"@de ;' || chr(10)"
-            f" || '  hrqde:postingDate    \"' || {esc('i.posting_date')} || '\"^^xsd:date ;' || chr(10)"
-            f" || '  hrqde:issuedBy       employer:' || i.slug || ' ;' || chr(10)"
-            f" || '  hrqde:sourceUrl      \"' || {esc('i.source_uri')} || '\"^^xsd:anyURI'")
-    tail = ("CASE WHEN t.names IS NULL THEN ' .' || chr(10) ELSE ' ;' || chr(10) || '  hrqde:hasRequirement ' || t.names"
+    head = (f"'{prefixes}' || chr(10) || 'employer:' || i.slug || chr(10) || '  a ont:Employer ;' || chr(10)"
+            f" || '  rdfs:label \"' || {esc('i.employer')} || '\"@de .' || chr(10) || chr(10)"
+            f" || 'data:posting_' || i.posting_key || chr(10) || '  a ont:JobPosting ;' || chr(10)"
+            f" || '  rdfs:label \"' || {esc('i.title')} || '\"@de ;' || chr(10)"
+            f" || '  ont:postingDate \"' || {esc('i.posting_date')} || '\"^^xsd:date ;' || chr(10)"
+            f" || '  ont:issuedBy employer:' || i.slug || ' ;' || chr(10)"
+            f" || '  ont:sourceUrl \"' || {esc('i.source_uri')} || '\"^^xsd:anyURI'")
+    tail = ("CASE WHEN t.names IS NULL THEN ' .' || chr(10) ELSE ' ;' || chr(10) || '  ont:hasRequirement ' || t.names"
             " || ' .' || chr(10) || chr(10) || t.blocks END")
     frag("ttl", f"""
       SELECT i.posting_id, i.posting_id || '.ttl' AS file_name, {head} || {tail} AS turtle
@@ -500,10 +545,39 @@ def _rdf_fragments():
 
 _rdf_fragments()
 
+
+def _slots(src: str, key: str, text: str) -> str:
+    """Counts of hashed trigrams in 64 slots, and their norm."""
+    return f"""
+  SELECT key, slot, n, sqrt(sum(n * n) OVER (PARTITION BY key)) AS norm
+  FROM (SELECT key, (ord(substr(p, k, 1)) * 961 + ord(substr(p, k + 1, 1)) * 31 + ord(substr(p, k + 2, 1))) % 64 AS slot,
+               CAST(count(*) AS DOUBLE) AS n
+        FROM (SELECT key, p, unnest(range(1, length(p) - 1)) AS k FROM (SELECT {key} AS key, ' ' || lower({text}) || ' ' AS p FROM {src}))
+        GROUP BY 1, 2)"""
+
+
+frag("qslots", _slots("qtexts", "text", "text"), ["qtexts"])
+frag("cslots", _slots("benchmark", "item_id", "text"), [])
+frag("hmaps", f"""
+  SELECT 'mapping-' || substr(sha256(s.id || chr(1) || CAST(m.rank AS VARCHAR)), 1, 32) AS id, s.id AS span_id, s.posting_id,
+         '{CONCEPT_NS}' || CAST(m.ord AS VARCHAR) AS concept_uri, round(m.score, 4) AS score,
+         CASE WHEN m.rank = 1 AND m.score >= {B.SPARSE_THRESHOLD} THEN 'accepted' ELSE 'rejected' END AS decision,
+         CAST(m.rank AS INTEGER) AS rank
+  FROM spans s JOIN (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, ord) AS rank FROM (
+      SELECT t.text AS key, b.item_id AS ord, coalesce(d.score, 0.0) AS score FROM qtexts t CROSS JOIN benchmark b
+      LEFT JOIN (SELECT q.key, c.key AS ord, sum(q.n * c.n) / (max(q.norm) * max(c.norm)) AS score
+                 FROM qslots q JOIN cslots c ON q.slot = c.slot GROUP BY q.key, c.key) d
+        ON d.key = t.text AND d.ord = b.item_id)) m ON m.key = s.text AND m.rank <= 3""", ["spans", "qtexts", "qslots", "cslots"])
+
 ORACLE.update({
     "triples": build(["triples"], "SELECT * FROM triples"),
     "validation_report": build(["violations"], "SELECT * FROM violations"),
     "turtle_documents": build(["ttl"], "SELECT * FROM ttl"),
+    "conforms": build(["violations", "violations_clean"], """
+        SELECT 'delivered' AS graph, count(*) = 0 AS conforms, count(*) AS n_violations FROM violations_clean
+        UNION ALL SELECT 'faulty', count(*) = 0, count(*) FROM violations"""),
+    "mappings_dense_flow": build(["hmaps"], "SELECT * FROM hmaps"),
 })
 
 
@@ -516,7 +590,7 @@ ORACLE.update({
         SELECT '{__import__('skillweave').__version__}' AS pipeline_version, 'documents' AS input,
                count(*) AS posting_count, CAST(3 AS BIGINT) AS n_outputs,
                CAST({B.SPARSE_THRESHOLD} AS DOUBLE) AS mapping_threshold, CAST(3 AS BIGINT) AS mapping_top_k,
-               '{__import__('skillweave.config', fromlist=['x']).DEFAULT_ENCODER}' AS encoder
+               'trigram' AS encoder
         FROM documents""",
     "vector_cache": build(["cfeat"], f"""
         SELECT 'trigram' AS model_id, '{CONCEPT_NS}' || CAST(b.item_id AS VARCHAR) AS uri, sha256(b.text) AS label_hash,

@@ -39,11 +39,11 @@ def flow(spark: SparkSession, sf_dir: str) -> Flow:
 
 
 def q_postings(spark, sf):
-    return B.postings(spark, sf, partitioned=False)
+    return B.postings(spark, sf)
 
 
 def q_tokens(spark, sf):
-    return flow(spark, sf).tokens.drop("head_end")
+    return flow(spark, sf).tokens
 
 
 def q_marker_sentences(spark, sf):
@@ -132,11 +132,12 @@ QUERIES.update({
 })
 
 
-def _dense(spark, sf):
+def _dense(spark, sf, model: str | None = None):
     from skillweave.operators.match import dense_top_k
     q, idx = B.dense_vectors(spark, sf)
-    return dense_top_k(q, idx.select("model_id", F.col("key").alias("ord"), "vec"), DEFAULT.top_k,
-                       DEFAULT.broadcast_budget, DEFAULT.index_block_rows, exclude_self=True)
+    if model is not None:
+        q, idx = q.filter(F.col("model_id") == model), idx.filter(F.col("model_id") == model)
+    return dense_top_k(q, idx.select("model_id", F.col("key").alias("ord"), "vec"), DEFAULT.top_k, exclude_self=True)
 
 
 def q_dense_matches(spark, sf):
@@ -156,8 +157,7 @@ def q_encoder_comparison(spark, sf):
 def q_dense_requirements(spark, sf):
     """Consolidation fold on dense top-1 matches regrouped into many-span groups."""
     from skillweave.operators.requirements import consolidate
-    m = _dense(spark, sf).filter((F.col("model_id") == "full64") & (F.col("rank") == 1)
-                                 & (F.col("score") >= B.DENSE_FOLD_THRESHOLD))
+    m = _dense(spark, sf, "plain").filter((F.col("rank") == 1) & (F.col("score") >= B.DENSE_FOLD_THRESHOLD))
     acc = m.select(
         (F.col("key") % 20).cast("string").alias("posting_id"),
         F.col("key").alias("span_ord"),
@@ -195,7 +195,7 @@ def q_stage_counts(spark, sf):
 
 def q_isco_levels(spark, sf):
     from skillweave.functions.levels import level_is_fallback, required_level
-    p = B.postings(spark, sf, partitioned=False)
+    p = B.postings(spark, sf)
     return p.select("id", "isco_group", required_level("isco_group").alias("required_level"),
                     level_is_fallback("isco_group").alias("level_is_fallback"))
 
@@ -227,8 +227,33 @@ def q_page_keys(spark, sf):
 
 
 def q_posting_checks(spark, sf):
-    from skillweave.sources.adverts import page_postings, validate_postings
-    return validate_postings(page_postings(B.table(spark, sf, "pages")))
+    from skillweave.sources.adverts import validate_postings
+    return validate_postings(B.raw_pages(spark, sf))
+
+
+def q_postings_json(spark, sf):
+    """Raw adverts, faults among them, written as JSON lines and read by the reader: the accepted ones."""
+    from skillweave.session import scratch_path
+    from skillweave.sources.adverts import read_postings
+    path = scratch_path(spark, "adverts-json")
+    B.raw_postings(spark, sf).write.json(path)
+    return read_postings(spark, path, multiline=False)
+
+
+def q_rejects(spark, sf):
+    """The other adverts of ``postings_json``, with their reasons."""
+    from skillweave.sources.adverts import rejected
+    return rejected(B.raw_postings(spark, sf)).select("id", "source_uri", "reasons")
+
+
+def q_concepts_json(spark, sf):
+    """Concepts written as JSON lines and read by the reader."""
+    from skillweave.session import scratch_path
+    from skillweave.sources.concepts import read_concepts
+    path = scratch_path(spark, "concepts-json")
+    B.concepts(spark, sf).drop("alt_labels", "ord").write.json(path)
+    c = read_concepts(spark, path, multiline=False)
+    return c.select("uri", "pref_label", F.size("alt_labels").cast("long").alias("n_alt_labels"), "definition", "ord")
 
 
 QUERIES.update({
@@ -240,6 +265,9 @@ QUERIES.update({
     "encoder_inputs": q_encoder_inputs,
     "page_keys": q_page_keys,
     "posting_checks": q_posting_checks,
+    "postings_json": q_postings_json,
+    "rejects": q_rejects,
+    "concepts_json": q_concepts_json,
 })
 
 
@@ -252,6 +280,27 @@ def q_validation_report(spark, sf):
     return validate(B.inject_faults(flow(spark, sf).triples), constraints(spark))
 
 
+def q_conforms(spark, sf):
+    """Whether the graph as delivered, and the one with faults, conform to the constraints."""
+    from skillweave.operators.shapes import conforms, constraints, validate
+    tr = flow(spark, sf).triples
+    out = None
+    for name, graph in (("delivered", tr), ("faulty", B.inject_faults(tr))):
+        part = conforms(validate(graph, constraints(spark))).select(F.lit(name).alias("graph"), "conforms", "n_violations")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_mappings_dense_flow(spark, sf):
+    """The flow with a dense encoder in its slot and concept vectors from a fresh cache."""
+    from skillweave.operators.requirements import MAPPING_COLUMNS
+    from skillweave.session import scratch_path
+    f = flow(spark, sf).fresh()
+    f.config = f.config.with_(encoder="hashed-trigrams")
+    f.encode, f.vector_cache = B.hashed_trigrams, scratch_path(spark, "vectors")
+    return f.mappings.select(*MAPPING_COLUMNS).withColumn("score", F.round("score", 4))
+
+
 def q_turtle_documents(spark, sf):
     return flow(spark, sf).turtle
 
@@ -260,6 +309,8 @@ QUERIES.update({
     "triples": q_triples,
     "validation_report": q_validation_report,
     "turtle_documents": q_turtle_documents,
+    "conforms": q_conforms,
+    "mappings_dense_flow": q_mappings_dense_flow,
 })
 
 
@@ -278,7 +329,7 @@ def q_run_metadata(spark, sf):
     from skillweave.sources import sinks
     f = flow(spark, sf)
     path = sinks.write_json(sinks.run_metadata(f.postings, "documents", ["mappings_csv", "ntriples", "turtle"],
-                                               f.config), scratch_path(spark, "meta"))
+                                               f.config, f.models(), "benchmark"), scratch_path(spark, "meta"))
     m = spark.read.json(path)
     params = F.from_json("parameters", "mapping_threshold double, mapping_top_k long, encoder string")
     return m.select("pipeline_version", "input", F.col("posting_count").cast("long").alias("posting_count"),
@@ -307,9 +358,7 @@ def q_full_run(spark, sf):
     """End to end: every sink written; the requirements table read back."""
     from skillweave.plans.run import run
     f = flow(spark, sf)
-    fresh = type(f)(postings=f.postings, concepts=f.concepts, dictionary=f.dictionary,
-                    tagger_sizes=f.tagger_sizes, tagger_models=f.tagger_models, config=f.config)
-    paths = run(spark, fresh, input_desc="documents")
+    paths = run(spark, f.fresh(), input_desc="documents", concepts_desc="benchmark")
     r = spark.read.parquet(paths["requirements"])
     return r.withColumn("provenance_confidence", F.round("provenance_confidence", 4))
 

@@ -18,26 +18,28 @@ from skillweave.sources import sinks
 
 
 def run(spark: SparkSession, flow: Flow, out_dir: str | None = None, input_desc: str = "postings",
-        per_posting: bool = False) -> dict[str, str]:
+        per_posting: bool = False, concepts_desc: str = "concepts") -> dict[str, str]:
+    """Writes all sinks; returns their folders. With ``per_posting`` the review CSV and the Turtle documents are one
+    file per advert, named after its id (opt-in: so many files hurt any distributed file system)."""
     out = (out_dir or scratch_path(spark, "run")).rstrip("/")
     paths = {k: f"{out}/{k}" for k in ("spans", "mappings", "requirements", "mappings_csv", "triples",
                                       "ntriples", "turtle", "run_metadata")}
-    flow.spans.write.mode("overwrite").parquet(paths["spans"])
-    spans = spark.read.parquet(paths["spans"])
-    flow.__dict__["spans"] = spans  # downstream properties use the written table
-    flow.mappings.write.mode("overwrite").parquet(paths["mappings"])
-    flow.__dict__["mappings"] = spark.read.parquet(paths["mappings"])
-    flow.requirements.write.mode("overwrite").parquet(paths["requirements"])
-    reqs = spark.read.parquet(paths["requirements"])
-    flow.__dict__["requirements"] = reqs
-
-    sinks.write_mapping_csv(sinks.mapping_review(flow.mappings, spans), paths["mappings_csv"], per_posting)
+    for name in ("spans", "mappings", "requirements"):
+        getattr(flow, name).write.mode("overwrite").parquet(paths[name])
+        flow.__dict__[name] = spark.read.parquet(paths[name])  # what follows reads the written table
+    flow.release()
+    reqs = flow.requirements
+    review = sinks.mapping_review(flow.mappings, flow.spans)
+    sinks.write_mapping_csv(review, paths["mappings_csv"], per_posting)
     tr = rdf.triples(flow.postings, reqs, flow.config)
     tr.write.mode("overwrite").parquet(paths["triples"])
     sinks.write_text(rdf.n_triples(spark.read.parquet(paths["triples"])), paths["ntriples"])
     ttl = rdf.turtle_documents(flow.postings, reqs, flow.config)
     sinks.write_text(ttl, paths["turtle"], col="turtle", partition_col="posting_id" if per_posting else None)
     outputs = [paths[k] for k in ("mappings_csv", "ntriples", "turtle")]
-    meta = sinks.run_metadata(flow.postings, input_desc, outputs, flow.config)
+    if per_posting:
+        outputs = [f for k, end in (("mappings_csv", "_mappings.csv"), ("turtle", ".ttl"))
+                   for f in sinks.name_per_posting(spark, paths[k], end)] + [paths["ntriples"]]
+    meta = sinks.run_metadata(flow.postings, input_desc, outputs, flow.config, flow.models(), concepts_desc)
     sinks.write_json(meta, paths["run_metadata"])
     return paths

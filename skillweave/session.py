@@ -39,14 +39,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a local one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder and
-    is used as is. Only a session without one (tests, local runs) gets a
-    fresh local folder.
+    is used as is; without it this is an error, as a folder of the driver's
+    machine is no use to executors. Only a local session gets a fresh folder.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="skillweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc.getCheckpointDir() is None:

@@ -3,7 +3,7 @@ and the required-field / type / duplicate check."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,57 +22,79 @@ def read_postings(spark: SparkSession, path: str, fmt: str = "json", multiline:
 
     ``multiline`` JSON reads a file holding one object or an array of objects;
     ``multiline=False`` reads JSON lines (splittable, the choice at scale).
-    With ``validate`` the invalid rows are dropped (``strict`` raises instead).
+    With ``validate`` the invalid rows are left out (``strict`` raises instead); ``rejected`` gives them with their
+    reasons. Adverts that share an id are kept, first and later ones alike, and reported by ``validate_postings``.
     """
-    if fmt == "parquet":
-        raw = spark.read.parquet(path)
-        raw = raw.select(*[F.col(c).cast("string").alias(c) if c in raw.columns else F.lit(None).cast("string").alias(c)
-                           for c in REQUIRED + ["isco_group"]])
-    else:
-        raw = spark.read.schema(_RAW).option("multiLine", multiline).json(path)
+    raw = read_raw(spark, path, fmt, multiline)
     if not validate:
         return _typed(raw)
-    checked = validate_postings(raw)
     if strict:
-        bad = checked.filter(~F.col("is_valid")).limit(1).collect()
+        checked = validate_postings(raw)
+        bad = checked.filter(F.col("reasons") != "").limit(1).collect()
         if bad:
             raise ValueError(f"invalid advert {bad[0]['id']}: {bad[0]['reasons']}")
-    ok = checked.filter("is_valid").select("id", "n_same_id")
-    return _typed(raw.join(ok, "id", "left_semi"))
+    return accepted(raw)
 
 
-def _typed(raw: DataFrame) -> DataFrame:
-    return raw.select(*REQUIRED, F.col("isco_group").try_cast("int").alias("isco_group"))
+def read_raw(spark: SparkSession, path: str, fmt: str = "json", multiline: bool = True) -> DataFrame:
+    """Adverts with every field as string, nothing checked."""
+    if fmt == "parquet":
+        raw = spark.read.parquet(path)
+        raw = raw.select(*[F.col(c).cast("string").alias(c) if c in raw.columns else F.lit(None).cast("string").alias(c)
+                           for c in REQUIRED + ["isco_group"]])
+    else:
+        raw = spark.read.schema(_RAW).option("multiLine", multiline).json(path)
+    return raw
 
 
-def validate_postings(raw: DataFrame) -> DataFrame:
-    """Per advert: reasons (``|``-joined, '' when valid), is_valid, n_same_id.
-
-    Checks: required field missing; isco_group not an integer; dates not ISO
-    (yyyy-MM-dd); the same id on several adverts (their output files would
-    overwrite each other).
-    """
+def problems():
+    """Reasons why a row is no advert, ``|``-joined, '' when it is one: a required field is missing, isco_group is not
+    an integer, a date is not ISO (yyyy-MM-dd)."""
     checks = [F.when(F.col(c).isNull(), F.lit(f"missing:{c}")) for c in REQUIRED]
     isco = F.col("isco_group").cast("string")
     checks.append(F.when(isco.isNotNull() & isco.try_cast("int").isNull(), F.lit("bad_type:isco_group")))
     for c in ("crawl_date", "posting_date"):
         checks.append(F.when(F.col(c).isNotNull() & F.try_to_date(F.col(c), "yyyy-MM-dd").isNull(),
                              F.lit(f"bad_date:{c}")))
-    n_same = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    with_n = raw.withColumn("n_same_id", n_same)
-    checks.append(F.when(F.col("n_same_id") > 1, F.lit("duplicate_id")))
-    reasons = F.concat_ws("|", *checks)
-    return with_n.select("id", "source_uri", reasons.alias("reasons"), (reasons == "").alias("is_valid"),
-                         F.col("n_same_id").cast("long").alias("n_same_id"))
+    return F.concat_ws("|", *checks)
+
+
+def accepted(raw: DataFrame) -> DataFrame:
+    """Valid adverts, typed. With ``rejected`` every row of ``raw`` is in one of both."""
+    return _typed(raw.filter(problems() == ""))
+
+
+def rejected(raw: DataFrame) -> DataFrame:
+    """Invalid rows as read, with their reasons."""
+    return raw.withColumn("reasons", problems()).filter(F.col("reasons") != "")
+
+
+def _typed(raw: DataFrame) -> DataFrame:
+    return raw.select(*REQUIRED, F.col("isco_group").try_cast("int").alias("isco_group"))
+
+
+def validate_postings(raw: DataFrame) -> DataFrame:
+    """Per advert: reasons (``|``-joined, '' when there are none), is_valid, n_same_id.
+
+    Reasons are those of ``problems`` and ``duplicate_id`` for an id on several adverts (their output files would
+    overwrite each other), which is reported but does not make an advert invalid. The checks come first, so only ids
+    and reasons are shuffled; ids are counted, not gathered, and missing ids are no duplicates of each other."""
+    checked = raw.select("id", "source_uri", problems().alias("own"))
+    repeated = (checked.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+                .withColumnRenamed("id", "again"))
+    out = checked.join(repeated, F.col("id") == F.col("again"), "left")
+    reasons = F.concat_ws("|", F.nullif("own", F.lit("")), F.when(F.col("n") > 1, F.lit("duplicate_id")))
+    return out.select("id", "source_uri", reasons.alias("reasons"), (F.col("own") == "").alias("is_valid"),
+                      F.coalesce("n", F.lit(1)).cast("long").alias("n_same_id"))
 
 
 def page_postings(pages: DataFrame) -> DataFrame:
-    """Adverts from raw web pages (page_id, url, html): id from the URL's number,
+    """Adverts from raw web pages (page_id, url, html): id from page_id,
     employer = host, title = <title> (missing when empty), text = the HTML."""
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
     return pages.select(
-        F.concat(F.lit("page-"), F.regexp_extract("url", r"/([0-9]+)", 1)).alias("id"),
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"),
         F.col("url").alias("source_uri"),
         F.lit("2024-01-01").alias("crawl_date"),
         host.alias("platform"),

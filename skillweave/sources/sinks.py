@@ -38,12 +38,34 @@ def mapping_review(mappings: DataFrame, spans: DataFrame) -> DataFrame:
 
 def write_mapping_csv(review: DataFrame, path: str, per_posting: bool = False) -> str:
     """Rows ordered by (span_id as string, rank) within each posting."""
+    if per_posting:  # the folder takes one copy of the id, the file keeps its own column
+        review = review.withColumn("of", F.col("posting_id"))
+        ordered = review.repartition("of").sortWithinPartitions("of", "span_id", "rank")
+        ordered.write.mode("overwrite").options(**_CSV).partitionBy("of").csv(path)
+        return path
     ordered = review.repartition("posting_id").sortWithinPartitions("posting_id", "span_id", "rank")
-    w = ordered.write.mode("overwrite").options(**_CSV)
-    (w.partitionBy("posting_id") if per_posting else w).csv(path)
+    ordered.write.mode("overwrite").options(**_CSV).csv(path)
     return path
 
 
+def name_per_posting(spark: SparkSession, path: str, ending: str) -> list[str]:
+    """Moves the one file of each ``key=id`` folder under ``path`` to ``path/id + ending``; the new paths, sorted."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs, out = root.getFileSystem(conf), []
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if folder.isDirectory() and "=" in name:
+            value = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name.partition("=")[2])
+            target = jvm.org.apache.hadoop.fs.Path(root, value.replace("/", "_") + ending)
+            for file in fs.listStatus(folder.getPath()):
+                if file.getPath().getName().startswith("part-"):
+                    fs.rename(file.getPath(), target)
+            fs.delete(folder.getPath(), True)
+            out.append(target.toString())
+    return sorted(out)
+
+
 def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REVIEW_SCHEMA).options(**_CSV).csv(path)
 
@@ -56,12 +78,12 @@ def write_text(lines: DataFrame, path: str, col: str = "line", partition_col: st
     return path
 
 
-def run_metadata(postings: DataFrame, input_desc: str, outputs: list[str], cfg: Config) -> DataFrame:
-    """One row: time, version, input, advert count, output paths, parameters (JSON)."""
+def run_metadata(postings: DataFrame, input_desc: str, outputs: list[str], cfg: Config, models: dict,
+                 concepts_desc: str = "concepts") -> DataFrame:
+    """One row: time, version, input, advert count, output paths, parameters (JSON) with the models that ran."""
     params = json.dumps({
-        "annotator": "suffix rules (default slot)",
-        "extractors": {"adj_noun": "adjective + head noun rule", cfg.tagger_name: "dictionary tagger"},
-        "encoder": cfg.encoder,
+        **models,
+        "concepts": concepts_desc,
         "mapping_threshold": cfg.threshold,
         "mapping_top_k": cfg.top_k,
         "level_strategy": f"ISCO major group default (fallback {cfg.fallback_level})",

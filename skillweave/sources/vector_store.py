@@ -43,10 +43,9 @@ def refresh(spark: SparkSession, path: str, concepts: DataFrame, model_id: str,
     current = keyed(concepts, model_id)
     cached = _read(spark, path).select("model_id", "uri", "label_hash")
     missing = current.join(cached, ["model_id", "uri", "label_hash"], "left_anti")
-    new = encode(missing)
-    n = new.count()  # materialises the append's input once; small (new concepts only)
+    n = missing.count()  # of the labels; the encoder runs once, in the write
     if n:
-        new.select(*[f.name for f in STORE_SCHEMA.fields]).write.mode("append").parquet(path)
+        encode(missing).select(*[f.name for f in STORE_SCHEMA.fields]).write.mode("append").parquet(path)
     return n
 
 
@@ -56,17 +55,31 @@ def current_vectors(spark: SparkSession, path: str, concepts: DataFrame, model_i
     return _read(spark, path).join(cur, ["model_id", "uri", "label_hash"], "left_semi")
 
 
+def dense_encoder(model_id: str, encode_batch) -> Callable[[DataFrame], DataFrame]:
+    """Encoder for the cache from ``encode_batch(list of texts) -> vectors`` (unit-normalised by the slot)."""
+    from skillweave.operators.encode import encoder_slot
+
+    def encode(missing: DataFrame) -> DataFrame:
+        keyed_ = missing.select(F.concat_ws("\u0001", "uri", "label_hash").alias("key"), F.col("pref_label").alias("text"))
+        parts = F.split("key", "\u0001")
+        return encoder_slot(keyed_, encode_batch, "key", "text", model_id).select(
+            "model_id", parts[0].alias("uri"), parts[1].alias("label_hash"),
+            F.lit(None).cast("map<string,bigint>").alias("terms"), "vec", F.lit(1.0).alias("norm"))
+
+    return encode
+
+
 def trigram_encoder(model_id: str = "trigram") -> Callable[[DataFrame], DataFrame]:
     """Sparse encoder for the cache: term counts of padded lower-cased trigrams."""
-    from skillweave.operators.match import trigram_features
+    from skillweave.operators.match import trigrams
 
     def encode(missing: DataFrame) -> DataFrame:
-        f = trigram_features(missing.select(F.concat_ws("\u0001", "uri", "label_hash").alias("k"), "pref_label"),
-                             "k", "pref_label")
-        agg = f.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("gram", "tf"))).alias("terms"),
-                                   F.max("norm").alias("norm"))
-        parts = F.split("key", "\u0001")
-        return agg.select(F.lit(model_id).alias("model_id"), parts[0].alias("uri"), parts[1].alias("label_hash"),
-                          "terms", F.lit(None).cast("array<double>").alias("vec"), "norm")
+        grams = missing.select("uri", "label_hash", F.explode(trigrams(F.col("pref_label"))).alias("gram"))
+        tf = grams.groupBy("uri", "label_hash", "gram").agg(F.count("*").alias("tf"))
+        return tf.groupBy("uri", "label_hash").agg(
+            F.map_from_entries(F.collect_list(F.struct("gram", "tf"))).alias("terms"),
+            F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm")).select(
+            F.lit(model_id).alias("model_id"), "uri", "label_hash", "terms", F.lit(None).cast("array<double>").alias("vec"),
+            "norm")
 
     return encode

@@ -110,15 +110,61 @@ def test_sparse_top_k_index_smaller_than_k_and_ties(spark):
     assert got == [(1, 1), (2, 2)]  # two rows only; equal scores ordered by concept ordinal
 
 
-def test_dense_top_k_broadcast_and_blocked_agree(spark):
+def test_concepts_without_common_trigram_are_ranked(spark):
+    q = spark.createDataFrame([("q", "SQL"), ("e", ""), ("n", None)], "key string, text string")
+    c = spark.createDataFrame([(3, "Java"), (1, "Pflege"), (2, "SQL"), (4, "")], "ord long, pref_label string")
+    got = {}
+    for r in match.sparse_top_k(q, c, 3).collect():
+        got.setdefault(r.key, []).append((r.rank, r.ord, round(r.score, 6)))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "q": [(1, 2, 1.0), (2, 1, 0.0), (3, 3, 0.0)], "e": [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)],
+        "n": [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)]}
+    assert match.sparse_top_k(q, c.limit(0), 3).count() == 0
+
+
+def test_blocks_of_the_index_give_the_same_result(spark):
     rnd = random.Random(5)
-    vec = lambda: [rnd.uniform(-1, 1) for _ in range(8)]
-    q = spark.createDataFrame([("m", i, vec()) for i in range(30)], "model_id string, key long, vec array<double>")
-    idx = spark.createDataFrame([("m", i, vec()) for i in range(50)], "model_id string, ord long, vec array<double>")
-    a = match.dense_top_k(q, idx, 3)
-    b = match.dense_top_k(q, idx, 3, budget_bytes=0, block_rows=7)  # forces the blocked path
-    norm = lambda df: sorted((r.key, r.rank, r.ord, round(r.score, 9)) for r in df.collect())
-    assert norm(a) == norm(b) and len(norm(a)) == 90
+    vec = lambda: [rnd.uniform(-1, 1) for _ in range(8)]
+    same = vec()
+    q = spark.createDataFrame([("m", i, vec()) for i in range(30)] + [("m", 30, same)], "model_id string, key long, vec array<double>")
+    idx = spark.createDataFrame([("m", i, vec()) for i in range(50)] + [("m", 50 + i, same) for i in range(5)],
+                                "model_id string, ord long, vec array<double>")
+    norm = lambda df: sorted((r.key, r.rank, r.ord, r.score) for r in df.collect())
+    whole, cut = norm(match.dense_top_k(q, idx, 3)), norm(match.dense_top_k(q, idx, 3, budget_bytes=8 * 8 * 7))
+    assert whole == cut and len(whole) == 93
+    assert [o for k, _, o, _ in whole if k == 30] == [50, 51, 52]
+    texts = spark.createDataFrame([(str(i), f"text {i} of {i % 7}") for i in range(20)], "key string, text string")
+    conc = spark.createDataFrame([(i, f"concept {i % 9} of text") for i in range(40)], "ord long, pref_label string")
+    assert norm(match.sparse_top_k(texts, conc, 3)) == norm(match.sparse_top_k(texts, conc, 3, budget_bytes=20_000))
+
+
+def test_score_matrix_is_bounded(monkeypatch):
+    import numpy as np
+    seen = []
+    real = match.top_k_rows
+    monkeypatch.setattr(match, "CHUNK_BYTES", 8 * 100 * 4)
+    monkeypatch.setattr(match, "top_k_rows", lambda scores, *a: seen.append(scores.nbytes) or real(scores, *a))
+    rng = np.random.default_rng(0)
+    block = match.DenseBlock(np.arange(100), list(rng.normal(size=(100, 5))))
+    got = [x for part in block.best(list(rng.normal(size=(50, 5))), 3) for x in part[0]]
+    assert sorted(set(got)) == list(range(50)) and len(got) == 150 and max(seen) <= 8 * 100 * 4 and len(seen) > 10
+    grams = match.GramBlock(np.arange(100), [["abc", f"g{i}"] for i in range(100)])
+    assert sum(len(part[0]) for part in grams.best([["abc"]] * 50, 3)) == 150 and max(seen) <= 8 * 100 * 4
+
+
+def test_head_is_the_next_noun_of_the_sentence(spark):
+    from skillweave.operators import annotate
+    text = "ein freundlicher und a b c d e Leitung. Ruhig? Bildung\nsportlich\nZeitung freundlich gute Wohnung"
+    post = spark.createDataFrame([("p", text), ("q", None), ("r", "")], "id string, raw_text string")
+    toks = annotate.tokens(post, key="id").collect()
+    heads = {t.text: next(x.text for x in toks if x.i == t.head_i) for t in toks if t.dep == "nk"}
+    assert heads == {"freundlicher": "Leitung", "freundlich": "Wohnung"}
+    import numpy as np
+    scanned = annotate.scan(post, [], np.zeros(8, dtype=np.uint8), ["bildung"]).collect()
+    assert [x.text for r in scanned for x in r.pairs] == ["freundlicher und a b c d e Leitung", "freundlich gute Wohnung"]
+    assert [text[m.char_start:m.char_end] for r in scanned for m in r.marked] == [" Bildung\n"]
+    by_join = extract.adj_noun_spans(annotate.tokens(post, key="id"), post, key="id").collect()
+    assert [s.text for s in by_join] == ["freundlicher und a b c d e Leitung", "freundlich gute Wohnung"]
 
 
 def test_decision_threshold_inclusive(spark):
@@ -155,9 +201,9 @@ def test_dense_exclude_self_against_brute_force(spark):
     rows = [("m", i, m[i].tolist()) for i in range(40)]
     q = spark.createDataFrame(rows, "model_id string, key long, vec array<double>")
     idx = q.withColumnRenamed("key", "ord")
-    for budget in (64 << 20, 0):
+    for budget in (64 << 20, 8 * 6 * 9):
         got = sorted((r.key, r.rank, r.ord) for r in
-                     match.dense_top_k(q, idx, 3, budget_bytes=budget, block_rows=9, exclude_self=True).collect())
+                     match.dense_top_k(q, idx, 3, budget_bytes=budget, exclude_self=True).collect())
         want = []
         for i in range(40):
             sc = m @ m[i]

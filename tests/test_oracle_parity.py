@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from skillweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(E.queries())
+NAMES = sorted(registry.QUERIES)
 
 
 def _norm(v):

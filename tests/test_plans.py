@@ -30,3 +30,16 @@ def test_same_result_with_one_and_many_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     b = sorted(map(tuple, registry.QUERIES["requirements"](spark, SF).collect()))
     assert a == b and len(a) > 0
+
+
+def test_no_exchange_carries_a_text(spark):
+    """The text of adverts is read, scanned and dropped in the same stage."""
+    import re
+    spark.catalog.clearCache()
+    registry._FLOWS.clear()
+    for name in ["spans", "mappings", "requirements"]:
+        df = registry.QUERIES[name](spark, SF)
+        df.collect()
+        for node in re.findall(r"\(\d+\) Exchange\n(?:.*\n)*?\n", df._jdf.queryExecution().explainString(
+                spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))):
+            assert "raw_text" not in node, name

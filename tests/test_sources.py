@@ -21,6 +21,8 @@ def test_validation_reports_missing_type_and_duplicates(spark):
     raw = spark.createDataFrame(rows, adverts._RAW)
     got = {(r.source_uri or ""): r.reasons for r in adverts.validate_postings(raw).collect()}
     assert got["u"] == "duplicate_id" and got["u2"] == "duplicate_id"
+    valid = {r.source_uri: r.is_valid for r in adverts.validate_postings(raw).collect()}
+    assert valid == {"u": True, "u2": True, None: False}
     assert got[""] == "missing:source_uri|bad_type:isco_group|bad_date:posting_date"
 
 
@@ -53,3 +55,54 @@ def test_mapping_csv_roundtrip_string_order(spark):
     assert [r.span_id for r in back] == ["p-adjn-10", "p-adjn-2"]
     assert back[0].span_text == 'Text, mit "Quote"' and back[1].span_text == "zwei\nZeilen"
     assert back[0].score == "0.3906"
+
+
+def test_accepted_and_rejected_are_all_rows(spark):
+    rows = [("a", "u", "2024-01-01", "x", "e", "2024-01-01", "t", "txt", "3"), (None,) * 9, (None,) * 9,
+            ("a", "u", "2024-01-01", "x", "e", "2024-01-01", "t", "txt", "3"),
+            ("b", "u", "2024-01-01", "x", "e", "2024-01-32", "t", "txt", None)]
+    raw = spark.createDataFrame(rows, adverts._RAW)
+    assert adverts.accepted(raw).count() == 2 and adverts.rejected(raw).count() == 3
+    assert {r.n_same_id for r in adverts.validate_postings(raw).filter("id is null").collect()} == {1}
+
+
+def test_one_file_per_advert_is_named_after_it(spark, fix):
+    import os
+
+    from skillweave.config import DEFAULT
+    from skillweave.operators import tagger
+    from skillweave.plans.flow import Flow
+    from skillweave.plans.run import run
+    post = adverts.read_postings(spark, fix("postings_sample.json"))
+    conc = concepts.read_concepts(spark, fix("concepts_small.json"))
+    dic = tagger.label_dictionary(conc)
+    spark.catalog.clearCache()
+    paths = run(spark, Flow(post, conc, dic, tagger.dictionary_sizes(dic), ["skill"], DEFAULT), per_posting=True)
+    ids = sorted(r.id for r in post.collect())
+    ttl = sorted(f for f in os.listdir(paths["turtle"]) if f.endswith(".ttl"))
+    assert ttl == [f"{i}.ttl" for i in ids]
+    csv = sorted(f for f in os.listdir(paths["mappings_csv"]) if f.endswith("_mappings.csv"))
+    assert csv and {c.removesuffix("_mappings.csv") for c in csv} <= set(ids)
+    with open(os.path.join(paths["mappings_csv"], csv[0]), encoding="utf-8") as f:
+        assert f.readline().strip() == "posting_id,span_id,span_text,extractor,rank,concept_uri,score,decision"
+    back = sinks.read_mapping_csv(spark, os.path.join(paths["mappings_csv"], csv[0])).collect()
+    assert {r.posting_id for r in back} == {csv[0].removesuffix("_mappings.csv")}
+    meta = spark.read.json(paths["run_metadata"]).first()
+    assert sum(p.endswith(".ttl") for p in meta.output_files) == len(ids)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()  # the run keeps nothing
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from skillweave import session
+
+    class Bare:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda k, d: d)
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Bare)
