@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillweave.functions.bitmaps import in_bitmap, slot_bitmap
 from skillweave.session import scratch_path
 
 #: Text bytes handled by numpy at a time; a single longer document is handled whole.
@@ -112,28 +113,7 @@ class WordScanner:
         return starts + lo, ends + lo, rows, h
 
 
-# ---- a bitmap of fixed size as a filter in front of a join ----------------------------------------------------
-
-def slot_bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Bitmap of 2**bits bits with bit (column mod 2**bits) set for each row's long. Built by a distributed
-    aggregation; what reaches the driver is at most 2**bits / 8 bytes, however many rows there are."""
-    slot = F.expr(f"({column} & {(1 << bits) - 1}L) + 1")
-    parts = (df.select(slot.alias("slot"))
-             .groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket"))
-             .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect())
-    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for bucket, part in parts:
-        at = (bucket - 1) * 4096
-        part = np.frombuffer(bytes(part), dtype=np.uint8)[:max(0, len(out) - at)]
-        out[at:at + len(part)] = part
-    return out
-
-
-def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which of the uint64 values have their bit set; no false negatives."""
-    slot = values & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
+# ---- joins that move only what they must ----------------------------------------------------------------------
 
 def split_rows(docs: DataFrame, keys: DataFrame, bits: int = 25) -> tuple[DataFrame, DataFrame]:
     """(rows surely not in ``keys``, rows perhaps in it) of ``docs``, by doc_id and text; ``keys`` has (doc_id,

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.llm.common import WordScanner, in_bitmap, row_key, slices, slot_bitmap, text_buffers, written
+from skillweave.functions.bitmaps import in_bitmap, slot_bitmap
+from skillweave.llm.common import WordScanner, row_key, slices, text_buffers, written
 
 #: Words of a span; items of fewer words are one span.
 SPAN_WORDS = 10

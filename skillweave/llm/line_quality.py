@@ -3,7 +3,8 @@
 Each line has a label, good or bad. Its features are shares of its characters and words (see FEATURES), together with
 those of the lines before and after; pairs of neighbouring labels have weights of their own. Trained on a bounded
 sample of documents whose label all their lines bear, by gradient steps on the conditional likelihood. Forward-backward
-gives each line's marginal probability of being good; the document's score is their mean weighted by line length.
+gives each line's marginal probability of being good; their mean weighted by line length, put through a two-parameter
+logistic curve fitted on the same sample (so that 0.5 parts the labels), is the document's score.
 Lines of many documents are swept together, position by position, over whole texts.
 
 Defined results: a null or empty text is one empty line; repeated rows score alike; a doc_id labelled more than once
@@ -132,10 +133,11 @@ def marginals(first: np.ndarray, unary: np.ndarray, change: np.ndarray):
 
 
 class LineField:
-    """Weights of the field: unary features, then the two pair scores."""
+    """Weights of the field (unary features, then the two pair scores) and slope and offset of the score's curve."""
 
-    def __init__(self, weights: np.ndarray | None = None) -> None:
+    def __init__(self, weights: np.ndarray | None = None, curve: np.ndarray | None = None) -> None:
         self.weights = np.zeros(3 * _N + 2) if weights is None else weights
+        self.curve = np.array([1.0, 0.0]) if curve is None else curve
 
     def fit(self, first: np.ndarray, x: np.ndarray, label: np.ndarray) -> LineField:
         """Adam steps on the mean log-likelihood of documents; ``label`` per document."""
@@ -155,17 +157,38 @@ class LineField:
             m = 0.9 * m + 0.1 * grad
             v = 0.99 * v + 0.01 * grad * grad
             self.weights = self.weights + RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+        size = np.expm1(8 * x[:, FEATURES.index("log bytes")])
+        self._fit_curve(self._means(first, size, x), label)
         return self
 
+    def _means(self, first: np.ndarray, size: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Length-weighted mean marginal of each document's lines."""
+        p, _, _ = marginals(first, x @ self.weights[:-2], self.weights[-2:])
+        weight = size + 1.0
+        return np.add.reduceat(p * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
+
+    def _fit_curve(self, means: np.ndarray, label: np.ndarray) -> None:
+        """Newton steps of a logistic regression on the means' log-odds, with a small ridge around slope 1."""
+        z = np.stack([_log_odds(means), np.ones(len(means))], axis=1)
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30)))
+            grad = z.T @ (label - p) - (self.curve - [1.0, 0.0])
+            hess = (z * (p * (1 - p))[:, None]).T @ z + np.eye(2)
+            self.curve = self.curve + np.clip(np.linalg.solve(hess, grad), -1, 1)
+
     def score(self, offsets: np.ndarray, data: np.ndarray, scanner: WordScanner) -> np.ndarray:
         """Length-weighted mean marginal of the lines of each text."""
         out = np.empty(len(offsets) - 1)
         for i, j in slices(offsets):
             first, size, x = line_features(offsets, data, i, j, scanner)
-            p, _, _ = marginals(first, with_neighbours(first, x) @ self.weights[:-2], self.weights[-2:])
-            weight = size + 1.0
-            out[i:j] = np.add.reduceat(p * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
-        return np.clip(out, 0.0, 1.0)
+            means = self._means(first, size, with_neighbours(first, x))
+            out[i:j] = 1 / (1 + np.exp(-np.clip(self.curve[0] * _log_odds(means) + self.curve[1], -500, 500)))
+        return out
+
+
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
 
 
 def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +218,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int64)
     x = np.concatenate(xs).astype(np.float64) if xs else np.zeros((0, 3 * _N))
     field = LineField().fit(first, x, np.array(labels, dtype=np.float64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(field.weights))), pa.array(field.weights)], ["at", "weight"])
+    values = np.concatenate([field.weights, field.curve])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["at", "weight"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LineField:
@@ -208,10 +232,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
             .select("ord", "label", "text").mapInArrow(_sample_lines, "ord long, label int, lines array<float>")
             .repartition(1).sortWithinPartitions("ord", "lines")
             .mapInArrow(_fit, "at long, weight double").collect())  # one row per weight
-    weights = np.zeros(3 * _N + 2)
+    values = np.concatenate([LineField().weights, LineField().curve])
     for at, w in rows:
-        weights[at] = w
-    return LineField(weights)
+        values[at] = w
+    return LineField(values[:-2], values[-2:])
 
 
 def score(documents: DataFrame, field: LineField) -> DataFrame:

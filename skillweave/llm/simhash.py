@@ -30,6 +30,8 @@ SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 PIVOTS = 32
 #: Rows of either side that one task compares at once.
 TILE = 8192
+#: Rows of tiles that one task takes.
+TASK_ROWS = 100_000
 #: Width of a cell in distance units: a range of +-3 around a distance meets two cells at most.
 CELL = 7
 SALTS = 16
@@ -185,12 +187,14 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> Dat
     width = max(CELL, 2 * max_bits + 1)
     cells = written(classes.select("fp").mapInArrow(_to_cells(j, max_bits, width), "cell long, fp long, home boolean"),
                     "pivot-cells")
-    sizes = (cells.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("n_home"),
-                                       F.sum((~F.col("home")).cast("long")).alias("n_shown"))
-             .where("n_home > 0 and n_shown > 1")
-             .select("cell", F.ceil(F.col("n_home") / tile).cast("int").alias("th"),
-                     F.ceil(F.col("n_shown") / tile).cast("int").alias("ts")))
-    placed = cells.join(sizes, "cell")
+    # only cells of more than one tile are looked up: at most rows / tile of them, whatever the number of cells
+    large = written(
+        cells.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("n_home"),
+                                  F.sum((~F.col("home")).cast("long")).alias("n_shown"))
+        .select("cell", F.ceil(F.col("n_home") / tile).cast("int").alias("th"),
+                F.ceil(F.col("n_shown") / tile).cast("int").alias("ts")).where("th > 1 or ts > 1"), "pivot-tiles")
+    placed = cells.join(large, "cell", "left").withColumns({c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
+                                                            for c in ("th", "ts")})
     dealt = F.pmod(F.xxhash64("fp", F.lit(1)), F.when(F.col("home"), F.col("th")).otherwise(F.col("ts"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("ts")).otherwise(F.col("th")) - 1))
     placed = placed.withColumn("own", dealt).withColumn("other", other).select(
@@ -203,7 +207,9 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> Dat
         a, b = tile_links(fp[home], fp[~home], max_bits)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return placed.groupBy("cell", "h", "s").applyInArrow(run, "a long, b long")
+    # a tile is small but dear to compare, so tasks are counted by rows, not by bytes
+    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells.count() // TASK_ROWS)
+    return placed.repartition(tasks, "cell", "h", "s").groupBy("cell", "h", "s").applyInArrow(run, "a long, b long")
 
 
 # ---- components ------------------------------------------------------------------------------------------------

@@ -32,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillweave.llm.common import in_bitmap, slot_bitmap, written
+from skillweave.functions.bitmaps import in_bitmap, slot_bitmap
+from skillweave.llm.common import written
 from skillweave.session import scratch_path
 
 MIN_REVISIT = 1000
