@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillweave.llm.common import written
+
 #: Weights by position of the source in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
@@ -51,7 +53,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
 def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """``documents`` (doc_id, text, source, any other columns) with size, source_size, target and copies."""
     sized = documents.withColumn("size", n_words())
-    per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    # written, so that Spark knows its size and leaves the documents where they are unless it is large
+    per_source = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap),
+                         "mix-targets")
     per_source = per_source.select(F.col("source").alias("__source"), "source_size", "target")
     taken = [c for c in ("source_size", "target", "copies") if c in documents.columns]
     out = sized.drop(*taken).join(per_source, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
