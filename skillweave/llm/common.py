@@ -17,7 +17,13 @@ from skillweave.session import scratch_path
 SLICE_BYTES = 1 << 20
 
 
+#: Rows in an Arrow batch, where the session has Spark's default of 10,000: rows here are whole texts.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -84,10 +84,21 @@ class Ftrl:
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task over the bounded sample, in the order of its rows; yields the non-zero weights."""
     bias = 1 << FEATURE_BITS
-    model, examples = Ftrl(bias), []
+    model, held, labels = Ftrl(bias), [], []
+    often = np.zeros(bias, dtype=np.int32)
     for batch in batches:
-        labels, lists = batch.column(1).to_pylist(), batch.column(2)
-        examples += [(np.append(lists[r].values.to_numpy(), np.int32(bias)), y) for r, y in enumerate(labels)]
+        labels += batch.column(1).to_pylist()
+        held.append(batch.column(2))
+        often += np.bincount(batch.column(2).flatten().to_numpy(), minlength=bias).astype(np.int32)
+    # a feature moves its z by less than one an example: too rare ones can never pass L1 and are left out
+    useful = np.append(often * EPOCHS > L1, True)
+    examples = []
+    while held:
+        lists = held.pop(0)
+        for r in range(len(lists)):
+            x = lists[r].values.to_numpy()
+            examples.append(np.append(x[useful[x]], np.int32(bias)))
+    examples = list(zip(examples, labels))
     for _ in range(EPOCHS):
         for at, label in examples:
             model.learn(at, label)
