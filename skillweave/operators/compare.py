@@ -24,22 +24,20 @@ def extractor_overlap(spans: DataFrame, rule: str, tagger: str) -> DataFrame:
     their ends exceeds its start, and a later-or-equal-start one iff the next
     start of the other side lies before its end.
     """
-    s = spans.select("posting_id", "id", "extractor", "char_start", "char_end", "text", "span_type")
-    out = None
-    for me, other in ((rule, tagger), (tagger, rule)):
-        is_other = F.col("extractor") == other
-        before = (Window.partitionBy("posting_id").orderBy("char_start")
-                  .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        after = (Window.partitionBy("posting_id").orderBy("char_start")
-                 .rangeBetween(Window.currentRow, Window.unboundedFollowing))
-        flagged = (s.withColumn("reach_", F.max(F.when(is_other, F.col("char_end"))).over(before))
-                   .withColumn("next_", F.min(F.when(is_other, F.col("char_start"))).over(after))
-                   .filter(F.col("extractor") == me))
-        hit = (F.coalesce(F.col("reach_") > F.col("char_start"), F.lit(False))
-               | F.coalesce(F.col("next_") < F.col("char_end"), F.lit(False)))
-        part = flagged.withColumn("overlaps", hit).drop("reach_", "next_")
-        out = part if out is None else out.unionByName(part)
-    return out
+    s = spans.select("posting_id", "id", "extractor", "char_start", "char_end", "text", "span_type").filter(
+        F.col("extractor").isin(rule, tagger))
+    so_far = lambda *order: (Window.partitionBy("posting_id").orderBy(*order)
+                             .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    of = lambda name, c: F.when(F.col("extractor") == name, F.col(c))
+    # both sides in one window per direction; "later" is the running minimum from the end
+    seen = s.select("*", *[F.max(of(x, "char_end")).over(so_far("char_start")).alias(f"reach_{i}")
+                           for i, x in enumerate((rule, tagger))],
+                    *[F.min(of(x, "char_start")).over(so_far(F.desc("char_start"))).alias(f"next_{i}")
+                      for i, x in enumerate((rule, tagger))])
+    other = lambda c: F.when(F.col("extractor") == rule, F.col(f"{c}_1")).otherwise(F.col(f"{c}_0"))
+    hit = (F.coalesce(other("reach") > F.col("char_start"), F.lit(False))
+           | F.coalesce(other("next") < F.col("char_end"), F.lit(False)))
+    return seen.select(*s.columns, hit.alias("overlaps"))
 
 
 def extractor_totals(overlap: DataFrame, postings: DataFrame, rule: str, tagger: str,
