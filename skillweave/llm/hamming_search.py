@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillweave.llm.common import first_by_hash
+
 K = 5
 QUERY_MODULUS = 50
 #: Bound of the sample that the rotation and the radius are learned on.
@@ -142,7 +144,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     if not top:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == top[0]["d"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
+    sample = first_by_hash(rows.withColumn("ord", F.xxhash64("vec_id")), "ord", SAMPLE_ROWS).select("v").toPandas()["v"]
     shared = spark.sparkContext.broadcast(Coder(np.stack([np.asarray(x, dtype=np.float64) for x in sample]), k))
     queries = rows.where(is_query).distinct().withColumn("q", F.xxhash64("v"))
     n_rows = -(-top[0]["n"] // BLOCK_ROWS)

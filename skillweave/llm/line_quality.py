@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.llm.common import WordScanner, row_key, slices, text_buffers
+from skillweave.llm.common import WordScanner, first_by_hash, row_key, slices, text_buffers
 from skillweave.llm.toxicity import held_out
 
 #: Bounds of the training sample: documents, and lines of each (a run of consecutive ones, placed by a hash).
@@ -224,10 +224,9 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LineField:
     """Field from at most ``sample_rows`` of the (doc_id, label) rows, the first by a hash of doc_id."""
-    sample = (labels.where("label is not null and doc_id is not null")
-              .groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-              .withColumn("ord", F.xxhash64("doc_id")).orderBy("ord", "doc_id").limit(sample_rows)
-              .select(F.col("doc_id").alias("l_id"), "label", "ord"))
+    known = (labels.where("label is not null and doc_id is not null")
+             .groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).withColumn("ord", F.xxhash64("doc_id")))
+    sample = first_by_hash(known, "ord", sample_rows).select(F.col("doc_id").alias("l_id"), "label", "ord")
     rows = (documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
             .select("ord", "label", "text").mapInArrow(_sample_lines, "ord long, label int, lines array<float>")
             .repartition(1).sortWithinPartitions("ord", "lines")
