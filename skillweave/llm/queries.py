@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skillweave.llm import (decontaminate, hamming_search, line_dedup, line_quality, mixing, quotations, simhash,
                             token_counts, toxicity, warc)
-from skillweave.llm.common import table
+from skillweave.llm.common import table, written
 from skillweave.llm.oracle import ORACLE
 
 
@@ -23,7 +23,7 @@ def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotations.link(quotations.as_mail(table(spark, sf_dir, "conversations")))
+    return quotations.link(written(quotations.as_mail(table(spark, sf_dir, "conversations")), "mail"))
 
 
 def op4_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

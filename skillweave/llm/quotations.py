@@ -17,58 +17,62 @@ to nothing; repeated rows each get their row; rows that share conv_id and turn b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _MARKS = r"^([ \t]*>)*[ \t]*"
 
 
-def _normal(line):
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+def _level(line):
+    marks = F.regexp_extract(line, _MARKS, 0)
+    return F.length(marks) - F.length(F.replace(marks, F.lit(">")))
 
 
-def _line(x):
-    marks = F.regexp_extract(x, _MARKS, 0)
-    return F.struct((F.length(marks) - F.length(F.replace(marks, F.lit(">")))).alias("level"),
-                    _normal(F.substr(x, F.length(marks) + 1)).alias("said"), x.alias("raw"))
+def _said(line):
+    words = F.substr(line, F.length(F.regexp_extract(line, _MARKS, 0)) + 1)
+    return F.lower(F.trim(F.regexp_replace(words, r"\s+", " ")))
 
 
-def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, row_key and ``lines``: array of (level, said, raw, passage). A passage is named by the
-    position of its first line: the last one where the level changes."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), _line)
-    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (
-        F.get("lines", i)["level"] != F.get("lines", i - 1)["level"]))
-    named = F.flatten(F.transform("starts", lambda at, i: F.array_repeat(
-        at, F.coalesce(F.get("starts", i + 1), F.size("lines")) - at)))
-    whole = F.zip_with("lines", "named", lambda x, at: F.struct(
-        x["level"].alias("level"), x["said"].alias("said"), x["raw"].alias("raw"), at.alias("passage")))
-    return (messages.select("conv_id", "turn", "role", F.xxhash64("text").alias("row_key"), lines.alias("lines"))
-            .withColumn("starts", starts).withColumn("named", named).withColumn("lines", whole).drop("starts", "named"))
+def lines_of(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, row_key, at, level, key): every line of every message; key is null for blank lines."""
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = messages.select("conv_id", "turn", F.xxhash64("text").alias("row_key"), F.posexplode(split).alias("at", "line"))
+    said = _said(F.col("line"))
+    return rows.select("conv_id", "turn", "row_key", "at", _level(F.col("line")).alias("level"),
+                       F.unhex(F.md5(F.nullif(said, F.lit("")).cast("binary"))).alias("key"))
+
+
+def passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, row_key, level, passage, key): the quoted lines that say something. A passage is a run of
+    positions within one level; equal rows share their positions, so the rank is dense."""
+    quoted = lines_of(messages).where("level > 0")
+    of_level = Window.partitionBy("conv_id", "turn", "row_key", "level").orderBy("at")
+    return (quoted.withColumn("passage", F.col("at") - F.dense_rank().over(of_level))
+            .where("key is not null").drop("at"))
 
 
 def link(messages: DataFrame) -> DataFrame:
     """Per row of ``messages`` (conv_id, turn, role, text): conv_id, turn, role, body, max_level, n_passages, n_linked
     and reply_to."""
-    rows = parsed(messages)
-    said = rows.select("conv_id", "turn", "row_key", F.explode("lines").alias("x")).where("x.said <> ''")
-    said = said.select("conv_id", "turn", "row_key", "x.level", "x.passage", F.unhex(F.md5(F.col("x.said").cast("binary"))).alias("key"))
-    first = (said.where("level = 0").groupBy("conv_id", "key").agg(F.min("turn").alias("first_turn"))
-             .withColumnsRenamed({"conv_id": "f_conv", "key": "f_key"}))
-    quoted = said.where("level > 0").join(
+    first = (lines_of(messages).where("level = 0 and key is not null").groupBy("conv_id", "key")
+             .agg(F.min("turn").alias("first_turn")).withColumnsRenamed({"conv_id": "f_conv", "key": "f_key"}))
+    quoted = passages(messages).join(
         first, (F.col("conv_id") == F.col("f_conv")) & (F.col("key") == F.col("f_key"))
         & (F.col("first_turn") < F.col("turn")), "left")
-    passages = quoted.groupBy("conv_id", "turn", "row_key", "passage", "level").agg(
+    found = quoted.groupBy("conv_id", "turn", "row_key", "passage", "level").agg(
         (F.count("*") == F.count("first_turn")).alias("linked"), F.max("first_turn").alias("original"))
-    each = passages.groupBy("conv_id", "turn", "row_key").agg(
+    each = found.groupBy("conv_id", "turn", "row_key").agg(
         F.count("*").alias("n_passages"), F.count_if("linked").alias("n_linked"),
         F.max(F.when(F.col("linked") & (F.col("level") == 1), F.col("original"))).alias("reply_to"))
     each = each.withColumnsRenamed({"conv_id": "e_conv", "turn": "e_turn", "row_key": "e_key"})
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    body = F.array_join(F.filter(split, lambda x: ~x.rlike(r"^[ \t]*>")), "\n")
+    rows = messages.select("conv_id", "turn", "role", F.xxhash64("text").alias("row_key"),
+                           F.trim(body, F.lit("\n")).alias("body"),
+                           F.array_max(F.transform(split, _level)).alias("max_level"))
     out = rows.join(each, rows["conv_id"].eqNullSafe(F.col("e_conv")) & rows["turn"].eqNullSafe(F.col("e_turn"))
                     & (rows["row_key"] == F.col("e_key")), "left")
-    body = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["raw"]), "\n")
-    return out.select("conv_id", "turn", "role", F.trim(body, F.lit("\n")).alias("body"),
-                      F.array_max(F.transform("lines", lambda x: x["level"])).alias("max_level"),
+    return out.select("conv_id", "turn", "role", "body", "max_level",
                       F.coalesce("n_passages", F.lit(0)).alias("n_passages"),
                       F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to")
 
