@@ -53,6 +53,13 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """An input that Spark reads in fewer tasks than it has cores (one small file) is dealt out; any larger input,
+    which has a task per split, stays where it lies."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def with_faults(raw: DataFrame, number) -> DataFrame:
     """Raw adverts, all fields strings, with one kind of fault for some ``number`` mod 29."""
     m = number % 29

@@ -28,7 +28,7 @@ def flow(spark: SparkSession, sf_dir: str) -> Flow:
             d = tagger.gram_dictionary(bench, B.TAGGER_SIZES[model], model)
             dic = d if dic is None else dic.unionByName(d)
         _FLOWS[key] = Flow(
-            postings=B.postings(spark, sf_dir),
+            postings=B.spread(B.postings(spark, sf_dir)),
             concepts=B.concepts(spark, sf_dir),
             dictionary=dic,
             tagger_sizes=sorted(B.TAGGER_SIZES.items()),
