@@ -4,9 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 stage's ``docs``. Each works on every row its predecessor kept; all but the last return the columns of ``documents``.
 
 Defined results: extra columns pass through; null and empty texts follow the operators (see their modules); where rows
-share a doc_id but not a text each row is decided by its own text, except that near-dedup keeps the rows of a group's
-smallest doc_id whose text is first by hash; rows without a doc_id stay in near-dedup only in groups where no row has
-one.
+share a doc_id but not a text each row is decided by its own text. Near-dedup keeps one row of each group of near
+copies, with or without doc_ids.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.llm import decontaminate, line_dedup, mixing, simhash, toxicity
-from skillweave.llm.common import table, without, written
+from skillweave.llm.common import split_rows, table, without, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +31,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays, the one with the smallest doc_id."""
+    """Of each group of near-duplicates one row stays: the smallest doc_id (none comes last), then the text first by
+    hash, and of rows equal in both one."""
     found = written(simhash.near_duplicates(docs), "near-duplicates")
-    keeps = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("row_key").alias("k"))
-    keeps = keeps.select(F.col("doc_id").alias("k_id"), "k")
-    kept = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("row_key") == F.col("k"))
-    return without(docs, found.join(keeps, kept, "left_anti"))
+    rows = found.groupBy("root", "doc_id", "row_key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "n")).alias("k")
+    keeps = written(rows.groupBy("root").agg(first).select(F.col("k.doc_id").alias("k_id"), F.col("k.row_key").alias("k_key"),
+                                                           F.col("k.n").alias("n")), "near-duplicate-keeps")
+    kept = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("row_key") == F.col("k_key"))
+    out = without(docs, found.join(keeps, kept, "left_anti"))
+    repeated = keeps.where("n > 1").select(F.col("k_id").alias("doc_id"), F.col("k_key").alias("row_key"))
+    if repeated.isEmpty():
+        return out
+    once, several = split_rows(out, repeated)
+    return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,7 +238,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): doc_id, row_key, fp and component_id, the smallest doc_id reachable."""
+    """Per row of ``documents`` (doc_id, text): doc_id, row_key, fp, root (one fingerprint that stands for the row's
+    component, with or without ids) and component_id, the smallest doc_id reachable."""
     marks = written(fingerprints(documents, shingle), "simhash")
     classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-classes")
     roots = components(links(classes, max_bits)).withColumnsRenamed({"node": "fp"})
@@ -246,10 +247,11 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE_WORDS, max_bits
     linked = joined.where(F.col("n") > 1).select("root").union(roots.select("root")).distinct()
     joined = joined.join(linked, "root", "left_semi")
     low = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(low, "root").select("fp", "component_id").withColumn(
+    named = joined.join(low, "root").select("fp", "root", "component_id").withColumn(
         "salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
     out = marks.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(named, ["fp", "salt"], "left")
-    return out.select("doc_id", "row_key", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "row_key", "fp", F.coalesce("root", "fp").alias("root"),
+                      F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -53,6 +53,16 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted((r["doc_id"] for r in kept), key=repr) == [1, 3, None]
 
 
+def test_near_dedup_keeps_unlike_texts_without_an_id_or_under_one(spark):
+    one, two, three, four = ("alpha beta gamma delta", "one two three four five", "red green blue white", "north south east west")
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (8, four), (None, three), (9, "only text here"),
+            (9, "only text here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()
+    want = [(None, one), (None, two), (7, three), (7, four), (9, "only text here")]
+    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert {"doc_id", "text", "source", "size", "target", "copy"} <= set(out.columns) and out.count() > 0
