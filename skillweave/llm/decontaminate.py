@@ -140,7 +140,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, n_words: int = SPAN_WORDS)
         "hits array<struct<n:int,h:long,pos:int,first:int,context:string>>"), "doc-hits")
 
     # spans held by the same items share one class, so a document meets each item list once, not once a word
-    spans = (items.groupBy("n", "h", "lead", "span")
+    # (an item counts once for a span that it repeats: equal hashes would cancel out)
+    spans = (items.select("n", "h", "lead", "span", "item_id").distinct().groupBy("n", "h", "lead", "span")
              .agg(F.bit_xor(F.xxhash64("item_id", F.lit(1))).alias("a"),
                   F.bit_xor(F.xxhash64(F.lit(2), "item_id")).alias("b"), F.count("*").alias("c")))
     spans = spans.withColumn("held_by", F.concat_ws(":", "a", "b", "c")).drop("a", "b", "c")

@@ -53,6 +53,14 @@ def test_leaks_planted_anywhere_and_overlapping(spark):
     assert ordered(tuple(r) for r in got.collect()) == ordered(brute.leaks(rows, items))
 
 
+def test_leaks_of_items_that_repeat_a_span(spark):
+    items = [(1, "ha " * 11), (2, "na " * 11), (3, "la " * 12), (4, "la " * 11), (5, "la " * 11)]
+    docs = [(1, "ha " * 11), (2, "na " * 11), (3, "la " * 10), (4, "ha " * 10 + "na " * 10), (5, "ha na")]
+    got = decontaminate.digest(decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                   spark.createDataFrame(items, "item_id long, text string")))
+    assert ordered(tuple(r) for r in got.collect()) == ordered(brute.leaks(docs, items))
+
+
 def test_leaks_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
