@@ -1,14 +1,16 @@
 """Quotation linking for chat messages, with DataFrame functions only.
 
 A line's quote level is the number of ``>`` marks it opens with. Consecutive lines of one level from 1 on are a
-quoted passage. Lines are normalised (marks and outer space dropped, white space collapsed, lower case) and hashed;
-each hash joins the first message of the conversation that says the line in its own words. A passage is linked when
-every line of it was said before; its original is the first message by which all of it had been said. A message
-replies to the latest original among its passages of level 1, and always to an earlier turn, so (conv_id, turn) is a
-reply order. The body is the message without its quoted lines.
+quoted passage. Lines are normalised (marks and outer space dropped, white space collapsed, lower case) and hashed,
+and so is each passage whole. A passage is linked when one earlier message of the conversation says all of it: as a
+run of neighbouring lines of its own words, blank and quoted lines aside. Its original is the first message that says
+the run in the passage's order, or if none does, the first that says the run in another order. A message replies to
+the latest original among its passages of level 1, and always to an earlier turn, so (conv_id, turn) is a reply
+order. The body is the message without its quoted lines.
 
-Only hashes are shuffled for linking; originals are aggregated to one row per (conversation, line) first, so that a
-line that many messages repeat or quote never pairs up with itself.
+Only hashes are shuffled for linking; originals are aggregated to one row per (conversation, run) first, so that a
+run that many messages repeat or quote never pairs up with itself. Runs of several lines are made only of the lengths
+that passages of the same conversation have.
 
 Defined results: a null text is an empty body without quotes; blank quoted lines belong to their passage but need no
 original, and a passage of blank lines only is no passage; messages without conv_id or turn keep their body and link
@@ -20,6 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillweave.llm.common import written
+
+#: Copies of a conversation's passage lengths that share its messages.
+SALTS = 16
+
 _MARKS = r"^([ \t]*>)*[ \t]*"
 
 
@@ -33,37 +40,85 @@ def _said(line):
     return F.lower(F.trim(F.regexp_replace(words, r"\s+", " ")))
 
 
+def _key(line):
+    """Hash of what a line says; null for blank lines."""
+    return F.unhex(F.md5(F.nullif(_said(line), F.lit("")).cast("binary")))
+
+
+def _run_key(keys):
+    return F.unhex(F.md5(F.array_join(F.transform(keys, lambda x: F.hex(x)), "").cast("binary")))
+
+
 def lines_of(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, row_key, at, level, key): every line of every message; key is null for blank lines."""
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     rows = messages.select("conv_id", "turn", F.xxhash64("text").alias("row_key"), F.posexplode(split).alias("at", "line"))
-    said = _said(F.col("line"))
-    return rows.select("conv_id", "turn", "row_key", "at", _level(F.col("line")).alias("level"),
-                       F.unhex(F.md5(F.nullif(said, F.lit("")).cast("binary"))).alias("key"))
+    return rows.select("conv_id", "turn", "row_key", "at", _level(F.col("line")).alias("level"), _key(F.col("line")).alias("key"))
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, row_key, level, passage, key): the quoted lines that say something. A passage is a run of
-    positions within one level; equal rows share their positions, so the rank is dense."""
+    """(conv_id, turn, row_key, level, passage, keys): the passages with the hashes of their lines that say something,
+    in order. A passage is a run of positions within one level; equal rows share their positions, so the rank is
+    dense."""
     quoted = lines_of(messages).where("level > 0")
     of_level = Window.partitionBy("conv_id", "turn", "row_key", "level").orderBy("at")
-    return (quoted.withColumn("passage", F.col("at") - F.dense_rank().over(of_level))
-            .where("key is not null").drop("at"))
+    lines = (quoted.withColumn("passage", F.col("at") - F.dense_rank().over(of_level))
+             .where("key is not null").groupBy("conv_id", "turn", "row_key", "level", "passage")
+             .agg(F.sort_array(F.collect_set(F.struct("at", "key"))).alias("lines")))
+    return lines.select("conv_id", "turn", "row_key", "level", "passage", F.col("lines.key").alias("keys"))
+
+
+def runs_of(messages: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(conv_id, turn, run, set): each run of as many own lines as ``lengths`` (conv_id, n) names for the conversation,
+    hashed in its order and in the order of the hashes."""
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    keys = F.transform(F.filter(split, lambda x: _level(x) == 0), _key)
+    own = messages.where("conv_id is not null and turn is not null").select(
+        "conv_id", "turn", F.filter(keys, lambda x: x.isNotNull()).alias("keys"),
+        F.pmod(F.xxhash64("turn", "text"), F.lit(SALTS)).alias("salt"))
+    salted = lengths.select(F.col("conv_id").alias("l_conv"), "n",
+                            F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("l_salt"))
+    own = own.join(salted, (F.col("conv_id") == F.col("l_conv")) & (F.col("salt") == F.col("l_salt"))
+                   & (F.size("keys") >= F.col("n")))
+
+    def run(at):
+        lines = F.slice("keys", at, F.col("n"))
+        return F.struct(_run_key(lines).alias("run"), _run_key(F.sort_array(lines)).alias("set"))
+    starts = F.sequence(F.lit(1), F.size("keys") - F.col("n") + 1)
+    return own.select("conv_id", "turn", F.explode(F.transform(starts, run)).alias("x")).select("conv_id", "turn", "x.*")
+
+
+def _earliest(quoted: DataFrame, said: DataFrame, key: str, name: str) -> DataFrame:
+    """``quoted`` with the first turn, if before its own, whose row of ``said`` (conv_id, turn, ``key``) has its key."""
+    first = said.groupBy("conv_id", key).agg(F.min("turn").alias(name)).withColumnsRenamed({"conv_id": "f_conv", key: "f_key"})
+    on = (F.col("conv_id") == F.col("f_conv")) & (F.col(key) == F.col("f_key")) & (F.col(name) < F.col("turn"))
+    return quoted.join(first, on, "left").drop("f_conv", "f_key")
+
+
+def originals(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, row_key, level, original): every passage with the turn it quotes, null if it is not linked."""
+    quoted = written(passages(messages), "passages")
+    single = quoted.where(F.size("keys") == 1).withColumn("key", F.get("keys", F.lit(0)))
+    own = lines_of(messages).where("level = 0 and key is not null")
+    columns = ["conv_id", "turn", "row_key", "level", "original"]
+    found = _earliest(single, own, "key", "original").select(columns)
+    several = quoted.where(F.size("keys") > 1)
+    if several.isEmpty():
+        return found
+    lengths = several.where("conv_id is not null").select("conv_id", F.size("keys").alias("n")).distinct()
+    runs = written(runs_of(messages, lengths), "runs")
+    several = several.withColumns({"run": _run_key(F.col("keys")), "set": _run_key(F.sort_array("keys"))}).drop("keys")
+    several = _earliest(_earliest(several, runs, "run", "as_said"), runs, "set", "reordered")
+    return found.unionByName(several.withColumn("original", F.coalesce("as_said", "reordered")).select(columns))
 
 
 def link(messages: DataFrame) -> DataFrame:
     """Per row of ``messages`` (conv_id, turn, role, text): conv_id, turn, role, body, max_level, n_passages, n_linked
     and reply_to."""
-    first = (lines_of(messages).where("level = 0 and key is not null").groupBy("conv_id", "key")
-             .agg(F.min("turn").alias("first_turn")).withColumnsRenamed({"conv_id": "f_conv", "key": "f_key"}))
-    quoted = passages(messages).join(
-        first, (F.col("conv_id") == F.col("f_conv")) & (F.col("key") == F.col("f_key"))
-        & (F.col("first_turn") < F.col("turn")), "left")
-    found = quoted.groupBy("conv_id", "turn", "row_key", "passage", "level").agg(
-        (F.count("*") == F.count("first_turn")).alias("linked"), F.max("first_turn").alias("original"))
+    found = originals(messages)
     each = found.groupBy("conv_id", "turn", "row_key").agg(
-        F.count("*").alias("n_passages"), F.count_if("linked").alias("n_linked"),
-        F.max(F.when(F.col("linked") & (F.col("level") == 1), F.col("original"))).alias("reply_to"))
+        F.count("*").alias("n_passages"), F.count("original").alias("n_linked"),
+        F.max(F.when(F.col("level") == 1, F.col("original"))).alias("reply_to"))
     each = each.withColumnsRenamed({"conv_id": "e_conv", "turn": "e_turn", "row_key": "e_key"})
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     body = F.array_join(F.filter(split, lambda x: ~x.rlike(r"^[ \t]*>")), "\n")

@@ -187,6 +187,21 @@ def test_quotations_are_linked_and_removed(spark):
     assert quotations.link(df).count() == len(rows) and quotations.link(quotations.as_mail(df.limit(0))).count() == 0
 
 
+def test_passages_are_linked_whole_to_one_message(spark):
+    rows = [(1, 0, "Thanks!"), (1, 1, "The build fails"), (1, 2, "Thanks!\nThe build fails\non arm"),
+            (1, 3, "> Thanks!\n> The build fails\nFixed"),                                      # said before line by line
+            (2, 0, "a b"), (2, 1, "c d"), (2, 2, "> a b\n> c d\nx"),                            # gathered from two messages
+            (3, 0, "x y\nz w"), (3, 1, "z  w\n> x y\n\nX Y"), (3, 2, "> z w\n> x y\nok"),     # the one in order
+            (4, 0, "p\nq\nr"), (4, 1, "> p\n> r\nno"), (4, 2, "> q\n>\n> r\n> s\nno"),        # not a run, not all said
+            (5, 0, "l\n" * 40 + "m"), (5, 1, "> l\n" * 39 + "> m\nlong"), (5, 2, "> l\n" * 41 + "longer"),
+            (6, 0, "p\nq"), (7, 0, "> p\n> q\nother conversation")]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["n_passages"], r["n_linked"], r["reply_to"])
+           for r in quotations.link(df.union(df.where("turn > 0"))).collect() if r["n_passages"]}
+    assert got == {(1, 3): (1, 1, 2), (2, 2): (1, 0, None), (3, 1): (1, 1, 0), (3, 2): (1, 1, 1), (4, 1): (1, 0, None),
+                   (4, 2): (1, 0, None), (5, 1): (1, 1, 0), (5, 2): (1, 0, None), (7, 0): (1, 0, None)}
+
+
 def test_mail_view_links_each_turn_to_the_one_before(spark):
     got = queries.op3_quotation_linking(spark, SMALL).collect()
     text = {(r["conv_id"], r["turn"]): r["text"] for r in table(spark, SMALL, "conversations").collect()}
