@@ -23,11 +23,9 @@ from pyspark.sql import functions as F
 from skillweave.llm.common import WordScanner, first_by_hash, slices, text_buffers
 
 FEATURE_BITS = 20
-#: Bound of the training sample, in documents.
-SAMPLE_ROWS = 20_000
+#: Bounds of the training sample: documents, and features of all of them together; its documents count whole.
+SAMPLE_ROWS, SAMPLE_FEATURES = 20_000, 1 << 26
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 8.0, 0.1, 4
-#: Features of one document that train the model; longer documents train with an even spread of theirs.
-TRAIN_FEATURES = 20_000
 
 _PAIR, _SKIP = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -57,8 +55,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.unique(rows * (1 << FEATURE_BITS) + slot)
             cuts = np.searchsorted(key, np.arange(1, j - i) << FEATURE_BITS)
             for x in np.split(key & ((1 << FEATURE_BITS) - 1), cuts):
-                step = -(-max(len(x), 1) // TRAIN_FEATURES)
-                lists.append(x[::step].astype(np.int32))
+                lists.append(x.astype(np.int32))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["ord", "label", "features"])
 
@@ -85,8 +82,16 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task over the bounded sample, in the order of its rows; yields the non-zero weights."""
     bias = 1 << FEATURE_BITS
     model, held, labels = Ftrl(bias), [], []
-    often = np.zeros(bias, dtype=np.int32)
+    often, room = np.zeros(bias, dtype=np.int32), SAMPLE_FEATURES
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum([len(x) for x in batch.column(2)], dtype=np.int64)
+        fit = int(np.searchsorted(ends, room, side="right"))
+        if fit == 0 and not labels:
+            fit = 1  # the first document counts whatever its length
+        room = room - int(ends[-1]) if fit == batch.num_rows else -1  # none follows one that did not fit
+        batch = batch.slice(0, fit)
         labels += batch.column(1).to_pylist()
         held.append(batch.column(2))
         often += np.bincount(batch.column(2).flatten().to_numpy(), minlength=bias).astype(np.int32)

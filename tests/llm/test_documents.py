@@ -4,11 +4,12 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skillweave.llm import decontaminate, line_dedup, mixing, queries, simhash, toxicity
-from skillweave.llm.common import table
+from skillweave.llm.common import WordScanner, table, text_buffers
 from tests.llm import brute
 from tests.llm.conftest import SMALL
 
@@ -181,6 +182,22 @@ def test_toxicity_learns_and_holds_out(spark):
     assert np.mean([p == y for _, y, p in held]) > 0.9
 
 
+def test_toxicity_trains_on_all_features_of_whole_texts(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(25_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 0], pa.int32()), pa.array([text, "a b"])],
+                                       ["ord", "label", "text"])
+    (out,) = toxicity._features(iter([batch]))
+    _, _, rows, h = WordScanner().scan(*text_buffers(pa.array([text])), 0, 1)
+    assert out.column(2)[0].as_py() == sorted(set(toxicity._slots(h, rows)[1].tolist()))
+    lists = pa.array([[i % 3, 5 + i] for i in range(60)], pa.list_(pa.int32()))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([i % 3 == 0 for i in range(60)]).cast(pa.int32()), lists],
+                                      ["ord", "label", "features"])
+    fit = lambda *batches: [b.to_pydict() for b in toxicity._fit(iter(batches))]
+    some, whole = fit(rows.slice(0, 45)), fit(rows)
+    monkeypatch.setattr(toxicity, "SAMPLE_FEATURES", 91)
+    assert fit(rows) == fit(rows.slice(0, 30), rows.slice(30)) == some != whole
+
+
 def test_toxicity_on_odd_rows(spark, odd_documents):
     labels = spark.createDataFrame([(4, 1), (4, 0), (7, 0), (None, 1), (999, 1), (6, None)], "doc_id long, toxic int")
     model = toxicity.trained(odd_documents, labels)
