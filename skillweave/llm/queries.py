@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillweave.llm import (decontaminate, hamming_search, hard_negatives, line_dedup, line_quality, mixing, quotations,
-                            simhash, token_counts, toxicity, warc)
+from skillweave.llm import (decontaminate, hamming_search, hard_negatives, line_dedup, line_quality, mixing, packing,
+                            quotations, simhash, token_counts, toxicity, warc)
 from skillweave.llm.common import table, written
 from skillweave.llm.oracle import ORACLE
 
@@ -61,6 +61,11 @@ def op10_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op12_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op13_slot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = hard_negatives.relabelled(table(spark, sf_dir, "embeddings"))
     return hard_negatives.mine(vectors, F.col("vec_id") % hard_negatives.ANCHOR_MODULUS == 0)
@@ -75,7 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_winnowing_decontamination, op2_arc_to_warc, op3_quotation_linking, op4_line_crf_quality,
                             op5_ftrl_toxicity, op6_cuckoo_line_dedup, op7_source_mixing,
                             op8_multi_index_hashing, op9_merged_token_counts, op10_pivot_simhash,
-                            op13_slot_hard_negatives, pipeline)}
+                            op12_shortest_pack_first, op13_slot_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
