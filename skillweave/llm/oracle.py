@@ -141,3 +141,30 @@ FROM pos p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
      AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) <= 10
 """
+
+ORACLE["op11_shared_term_search"] = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS d, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+corpus AS (SELECT count(*) AS docs, sum(len(w)) AS words FROM dw WHERE len(w) > 0),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM dw)
+  WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), corpus),
+impact AS (
+  SELECT tf.d, tf.term,
+         weights.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(dw.w) * docs) // CAST(words AS BIGINT)))) AS x
+  FROM tf JOIN weights USING (term) JOIN dw USING (d), corpus),
+scored AS (SELECT item_id, d, CAST(sum(x) AS BIGINT) AS score FROM asked JOIN impact USING (term) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank,
+       doc_id, score
+FROM scored JOIN dw USING (d) WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 50
+"""

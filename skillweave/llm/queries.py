@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.llm import (decontaminate, hamming_search, hard_negatives, line_dedup, line_quality, mixing, packing,
-                            quotations, simhash, token_counts, toxicity, warc)
+                            quotations, shared_search, simhash, token_counts, toxicity, warc)
 from skillweave.llm.common import table, written
 from skillweave.llm.oracle import ORACLE
 
@@ -61,6 +61,10 @@ def op10_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op11_shared_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
@@ -80,7 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_winnowing_decontamination, op2_arc_to_warc, op3_quotation_linking, op4_line_crf_quality,
                             op5_ftrl_toxicity, op6_cuckoo_line_dedup, op7_source_mixing,
                             op8_multi_index_hashing, op9_merged_token_counts, op10_pivot_simhash,
-                            op12_shortest_pack_first, op13_slot_hard_negatives, pipeline)}
+                            op11_shared_term_search, op12_shortest_pack_first, op13_slot_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
