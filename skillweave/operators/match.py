@@ -9,20 +9,24 @@ query by score, ties broken by the concept ordinal.
 * dense (model slot): vectors, dot product in double precision, summed row by row so that equal vectors have equal
   scores wherever they lie.
 
-The index is cut into blocks of at most ``budget_bytes``; each block is broadcast and meets the queries where they
-lie, so queries are never shuffled and no query x concept pair becomes a row. A block hands on k rows per query,
-which are merged by one window if there is more than one block. Inside a task scores are computed for so many
-queries at a time that the score matrix stays within ``CHUNK_BYTES``.
+Index and queries are dealt by hash into blocks of bounded size, and every block of queries meets every block of the
+index in a task of its own (a cogroup on the two block numbers). A pair of blocks hands on k rows per query, merged by
+one window. Nothing is read by the driver, neither rows nor counts: the numbers of blocks are aggregates of the plan. A
+block of queries is about as large as the index blocks it meets, so no side is copied more often than the other's size
+asks for. Inside a task scores are computed for so many queries at a time that the score matrix stays within
+``CHUNK_BYTES``.
+
+The sparse index of a block is inverted: lists by trigram, each with the largest share it can add to a cosine. A query
+reads its rarest lists first; the k-th score found there is a bar, and lists which together cannot lift a concept over
+it are not read. The concepts met are scored exactly. Where that would cost more than reading all lists, they are read.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +34,10 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 16 << 20
 #: Scores this close to the k-th best are recomputed row by row before ranking.
 SLACK = 1e-9
+#: Blocks of queries are not made smaller than that.
+LEAST_BYTES = 256 << 10
+#: List entries of a query read to find the bar, times k; and how many reads of entries a look-up costs.
+SEED, LOOKUP = 8, 8
 
 
 # --------------------------------------------------------------------------
@@ -59,85 +67,236 @@ def chunk_rows(n_cols: int, chunk_bytes: int = 0) -> int:
     return max(1, (chunk_bytes or CHUNK_BYTES) // (8 * max(1, n_cols)))
 
 
+def _rows(vectors) -> np.ndarray:
+    return vectors if isinstance(vectors, np.ndarray) else np.vstack([np.asarray(x, dtype=np.float64) for x in vectors])
+
+
 class DenseBlock:
     """Index vectors in ordinal order."""
 
     def __init__(self, ords: np.ndarray, vectors) -> None:
         order = np.argsort(ords, kind="stable")
         self.ords = ords[order]
-        self.mat = np.vstack([np.asarray(vectors[i], dtype=np.float64) for i in order])
+        self.mat = _rows(vectors)[order]
 
     def best(self, queries, k: int):
         step = chunk_rows(len(self.ords))
         for at in range(0, len(queries), step):
-            q = np.vstack([np.asarray(x, dtype=np.float64) for x in queries[at:at + step]])
+            q = _rows(queries[at:at + step])
             rows, cols, values = top_k_rows(q @ self.mat.T, k, lambda r, c: (q[r] * self.mat[c]).sum(axis=1))
             yield rows + at, self.ords[cols], values
 
 
+def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, bounds) of the trigrams of texts: a trigram's three code points in one integer."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    grams = np.maximum(lengths - 2, 0)
+    bounds = np.concatenate(([0], np.cumsum(grams)))
+    at = np.arange(bounds[-1]) + np.repeat(np.cumsum(lengths) - lengths - bounds[:-1], grams)
+    return (points[at] << 42) | (points[at + 1] << 21) | points[at + 2], bounds
+
+
+def _listed(grams) -> tuple[np.ndarray, np.ndarray]:
+    """The same from lists of trigrams."""
+    if isinstance(grams, tuple):
+        return grams
+    codes, _ = codes_of([g.ljust(3, "\0") for x in grams for g in x])
+    return codes, np.concatenate(([0], np.cumsum([len(x) for x in grams]))).astype(np.int64)
+
+
+def _counted(owner: np.ndarray, code: np.ndarray, by_code: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, code, count) of the distinct pairs, in the order of owners or of codes."""
+    order = np.lexsort((owner, code) if by_code else (code, owner))
+    owner, code = owner[order], code[order]
+    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])))) if len(code) else order
+    return owner[new], code[new], np.diff(np.append(new, len(code)))
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start .. start + length - 1 of each list, one after another."""
+    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
 class GramBlock:
-    """Inverted lists of concept trigrams: gram -> (positions, counts)."""
+    """Inverted lists of a block of concepts by trigram, with score bounds.
+
+    Concepts and queries are lists of trigrams, or (codes, bounds) as ``codes_of`` gives them. ``touched`` counts the
+    list entries read and looked up."""
 
     def __init__(self, ords: np.ndarray, grams) -> None:
+        codes, bounds = _listed(grams)
         order = np.argsort(ords, kind="stable")
-        self.ords = ords[order]
-        self.norms, lists = np.zeros(len(order)), {}
-        for at, i in enumerate(order):
-            counts = Counter(grams[i])
-            self.norms[at] = math.sqrt(sum(n * n for n in counts.values()))
-            for g, n in counts.items():
-                lists.setdefault(g, ([], []))[0].append(at)
-                lists[g][1].append(n)
-        self.lists = {g: (np.array(p), np.array(n, dtype=np.int64)) for g, (p, n) in lists.items()}
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.ords, self.n = ords[order], len(order)
+        self.pos, code, self.tf = _counted(np.repeat(place, np.diff(bounds)), codes, True)
+        self.norms = np.sqrt(np.bincount(self.pos, weights=self.tf * self.tf, minlength=self.n))
+        self.codes, self.start = np.unique(code, return_index=True)
+        self.length = np.diff(np.append(self.start, len(code)))
+        self.key = np.repeat(np.arange(len(self.codes)), self.length) * self.n + self.pos
+        self.bound = np.maximum.reduceat(self.tf / self.norms[self.pos], self.start) if len(code) else np.zeros(0)
+        self.touched = 0
 
     def best(self, queries, k: int):
-        step = chunk_rows(len(self.ords))
-        for at in range(0, len(queries), step):
-            part = queries[at:at + step]
-            scores = np.zeros((len(part), len(self.ords)))
-            for r, grams in enumerate(part):
-                counts = Counter(grams)
-                dot = np.zeros(len(self.ords), dtype=np.int64)
-                for g, n in counts.items():
-                    if g in self.lists:
-                        places, own = self.lists[g]
-                        dot[places] += n * own
-                norm = math.sqrt(sum(n * n for n in counts.values())) * self.norms
-                np.divide(dot, norm, out=scores[r], where=norm > 0)
-            rows, cols, values = top_k_rows(scores, k)
+        codes, bounds = _listed(queries)
+        step = chunk_rows(self.n)
+        for at in range(0, len(bounds) - 1, step):
+            part = bounds[at:at + step + 1]
+            rows, cols, values = self._best(codes[part[0]:part[-1]], part - part[0], k)
             yield rows + at, self.ords[cols], values
 
+    def _best(self, codes: np.ndarray, bounds: np.ndarray, k: int):
+        n_queries = len(bounds) - 1
+        q, code, tf = _counted(np.repeat(np.arange(n_queries), np.diff(bounds)), codes, False)
+        norm = np.sqrt(np.bincount(q, weights=tf * tf, minlength=n_queries))
+        gram = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
+        known = self.codes[gram] == code if len(self.codes) else np.zeros(len(code), dtype=bool)
+        q, gram, tf = q[known], gram[known], tf[known]
+        order = np.lexsort((gram, self.length[gram], q))  # rarest lists of each query first
+        q, gram, tf = q[order], gram[order], tf[order]
+        first = np.searchsorted(q, np.arange(n_queries + 1))
+        size = self.length[gram]
+        before = _within(size, q, first) - size
+        kk = min(k, self.n)
+        total = np.bincount(q, weights=size, minlength=n_queries)
+        pruned = total > 4 * SEED * kk  # fewer entries are read as they are
+        read = before < SEED * kk
+        rows, cols = self._met(q, gram, read & pruned[q])
+        score = self._scored(rows, cols, q, gram, tf, first, norm)
+        bar = _kth(rows, score, n_queries, kk)
+        # a concept that has only the grams from here on reaches at most ``rest``
+        gain = tf * self.bound[gram] / norm[q]
+        rest = np.bincount(q, weights=gain, minlength=n_queries)[q] - (_within(gain, q, first) - gain)
+        needed = (rest >= bar[q] - SLACK) | read
+        entries = np.diff(first)
+        cost = np.bincount(q, weights=size * needed, minlength=n_queries) * (1 + LOOKUP * entries)
+        pruned &= (bar > 0) & (cost < total)
+        more_r, more_c = self._met(q, gram, needed & pruned[q])
+        found = [(more_r, more_c, self._scored(more_r, more_c, q, gram, tf, first, norm))]
+        found.append(self._all(np.flatnonzero(~pruned), q, gram, tf, norm, k))
+        # concepts without a common gram come last, by ordinal; k of them are enough, less those that were found
+        idle = np.flatnonzero(pruned)
+        have = np.unique(more_r * self.n + more_c)
+        fill = (np.repeat(idle, kk) * self.n + np.tile(np.arange(kk), len(idle)))
+        fill = fill[~np.isin(fill, have)]
+        found.append((fill // max(1, self.n), fill % max(1, self.n), np.zeros(len(fill))))
+        rows, cols, score = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((cols, -score, rows))
+        rows, cols, score = rows[order], cols[order], score[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n_queries))[rows] < kk
+        return rows[keep], cols[keep], score[keep]
+
+    def _met(self, q: np.ndarray, gram: np.ndarray, read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (query, concept) pairs of the lists read."""
+        size = self.length[gram[read]]
+        self.touched += int(size.sum())
+        cell = np.unique(np.repeat(q[read], size) * self.n + self.pos[_spread(self.start[gram[read]], size)])
+        return cell // max(1, self.n), cell % max(1, self.n)
+
+    def _scored(self, rows, cols, q, gram, tf, first, norm) -> np.ndarray:
+        """Exact scores of pairs: each of the query's grams is looked up in the concept."""
+        out = np.zeros(len(rows))
+        entries = first[rows + 1] - first[rows]
+        for a, b in _portions(entries, CHUNK_BYTES // 8):
+            e = _spread(first[rows[a:b]], entries[a:b])
+            pair = np.repeat(np.arange(b - a), entries[a:b])
+            key = gram[e] * self.n + cols[a:b][pair]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            out[a:b] = np.bincount(pair, weights=np.where(self.key[at] == key, tf[e] * self.tf[at], 0), minlength=b - a)
+            self.touched += len(e)
+        return np.divide(out, norm[rows] * self.norms[cols], out=np.zeros(len(rows)), where=out > 0)
+
+    def _all(self, queries: np.ndarray, q, gram, tf, norm, k: int):
+        """The best of ``queries`` by reading all their lists."""
+        local = np.full(len(norm), -1, dtype=np.int64)
+        local[queries] = np.arange(len(queries))
+        mine = local[q] >= 0
+        row, gram, tf = local[q[mine]], gram[mine], tf[mine]
+        size = self.length[gram]
+        self.touched += int(size.sum())
+        dot = np.zeros(len(queries) * self.n)
+        for a, b in _portions(size, CHUNK_BYTES // 8):
+            e = _spread(self.start[gram[a:b]], size[a:b])
+            owner = np.repeat(np.arange(a, b), size[a:b])
+            cell = row[owner] * self.n + self.pos[e]
+            low = int(row[a]) * self.n  # the portion's rows only
+            held = np.bincount(cell - low, weights=tf[owner] * self.tf[e])
+            dot[low:low + len(held)] += held
+        scores = dot.reshape(len(queries), self.n)
+        bottom = norm[queries][:, None] * self.norms
+        scores = np.divide(scores, bottom, out=np.zeros_like(scores), where=bottom > 0)
+        rows, cols, values = top_k_rows(scores, k)
+        return queries[rows], cols, values
+
+
+def _within(values: np.ndarray, q: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running sums inside each query."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    return total[1:] - total[first[q]]
+
+
+def _kth(rows: np.ndarray, score: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-th highest score of each row, 0 where there are fewer."""
+    order = np.lexsort((-score, rows))
+    first = np.searchsorted(rows, np.arange(n + 1))
+    out, enough = np.zeros(n), np.diff(first) >= k
+    out[enough] = score[order][first[:-1][enough] + k - 1] if k else 0
+    return out
+
+
+def _portions(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges whose sizes add up to at most ``limit``, or a single larger one."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, side="right"))
+        yield at, max(end, at + 1)
+        at = max(end, at + 1)
+
 
 # --------------------------------------------------------------------------
 # matcher
 # --------------------------------------------------------------------------
-def _match(queries: DataFrame, index: DataFrame, k: int, value: str, block_type, row_bytes: int, n_rows: int,
-           budget_bytes: int) -> DataFrame:
-    """queries (key, value), index (ord, value) -> (key, rank, ord, score); one pass over queries per index block."""
-    spark = queries.sparkSession
+def _match(queries: DataFrame, index: DataFrame, k: int, value: str, held: DataFrame, asked: DataFrame,
+           block_type: Callable, read: Callable, budget_bytes: int) -> DataFrame:
+    """queries (model_id, key, value), index (model_id, ord, value) -> (model_id, key, rank, ord, score).
+
+    ``held`` (model_id, held) and ``asked`` (model_id, asked) state the bytes of both sides in memory, ``read`` makes a
+    block's values of an Arrow column."""
+    # columns of their own for each side, which may be the same table
+    queries = queries.select(*[F.col(c).alias(c) for c in ("model_id", "key", value)])
+    index = index.select(*[F.col(c).alias(c) for c in ("model_id", "ord", value)])
+    own = held.withColumn("n_index", F.greatest(F.ceil(F.col("held") / budget_bytes), F.lit(1)))
+    block = F.greatest(F.lit(float(min(LEAST_BYTES, budget_bytes))), F.col("held") / F.col("n_index"))
+    blocks = own.join(asked, "model_id").select(
+        "model_id", "n_index", F.greatest(F.ceil(F.col("asked") / block), F.lit(1)).alias("n_query"))
+    blocks = F.broadcast(blocks)  # one row for each model
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one_of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    left = queries.join(blocks, "model_id").select(F.col("model_id").alias("model_id"), one_of("key", "n_query").alias("qb"),
+                                                   all_of("n_index").alias("ib"), "key", value)
+    right = index.join(blocks, "model_id").select(F.col("model_id").alias("model_id"), all_of("n_query").alias("qb"),
+                                                  one_of("ord", "n_index").alias("ib"), "ord", F.col(value).alias("own"))
     kind = queries.schema["key"].dataType.simpleString()
-    blocks = max(1, math.ceil(n_rows * max(1, row_bytes) / max(1, budget_bytes)))
-    parts = []
-    for b in range(blocks):
-        rows = index if blocks == 1 else index.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == b)
-        pdf = rows.select("ord", value).toPandas()  # one block, at most about budget_bytes
-        if pdf.empty:
-            continue
-        shared = spark.sparkContext.broadcast(block_type(pdf["ord"].to_numpy(np.int64), pdf[value].tolist()))
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                keys = batch["key"].to_numpy()
-                for rows, ords, scores in shared.value.best(batch[value].tolist(), k):
-                    yield pd.DataFrame({"key": keys[rows], "ord": ords, "score": scores})
-
-        parts.append(queries.select("key", value).mapInPandas(run, f"key {kind}, ord long, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"key {kind}, ord long, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return rank_top_k(found, k, "key")
+
+    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asked.num_rows and block.num_rows:
+            parts += block_type(block["ord"].to_numpy(), read(block["own"])).best(read(asked[value]), k)
+        rows, ords, scores = (np.concatenate(x) for x in zip(*parts))
+        rows = pa.array(rows.astype(np.int64))
+        return pa.table({"model_id": asked["model_id"].take(rows), "key": asked["key"].take(rows),
+                         "ord": ords.astype(np.int64), "score": scores})
+
+    by = ["model_id", "qb", "ib"]
+    found = (left.groupBy(*by).cogroup(right.groupBy(*by))
+             .applyInArrow(run, f"model_id string, key {kind}, ord long, score double"))
+    return rank_top_k(found, k, "model_id", "key").select("model_id", "key", "rank", "ord", "score")
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), -1)
 
 
 def rank_top_k(scored: DataFrame, k: int, *part: str) -> DataFrame:
@@ -148,42 +307,45 @@ def rank_top_k(scored: DataFrame, k: int, *part: str) -> DataFrame:
 
 def trigrams(text):
     """All character trigrams of ' ' || lower(text) || ' ', repeats included; none for shorter texts."""
-    padded = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-    return F.when(F.length(padded) >= 3, F.transform(F.sequence(F.lit(1), F.length(padded) - 2),
-                                                     lambda i: F.substring(padded, i, 3))
+    whole = padded(text)
+    return F.when(F.length(whole) >= 3, F.transform(F.sequence(F.lit(1), F.length(whole) - 2),
+                                                    lambda i: F.substring(whole, i, 3))
                   ).otherwise(F.array().cast("array<string>"))
 
 
+def padded(text):
+    """The text that trigrams are taken from."""
+    return F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+
+
 def sparse_top_k(queries: DataFrame, concepts: DataFrame, k: int, budget_bytes: int = 64 << 20,
                  q_key: str = "key", q_text: str = "text") -> DataFrame:
     """Top-k concepts (ord, pref_label) per query text by trigram cosine: (key, rank, ord, score)."""
-    size = concepts.agg(F.count("*").alias("n"), F.max(F.length("pref_label")).alias("c")).first()
-    q = queries.select(F.col(q_key).alias("key"), trigrams(F.col(q_text)).alias("grams"))
-    index = concepts.select("ord", trigrams(F.col("pref_label")).alias("grams"))
-    # a trigram and its list entries take about 100 bytes in Python
-    return _match(q, index, k, "grams", GramBlock, 100 * int(size["c"] or 1), size["n"], budget_bytes)
+    model = F.lit("trigram").alias("model_id")
+    q = queries.select(model, F.col(q_key).alias("key"), padded(F.col(q_text)).alias("text"))
+    index = concepts.select(model, "ord", padded(F.col("pref_label")).alias("text"))
+    # a trigram and its list entries take about 100 bytes
+    size = lambda df, name: df.groupBy("model_id").agg((100 * F.sum(F.length("text"))).cast("double").alias(name))
+    return _match(q, index, k, "text", size(index, "held"), size(q, "asked"), GramBlock,
+                  lambda column: codes_of(column.to_pylist()), budget_bytes).drop("model_id")
 
 
 def dense_top_k(queries: DataFrame, index: DataFrame, k: int, budget_bytes: int = 64 << 20,
-                exclude_self: bool = False) -> DataFrame:
+                exclude_self: bool = False, counted: DataFrame | None = None) -> DataFrame:
     """Top-k index rows per (model_id, query key) by dot product.
 
     queries: (model_id, key, vec array<double>); index: (model_id, ord long, vec). Output: (model_id, key, rank, ord,
     score). With ``exclude_self`` (queries and index are the same set, key = ord) the k best other rows are returned:
-    the k + 1 best hold them whether or not the row itself is among those."""
+    the k + 1 best hold them whether or not the row itself is among those. ``counted`` (model_id) has a row for each
+    query and is counted in place of ``queries``, whose vectors may be costly to make."""
     if exclude_self:
         top = dense_top_k(queries, index, k + 1, budget_bytes)
         return rank_top_k(top.filter(F.col("ord") != F.col("key")).drop("rank"), k, "model_id", "key")
-    out = None
-    for r in index.groupBy("model_id").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).collect():
-        own = F.col("model_id") == r["model_id"]
-        part = _match(queries.where(own), index.where(own), k, "vec", DenseBlock, 8 * int(r["d"] or 1), r["n"],
-                      budget_bytes).withColumn("model_id", F.lit(r["model_id"]))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        kind = queries.schema["key"].dataType.simpleString()
-        return queries.sparkSession.createDataFrame([], f"model_id string, key {kind}, rank int, ord long, score double")
-    return out.select("model_id", "key", "rank", "ord", "score")
+    held = index.groupBy("model_id").agg((8 * F.sum(F.size("vec"))).cast("double").alias("held"),
+                                         (8 * F.max(F.size("vec"))).alias("row"))
+    n = (queries if counted is None else counted).groupBy("model_id").agg(F.count("*").alias("n"))
+    asked = n.join(F.broadcast(held), "model_id").select("model_id", (F.col("n") * F.col("row")).cast("double").alias("asked"))
+    return _match(queries, index, k, "vec", held.drop("row"), asked, DenseBlock, _vectors, budget_bytes)
 
 
 def decide(matches: DataFrame, threshold: float) -> DataFrame:

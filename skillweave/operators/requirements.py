@@ -20,6 +20,7 @@ from skillweave.functions.levels import level_is_fallback, required_level
 from skillweave.functions.text import encoder_prefix, short_hash
 from skillweave.operators.encode import encoder_slot
 from skillweave.operators.match import decide, dense_top_k, sparse_top_k
+from skillweave.session import written
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, salt_of: str, buckets: int,
@@ -49,10 +50,11 @@ def map_spans(spans: DataFrame, concepts: DataFrame, top_k: int, threshold: floa
     if encode is None:
         top = sparse_top_k(q, c, top_k, q_key="key", q_text="qtext")
     else:
-        index = vectors if vectors is not None else encoder_slot(c, encode, "ord", "pref_label", encoder).select(
-            F.col("key").alias("ord"), "vec")
+        index = vectors if vectors is not None else written(encoder_slot(c, encode, "ord", "pref_label", encoder).select(
+            F.col("key").alias("ord"), "vec"), "concept-vectors")
         top = dense_top_k(encoder_slot(q, encode, "key", "qtext", encoder),
-                          index.select(F.lit(encoder).alias("model_id"), "ord", "vec"), top_k).drop("model_id")
+                          index.select(F.lit(encoder).alias("model_id"), "ord", "vec"), top_k,
+                          counted=q.select(F.lit(encoder).alias("model_id"))).drop("model_id")
     uris = concepts.select("ord", F.col("uri").alias("concept_uri"))
     matches = decide(top.join(uris, "ord"), threshold).withColumnRenamed("key", "text")
     # span_ord and requirement_kind ride along, so consolidation needs no second span join

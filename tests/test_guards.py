@@ -7,8 +7,6 @@ ROOT = pathlib.Path(__file__).resolve().parents[1] / "skillweave"
 
 # (file, function) pairs allowed to act on the driver, each reading a bounded table:
 ALLOWED = {
-    ("operators/match.py", "_match"),             # one block of the index, of a bounded size
-    ("operators/match.py", "dense_top_k"),        # per-model row count and width of the index
     ("functions/bitmaps.py", "slot_bitmap"),      # a bitmap of fixed size
     ("operators/tagger.py", "dictionary_sizes"),  # distinct (model, n) pairs of a dictionary
     ("sources/adverts.py", "read_postings"),      # first invalid advert, limit(1), strict mode only
