@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from skillweave.functions.levels import level_is_fallback, required_level
 from skillweave.functions.text import encoder_prefix, short_hash
 from skillweave.operators.encode import encoder_slot
+from skillweave.operators.fold import CHUNK, ordered_fold
 from skillweave.operators.match import decide, dense_top_k, sparse_top_k
 from skillweave.session import written
 
@@ -78,12 +79,10 @@ MAPPING_COLUMNS = ["id", "span_id", "posting_id", "concept_uri", "score", "decis
 
 
 def accepted_from_mappings(mappings: DataFrame) -> DataFrame:
-    """Accepted mappings in the consolidation input shape, partitioned by posting once
-    (the fold's groupBy and the numbering window both reuse it)."""
+    """Accepted mappings in the consolidation input shape."""
     return (mappings.filter(F.col("decision") == "accepted")
             .select("posting_id", "span_ord", F.col("span_id").alias("id"), "concept_uri",
-                    F.col("score").alias("mapping_score"), "requirement_kind")
-            .repartition("posting_id"))
+                    F.col("score").alias("mapping_score"), "requirement_kind"))
 
 
 def accepted_spans(spans: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -94,32 +93,24 @@ def accepted_spans(spans: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def consolidate(accepted: DataFrame, postings: DataFrame, level_map: dict, fallback: str,
-                key: str = "id") -> DataFrame:
-    """Requirements per (posting, concept) by the ordered fold.
+                key: str = "id", chunk: int = CHUNK) -> DataFrame:
+    """Requirements per (posting, concept) by the ordered fold, merged from summaries of chunks (``fold``).
 
     accepted: (posting_id, span_ord, id, concept_uri, mapping_score, requirement_kind).
     """
-    item = F.struct(F.col("span_ord").alias("o"), F.col("id").alias("span_id"),
-                    F.col("mapping_score").alias("score"), F.col("requirement_kind").alias("kind"))
-    grouped = accepted.groupBy("posting_id", "concept_uri").agg(F.sort_array(F.collect_list(item)).alias("l"))
-    first = F.col("l")[0]
-
-    def step(cur, x):
-        replace = (x["score"] > cur["score"]) | ((cur["kind"] == "nice_to_have") & (x["kind"] == "must"))
-        return F.when(replace, x).otherwise(cur)
-
-    won = grouped.select("posting_id", "concept_uri", first["o"].alias("first_ord"),
-                         F.aggregate(F.slice("l", 2, F.size("l")), first, step).alias("w"))
+    won = ordered_fold(accepted, ["posting_id", "concept_uri"], "span_ord", "mapping_score",
+                       F.col("requirement_kind") == "must", "id", chunk)
     w = Window.partitionBy("posting_id").orderBy("first_ord")
     levels = postings.select(F.col(key).alias("posting_id"), "isco_group")
-    out = won.withColumn("req_ord", F.row_number().over(w).cast("long")).join(levels, "posting_id")
+    out = (won.withColumnRenamed("id", "span_id").withColumn("req_ord", F.row_number().over(w).cast("long"))
+           .join(levels, "posting_id"))
     return out.select(
         F.concat(F.lit("req-"), short_hash("posting_id", "concept_uri")).alias("id"),
         "posting_id", "req_ord",
         F.col("concept_uri").alias("refers_to_competence"),
         required_level("isco_group", level_map, fallback).alias("required_level"),
         level_is_fallback("isco_group", level_map).alias("level_is_fallback"),
-        F.col("w.kind").alias("requirement_kind"),
-        F.col("w.score").alias("provenance_confidence"),
-        F.col("w.span_id").alias("span_id"),
+        F.when(F.col("must"), "must").otherwise("nice_to_have").alias("requirement_kind"),
+        F.col("score").alias("provenance_confidence"),
+        F.col("span_id"),
     )

@@ -295,7 +295,7 @@ ORACLE.update({
     "dense_requirements": build(["dmatch"], f"""
         SELECT posting_id, req_ord, concept_uri AS refers_to_competence, kind AS requirement_kind,
                round(score, 4) AS provenance_confidence, span_id
-        FROM ({_fold(f'''(SELECT CAST(key % 20 AS VARCHAR) AS posting_id, CAST(ord % 7 AS VARCHAR) AS concept_uri,
+        FROM ({_fold(f'''(SELECT CAST(key // 50 AS VARCHAR) AS posting_id, CAST(ord % 7 AS VARCHAR) AS concept_uri,
                                  key AS o, CAST(key AS VARCHAR) AS span_id, score,
                                  CASE WHEN (key // 5) % 2 = 0 THEN 'must' ELSE 'nice_to_have' END AS kind
                           FROM dmatch WHERE model_id = 'plain' AND rank = 1 AND score >= {B.DENSE_FOLD_THRESHOLD})''')})"""),

@@ -155,11 +155,11 @@ def q_encoder_comparison(spark, sf):
 
 
 def q_dense_requirements(spark, sf):
-    """Consolidation fold on dense top-1 matches regrouped into many-span groups."""
+    """Consolidation fold on dense top-1 matches, 50 neighbouring vectors making a posting."""
     from skillweave.operators.requirements import consolidate
     m = _dense(spark, sf, "plain").filter((F.col("rank") == 1) & (F.col("score") >= B.DENSE_FOLD_THRESHOLD))
     acc = m.select(
-        (F.col("key") % 20).cast("string").alias("posting_id"),
+        F.floor(F.col("key") / 50).cast("string").alias("posting_id"),
         F.col("key").alias("span_ord"),
         F.col("key").cast("string").alias("id"),
         (F.col("ord") % 7).cast("string").alias("concept_uri"),
