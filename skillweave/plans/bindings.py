@@ -60,20 +60,33 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def with_faults(raw: DataFrame, number) -> DataFrame:
-    """Raw adverts, all fields strings, with one kind of fault for some ``number`` mod 29."""
+def with_faults(raw: DataFrame, number, *more: str) -> DataFrame:
+    """Raw adverts, all fields strings, with one kind of fault for some ``number`` mod 29; columns ``more`` stay."""
     m = number % 29
     fault = lambda c, k, v: F.when(m == k, F.lit(v).cast("string")).otherwise(F.col(c).cast("string")).alias(c)
     return raw.select(
         F.when(m == 1, F.lit(None)).when(m.isin(2, 3), F.concat(F.lit("twin-"), F.floor(number / 29).cast("string")))
         .otherwise(F.col("id")).alias("id"),
         "source_uri", fault("crawl_date", 4, "01.01.2024"), fault("platform", 5, None), "employer",
-        fault("posting_date", 6, "2024-02-30"), fault("title", 7, None), "raw_text", fault("isco_group", 8, "drei"))
+        fault("posting_date", 6, "2024-02-30"), fault("title", 7, None), "raw_text", fault("isco_group", 8, "drei"), *more)
 
 
-def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw adverts as JSON texts (``value``), further faults among them that only JSON can state, by the advert's
+    number mod 29: a number (9) or a list (10) for a title, 3.0 (11), 3.5 (12) or a truth value (13) for isco_group,
+    an object cut off (14), a text in place of an object (15); a null title (16) and a number for raw_text (17)."""
     p = postings(spark, sf_dir)
-    return with_faults(p, F.regexp_extract("id", r"([0-9]+)$", 1).cast("long"))
+    number = F.regexp_extract("id", r"([0-9]+)$", 1).cast("long")
+    raw = with_faults(p.withColumn("n", number), F.col("n"), "n")
+    m = F.col("n") % 29
+    fields = [c for c in raw.columns if c != "n"]
+    js = lambda **kw: F.to_json(F.struct(*[kw.get(c, F.col(c)).alias(c) for c in fields]), {"ignoreNullFields": "false"})
+    plain = js()
+    return raw.select(
+        F.when(m == 9, js(title=F.lit(2024))).when(m == 10, js(title=F.array("title"))).when(m == 11, js(isco_group=F.lit(3.0)))
+        .when(m == 12, js(isco_group=F.lit(3.5))).when(m == 13, js(isco_group=F.lit(True))).when(m == 14, F.substring(plain, 1, 40))
+        .when(m == 15, F.concat(F.lit('"'), F.col("id"), F.lit('"'))).when(m == 16, js(title=F.lit(None).cast("string")))
+        .when(m == 17, js(raw_text=F.lit(17))).otherwise(plain).alias("value"))
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

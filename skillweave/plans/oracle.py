@@ -324,12 +324,22 @@ def _faults(src: str) -> str:
          CASE WHEN m = 4 THEN '01.01.2024' ELSE crawl_date END AS crawl_date, CASE WHEN m = 5 THEN NULL ELSE platform END AS platform,
          employer, CASE WHEN m = 6 THEN '2024-02-30' ELSE posting_date END AS posting_date,
          CASE WHEN m = 7 THEN NULL ELSE title END AS title, raw_text,
-         CASE WHEN m = 8 THEN 'drei' ELSE CAST(isco_group AS VARCHAR) END AS isco_group
+         CASE WHEN m = 8 THEN 'drei' ELSE CAST(isco_group AS VARCHAR) END AS isco_group, m
   FROM (SELECT *, num % 29 AS m FROM (SELECT *, CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS num FROM {src}))"""
 
 
 frag("raw_pages", _faults("page_postings"), ["page_postings"])
-frag("raw_postings", _faults("postings"), ["postings"])
+frag("raw_postings", f"""
+  SELECT CASE WHEN cut THEN NULL ELSE id END AS id, CASE WHEN cut THEN NULL ELSE source_uri END AS source_uri,
+         CASE WHEN cut THEN NULL ELSE crawl_date END AS crawl_date, CASE WHEN cut THEN NULL ELSE platform END AS platform,
+         CASE WHEN cut THEN NULL ELSE employer END AS employer, CASE WHEN cut THEN NULL ELSE posting_date END AS posting_date,
+         CASE WHEN cut OR k IN (9, 10, 16) THEN NULL ELSE title END AS title,
+         CASE WHEN cut OR k = 17 THEN NULL ELSE raw_text END AS raw_text,
+         CASE WHEN cut THEN NULL WHEN k = 11 THEN '3' WHEN k = 12 THEN '3.5' WHEN k = 13 THEN 'true' ELSE isco_group END AS isco_group,
+         CASE WHEN k IN (9, 10) THEN 'title' WHEN k = 17 THEN 'raw_text' WHEN k = 14 THEN 'json' WHEN k = 15 THEN 'record' END AS wrong,
+         CASE WHEN k = 14 THEN substr('{{"id":"' || id || '","source_uri":"' || source_uri || '","crawl_date"', 1, 40)
+              WHEN k = 15 THEN '"' || id || '"' END AS record
+  FROM (SELECT *, m AS k, m IN (14, 15) AS cut FROM ({_faults("postings")}))""", ["postings"])
 
 frag("overlap", """
   SELECT s.posting_id, s.id, s.extractor, s.char_start, s.char_end, s.text, s.span_type,
@@ -338,11 +348,14 @@ frag("overlap", """
   FROM spans s""", ["spans"])
 
 _REQ = ["id", "source_uri", "crawl_date", "platform", "employer", "posting_date", "title", "raw_text"]
-_checks = ", ".join([f"CASE WHEN {c} IS NULL THEN 'missing:{c}' END" for c in _REQ]
-                    + ["CASE WHEN isco_group IS NOT NULL AND try_cast(isco_group AS INTEGER) IS NULL THEN 'bad_type:isco_group' END"]
-                    + [f"CASE WHEN {c} IS NOT NULL AND try_strptime({c}, '%Y-%m-%d') IS NULL THEN 'bad_date:{c}' END"
-                       for c in ("crawl_date", "posting_date")]
-                    )
+_isco = "CASE WHEN isco_group IS NOT NULL AND coalesce(try_cast(isco_group AS DOUBLE) % 1, 1) <> 0 THEN 'bad_type:isco_group' END"
+_checks = ", ".join([f"CASE WHEN {c} IS NULL THEN 'missing:{c}' END" for c in _REQ] + [_isco])
+_json_checks = ", ".join(
+    ["CASE WHEN wrong = 'json' THEN 'bad_json' WHEN wrong = 'record' THEN 'bad_type:record' END"]
+    + [f"CASE WHEN wrong = '{c}' THEN 'bad_type:{c}' WHEN coalesce(wrong, '') NOT IN ('json', 'record') AND {c} IS NULL "
+       f"THEN 'missing:{c}' END" for c in _REQ] + [_isco])
+_odd = ", ".join(f"CASE WHEN {c} IS NOT NULL AND try_strptime({c}, '%Y-%m-%d') IS NULL THEN 'bad_date:{c}' END"
+                 for c in ("crawl_date", "posting_date"))
 _PROFILES = __import__('skillweave.config', fromlist=['x']).ENCODER_PROFILES
 _ENC_VALUES = ", ".join(f"('{m}', '{mode}', '{p.get(mode + '_prefix', '')}')" for m, p in _PROFILES.items()
                         for mode in ("query", "passage"))
@@ -384,16 +397,16 @@ ORACLE.update({
                '{__import__('skillweave.config', fromlist=['x']).DEFAULT.data_ns}req_' || substr(h, 1, 8) || '_' AS req_uri_prefix
         FROM (SELECT *, {_H} AS h FROM page_postings)"""),
     "posting_checks": build(["raw_pages"], f"""
-        SELECT id, source_uri, concat_ws('|', nullif(own, ''), CASE WHEN n_same_id > 1 THEN 'duplicate_id' END) AS reasons,
-               own = '' AS is_valid, n_same_id
-        FROM (SELECT *, concat_ws('|', {_checks}) AS own,
+        SELECT id, source_uri, concat_ws('|', nullif(own, ''), nullif(odd, ''), CASE WHEN n_same_id > 1 THEN 'duplicate_id' END)
+                 AS reasons, own = '' AS is_valid, n_same_id
+        FROM (SELECT *, concat_ws('|', {_checks}) AS own, concat_ws('|', {_odd}) AS odd,
                      CASE WHEN id IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY id) END AS n_same_id FROM raw_pages)"""),
     "postings_json": build(["raw_postings"], f"""
         SELECT id, source_uri, crawl_date, platform, employer, posting_date, title, raw_text,
-               CAST(isco_group AS INTEGER) AS isco_group
-        FROM (SELECT * FROM raw_postings WHERE concat_ws('|', {_checks}) = '')"""),
+               CAST(isco_group AS INTEGER) AS isco_group, concat_ws('|', {_odd}) AS quality
+        FROM (SELECT * FROM raw_postings WHERE concat_ws('|', {_json_checks}) = '')"""),
     "rejects": build(["raw_postings"], f"""
-        SELECT id, source_uri, reasons FROM (SELECT *, concat_ws('|', {_checks}) AS reasons FROM raw_postings)
+        SELECT id, source_uri, reasons, record FROM (SELECT *, concat_ws('|', {_json_checks}) AS reasons FROM raw_postings)
         WHERE reasons <> ''"""),
     "concepts_json": f"""SELECT '{CONCEPT_NS}' || CAST(item_id AS VARCHAR) AS uri, text AS pref_label,
                            CAST(0 AS BIGINT) AS n_alt_labels, CAST(NULL AS VARCHAR) AS definition,

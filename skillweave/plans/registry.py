@@ -231,19 +231,25 @@ def q_posting_checks(spark, sf):
     return validate_postings(B.raw_pages(spark, sf))
 
 
-def q_postings_json(spark, sf):
-    """Raw adverts, faults among them, written as JSON lines and read by the reader: the accepted ones."""
+def _raw_from_json(spark, sf):
+    """Raw adverts, faults among them, written as JSON lines and read by the reader."""
     from skillweave.session import scratch_path
-    from skillweave.sources.adverts import read_postings
+    from skillweave.sources.adverts import read_raw
     path = scratch_path(spark, "adverts-json")
-    B.raw_postings(spark, sf).write.json(path)
-    return read_postings(spark, path, multiline=False)
+    B.json_lines(spark, sf).write.text(path)
+    return read_raw(spark, path, multiline=False)
+
+
+def q_postings_json(spark, sf):
+    """The valid adverts of JSON lines, typed, with what is odd about them."""
+    from skillweave.sources.adverts import accepted, quality
+    return accepted(_raw_from_json(spark, sf)).withColumn("quality", quality())
 
 
 def q_rejects(spark, sf):
-    """The other adverts of ``postings_json``, with their reasons."""
+    """The other lines, with their reasons, and the text of those that are no JSON object."""
     from skillweave.sources.adverts import rejected
-    return rejected(B.raw_postings(spark, sf)).select("id", "source_uri", "reasons")
+    return rejected(_raw_from_json(spark, sf)).select("id", "source_uri", "reasons", "record")
 
 
 def q_concepts_json(spark, sf):

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from skillweave.config import DEFAULT, Config
 from skillweave.plans.flow import Flow
 from skillweave.session import ensure_checkpoint_dir
-from skillweave.sources.adverts import _RAW, accepted, rejected
+from skillweave.sources.adverts import accepted, parsed, rejected
 
 
 def advert_stream(spark: SparkSession, in_dir: str, max_files: int = 100) -> DataFrame:
-    """Streaming DataFrame of all rows of the JSON-lines files in ``in_dir``, every field as string."""
-    return spark.readStream.schema(_RAW).option("maxFilesPerTrigger", max_files).json(in_dir)
+    """Streaming DataFrame of all lines of the JSON-lines files in ``in_dir``, as ``read_raw`` gives them."""
+    return parsed(spark.readStream.option("maxFilesPerTrigger", max_files).text(in_dir))
 
 
 def write_epoch(df: DataFrame, epoch: int, out_dir: str, concepts: DataFrame, dictionary: DataFrame,

@@ -62,7 +62,8 @@ def test_accepted_and_rejected_are_all_rows(spark):
             ("a", "u", "2024-01-01", "x", "e", "2024-01-01", "t", "txt", "3"),
             ("b", "u", "2024-01-01", "x", "e", "2024-01-32", "t", "txt", None)]
     raw = spark.createDataFrame(rows, adverts._RAW)
-    assert adverts.accepted(raw).count() == 2 and adverts.rejected(raw).count() == 3
+    # a date that is no date costs no advert
+    assert adverts.accepted(raw).count() == 3 and adverts.rejected(raw).count() == 2
     assert {r.n_same_id for r in adverts.validate_postings(raw).filter("id is null").collect()} == {1}
 
 
@@ -106,3 +107,54 @@ def test_a_cluster_needs_a_shared_folder():
             get = staticmethod(lambda k, d: d)
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Bare)
+
+
+def test_types_of_json_fields_are_seen(spark):
+    import json
+    import os
+    import tempfile
+    good = {"id": "a", "source_uri": "u", "crawl_date": "01.02.2024", "platform": "p", "employer": "e",
+            "posting_date": "2024-01-01", "title": "t", "raw_text": "x \"y\"\nz ä", "isco_group": 3.0}
+    lines = [json.dumps(x) for x in (
+        good, good | {"id": "b", "isco_group": "7"}, good | {"id": "c", "title": 5}, good | {"id": "d", "raw_text": ["x"]},
+        good | {"id": "e", "employer": {"n": 1}}, good | {"id": "f", "isco_group": 2.5}, good | {"id": "g", "isco_group": True},
+        good | {"id": "h", "isco_group": 10**12}, good | {"id": "i", "isco_group": None}, good | {"id": None}, {"id": "k"})]
+    lines += ['{"id": "cut', "[1]", "7", "", "  ", '{"id": "m"}}', '{"id": "n"} {"id": "o"}', '{"id": "q"},']
+    folder = tempfile.mkdtemp(prefix="adverts-typed-")
+    with open(os.path.join(folder, "x.json"), "w", encoding="utf-8") as f:
+        f.write("\n".join(lines))
+    raw = adverts.read_raw(spark, folder, multiline=False)
+    ok = {r.id: (r.isco_group, r.crawl_date) for r in adverts.accepted(raw).collect()}
+    assert ok == {"a": (3, "01.02.2024"), "b": (7, "01.02.2024"), "i": (None, "01.02.2024")}
+    assert adverts.accepted(raw).where("id = 'a'").first().raw_text == good["raw_text"]
+    bad = sorted((r.id or "", r.reasons, r.record) for r in adverts.rejected(raw).collect())
+    assert [(i, x) for i, x, _ in bad if i and i != "k"] == [
+        ("c", "bad_type:title"), ("d", "bad_type:raw_text"), ("e", "bad_type:employer"), ("f", "bad_type:isco_group"),
+        ("g", "bad_type:isco_group"), ("h", "bad_type:isco_group")]
+    assert [(x, t) for i, x, t in bad if not i] == [
+        ("bad_json", '{"id": "cut'), ("bad_json", '{"id": "m"}}'), ("bad_json", '{"id": "n"} {"id": "o"}'),
+        ("bad_json", '{"id": "q"},'), ("bad_type:record", "7"),
+                                                   ("bad_type:record", "[1]"), ("missing:id", None)]
+    assert next(x for i, x, _ in bad if i == "k").startswith("missing:source_uri|missing:crawl_date")
+    odd = {r.id: (r.is_valid, r.reasons) for r in adverts.validate_postings(raw).collect()}
+    assert odd["a"] == (True, "bad_date:crawl_date")
+
+
+def test_an_array_of_a_file_is_split_and_a_broken_file_is_a_reject(spark):
+    import os
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="adverts-array-")
+    for name, text in (("a", '[{"id": "x"}, 5, {"id": 6}]'), ("b", '[{"id": '), ("c", "[]")):
+        with open(os.path.join(folder, f"{name}.json"), "w", encoding="utf-8") as f:
+            f.write(text)
+    got = sorted((r.id or "", r.reasons.split("|")[0]) for r in adverts.rejected(adverts.read_raw(spark, folder)).collect())
+    assert got == [("", "bad_json"), ("", "bad_type:id"), ("", "bad_type:record"), ("x", "missing:source_uri")]
+
+
+def test_typed_columns_of_parquet(spark):
+    path = scratch_path(spark, "typed-adverts")
+    spark.createDataFrame([("a", "u", "d", "p", "e", "d", 5, "x", 3.0), ("b", "u", "d", "p", "e", "d", None, "x", 3.5)],
+                          "id string, source_uri string, crawl_date string, platform string, employer string, posting_date string, "
+                          "title long, raw_text string, isco_group double").write.parquet(path)
+    got = {r.id: r.reasons for r in adverts.rejected(adverts.read_raw(spark, path, "parquet")).collect()}
+    assert got == {"a": "bad_type:title", "b": "missing:title|bad_type:isco_group"}
