@@ -12,10 +12,9 @@ spread) and meet their slots by rank. The slots are broadcast: their number depe
 Tails travel with their ids only if their length is among those that are cut; their checksums are then made anew.
 
 Defined results: a null or empty text has the end id only. Each row is a document, repeated rows and rows sharing or
-lacking a doc_id too. Texts of any length are taken whole; a long one is tokenised in parts at blanks where the
-tokenizer cuts anyway (tokenizers whose rules do not allow that get it in one). Extra columns, whatever their names,
-are not read. An empty table gives no rows. Which of the documents of one length share a sequence is not defined beyond
-that reading the same files gives the same.
+lacking a doc_id too. Texts of any length are taken whole. Extra columns, whatever their names, are not read. An empty
+table gives no rows. Which of the documents of one length share a sequence is not defined beyond that reading the same
+files gives the same.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from __future__ import annotations
 import heapq
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,14 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillweave.llm.common import slices, text_buffers
+from skillweave.llm.token_counts import _byte_symbols
 from skillweave.session import scratch_path
 
 SIZE, END_ID = 1024, 0
 #: Pieces in a bucket, the unit of ranking.
 BUCKET_ROWS = 1 << 14
-#: Characters of a long text tokenised at a time.
-PART_CHARS = 1 << 16
-_BLANK = re.compile(r"\w (?=\w)")
+#: Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 # ---- the plan: from a histogram to patterns ---------------------------------------------------------------------
@@ -176,21 +174,59 @@ class Places:
 
 # ---- pieces -----------------------------------------------------------------------------------------------------
 
-def _may_part(spec: dict) -> bool:
-    """Whether a blank between two word characters always starts a new pre-token."""
-    pre = spec.get("pre_tokenizer") or {}
-    return (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
-            and not pre.get("add_prefix_space") and not any(
-                " " in t["content"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec.get("added_tokens", [])))
+def _byte_level_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The vocabulary by bytes, where ids are the order of merges and a text is cut by BYTE_LEVEL only; else None."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    added = spec.get("added_tokens", [])
+    vocab = {t: i for t, i in model["vocab"].items() if t not in {x["content"] for x in added}}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    byte_of = {c: i for i, c in enumerate(_byte_symbols())}
+    if (spec.get("normalizer") is not None or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True)
+            or pre.get("add_prefix_space") or spec.get("post_processor") is not None or model.get("type") != "BPE"
+            or model.get("ignore_merges") or model.get("dropout") or model.get("end_of_word_suffix")
+            or model.get("continuing_subword_prefix") or any(x["normalized"] for x in added)
+            or len(vocab) != 256 + len(pairs) or not set("".join(vocab)) <= byte_of.keys()
+            or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs))):
+        return None
+    return {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items()}
+
+
+class Encoder:
+    """Token ids of texts as the tokenizer library gives them.
+
+    For plain byte-level vocabularies the same merges are run by tiktoken, which takes a quarter of the time; texts that
+    hold the string of an added token, and all texts of other tokenizers, are given to the library itself."""
+
+    def __init__(self, file: str) -> None:
+        import tiktoken
+        spec, self.file = json.loads(file), file
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        ranks = _byte_level_ranks(spec)
+        self.fast = None if ranks is None else tiktoken.Encoding("plain", pat_str=BYTE_LEVEL, mergeable_ranks=ranks,
+                                                                 special_tokens={})
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+        return Tokenizer.from_str(self.file)
+
+    def ids_of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for text in texts:
+            if self.fast is None or any(x in text for x in self.added):
+                yield np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            else:
+                yield self.fast.encode_to_numpy(text, disallowed_special=())
 
-def parts(text: str, limit: int = PART_CHARS) -> list[str]:
-    """A text cut at blanks between word characters, after ``limit`` characters or later."""
-    out, at = [], 0
-    while len(text) - at > limit and (m := _BLANK.search(text, at + limit)):
-        out.append(text[at:m.start() + 1])
-        at = m.start() + 1
-    return [*out, text[at:]]
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(file: str) -> Encoder:
+    """The encoder of a tokenizer file; a Python worker keeps the last one between its tasks."""
+    if file not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[file] = Encoder(file)
+    return _ENCODERS[file]
 
 
 def tokenised(documents: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID,
@@ -201,24 +237,20 @@ def tokenised(documents: DataFrame, tokenizer_path: str, size: int = SIZE, end_i
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
     spec = json.loads(text)
-    cuts = _may_part(spec)
     top = max([*spec["model"]["vocab"].values(), end_id, *(t["id"] for t in spec.get("added_tokens", []))])
     kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
     shared = documents.sparkSession.sparkContext.broadcast(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-        tokenizer, n = Tokenizer.from_str(shared.value), 0
+        found, n = encoder(shared.value), 0
         for batch in batches:
             offsets, _ = text_buffers(batch.column(1))
             for i, j in slices(offsets):
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
-                cut = [parts(t) if cuts else [t] for t in texts]
-                found = iter(tokenizer.encode_batch_fast([p for c in cut for p in c], add_special_tokens=False))
                 rows: list[tuple] = []
-                for doc, c in zip(batch.column(0).slice(i, j - i), cut):
-                    ids = np.concatenate([*(np.array(next(found).ids, dtype="<u4") for _ in c), np.array([end_id], "<u4")])
+                for doc, own in zip(batch.column(0).slice(i, j - i), found.ids_of(texts)):
+                    ids = np.append(own, np.array([end_id], "<u4"))
                     for at in range(0, len(ids), size):
                         own = ids[at:at + size]
                         keep = own.astype(kind).tobytes() if all_ids or len(own) < size else None
