@@ -7,7 +7,12 @@ in Turtle output.
 
 IRIs carry the full key of the source address (``Config.full_keys``, the
 default): 32-bit keys, the short form, meet by chance from some ten thousand
-adverts on.
+adverts on. Under full keys the key of a requirement also covers the advert's
+id, so adverts that share an address do not share their requirements' nodes.
+
+What an advert does not state is left out and the rest is delivered: no title,
+date or address means no such triple, no employer means no employer node. An
+advert without an address gets its key from its id.
 """
 
 from __future__ import annotations
@@ -33,24 +38,27 @@ def _t(s, p, o, kind: str, datatype: str | None = None, lang: str | None = None)
 
 
 def _emit(df: DataFrame, posting_col, items) -> DataFrame:
+    """One row for each item that states something."""
     return df.select(posting_col.alias("posting_id"), F.explode(F.array(*items)).alias("t")).select(
-        "posting_id", "t.*")
+        "posting_id", "t.*").where("s is not null and o is not null")
 
 
 def iris(postings: DataFrame, cfg: Config = DEFAULT, key: str = "id") -> DataFrame:
-    """Per posting: posting key, posting IRI and employer IRI."""
-    k = posting_uuid("source_uri") if cfg.full_keys else posting_key("source_uri")
+    """Per posting: posting key, key of its requirements, posting IRI and employer IRI (null without an employer)."""
+    address = F.coalesce(F.col("source_uri"), F.col(key))
+    k = posting_uuid(address) if cfg.full_keys else posting_key(address)
+    own = posting_uuid(F.concat(address, F.lit("#"), F.col(key))) if cfg.full_keys else k
     return postings.select(
-        F.col(key).alias("posting_id"), k.alias("posting_key"),
+        F.col(key).alias("posting_id"), k.alias("posting_key"), own.alias("requirement_key"),
         F.concat(F.lit(cfg.data_ns + "posting_"), k).alias("posting_iri"),
-        F.concat(F.lit(cfg.employer_ns), employer_slug("employer")).alias("employer_iri"),
+        F.when(F.col("employer").isNotNull(), F.concat(F.lit(cfg.employer_ns), employer_slug("employer"))).alias("employer_iri"),
         "employer", "title", "posting_date", "source_uri",
     )
 
 
 def triples(postings: DataFrame, requirements: DataFrame, cfg: Config = DEFAULT, key: str = "id") -> DataFrame:
     ids = iris(postings, cfg, key)
-    emp = ids.select("employer_iri", "employer").distinct()
+    emp = ids.select("employer_iri", "employer").where("employer is not null").distinct()
     emp_type = emp.select("employer_iri").distinct()
     e1 = emp_type.select(F.lit(None).cast("string").alias("posting_id"), F.col("employer_iri").alias("s"),
                          F.lit(RDF_TYPE).alias("p"), F.lit(ONT + "Employer").alias("o"), F.lit("iri").alias("o_kind"),
@@ -66,8 +74,8 @@ def triples(postings: DataFrame, requirements: DataFrame, cfg: Config = DEFAULT,
         _t(s, ONT + "issuedBy", F.col("employer_iri"), "iri"),
         _t(s, ONT + "sourceUrl", F.col("source_uri"), "literal", XSD_ANYURI),
     ])
-    req = requirements.join(ids.select("posting_id", "posting_key", "posting_iri"), "posting_id")
-    r = F.concat(F.lit(cfg.data_ns + "req_"), F.col("posting_key"), F.lit("_"), F.col("req_ord").cast("string"))
+    req = requirements.join(ids.select("posting_id", "requirement_key", "posting_iri"), "posting_id")
+    r = F.concat(F.lit(cfg.data_ns + "req_"), F.col("requirement_key"), F.lit("_"), F.col("req_ord").cast("string"))
     req = req.withColumn("req_iri", r)
     ri = F.col("req_iri")
     reqs = _emit(req, F.col("posting_id"), [
@@ -118,7 +126,7 @@ def turtle_documents(postings: DataFrame, requirements: DataFrame, cfg: Config =
     """
     ids = iris(postings, cfg, key)
     slug = employer_slug("employer")
-    req_name = F.concat(F.lit("data:req_"), F.col("posting_key"), F.lit("_"), F.col("req_ord").cast("string"))
+    req_name = F.concat(F.lit("data:req_"), F.col("requirement_key"), F.lit("_"), F.col("req_ord").cast("string"))
     block = F.concat(
         req_name, F.lit("\n  a ont:QualificationRequirement ;\n"),
         F.lit("  ont:refersToCompetence <"), F.col("refers_to_competence"), F.lit("> ;\n"),
@@ -127,19 +135,22 @@ def turtle_documents(postings: DataFrame, requirements: DataFrame, cfg: Config =
         F.lit('  ont:provenanceConfidence "'), fixed("provenance_confidence", 2), F.lit('"^^xsd:decimal ;\n'),
         F.lit(f'  ont:provenanceSource "{PROVENANCE_SOURCE}" .\n'),
     )
-    req = (requirements.join(ids.select("posting_id", "posting_key"), "posting_id")
+    req = (requirements.join(ids.select("posting_id", "requirement_key"), "posting_id")
            .select("posting_id", F.struct(F.col("req_ord"), req_name.alias("name"), block.alias("block")).alias("r"))
            .groupBy("posting_id").agg(F.sort_array(F.collect_list("r")).alias("rs")))
     doc = ids.join(req, "posting_id", "left").withColumn("rs", F.coalesce("rs", F.array().cast(req.schema["rs"].dataType)))
     has = F.size("rs") > 0
+    stated = lambda c, *parts: F.when(F.col(c).isNotNull(), F.concat(*parts)).otherwise("")
+    text = lambda c: escape_literal(F.col(c))
     head = F.concat(
-        F.lit(turtle_prefixes(cfg)), F.lit("\nemployer:"), slug, F.lit("\n  a ont:Employer ;\n"),
-        F.lit('  rdfs:label "'), escape_literal(F.col("employer")), F.lit('"@de .\n\n'),
-        F.lit("data:posting_"), F.col("posting_key"), F.lit("\n  a ont:JobPosting ;\n"),
-        F.lit('  rdfs:label "'), escape_literal(F.col("title")), F.lit('"@de ;\n'),
-        F.lit('  ont:postingDate "'), escape_literal(F.col("posting_date")), F.lit('"^^xsd:date ;\n'),
-        F.lit("  ont:issuedBy employer:"), slug, F.lit(" ;\n"),
-        F.lit('  ont:sourceUrl "'), escape_literal(F.col("source_uri")), F.lit('"^^xsd:anyURI'),
+        F.lit(turtle_prefixes(cfg)),
+        stated("employer", F.lit("\nemployer:"), slug, F.lit("\n  a ont:Employer ;\n"),
+               F.lit('  rdfs:label "'), text("employer"), F.lit('"@de .\n')),
+        F.lit("\ndata:posting_"), F.col("posting_key"), F.lit("\n  a ont:JobPosting"),
+        stated("title", F.lit(' ;\n  rdfs:label "'), text("title"), F.lit('"@de')),
+        stated("posting_date", F.lit(' ;\n  ont:postingDate "'), text("posting_date"), F.lit('"^^xsd:date')),
+        stated("employer", F.lit(" ;\n  ont:issuedBy employer:"), slug),
+        stated("source_uri", F.lit(' ;\n  ont:sourceUrl "'), text("source_uri"), F.lit('"^^xsd:anyURI')),
     )
     reqlist = F.array_join(F.transform("rs", lambda x: x["name"]), " ,\n    ")
     tail = F.when(has, F.concat(F.lit(" ;\n  ont:hasRequirement "), reqlist, F.lit(" .\n\n"),

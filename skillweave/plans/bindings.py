@@ -36,18 +36,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adverts from documents, whole texts; the title is the first line that is not blank. Every 50th advert states
-    the source address of the one before, so the delivered graph holds adverts that share one."""
+    the source address of the one before, so the delivered graph holds adverts that share one; some state no title,
+    employer, date or address."""
     d = table(spark, sf_dir, "documents")
+    unless = lambda m, r, c: F.when(F.col("doc_id") % m != r, c)
     doc = F.col("doc_id").cast("string")
     source = F.when(F.col("doc_id") % 50 == 1, F.col("doc_id") - 1).otherwise(F.col("doc_id")).cast("string")
     return d.select(
         F.concat(F.lit("doc-"), doc).alias("id"),
-        F.concat(F.lit("https://example.com/doc/"), source).alias("source_uri"),
+        unless(61, 11, F.concat(F.lit("https://example.com/doc/"), source)).alias("source_uri"),
         F.lit("2024-01-01").alias("crawl_date"),
         F.col("source").alias("platform"),
-        F.concat_ws(" ", F.col("source"), F.upper("lang")).alias("employer"),
-        F.lit("2024-01-01").alias("posting_date"),
-        F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0)).alias("title"),
+        unless(53, 7, F.concat_ws(" ", F.col("source"), F.upper("lang"))).alias("employer"),
+        unless(59, 5, F.lit("2024-01-01")).alias("posting_date"),
+        unless(47, 3, F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0))).alias("title"),
         F.col("text").alias("raw_text"),
         F.when(F.col("doc_id") % 11 == 10, F.lit(None)).otherwise(F.col("doc_id") % 11).cast("int").alias("isco_group"),
     )

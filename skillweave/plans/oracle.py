@@ -62,10 +62,13 @@ def frag(name: str, sql: str, deps: list[str]):
 
 frag("postings", """
   SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS id,
-         'https://example.com/doc/' || CAST(CASE WHEN doc_id % 50 = 1 THEN doc_id - 1 ELSE doc_id END AS VARCHAR) AS source_uri,
+         CASE WHEN doc_id % 61 <> 11 THEN 'https://example.com/doc/'
+           || CAST(CASE WHEN doc_id % 50 = 1 THEN doc_id - 1 ELSE doc_id END AS VARCHAR) END AS source_uri,
          '2024-01-01' AS crawl_date, source AS platform,
-         concat_ws(' ', source, upper(lang)) AS employer,
-         '2024-01-01' AS posting_date, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1] AS title, text AS raw_text,
+         CASE WHEN doc_id % 53 <> 7 THEN concat_ws(' ', source, upper(lang)) END AS employer,
+         CASE WHEN doc_id % 59 <> 5 THEN '2024-01-01' END AS posting_date,
+         CASE WHEN doc_id % 47 <> 3 THEN list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1] END AS title,
+         text AS raw_text,
          CAST(CASE WHEN doc_id % 11 = 10 THEN NULL ELSE doc_id % 11 END AS INTEGER) AS isco_group
   FROM documents""", [])
 
@@ -337,7 +340,7 @@ frag("raw_postings", f"""
          CASE WHEN cut OR k = 17 THEN NULL ELSE raw_text END AS raw_text,
          CASE WHEN cut THEN NULL WHEN k = 11 THEN '3' WHEN k = 12 THEN '3.5' WHEN k = 13 THEN 'true' ELSE isco_group END AS isco_group,
          CASE WHEN k IN (9, 10) THEN 'title' WHEN k = 17 THEN 'raw_text' WHEN k = 14 THEN 'json' WHEN k = 15 THEN 'record' END AS wrong,
-         CASE WHEN k = 14 THEN substr('{{"id":"' || id || '","source_uri":"' || source_uri || '","crawl_date"', 1, 40)
+         CASE WHEN k = 14 THEN substr('{{"id":"' || id || '","source_uri":' || coalesce('"' || source_uri || '"', 'null') || ',"crawl_date":"2024-01-01"', 1, 40)
               WHEN k = 15 THEN '"' || id || '"' END AS record
   FROM (SELECT *, m AS k, m IN (14, 15) AS cut FROM ({_faults("postings")}))""", ["postings"])
 
@@ -423,23 +426,26 @@ def _rdf_fragments():
     from skillweave.operators.shapes import CONSTRAINT_ROWS, _expand
     d = DEFAULT
     frag("ids", f"""
-      SELECT posting_id, posting_key, '{d.data_ns}posting_' || posting_key AS posting_iri,
-             '{d.employer_ns}' || {_slug('employer')} AS employer_iri, {_slug('employer')} AS slug,
-             employer, title, posting_date, source_uri
-      FROM (SELECT id AS posting_id, {_UUID.format(h=_H)} AS posting_key, employer, title, posting_date, source_uri
+      SELECT posting_id, posting_key, requirement_key, '{d.data_ns}posting_' || posting_key AS posting_iri,
+             CASE WHEN employer IS NOT NULL THEN '{d.employer_ns}' || {_slug('employer')} END AS employer_iri,
+             {_slug('employer')} AS slug, employer, title, posting_date, source_uri
+      FROM (SELECT id AS posting_id, {_UUID.format(h=_H.replace('source_uri', 'coalesce(source_uri, id)'))} AS posting_key,
+                   {_UUID.format(h=_H.replace('source_uri', "coalesce(source_uri, id) || '#' || id"))} AS requirement_key,
+                   employer, title, posting_date, source_uri
             FROM postings)""", ["postings"])
     N = "CAST(NULL AS VARCHAR)"
 
     def t(pid, s, p, o, kind, dt=None, lang=None):
         dt_s = f"'{dt}'" if dt else N
         lang_s = f"'{lang}'" if lang else N
-        return f"SELECT {pid} AS posting_id, {s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS o_kind, {dt_s} AS datatype, {lang_s} AS lang"
+        return (f"SELECT {pid} AS posting_id, {s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS o_kind, {dt_s} AS datatype, "
+                f"{lang_s} AS lang")
 
-    rq = f"(SELECT r.*, i.posting_iri, '{d.data_ns}req_' || i.posting_key || '_' || CAST(r.req_ord AS VARCHAR) AS req_iri FROM reqs r JOIN ids i ON i.posting_id = r.posting_id)"
+    rq = f"(SELECT r.*, i.posting_iri, '{d.data_ns}req_' || i.requirement_key || '_' || CAST(r.req_ord AS VARCHAR) AS req_iri FROM reqs r JOIN ids i ON i.posting_id = r.posting_id)"
     parts = [
-        t(N, "employer_iri", RDF_TYPE, f"'{ONT}Employer'", "iri") + " FROM (SELECT DISTINCT employer_iri FROM ids)",
+        t(N, "employer_iri", RDF_TYPE, f"'{ONT}Employer'", "iri") + " FROM (SELECT DISTINCT employer_iri FROM ids WHERE employer IS NOT NULL)",
         t(N, "employer_iri", RDFS_LABEL, "employer", "literal", RDF_LANGSTRING, LABEL_LANG)
-        + " FROM (SELECT DISTINCT employer_iri, employer FROM ids)",
+        + " FROM (SELECT DISTINCT employer_iri, employer FROM ids WHERE employer IS NOT NULL)",
         t("posting_id", "posting_iri", RDF_TYPE, f"'{ONT}JobPosting'", "iri") + " FROM ids",
         t("posting_id", "posting_iri", RDFS_LABEL, "title", "literal", RDF_LANGSTRING, LABEL_LANG) + " FROM ids",
         t("posting_id", "posting_iri", ONT + "postingDate", "posting_date", "literal", XSD_NS + "date") + " FROM ids",
@@ -459,7 +465,7 @@ def _rdf_fragments():
     frag("triples", "\n  UNION ALL ".join(parts[:2]) + f"""
   UNION ALL
   SELECT min(posting_id) AS posting_id, s, p, o, o_kind, datatype, lang
-  FROM ({stated}) GROUP BY s, p, o, o_kind, datatype, lang""", ["ids", "reqs"])
+  FROM ({stated}) WHERE o IS NOT NULL GROUP BY s, p, o, o_kind, datatype, lang""", ["ids", "reqs"])
 
     m = ("CASE WHEN posting_id IS NULL THEN -1 ELSE "
          "CAST(regexp_extract(posting_id, '([0-9]+)$', 1) AS BIGINT) % 13 END")
@@ -531,7 +537,7 @@ def _rdf_fragments():
         return f"replace(replace(replace(replace({x}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r')"
 
     prefixes = turtle_prefixes(d).replace("'", "''")
-    name = "'data:req_' || i.posting_key || '_' || CAST(r.req_ord AS VARCHAR)"
+    name = "'data:req_' || i.requirement_key || '_' || CAST(r.req_ord AS VARCHAR)"
     block = (f"{name} || chr(10) || '  a ont:QualificationRequirement ;' || chr(10)"
              f" || '  ont:refersToCompetence <' || r.refers_to_competence || '> ;' || chr(10)"
              f" || '  ont:requiredLevel ont:' || r.required_level || ' ;' || chr(10)"
@@ -542,13 +548,16 @@ def _rdf_fragments():
       SELECT r.posting_id, string_agg({name}, ' ,' || chr(10) || '    ' ORDER BY r.req_ord) AS names,
              string_agg({block}, chr(10) ORDER BY r.req_ord) AS blocks
       FROM reqs r JOIN ids i ON i.posting_id = r.posting_id GROUP BY r.posting_id""", ["reqs", "ids"])
-    head = (f"'{prefixes}' || chr(10) || 'employer:' || i.slug || chr(10) || '  a ont:Employer ;' || chr(10)"
-            f" || '  rdfs:label \"' || {esc('i.employer')} || '\"@de .' || chr(10) || chr(10)"
-            f" || 'data:posting_' || i.posting_key || chr(10) || '  a ont:JobPosting ;' || chr(10)"
-            f" || '  rdfs:label \"' || {esc('i.title')} || '\"@de ;' || chr(10)"
-            f" || '  ont:postingDate \"' || {esc('i.posting_date')} || '\"^^xsd:date ;' || chr(10)"
-            f" || '  ont:issuedBy employer:' || i.slug || ' ;' || chr(10)"
-            f" || '  ont:sourceUrl \"' || {esc('i.source_uri')} || '\"^^xsd:anyURI'")
+    line = lambda c, x: f"CASE WHEN i.{c} IS NULL THEN '' ELSE {x} END"
+    block_of_employer = ("chr(10) || 'employer:' || i.slug || chr(10) || '  a ont:Employer ;' || chr(10)"
+                         f" || '  rdfs:label \"' || {esc('i.employer')} || '\"@de .' || chr(10)")
+    head = " || ".join([
+        f"'{prefixes}'", line("employer", block_of_employer),
+        "chr(10) || 'data:posting_' || i.posting_key || chr(10) || '  a ont:JobPosting'",
+        line("title", f"' ;' || chr(10) || '  rdfs:label \"' || {esc('i.title')} || '\"@de'"),
+        line("posting_date", f"' ;' || chr(10) || '  ont:postingDate \"' || {esc('i.posting_date')} || '\"^^xsd:date'"),
+        line("employer", "' ;' || chr(10) || '  ont:issuedBy employer:' || i.slug"),
+        line("source_uri", f"' ;' || chr(10) || '  ont:sourceUrl \"' || {esc('i.source_uri')} || '\"^^xsd:anyURI'")])
     tail = ("CASE WHEN t.names IS NULL THEN ' .' || chr(10) ELSE ' ;' || chr(10) || '  ont:hasRequirement ' || t.names"
             " || ' .' || chr(10) || chr(10) || t.blocks END")
     frag("ttl", f"""

@@ -77,3 +77,27 @@ def test_adverts_of_one_source_address_are_one_subject(spark, fix):
     v = shapes.validate(tr, shapes.constraints(spark))
     assert [r for r in v.collect() if r.constraint == "maxCount"] == []
     assert shapes.conforms(v.limit(0)).first().conforms
+
+
+def test_what_an_advert_does_not_state_costs_no_document(spark):
+    from skillweave.operators import rdf
+    schema = ("id string, source_uri string, crawl_date string, platform string, employer string, posting_date string, "
+              "title string, raw_text string, isco_group int")
+    full = ["a", "https://x/1", "2024-01-01", "p", "Firma", "2024-01-01", "Titel", "t", 3]
+    rows = [full] + [[f"m{i}"] + [None if j == i else v for j, v in enumerate(full)][1:] for i in (1, 4, 5, 6)]
+    rows.append(["none", None, None, None, None, None, None, None, None])
+    post = spark.createDataFrame(rows, schema)
+    req = spark.createDataFrame([(r[0], 1, "https://c/1", "DQR4", "must", 0.5) for r in rows],
+                                "posting_id string, req_ord long, refers_to_competence string, required_level string, "
+                                "requirement_kind string, provenance_confidence double")
+    docs = {r.posting_id: r.turtle for r in rdf.turtle_documents(post, req).collect()}
+    assert len(docs) == len(rows) and all(docs.values())
+    assert "rdfs:label \"Titel\"" not in docs["m6"] and "ont:issuedBy" in docs["m6"] and "ont:requiredLevel" in docs["m6"]
+    assert "employer:" not in docs["m4"].split("@prefix xsd")[1] and "ont:sourceUrl" in docs["m4"]
+    assert "a ont:JobPosting ;\n  ont:hasRequirement" in docs["none"]
+    tr = rdf.triples(post, req)
+    assert tr.where("s is null or o is null").count() == 0
+    lines = [r.line for r in rdf.n_triples(tr).collect()]
+    assert all(lines) and len(lines) == len(set(lines))
+    # adverts of one address keep their requirements apart
+    assert tr.where(tr.p.endswith("refersToCompetence")).count() == len(rows)
