@@ -315,12 +315,12 @@ def _best_first() -> list:
 def search_block(documents: DataFrame, pairs: DataFrame, k: int) -> DataFrame | None:
     """(item_id, doc_id, score): the best ``k`` or more for one block of (item_id, term); None without any document."""
     spark = documents.sparkSession
-    rows = pairs.toPandas()  # a block
-    ids = rows["item_id"].astype(object).where(rows["item_id"].notna(), None)
-    items = {x: i for i, x in enumerate(ids.drop_duplicates())}
-    terms = {t: i for i, t in enumerate(rows["term"].drop_duplicates())}
+    rows = pairs.toArrow()  # a block
+    ids, words = rows["item_id"].to_pylist(), rows["term"].to_pylist()
+    items = {x: i for i, x in enumerate(dict.fromkeys(ids))}
+    terms = {t: i for i, t in enumerate(dict.fromkeys(words))}
     term_items: dict[int, list[int]] = {}
-    for item, term in zip(ids, rows["term"]):
+    for item, term in zip(ids, words):
         term_items.setdefault(terms[term], []).append(items[item])
     index = forward_index(documents, list(terms))
     total = index.agg(F.count("*").alias("docs"), F.sum("n").alias("words")).first()
@@ -331,9 +331,8 @@ def search_block(documents: DataFrame, pairs: DataFrame, k: int) -> DataFrame |
     dag = Dag(term_items, len(items))
     found = _top(index, Search(dag, weights, len(terms), total["docs"], total["words"], k))
     kind = pairs.schema["item_id"].dataType
-    names = spark.createDataFrame([(i, None if x is None else kind.fromInternal(x) if kind.needConversion() else x)
-                                   for x, i in items.items()], T.StructType([T.StructField("item", T.LongType()),
-                                                                             T.StructField("item_id", kind)]))
+    named = T.StructType([T.StructField("item", T.LongType()), T.StructField("item_id", pairs.schema["item_id"].dataType)])
+    names = spark.createDataFrame([(i, x) for x, i in items.items()], named)
     return written(found.join(F.broadcast(names), "item").select("item_id", "doc_id", "score"), "search-best")
 
 
