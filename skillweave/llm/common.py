@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skillweave.functions.bitmaps import in_bitmap, slot_bitmap
@@ -43,6 +43,16 @@ def first_by_hash(df: DataFrame, order: str, limit: int) -> DataFrame:
     return df.orderBy(order, *[c for c in df.columns if c != order and c.endswith("_id")]).limit(limit)
 
 
+def whole_rows_within(rows: DataFrame, size, bound: int) -> DataFrame:
+    """The rows of a bounded sample (with ``ord``, a hash) whose sizes add up to at most ``bound``, in the order of
+    ``ord``. Rows are kept whole or not at all; rows of one ``ord`` stay or go together, and those that alone are over
+    the bound go. Only sums by ``ord`` are gathered."""
+    sums = rows.groupBy("ord").agg(F.sum(size).alias("size")).where(F.col("size") <= bound)
+    total = F.sum("size").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = sums.withColumn("total", total).where(F.col("total") <= bound).select("ord")
+    return rows.join(F.broadcast(fits), "ord")
+
+
 def row_key():
     """Tells apart rows that share a doc_id but not a text; identical rows share it."""
     return F.xxhash64("text").alias("row_key")

@@ -2,13 +2,16 @@
 
 Each line has a label, good or bad. Its features are shares of its characters and words (see FEATURES), together with
 those of the lines before and after; pairs of neighbouring labels have weights of their own. Trained on a bounded
-sample of documents whose label all their lines bear, by gradient steps on the conditional likelihood. Forward-backward
-gives each line's marginal probability of being good; their mean weighted by line length, put through a two-parameter
-logistic curve fitted on the same sample (so that 0.5 parts the labels), is the document's score.
-Lines of many documents are swept together, position by position, over whole texts.
-
-Defined results: a null or empty text is one empty line; repeated rows score alike; a doc_id labelled more than once
-counts with its largest label; without labelled rows all weights are zero and every score is 0.5.
+sample of whole documents whose label all their lines bear, by gradient steps on the conditional likelihood.
+Forward-backward gives each line's marginal probability of being good and so its label (``line_labels``); their mean
+weighted by line length, put through a two-parameter logistic curve fitted on the same sample (so that 0.5 parts the
+labels), is the document's score. Lines of many documents are swept together, position by position, over whole texts.
+
+Defined results: a null or empty text is one empty line; repeated rows score alike, rows that share a doc_id each by
+their own text; a doc_id labelled more than once counts with its largest label, a null one is not learned from; without
+labelled rows all weights are zero and every score is 0.5. A very long text is scored whole; it is learned from whole,
+or not at all if it has more lines than the sample's bound. A score of 0.5 counts as good. Extra columns, whatever their
+names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.llm.common import WordScanner, first_by_hash, row_key, slices, text_buffers
+from skillweave.llm.common import (WordScanner, first_by_hash, row_key, slices, text_buffers, whole_rows_within,
+                                   written)
 from skillweave.llm.toxicity import held_out
 
-#: Bounds of the training sample: documents, and lines of each (a run of consecutive ones, placed by a hash).
-SAMPLE_ROWS, SAMPLE_LINES = 4_000, 400
+#: Bounds of the training sample of whole documents: labels, and lines of all documents together.
+SAMPLE_ROWS, SAMPLE_LINES = 4_000, 1 << 18
 STEPS, RATE, DECAY = 120, 0.15, 1e-3
 FEATURES = ["one", "log bytes", "log words", "upper case", "digits", "symbols", "cries", "bars", "points", "space",
             "repeated words", "word length", "line again", "empty"]
@@ -162,10 +166,8 @@ class LineField:
         return self
 
     def _means(self, first: np.ndarray, size: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Length-weighted mean marginal of each document's lines."""
         p, _, _ = marginals(first, x @ self.weights[:-2], self.weights[-2:])
-        weight = size + 1.0
-        return np.add.reduceat(p * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
+        return _weighted(first, size, p)
 
     def _fit_curve(self, means: np.ndarray, label: np.ndarray) -> None:
         """Newton steps of a logistic regression on the means' log-odds, with a small ridge around slope 1."""
@@ -176,35 +178,43 @@ class LineField:
             hess = (z * (p * (1 - p))[:, None]).T @ z + np.eye(2)
             self.curve = self.curve + np.clip(np.linalg.solve(hess, grad), -1, 1)
 
-    def score(self, offsets: np.ndarray, data: np.ndarray, scanner: WordScanner) -> np.ndarray:
-        """Length-weighted mean marginal of the lines of each text."""
-        out = np.empty(len(offsets) - 1)
+    def lines(self, offsets: np.ndarray, data: np.ndarray, scanner: WordScanner) -> Iterator[tuple]:
+        """(first text, one after the last, first line of each text, bytes and marginal of each line), slice by slice."""
         for i, j in slices(offsets):
             first, size, x = line_features(offsets, data, i, j, scanner)
-            means = self._means(first, size, with_neighbours(first, x))
+            p, _, _ = marginals(first, with_neighbours(first, x) @ self.weights[:-2], self.weights[-2:])
+            yield i, j, first, size, p
+
+    def score(self, offsets: np.ndarray, data: np.ndarray, scanner: WordScanner) -> np.ndarray:
+        """Length-weighted mean marginal of the lines of each text, put through the curve."""
+        out = np.empty(len(offsets) - 1)
+        for i, j, first, size, p in self.lines(offsets, data, scanner):
+            means = _weighted(first, size, p)
             out[i:j] = 1 / (1 + np.exp(-np.clip(self.curve[0] * _log_odds(means) + self.curve[1], -500, 500)))
         return out
 
 
+def _weighted(first: np.ndarray, size: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Mean of the lines' marginals by document, weighted by length."""
+    weight = size + 1.0
+    return np.add.reduceat(p * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
+
+
 def _log_odds(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-9, 1 - 1e-9)
     return np.log(p / (1 - p))
 
 
 def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, label, text) -> (ord, label, lines): own features of at most SAMPLE_LINES consecutive lines, flat."""
+    """(ord, label, text) -> (ord, label, lines): features of all lines, flat."""
     scanner = WordScanner()
     for batch in batches:
         offsets, data = text_buffers(batch.column(2))
-        order = batch.column(0).to_numpy(zero_copy_only=False)
         flat = []
         for i, j in slices(offsets):
             first, _, x = line_features(offsets, data, i, j, scanner)
             x = with_neighbours(first, x).astype(np.float32)
-            for r in range(j - i):
-                over = max(0, int(first[r + 1] - first[r]) - SAMPLE_LINES)
-                at = first[r] + int(order[i + r] % (over + 1))
-                flat.append(x[at:min(first[r + 1], at + SAMPLE_LINES)].ravel())
+            flat += [x[first[r]:first[r + 1]].ravel() for r in range(j - i)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.float32()))],
                                          ["ord", "label", "lines"])
 
@@ -223,13 +233,16 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LineField:
-    """Field from at most ``sample_rows`` of the (doc_id, label) rows, the first by a hash of doc_id."""
+    """Field from at most ``sample_rows`` of the (doc_id, label) rows, the first by a hash of doc_id, whose documents
+    have at most SAMPLE_LINES lines together."""
     known = (labels.where("label is not null and doc_id is not null")
              .groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).withColumn("ord", F.xxhash64("doc_id")))
     sample = first_by_hash(known, "ord", sample_rows).select(F.col("doc_id").alias("l_id"), "label", "ord")
-    rows = (documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
-            .select("ord", "label", "text").mapInArrow(_sample_lines, "ord long, label int, lines array<float>")
-            .repartition(1).sortWithinPartitions("ord", "lines")
+    texts = written(documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
+                    .select("ord", "label", "text"), "quality-sample")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    rows = (whole_rows_within(texts, F.coalesce(n_lines, F.lit(1)), SAMPLE_LINES).select("ord", "label", "text")
+            .mapInArrow(_sample_lines, "ord long, label int, lines array<float>").repartition(1).sortWithinPartitions("ord", "lines")
             .mapInArrow(_fit, "at long, weight double").collect())  # one row per weight
     values = np.concatenate([LineField().weights, LineField().curve])
     for at, w in rows:
@@ -252,6 +265,26 @@ def score(documents: DataFrame, field: LineField) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 
+def line_labels(documents: DataFrame, field: LineField) -> DataFrame:
+    """Per line of each row of ``documents``: doc_id, row_key, line (from 0), n_bytes, marginal (of being good) and label
+    (1 good, 0 bad). ``score`` is the mean of these marginals weighted by n_bytes + 1, put through the field's curve."""
+    shared = documents.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = WordScanner()
+        for batch in batches:
+            for i, j, first, size, p in shared.value.lines(*text_buffers(batch.column(2)), scanner):
+                row = np.repeat(np.arange(i, j), np.diff(first))
+                at = np.arange(len(p)) - np.repeat(first[:-1], np.diff(first))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(at),
+                     pa.array(size.astype(np.int64)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
+                    ["doc_id", "row_key", "line", "n_bytes", "marginal", "label"])
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", row_key(), "text").mapInArrow(
+        run, f"doc_id {kind}, row_key long, line long, n_bytes long, marginal double, label int")
+
+
 def trained(documents: DataFrame, labels: DataFrame) -> LineField:
     """Field from the rows of ``labels`` (doc_id, quality) outside the held-out third."""
     return fit(documents, labels.where(~held_out(3, 1)).select("doc_id", F.col("quality").alias("label")))

@@ -7,7 +7,9 @@ at most 2**FEATURE_BITS, that is broadcast to score whole texts.
 
 Defined results: a null or empty text scores by the bias alone; repeated rows score alike; a doc_id labelled more than
 once counts with its largest label; without labelled rows every score is 0.5 minus a step (predicted 0); labels of
-rows without a document are ignored.
+rows without a document, and without a doc_id, are ignored. A very long text is scored whole; it is learned from whole,
+or not at all if it does not fit into the sample's bound. A score of 0.5 counts as toxic. Extra columns, whatever their
+names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.llm.common import WordScanner, first_by_hash, slices, text_buffers
+from skillweave.llm.common import WordScanner, first_by_hash, slices, text_buffers, whole_rows_within, written
 
 FEATURE_BITS = 20
 #: Bounds of the training sample: documents, and features of all of them together; its documents count whole.
@@ -129,8 +131,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
              .groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).withColumn("ord", F.xxhash64("doc_id")))
     sample = first_by_hash(known, "ord", sample_rows).select(F.col("doc_id").alias("l_id"), "label", "ord")
     rows = (documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
-            .select("ord", "label", "text").mapInArrow(_features, "ord long, label int, features array<int>")
-            .repartition(1).sortWithinPartitions("ord", "features")
+            .select("ord", "label", "text").mapInArrow(_features, "ord long, label int, features array<int>"))
+    rows = (whole_rows_within(written(rows, "toxicity-sample"), F.size("features"), SAMPLE_FEATURES)
+            .select("ord", "label", "features").repartition(1).sortWithinPartitions("ord", "features")
             .mapInArrow(_fit, "slot int, weight double").collect())  # at most 2**FEATURE_BITS + 1 rows
     return Model(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64))
 
