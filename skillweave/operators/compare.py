@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillweave.operators.sweep import BIN_CHARS, running_max
+
 
 def encoder_comparison(matches: DataFrame) -> DataFrame:
     """Per (model, query): top-1 concept and score, margin = top1 - top2 (null if k = 1)."""
@@ -15,28 +17,27 @@ def encoder_comparison(matches: DataFrame) -> DataFrame:
                     (F.col("score") - F.col("next_score")).alias("margin")))
 
 
-def extractor_overlap(spans: DataFrame, rule: str, tagger: str) -> DataFrame:
+def extractor_overlap(spans: DataFrame, rule: str, tagger: str, bin_chars: int = BIN_CHARS) -> DataFrame:
     """Flag every span of either extractor that overlaps a span of the other.
 
     Overlap of [a.s, a.e) and [b.s, b.e): a.s < b.e and b.s < a.e (non-empty
     spans). Found without pairing: per posting, in start order, a span overlaps
     an earlier-or-equal-start span of the other side iff the running maximum of
     their ends exceeds its start, and a later-or-equal-start one iff the next
-    start of the other side lies before its end.
+    start of the other side lies before its end. Both runs are sweeps in
+    segments of ``bin_chars``.
     """
     s = spans.select("posting_id", "id", "extractor", "char_start", "char_end", "text", "span_type").filter(
         F.col("extractor").isin(rule, tagger))
-    so_far = lambda *order: (Window.partitionBy("posting_id").orderBy(*order)
-                             .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    of = lambda name, c: F.when(F.col("extractor") == name, F.col(c))
-    # both sides in one window per direction; "later" is the running minimum from the end
-    seen = s.select("*", *[F.max(of(x, "char_end")).over(so_far("char_start")).alias(f"reach_{i}")
-                           for i, x in enumerate((rule, tagger))],
-                    *[F.min(of(x, "char_start")).over(so_far(F.desc("char_start"))).alias(f"next_{i}")
-                      for i, x in enumerate((rule, tagger))])
+    of = lambda name, c: F.when(F.col("extractor") == name, c)
+    both = list(enumerate((rule, tagger)))
+    seen = running_max(s, "char_start", ["char_start"], {f"reach_{i}": of(x, F.col("char_end")) for i, x in both}, bin_chars)
+    # the next start is the greatest negated start from the end
+    seen = running_max(seen, "char_start", [F.desc("char_start")], {f"next_{i}": of(x, -F.col("char_start")) for i, x in both},
+                       bin_chars, backward=True)
     other = lambda c: F.when(F.col("extractor") == rule, F.col(f"{c}_1")).otherwise(F.col(f"{c}_0"))
     hit = (F.coalesce(other("reach") > F.col("char_start"), F.lit(False))
-           | F.coalesce(other("next") < F.col("char_end"), F.lit(False)))
+           | F.coalesce(-other("next") < F.col("char_end"), F.lit(False)))
     return seen.select(*s.columns, hit.alias("overlaps"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skillweave.config import RULE_EXTRACTOR, RULE_ID_INFIX
 from skillweave.functions.text import has_marker
+from skillweave.operators.sweep import BIN_CHARS, running_max
 
 SPAN_COLUMNS = ["id", "posting_id", "span_ord", "text", "span_type", "char_start", "char_end",
                 "extractor", "requirement_kind", "score"]
@@ -54,29 +55,28 @@ def rule_spans(scanned: DataFrame, id_infix: str = RULE_ID_INFIX) -> DataFrame:
     )
 
 
-def classify_kinds(spans: DataFrame, sentences: DataFrame, markers) -> DataFrame:
+def classify_kinds(spans: DataFrame, sentences: DataFrame, markers, bin_chars: int = BIN_CHARS) -> DataFrame:
     """requirement_kind = nice_to_have when some marker sentence holds the span start.
 
     Point-in-interval without pairing spans and sentences: marker sentences and
     spans are one stream per posting ordered by position; a span is inside a
     marker sentence iff its start is below the running maximum end of the
-    marker sentences that start at or before it.
+    marker sentences that start at or before it (a sweep in segments, so one long
+    posting is many tasks).
     """
-    return kinds_by_marked(spans, sentences.filter(has_marker("text", markers)))
+    return kinds_by_marked(spans, sentences.filter(has_marker("text", markers)), bin_chars)
 
 
-def kinds_by_marked(spans: DataFrame, marked: DataFrame) -> DataFrame:
+def kinds_by_marked(spans: DataFrame, marked: DataFrame, bin_chars: int = BIN_CHARS) -> DataFrame:
     """``classify_kinds`` with the marker sentences (posting_id, char_start, char_end) already found."""
     marked = marked.select("posting_id", F.col("char_start").alias("p_"), F.lit(0).alias("t_"),
                            F.col("char_end").alias("m_end_"))
     tagged = spans.withColumn("p_", F.col("char_start")).withColumn("t_", F.lit(1))
     stream = tagged.unionByName(marked, allowMissingColumns=True)
-    w = (Window.partitionBy("posting_id").orderBy("p_", "t_")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    reach = F.max("m_end_").over(w)
-    out = stream.withColumn("reach_", reach).filter(F.col("t_") == 1)
+    swept = running_max(stream, "p_", ["p_", "t_"], {"reach_": F.col("m_end_")}, bin_chars)
     kind = F.when(F.col("p_") < F.coalesce(F.col("reach_"), F.lit(-1)), "nice_to_have").otherwise("must")
-    return out.withColumn("requirement_kind", kind).drop("p_", "t_", "m_end_", "reach_")
+    return (swept.filter(F.col("t_") == 1).withColumn("requirement_kind", kind)
+            .drop("p_", "t_", "m_end_", "reach_"))
 
 
 def combine_spans(rule_spans: DataFrame, tagged_spans: DataFrame) -> DataFrame:

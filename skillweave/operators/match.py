@@ -257,26 +257,37 @@ def _portions(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 # --------------------------------------------------------------------------
 # matcher
 # --------------------------------------------------------------------------
+def _blocks(held, asked, budget_bytes: int) -> tuple:
+    """(blocks of the index, blocks of the queries) for the bytes of both sides, as column expressions."""
+    n_index = F.greatest(F.ceil(held / F.lit(float(budget_bytes))), F.lit(1))
+    block = F.greatest(F.lit(float(min(LEAST_BYTES, budget_bytes))), held / n_index)
+    return n_index, F.greatest(F.ceil(asked / block), F.lit(1))
+
+
 def _match(queries: DataFrame, index: DataFrame, k: int, value: str, held: DataFrame, asked: DataFrame,
            block_type: Callable, read: Callable, budget_bytes: int) -> DataFrame:
-    """queries (model_id, key, value), index (model_id, ord, value) -> (model_id, key, rank, ord, score).
+    """queries (model_id, key, value), index (model_id, ord, value) -> (model_id, key, rank, ord, score); without the
+    column model_id all are of one model.
 
     ``held`` (model_id, held) and ``asked`` (model_id, asked) state the bytes of both sides in memory, ``read`` makes a
     block's values of an Arrow column."""
+    model = [c for c in ("model_id",) if c in index.columns]
     # columns of their own for each side, which may be the same table
-    queries = queries.select(*[F.col(c).alias(c) for c in ("model_id", "key", value)])
-    index = index.select(*[F.col(c).alias(c) for c in ("model_id", "ord", value)])
-    own = held.withColumn("n_index", F.greatest(F.ceil(F.col("held") / budget_bytes), F.lit(1)))
-    block = F.greatest(F.lit(float(min(LEAST_BYTES, budget_bytes))), F.col("held") / F.col("n_index"))
-    blocks = own.join(asked, "model_id").select(
-        "model_id", "n_index", F.greatest(F.ceil(F.col("asked") / block), F.lit(1)).alias("n_query"))
-    blocks = F.broadcast(blocks)  # one row for each model
-    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    one_of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    left = queries.join(blocks, "model_id").select(F.col("model_id").alias("model_id"), one_of("key", "n_query").alias("qb"),
-                                                   all_of("n_index").alias("ib"), "key", value)
-    right = index.join(blocks, "model_id").select(F.col("model_id").alias("model_id"), all_of("n_query").alias("qb"),
-                                                  one_of("ord", "n_index").alias("ib"), "ord", F.col(value).alias("own"))
+    own = lambda df, *cs: df.select(*[F.col(c).alias(c) for c in (*model, *cs)])
+    queries, index = own(queries, "key", value), own(index, "ord", value)
+    if model:
+        n_index, n_query = _blocks(F.col("held"), F.col("asked"), budget_bytes)
+        blocks = F.broadcast(held.join(asked, model).select(  # one row for each model
+            *model, n_index.alias("n_index"), n_query.alias("n_query")))
+        queries, index, n_index, n_query = queries.join(blocks, model), index.join(blocks, model), F.col("n_index"), F.col("n_query")
+    else:
+        n_index, n_query = _blocks(held.scalar(), asked.scalar(), budget_bytes)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    one_of = lambda c, n: F.pmod(F.xxhash64(c), n.cast("long"))
+    left = own(queries.select(*model, one_of("key", n_query).alias("qb"), all_of(n_index).alias("ib"), "key", value),
+               "qb", "ib", "key", value)
+    right = own(index.select(*model, all_of(n_query).alias("qb"), one_of("ord", n_index).alias("ib"), "ord",
+                             F.col(value).alias("own")), "qb", "ib", "ord", "own")
     kind = queries.schema["key"].dataType.simpleString()
 
     def run(asked: pa.Table, block: pa.Table) -> pa.Table:
@@ -285,13 +296,12 @@ def _match(queries: DataFrame, index: DataFrame, k: int, value: str, held: DataF
             parts += block_type(block["ord"].to_numpy(), read(block["own"])).best(read(asked[value]), k)
         rows, ords, scores = (np.concatenate(x) for x in zip(*parts))
         rows = pa.array(rows.astype(np.int64))
-        return pa.table({"model_id": asked["model_id"].take(rows), "key": asked["key"].take(rows),
-                         "ord": ords.astype(np.int64), "score": scores})
+        return pa.table({c: asked[c].take(rows) for c in [*model, "key"]} | {"ord": ords.astype(np.int64), "score": scores})
 
-    by = ["model_id", "qb", "ib"]
-    found = (left.groupBy(*by).cogroup(right.groupBy(*by))
-             .applyInArrow(run, f"model_id string, key {kind}, ord long, score double"))
-    return rank_top_k(found, k, "model_id", "key").select("model_id", "key", "rank", "ord", "score")
+    by = [*model, "qb", "ib"]
+    schema = f"{'model_id string, ' if model else ''}key {kind}, ord long, score double"
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
+    return rank_top_k(found, k, *model, "key").select(*model, "key", "rank", "ord", "score")
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
@@ -321,13 +331,12 @@ def padded(text):
 def sparse_top_k(queries: DataFrame, concepts: DataFrame, k: int, budget_bytes: int = 64 << 20,
                  q_key: str = "key", q_text: str = "text") -> DataFrame:
     """Top-k concepts (ord, pref_label) per query text by trigram cosine: (key, rank, ord, score)."""
-    model = F.lit("trigram").alias("model_id")
-    q = queries.select(model, F.col(q_key).alias("key"), padded(F.col(q_text)).alias("text"))
-    index = concepts.select(model, "ord", padded(F.col("pref_label")).alias("text"))
+    q = queries.select(F.col(q_key).alias("key"), padded(F.col(q_text)).alias("text"))
+    index = concepts.select("ord", padded(F.col("pref_label")).alias("text"))
     # a trigram and its list entries take about 100 bytes
-    size = lambda df, name: df.groupBy("model_id").agg((100 * F.sum(F.length("text"))).cast("double").alias(name))
-    return _match(q, index, k, "text", size(index, "held"), size(q, "asked"), GramBlock,
-                  lambda column: codes_of(column.to_pylist()), budget_bytes).drop("model_id")
+    size = lambda df: df.agg(F.coalesce(100.0 * F.sum(F.length("text")), F.lit(0.0)))
+    return _match(q, index, k, "text", size(index), size(q), GramBlock, lambda column: codes_of(column.to_pylist()),
+                  budget_bytes)
 
 
 def dense_top_k(queries: DataFrame, index: DataFrame, k: int, budget_bytes: int = 64 << 20,
@@ -337,13 +346,21 @@ def dense_top_k(queries: DataFrame, index: DataFrame, k: int, budget_bytes: int
     queries: (model_id, key, vec array<double>); index: (model_id, ord long, vec). Output: (model_id, key, rank, ord,
     score). With ``exclude_self`` (queries and index are the same set, key = ord) the k best other rows are returned:
     the k + 1 best hold them whether or not the row itself is among those. ``counted`` (model_id) has a row for each
-    query and is counted in place of ``queries``, whose vectors may be costly to make."""
+    query and is counted in place of ``queries``, whose vectors may be costly to make. Without the column model_id on
+    both sides all are of one model."""
+    model = [c for c in ("model_id",) if c in index.columns]
+    counted = queries if counted is None else counted
     if exclude_self:
         top = dense_top_k(queries, index, k + 1, budget_bytes)
-        return rank_top_k(top.filter(F.col("ord") != F.col("key")).drop("rank"), k, "model_id", "key")
+        return rank_top_k(top.filter(F.col("ord") != F.col("key")).drop("rank"), k, *model, "key")
+    if not model:
+        held = index.agg(F.coalesce(8.0 * F.sum(F.size("vec")), F.lit(0.0)))
+        row = index.agg(F.coalesce(8.0 * F.max(F.size("vec")), F.lit(0.0)))
+        asked = counted.agg((F.count("*") * row.scalar()).alias("asked"))
+        return _match(queries, index, k, "vec", held, asked, DenseBlock, _vectors, budget_bytes)
     held = index.groupBy("model_id").agg((8 * F.sum(F.size("vec"))).cast("double").alias("held"),
                                          (8 * F.max(F.size("vec"))).alias("row"))
-    n = (queries if counted is None else counted).groupBy("model_id").agg(F.count("*").alias("n"))
+    n = counted.groupBy("model_id").agg(F.count("*").alias("n"))
     asked = n.join(F.broadcast(held), "model_id").select("model_id", (F.col("n") * F.col("row")).cast("double").alias("asked"))
     return _match(queries, index, k, "vec", held.drop("row"), asked, DenseBlock, _vectors, budget_bytes)
 

@@ -53,9 +53,8 @@ def map_spans(spans: DataFrame, concepts: DataFrame, top_k: int, threshold: floa
     else:
         index = vectors if vectors is not None else written(encoder_slot(c, encode, "ord", "pref_label", encoder).select(
             F.col("key").alias("ord"), "vec"), "concept-vectors")
-        top = dense_top_k(encoder_slot(q, encode, "key", "qtext", encoder),
-                          index.select(F.lit(encoder).alias("model_id"), "ord", "vec"), top_k,
-                          counted=q.select(F.lit(encoder).alias("model_id"))).drop("model_id")
+        top = dense_top_k(encoder_slot(q, encode, "key", "qtext", encoder).drop("model_id"), index.select("ord", "vec"),
+                          top_k, counted=q)
     uris = concepts.select("ord", F.col("uri").alias("concept_uri"))
     matches = decide(top.join(uris, "ord"), threshold).withColumnRenamed("key", "text")
     # span_ord and requirement_kind ride along, so consolidation needs no second span join

@@ -55,11 +55,14 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: An input of at most so many splits may be one file that cannot be split; it is dealt into DEALT tasks.
+HANDFUL, DEALT = 4, 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """An input that Spark reads in fewer tasks than it has cores (one small file) is dealt out; any larger input,
-    which has a task per split, stays where it lies."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """An input of a handful of splits (they may all be one small file) is dealt out; any larger one stays where it
+    lies, whatever the number of cores."""
+    return df.repartition(DEALT) if df.rdd.getNumPartitions() <= HANDFUL else df
 
 
 def with_faults(raw: DataFrame, number, *more: str) -> DataFrame:
