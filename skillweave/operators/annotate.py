@@ -12,6 +12,7 @@ The annotator is the default of a model slot: a real tagger/parser can supply a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -156,29 +157,51 @@ def _grams(text: str, sizes: list[int], bitmap: np.ndarray) -> list[dict]:
     return out
 
 
+@cache
+def _word_points() -> np.ndarray:
+    """Which code points below 2**16 are letters or numbers."""
+    return np.array([LETTER.match(chr(c)) is not None for c in range(1 << 16)])
+
+
+def piece_counts(text: str) -> tuple[int, int]:
+    """How many tokens and sentences a text has, without cutting it."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(points):
+        return 0, 0
+    word = _word_points()[np.minimum(points, 0xFFFF)]
+    for c in np.unique(points[points > 0xFFFF]).tolist():
+        word[points == c] = LETTER.match(chr(c)) is not None
+    begins = word & ~np.append(False, word[:-1])
+    space = np.isin(points, [32, 9, 10, 11, 12, 13])
+    ends = np.isin(points, [46, 33, 63, 10])
+    last = ends & ~np.append(ends[1:], False)
+    return int(begins.sum() + (~word & ~space).sum()), int(last.sum()) + int(not ends[-1])
+
+
 _SPOT = "struct<char_start:long,char_end:long>"
 SCAN_SCHEMA = ("posting_id string, pairs array<struct<char_start:long,char_end:long,text:string>>, "
                "grams array<struct<n:int,key:string,words:array<struct<w:long,word:string,start:long,end:long>>>>, "
-               f"marked array<{_SPOT}>")
+               f"marked array<{_SPOT}>, n_tokens long, n_sentences long")
 _SCAN = pa.schema([
     ("posting_id", pa.string()),
     ("pairs", pa.list_(pa.struct([("char_start", pa.int64()), ("char_end", pa.int64()), ("text", pa.string())]))),
     ("grams", pa.list_(pa.struct([("n", pa.int32()), ("key", pa.string()), ("words", pa.list_(pa.struct([
         ("w", pa.int64()), ("word", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]))),
-    ("marked", pa.list_(pa.struct([("char_start", pa.int64()), ("char_end", pa.int64())])))])
+    ("marked", pa.list_(pa.struct([("char_start", pa.int64()), ("char_end", pa.int64())]))),
+    ("n_tokens", pa.int64()), ("n_sentences", pa.int64())])
 
 
 def scan(postings: DataFrame, sizes: list[int], bitmap: np.ndarray, markers, key: str = "id",
          text_col: str = "raw_text") -> DataFrame:
     """One row per advert: rule pairs, dictionary candidates (``sizes`` words; ``bitmap`` of the dictionary's key
-    hashes) and marker sentences. Everything the extractors need, in one pass over the text where it lies."""
+    hashes), marker sentences, and the numbers of tokens and sentences. Everything the extractors need, in one pass over the text where it lies."""
     shared = postings.sparkSession.sparkContext.broadcast(bitmap)
     marker = regex.compile("|".join(map(regex.escape, markers)), regex.IGNORECASE) if markers else None
 
     def one(text: str):
         marked = [{"char_start": m.start(), "char_end": m.end()} for m in SENTENCE.finditer(text)
                   if marker.search(m.group())] if marker and marker.search(text) else []
-        return _pairs(text), _grams(text, sizes, shared.value), marked
+        return _pairs(text), _grams(text, sizes, shared.value), marked, *piece_counts(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 STAGES = ("n_tokens", "n_sentences", "n_spans", "n_mappings", "n_accepted", "n_requirements")
 
 
-def stage_counts(flow) -> DataFrame:
+def text_counts(flow) -> DataFrame:
+    """(posting_id, n_tokens, n_sentences) of every advert, as the scan that finds the spans counted them. The tokens of
+    an annotator in the flow's slot are counted from its rows."""
+    scanned = flow.scanned.select("posting_id", "n_tokens", "n_sentences")
+    if flow.annotator is None:
+        return scanned
+    own = flow.tokens.groupBy("posting_id").agg(F.count("*").alias("n_tokens"))
+    return (scanned.drop("n_tokens").join(own, "posting_id", "left")
+            .select("posting_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "n_sentences"))
+
+
+def stage_counts(flow, texts: DataFrame | None = None) -> DataFrame:
     """tokens, sentences, spans, mappings, accepted mappings, requirements per posting (0 if none): one union of
-    (posting, stage) rows and one aggregation, partial in each task."""
+    (posting, stage) rows and one aggregation, partial in each task. No text is read for it but by the scan, whose
+    counts ``texts`` are if they have been written."""
     accepted = (F.col("decision") == "accepted").cast("long")
     parts = [
-        flow.postings.select(F.col("id").alias("posting_id")),
-        flow.tokens.select("posting_id", F.lit(1).cast("long").alias("n_tokens")),
-        flow.sentences.select("posting_id", F.lit(1).cast("long").alias("n_sentences")),
+        text_counts(flow) if texts is None else texts,
         flow.spans.select("posting_id", F.lit(1).cast("long").alias("n_spans")),
         flow.mappings.select("posting_id", F.lit(1).cast("long").alias("n_mappings"), accepted.alias("n_accepted")),
         flow.requirements.select("posting_id", F.lit(1).cast("long").alias("n_requirements")),

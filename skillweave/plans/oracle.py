@@ -608,12 +608,17 @@ ORACLE.update({
         SELECT m.posting_id, m.span_id, coalesce(s.text, '') AS span_text, coalesce(s.extractor, '') AS extractor,
                m.rank, m.concept_uri, printf('%.4f', m.score) AS score, m.decision
         FROM mappings m LEFT JOIN spans s ON s.id = m.span_id"""),
-    "run_metadata": f"""
-        SELECT '{__import__('skillweave').__version__}' AS pipeline_version, 'documents' AS input,
-               count(*) AS posting_count, CAST(3 AS BIGINT) AS n_outputs,
+    "run_metadata": build(["postings", "tokens", "sentences", "spans", "mappings", "reqs", "triples"], f"""
+        SELECT '{__import__('skillweave').__version__}' AS pipeline_version, 'documents' AS input, p.n AS posting_count,
+               t.n AS n_tokens, s.n AS n_sentences, sp.n AS n_spans, m.n AS n_mappings, m.a AS n_accepted, r.n AS n_requirements,
+               tr.n AS n_triples, 'mappings_csv|ntriples|turtle' AS sinks,
                CAST({B.SPARSE_THRESHOLD} AS DOUBLE) AS mapping_threshold, CAST(3 AS BIGINT) AS mapping_top_k,
-               'trigram' AS encoder
-        FROM documents""",
+               'trigram' AS encoder, sp.n AS rows_spans, m.n AS rows_mappings, r.n AS rows_requirements,
+               p.n AS rows_stage_counts, tr.n AS rows_triples
+        FROM (SELECT count(*) AS n FROM postings) p, (SELECT count(*) AS n FROM tokens) t,
+             (SELECT count(*) AS n FROM sentences) s, (SELECT count(*) AS n FROM spans) sp,
+             (SELECT count(*) AS n, count(*) FILTER (WHERE decision = 'accepted') AS a FROM mappings) m,
+             (SELECT count(*) AS n FROM reqs) r, (SELECT count(*) AS n FROM triples) tr"""),
     "vector_cache": build(["cfeat"], f"""
         SELECT 'trigram' AS model_id, '{CONCEPT_NS}' || CAST(b.item_id AS VARCHAR) AS uri, sha256(b.text) AS label_hash,
                f.n_terms, round(f.norm, 6) AS norm,

@@ -330,18 +330,20 @@ def q_mapping_review(spark, sf):
 
 
 def q_run_metadata(spark, sf):
-    """Run metadata written as JSON and read back (timestamp and paths left out)."""
-    from skillweave.session import scratch_path
-    from skillweave.sources import sinks
-    f = flow(spark, sf)
-    path = sinks.write_json(sinks.run_metadata(f.postings, "documents", ["mappings_csv", "ntriples", "turtle"],
-                                               f.config, f.models(), "benchmark"), scratch_path(spark, "meta"))
-    m = spark.read.json(path)
+    """A whole run's metadata, read back: the counts of its stages, its parameters, and the rows of its files (times and
+    paths left out)."""
+    from skillweave.plans.run import run
+    paths = run(spark, flow(spark, sf).fresh(), input_desc="documents", concepts_desc="benchmark")
+    m = spark.read.json(paths["run_metadata"])
     params = F.from_json("parameters", "mapping_threshold double, mapping_top_k long, encoder string")
-    return m.select("pipeline_version", "input", F.col("posting_count").cast("long").alias("posting_count"),
-                    F.size("output_files").cast("long").alias("n_outputs"),
+    sinks = F.array_distinct(F.transform("output_files", lambda x: F.element_at(F.split(x, "/"), -2)))
+    rows = spark.read.parquet(paths["files"])
+    stored = lambda t: rows.where(F.col("sink") == t).agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar().alias(f"rows_{t}")
+    return m.select("pipeline_version", "input", "posting_count", "n_tokens", "n_sentences", "n_spans", "n_mappings",
+                    "n_accepted", "n_requirements", "n_triples", F.array_join(F.sort_array(sinks), "|").alias("sinks"),
                     params["mapping_threshold"].alias("mapping_threshold"),
-                    params["mapping_top_k"].alias("mapping_top_k"), params["encoder"].alias("encoder"))
+                    params["mapping_top_k"].alias("mapping_top_k"), params["encoder"].alias("encoder"),
+                    *[stored(t) for t in ("spans", "mappings", "requirements", "stage_counts", "triples")])
 
 
 def q_vector_cache(spark, sf):

@@ -78,9 +78,29 @@ def write_text(lines: DataFrame, path: str, col: str = "line", partition_col: st
     return path
 
 
-def run_metadata(postings: DataFrame, input_desc: str, outputs: list[str], cfg: Config, models: dict,
-                 concepts_desc: str = "concepts") -> DataFrame:
-    """One row: time, version, input, advert count, output paths, parameters (JSON) with the models that ran."""
+def written_files(spark: SparkSession, sinks: dict[str, str], tables: tuple[str, ...]) -> DataFrame:
+    """(sink, file, bytes, rows) of the files under the folders of ``sinks``; rows, from the files' footers, of those that
+    are Parquet ``tables``. No content is read."""
+    listed, counted = None, None
+    for name, path in sinks.items():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        part = files.select(F.lit(name).alias("sink"), F.col("path").alias("file"), F.col("length").alias("bytes"))
+        listed = part if listed is None else listed.unionByName(part)
+        if name in tables:
+            rows = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+            counted = rows if counted is None else counted.unionByName(rows)
+    name_of = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    listed = listed.withColumn("file", name_of("file"))
+    if counted is None:
+        return listed.withColumn("rows", F.lit(None).cast("long"))
+    return listed.join(counted.withColumn("file", name_of("file")), "file", "left").select("sink", "file", "bytes", "rows")
+
+
+def run_metadata(postings: DataFrame, input_desc: str, outputs: list[str] | DataFrame, cfg: Config, models: dict,
+                 concepts_desc: str = "concepts", counts: dict[str, int] | None = None) -> DataFrame:
+    """One row: time (UTC), version, input, advert count, output files, parameters (JSON) with the models that ran; with
+    the ``counts`` of a run (its adverts and stages) these, and the adverts are not counted again. ``outputs`` are names
+    or a table of files (file)."""
     params = json.dumps({
         **models,
         "concepts": concepts_desc,
@@ -88,12 +108,22 @@ def run_metadata(postings: DataFrame, input_desc: str, outputs: list[str], cfg:
         "mapping_top_k": cfg.top_k,
         "level_strategy": f"ISCO major group default (fallback {cfg.fallback_level})",
     }, ensure_ascii=False, sort_keys=True)
-    return postings.agg(F.count(F.lit(1)).alias("posting_count")).select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("run_timestamp"),
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    if isinstance(outputs, DataFrame):
+        files = outputs.agg(F.sort_array(F.collect_list("file"))).scalar()  # names of files, not rows
+    else:
+        files = F.array(*[F.lit(o) for o in outputs]).cast("array<string>")
+    if counts is None:
+        base, known = postings.agg(F.count(F.lit(1)).alias("posting_count")), [F.col("posting_count")]
+    else:
+        base = postings.sparkSession.range(1)
+        known = [F.lit(n).cast("long").alias(name) for name, n in counts.items()]
+    return base.select(
+        F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("run_timestamp"),
         F.lit(__version__).alias("pipeline_version"),
         F.lit(input_desc).alias("input"),
-        "posting_count",
-        F.array(*[F.lit(o) for o in outputs]).alias("output_files"),
+        *known,
+        files.alias("output_files"),
         F.lit(params).alias("parameters"),
     )
 
