@@ -12,7 +12,12 @@ STAGES = ("n_tokens", "n_sentences", "n_spans", "n_mappings", "n_accepted", "n_r
 
 def text_counts(flow) -> DataFrame:
     """(posting_id, n_tokens, n_sentences) of every advert, as the scan that finds the spans counted them. The tokens of
-    an annotator in the flow's slot are counted from its rows."""
+    an annotator, or both of a reader, in the flow's slots are counted from their rows."""
+    if flow.reader is not None:
+        of = lambda part: F.count(F.when(F.col("part") == part, 1))
+        own = flow.parts.groupBy("posting_id").agg(of("token").alias("n_tokens"), of("sentence").alias("n_sentences"))
+        return (flow.postings.select(F.col("id").alias("posting_id")).join(own, "posting_id", "left")
+                .select("posting_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tokens", "n_sentences")]))
     scanned = flow.scanned.select("posting_id", "n_tokens", "n_sentences")
     if flow.annotator is None:
         return scanned

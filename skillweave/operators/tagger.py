@@ -170,3 +170,57 @@ def tagger_slot(postings: DataFrame, tag_batch, key: str = "posting_id", text_co
             yield tag_batch(pdf)
 
     return postings.select(F.col(key).alias("posting_id"), F.col(text_col).alias("raw_text")).mapInPandas(run, schema)
+
+
+#: Windows given to the model at a time.
+WINDOWS_AT_ONCE = 512
+
+
+def text_windows(text: str, size: int, context: int) -> list[tuple[int, int, int, int, int]]:
+    """(first word, start, end, owned from, owned to) of windows of at most ``size`` words that overlap by twice
+    ``context``. Every character of the text is owned by one window; the ``context`` words around what a window owns are
+    there to be seen only."""
+    words = [m.span() for m in annotate.WORD.finditer(text)]
+    step, out = size - 2 * context, []
+    for at in range(0, len(words), step):
+        first, last = max(0, at - context), min(len(words), at + step + context)
+        out.append((first, words[first][0], words[last - 1][1], words[at][0] if at else 0,
+                    words[at + step][0] if at + step < len(words) else len(text)))
+    return out
+
+
+def windowed_slot(postings: DataFrame, tag_batch, size: int, context: int, key: str = "posting_id",
+                  text_col: str = "raw_text") -> DataFrame:
+    """``tagger_slot`` for a model that reads at most ``size`` words at a time and needs at most ``context`` words on
+    each side to decide on a word. It gets windows in place of whole texts (each with a posting_id of its own); a hit
+    counts in the window that owns its start, with the offsets it has in the text, so each hit of a long text is found
+    once. ``hit_ord`` is taken as the number of the hit's word in the window."""
+    if size <= 2 * context:
+        raise ValueError("a window must be longer than the context on both sides")
+    schema = "posting_id string, model string, hit_ord long, word string, start long, end long, score double"
+
+    def tagged(held: list[tuple]):
+        import pandas as pd
+        windows = pd.DataFrame(held, columns=["owner", "raw_text", "first", "shift", "low", "high"])
+        windows["posting_id"] = windows.index.astype(str)
+        hits = tag_batch(windows[["posting_id", "raw_text"]])
+        hits = hits.merge(windows.drop(columns="raw_text"), on="posting_id")
+        start = hits["start"] + hits["shift"]
+        mine = (start >= hits["low"]) & (start < hits["high"])
+        return pd.DataFrame({"posting_id": hits["owner"], "model": hits["model"], "hit_ord": hits["hit_ord"] + hits["first"],
+                             "word": hits["word"], "start": start, "end": hits["end"] + hits["shift"],
+                             "score": hits["score"]})[mine]
+
+    def run(batches):
+        held: list[tuple] = []
+        for pdf in batches:
+            for owner, text in zip(pdf["posting_id"], pdf["raw_text"]):
+                for first, start, end, low, high in text_windows(text or "", size, context):
+                    held.append((owner, text[start:end], first, start, low, high))
+                    if len(held) == WINDOWS_AT_ONCE:
+                        yield tagged(held)
+                        held = []
+        if held:
+            yield tagged(held)
+
+    return postings.select(F.col(key).alias("posting_id"), F.col(text_col).alias("raw_text")).mapInPandas(run, schema)

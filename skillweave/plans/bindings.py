@@ -100,6 +100,36 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_faults(p, F.regexp_extract("id", r"([0-9]+)$", 1).cast("long"))
 
 
+def line_reader():
+    """Stand-in for a text model: the default tokens, and lines for sentences (restated in the oracle)."""
+    from skillweave.operators import annotate
+    line = annotate.regex.compile(r"[^\n]*\n+|[^\n]+")
+    return lambda text: (annotate._tokens(text), [m.span() for m in line.finditer(text)])
+
+
+#: Words on each side that the stand-in tagger looks at.
+NEAR = 2
+
+
+def noun_tagger(pdf):
+    """Stand-in for a token classifier: words at most two from one that ends like a noun are hits, the nearer the higher
+    their score (restated in the oracle)."""
+    import pandas as pd
+
+    from skillweave.config import TRAILING_PUNCT
+    from skillweave.operators.annotate import WORD
+    rows = []
+    for owner, text in zip(pdf["posting_id"], pdf["raw_text"]):
+        words = [(m.group(), *m.span()) for m in WORD.finditer(text or "")]
+        nouns = [i for i, (w, _, _) in enumerate(words) if w.rstrip(TRAILING_PUNCT).lower().endswith(("tion", "ung"))]
+        away: dict[int, int] = {}
+        for i in nouns:
+            for j in range(max(0, i - NEAR), min(len(words), i + NEAR + 1)):
+                away[j] = min(abs(i - j), away.get(j, NEAR))
+        rows += [(owner, "skill", j, *words[j], 1.0 / (1 + d)) for j, d in away.items()]
+    return pd.DataFrame(rows, columns=["posting_id", "model", "hit_ord", "word", "start", "end", "score"])
+
+
 def hashed_trigrams(texts: list[str]):
     """Stand-in for a sentence encoder: counts of character trigrams in 64 slots (restated in the oracle)."""
     import numpy as np

@@ -4,8 +4,9 @@ Each property is a DataFrame built on first use. Texts are scanned once, where t
 extractors need (``annotate.scan``); only candidates, spans and their windows are shuffled, by advert. The scan, spans
 and mappings are kept (memory, spilling to disk) while the flow is in use; ``release`` frees them.
 
-Models plug in as callables: ``annotator`` (texts -> token rows), ``tag`` (texts -> raw hits) and ``encode`` (texts ->
-vectors, under the name ``config.encoder``). Without them the deterministic defaults run. With ``vector_cache`` the
+Models plug in as callables: ``annotator`` (texts -> token rows) or ``reader`` (tokens and sentences from one reading,
+``operators.reader``), ``tag`` (texts -> raw hits; with ``tag_window`` = (words, context) in overlapping windows) and
+``encode`` (texts -> vectors, under the name ``config.encoder``). Without them the deterministic defaults run. With ``vector_cache`` the
 concept vectors are kept in that Parquet table, so each concept label is encoded once over all runs.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillweave.config import DEFAULT, TAGGER_ID_INFIX, Config
-from skillweave.operators import annotate, extract, tagger
+from skillweave.operators import annotate, extract, reader, tagger
 
 
 @dataclass
@@ -35,6 +36,8 @@ class Flow:
     tag: Callable | None = None
     encode: Callable | None = None
     vector_cache: str | None = None
+    reader: Callable | None = None
+    tag_window: tuple[int, int] | None = None
     _kept: list[DataFrame] = field(default_factory=list)
 
     def _keep(self, df: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ class Flow:
     def fresh(self) -> Flow:
         """A flow of the same inputs and models that keeps nothing yet."""
         return Flow(self.postings, self.concepts, self.dictionary, self.tagger_sizes, self.tagger_models, self.config,
-                    self.annotator, self.tag, self.encode, self.vector_cache)
+                    self.annotator, self.tag, self.encode, self.vector_cache, self.reader, self.tag_window)
 
     @property
     def encoder(self) -> str:
@@ -60,20 +63,29 @@ class Flow:
     def models(self) -> dict:
         """What runs in each slot, for the run's metadata."""
         name = lambda f, default: default if f is None else getattr(f, "__name__", type(f).__name__)
-        return {"annotator": name(self.annotator, "suffix rules"),
+        return {"annotator": name(self.annotator or self.reader, "suffix rules"),
                 "extractors": {"adj_noun": "adjective + head noun rule", self.config.tagger_name: name(
                     self.tag, "dictionary")},
                 "tagger_models": self.tagger_models, "encoder": self.encoder}
 
     # --- annotation -----------------------------------------------------
+    @cached_property
+    def parts(self) -> DataFrame:
+        """Tokens and sentences of the reader in the slot."""
+        return self._keep(reader.read_parts(self.postings, self.reader))
+
     @cached_property
     def tokens(self) -> DataFrame:
+        if self.reader is not None:
+            return reader.tokens_of(self.parts)
         if self.annotator is not None:
             return annotate.annotator_slot(self.postings, self.annotator, key="id")
         return annotate.tokens(self.postings, key="id")
 
     @cached_property
     def sentences(self) -> DataFrame:
+        if self.reader is not None:
+            return reader.sentences_of(self.parts)
         return annotate.sentences(self.postings, key="id")
 
     @cached_property
@@ -84,12 +96,14 @@ class Flow:
     # --- extraction -----------------------------------------------------
     @cached_property
     def rule_spans(self) -> DataFrame:
-        if self.annotator is not None:
+        if self.annotator is not None or self.reader is not None:
             return extract.adj_noun_spans(self.tokens, self.postings, key="id")
         return extract.rule_spans(self.scanned)
 
     @cached_property
     def raw_hits(self) -> DataFrame:
+        if self.tag is not None and self.tag_window is not None:
+            return tagger.windowed_slot(self.postings, self.tag, *self.tag_window, key="id")
         if self.tag is not None:
             return tagger.tagger_slot(self.postings, self.tag, key="id")
         return tagger.hits_of(self.scanned.select("posting_id", F.explode("grams").alias("g")), self.dictionary)
@@ -110,6 +124,8 @@ class Flow:
     @cached_property
     def spans(self) -> DataFrame:
         combined = extract.combine_spans(self.rule_spans, self.tagged_spans)
+        if self.reader is not None:  # the model's own sentences decide
+            return self._keep(extract.classify_kinds(combined, self.sentences, self.config.markers))
         marked = self.scanned.select("posting_id", F.explode("marked").alias("x")).select("posting_id", "x.*")
         return self._keep(extract.kinds_by_marked(combined, marked))
 

@@ -158,6 +158,26 @@ frag("spans", f"""
   FROM (SELECT * FROM rspans UNION ALL SELECT * FROM tspans) s""", ["rspans", "tspans", "sentences"])
 
 
+# sentences of another model: lines
+frag("line_sentences", f"""
+  SELECT posting_id, CAST(pos_ - 1 AS BIGINT) AS sent_ord, char_end - length(piece) AS char_start, char_end,
+         piece AS text
+  FROM ({_tile('postings', 'id', 'raw_text', r'[^\n]*\n+|[^\n]+')})""", ["postings"])
+frag("spans_read", FRAGMENTS["spans"][0].replace("FROM sentences se", "FROM line_sentences se"),
+     ["rspans", "tspans", "line_sentences"])
+
+# a tagger by ending: words at most NEAR from one that ends like a noun
+frag("noun_hits", f"""
+  SELECT posting_id, 'skill' AS model, w AS hit_ord, rtrim(word, '{PUNCT}') AS word, char_start AS start,
+         char_end - (length(word) - length(rtrim(word, '{PUNCT}'))) AS "end", 1.0::DOUBLE / (1 + away) AS score
+  FROM (SELECT *, least(w - max(CASE WHEN noun THEN w END) OVER (PARTITION BY posting_id ORDER BY w
+                                  ROWS BETWEEN {B.NEAR} PRECEDING AND CURRENT ROW),
+                        min(CASE WHEN noun THEN w END) OVER (PARTITION BY posting_id ORDER BY w
+                                  ROWS BETWEEN CURRENT ROW AND {B.NEAR} FOLLOWING) - w) AS away
+        FROM (SELECT *, regexp_matches(lower(rtrim(word, '{PUNCT}')), '(tion|ung)$') AS noun FROM dwords))
+  WHERE away IS NOT NULL AND rtrim(word, '{PUNCT}') <> ''""", ["dwords"])
+
+
 def build(deps: list[str], select: str) -> str:
     order: list[str] = []
 
@@ -186,6 +206,8 @@ ORACLE: dict[str, str] = {
     "tagger_hits": build(["hits"], "SELECT * FROM hits"),
     "tagger_spans": build(["tspans"], f"SELECT {SPAN_COLS} FROM tspans"),
     "spans": build(["spans"], f"SELECT {SPAN_COLS}, span_ord, requirement_kind FROM spans"),
+    "spans_by_reader": build(["spans_read"], f"SELECT {SPAN_COLS}, span_ord, requirement_kind FROM spans_read"),
+    "tagger_windowed_hits": build(["noun_hits"], "SELECT * FROM noun_hits"),
     "span_counts": build(["spans", "postings"], """
         SELECT p.id AS posting_id,
                CAST(count(s.id) FILTER (WHERE s.extractor = 'adj_noun') AS BIGINT) AS n_adj_noun,

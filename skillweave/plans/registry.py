@@ -311,7 +311,23 @@ def q_turtle_documents(spark, sf):
     return flow(spark, sf).turtle
 
 
+def q_spans_by_reader(spark, sf):
+    """Spans with a text model in the reader's slot, whose sentences (lines) decide the kind."""
+    f = flow(spark, sf).fresh()
+    f.reader = B.line_reader
+    return f.spans.drop("extractor_ord", "kind_ord")
+
+
+def q_tagger_windowed_hits(spark, sf):
+    """Hits of a tagger that reads 50 words at a time, stitched over whole texts."""
+    f = flow(spark, sf).fresh()
+    f.tag, f.tag_window = B.noun_tagger, (50, B.NEAR)
+    return f.hits
+
+
 QUERIES.update({
+    "spans_by_reader": q_spans_by_reader,
+    "tagger_windowed_hits": q_tagger_windowed_hits,
     "triples": q_triples,
     "validation_report": q_validation_report,
     "turtle_documents": q_turtle_documents,

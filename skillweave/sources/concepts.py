@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skillweave.operators.ordinals import with_ordinals
+
 CONCEPT = T.StructType([
     T.StructField("uri", T.StringType(), False),
     T.StructField("pref_label", T.StringType(), False),
@@ -17,13 +19,10 @@ CONCEPT = T.StructType([
 def read_concepts(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Concepts with alt_labels defaulting to []; ``ord`` = rank of the URI (tie-break order).
 
-    A taxonomy is small and bounded (thousands of rows), so the global rank is
-    one small sort.
+    The rank is found range by range (``ordinals``), so a taxonomy of any size
+    is numbered by many tasks.
     """
     raw = spark.read.schema(CONCEPT).option("multiLine", multiline).json(path)
-    return raw.select(
-        "uri", "pref_label",
-        F.coalesce("alt_labels", F.array().cast("array<string>")).alias("alt_labels"),
-        "definition",
-        F.row_number().over(Window.orderBy("uri")).cast("long").alias("ord"),
-    )
+    return with_ordinals(raw.select(
+        "uri", "pref_label", F.coalesce("alt_labels", F.array().cast("array<string>")).alias("alt_labels"),
+        "definition"), "uri")

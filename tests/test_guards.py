@@ -9,6 +9,7 @@ ROOT = pathlib.Path(__file__).resolve().parents[1] / "skillweave"
 ALLOWED = {
     ("functions/bitmaps.py", "slot_bitmap"),      # a bitmap of fixed size
     ("operators/tagger.py", "dictionary_sizes"),  # distinct (model, n) pairs of a dictionary
+    ("operators/ordinals.py", "with_ordinals"),   # row counts of ranges
     ("sources/adverts.py", "read_postings"),      # first invalid advert, limit(1), strict mode only
 }
 
