@@ -372,7 +372,8 @@ def q_vector_cache(spark, sf):
     V.refresh(spark, path, c.withColumn("pref_label", F.upper("pref_label")), "trigram", enc)
     V.refresh(spark, path, c, "trigram", enc)
     V.refresh(spark, path, c, "trigram", enc)  # nothing new: all keys present
-    versions = spark.read.parquet(path).groupBy("uri").agg(F.count(F.lit(1)).alias("n_versions"))
+    V.compact(spark, path)
+    versions = V.table(spark, path).groupBy("uri").agg(F.count(F.lit(1)).alias("n_versions"))
     cur = V.current_vectors(spark, path, c, "trigram")
     return cur.join(versions, "uri").select("model_id", "uri", "label_hash", F.size("terms").cast("long").alias("n_terms"),
                                             F.round("norm", 6).alias("norm"), "n_versions")
