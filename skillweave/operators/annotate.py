@@ -12,7 +12,7 @@ The annotator is the default of a model slot: a real tagger/parser can supply a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -123,59 +123,156 @@ def words(postings: DataFrame, key: str = "posting_id", text_col: str = "raw_tex
 
 
 # ---- candidates only -------------------------------------------------------------------------------------------
+# A text is classed by code points in numpy; words are looked at one by one only where a table of the task, keyed by the
+# word, has not seen them.
 
-def _pairs(text: str) -> list[dict]:
-    """Adjective + head slices of the default annotator, in text order."""
-    out, open_ = [], []
-    for m in RULE_PIECE.finditer(text):
-        piece = m.group()
-        if piece in ".!?\n":
-            open_ = []
-            continue
-        kind = _kind(piece, piece.lower())
-        if kind == "ADJ":
-            open_.append(m.start())
-        elif kind == "NOUN" and open_:
-            out += [{"char_start": a, "char_end": m.end(), "text": text[a:m.end()]} for a in open_]
-            open_ = []
-    return out
+_LETTER, _SPACE, _END = 1, 2, 4
+ADJ, NOUN, END = 1, 2, 3
+#: Words that a task's tables keep.
+KEPT_WORDS = 500_000
+_P1, _P2, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_P3 = np.uint64(0x165667B19E3779F9)
 
 
-def _grams(text: str, sizes: list[int], bitmap: np.ndarray) -> list[dict]:
-    """n-grams of normalised words that may be in the dictionary, with the words they cover."""
-    found = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
-    norm = [w.rstrip(TRAILING_PUNCT).lower() for w, _, _ in found]
-    out = []
-    for n in sizes:
-        if len(norm) < n:
-            continue
-        keys = [" ".join(norm[i:i + n]) for i in range(len(norm) - n + 1)]
-        h = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), dtype=np.uint64, count=len(keys))
-        for i in np.flatnonzero(in_bitmap(bitmap, h)).tolist():
-            out.append({"n": n, "key": keys[i], "words": [
-                {"w": i + j, "word": found[i + j][0], "start": found[i + j][1], "end": found[i + j][2]} for j in range(n)]})
+@cache
+def _classes() -> np.ndarray:
+    """Class of each code point below 2**16."""
+    out = np.array([_LETTER * (LETTER.match(chr(c)) is not None) for c in range(1 << 16)], dtype=np.uint8)
+    out[list(b" \t\n\x0b\f\r")] |= _SPACE
+    out[list(b".!?\n")] |= _END
     return out
 
 
-@cache
-def _word_points() -> np.ndarray:
-    """Which code points below 2**16 are letters or numbers."""
-    return np.array([LETTER.match(chr(c)) is not None for c in range(1 << 16)])
+class Shape:
+    """Places of a text's words, sentence ends and sentences, in code points."""
+
+    def __init__(self, text: str) -> None:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = _classes()[np.minimum(points, 0xFFFF)]
+        for c in np.unique(points[points > 0xFFFF]).tolist():
+            kind[points == c] = _LETTER * (LETTER.match(chr(c)) is not None)
+        word, self.end = (kind & _LETTER) != 0, (kind & _END) != 0
+        edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
+        self.word_start, self.word_end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.n, self.n_marks = len(points), int(len(points) - np.count_nonzero(kind & (_LETTER | _SPACE)))
+
+    @property
+    def n_tokens(self) -> int:
+        return len(self.word_start) + self.n_marks
+
+    @cached_property
+    def sentence_end(self) -> np.ndarray:
+        """Where each sentence ends: after a run of ending marks, and with the text."""
+        out = np.flatnonzero(self.end & ~np.append(self.end[1:], False)) + 1
+        return out if not self.n or self.end[-1] else np.append(out, self.n)
+
+    def rule_pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of words and ending marks, as RULE_PIECE finds them."""
+        marks = np.flatnonzero(self.end)
+        start = np.concatenate([self.word_start, marks])
+        order = np.argsort(start, kind="stable")
+        return start[order], np.concatenate([self.word_end, marks + 1])[order]
 
 
 def piece_counts(text: str) -> tuple[int, int]:
     """How many tokens and sentences a text has, without cutting it."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    if not len(points):
-        return 0, 0
-    word = _word_points()[np.minimum(points, 0xFFFF)]
-    for c in np.unique(points[points > 0xFFFF]).tolist():
-        word[points == c] = LETTER.match(chr(c)) is not None
-    begins = word & ~np.append(False, word[:-1])
-    space = np.isin(points, [32, 9, 10, 11, 12, 13])
-    ends = np.isin(points, [46, 33, 63, 10])
-    last = ends & ~np.append(ends[1:], False)
-    return int(begins.sum() + (~word & ~space).sum()), int(last.sum()) + int(not ends[-1])
+    shape = Shape(text)
+    return shape.n_tokens, len(shape.sentence_end)
+
+
+class _Kinds(dict):
+    """Kind of a rule piece."""
+
+    def __missing__(self, piece: str) -> int:
+        kind = END if piece in ".!?\n" else {"ADJ": ADJ, "NOUN": NOUN}.get(_kind(piece, piece.lower()), 0)
+        self[piece] = kind
+        return kind
+
+
+class _WordHashes(dict):
+    """Hash of a word as the dictionary has it: no punctuation at its end, lower case."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word.rstrip(TRAILING_PUNCT).lower(), 42)
+        self[word] = h
+        return h
+
+
+def _mixed(words: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """xxHash64 of 64-bit values with a seed each, as Spark's xxhash64 takes the elements of an array."""
+    rotated = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = (seed + _P5 + np.uint64(8)) ^ (rotated(words * _P2, 31) * _P1)
+    h = rotated(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def gram_hash(key):
+    """The hash of a dictionary key (words joined by blanks) that the scan looks for, as an expression."""
+    return F.xxhash64(F.transform(F.split(key, " "), lambda w: F.xxhash64(w)))
+
+
+class Scanner:
+    """What a task keeps between texts, and the scan of one text."""
+
+    def __init__(self, sizes: list[int], bitmap: np.ndarray, markers) -> None:
+        self.sizes, self.bitmap = sizes, bitmap
+        self.marker = regex.compile("|".join(map(regex.escape, markers)), regex.IGNORECASE) if markers else None
+        # a marker with an ending mark in it may lie across sentences; these are then searched one by one
+        self.one_by_one = bool(markers) and any(c in m for m in markers for c in ".!?\n")
+        self.kinds, self.hashes = _Kinds(), _WordHashes()
+
+    def one(self, text: str) -> tuple:
+        for kept in (self.kinds, self.hashes):
+            if len(kept) > KEPT_WORDS:
+                kept.clear()
+        shape = Shape(text)
+        return (self.pairs(text, shape), self.grams(text), self.marked(text, shape), shape.n_tokens, len(shape.sentence_end))
+
+    def pairs(self, text: str, shape: Shape) -> list[dict]:
+        """Adjective + head slices of the default annotator, in text order: the head is the next noun of the sentence."""
+        pieces = RULE_PIECE.findall(text)
+        kind = np.fromiter(map(self.kinds.__getitem__, pieces), dtype=np.int8, count=len(pieces))
+        adj, nouns = np.flatnonzero(kind == ADJ), np.flatnonzero(kind == NOUN)
+        if not len(adj) or not len(nouns):
+            return []
+        ends = np.append(np.flatnonzero(kind == END), len(pieces))
+        head = np.append(nouns, len(pieces))[np.searchsorted(nouns, adj)]
+        inside = head < ends[np.searchsorted(ends, adj)]
+        start, end = shape.rule_pieces()
+        spans = zip(start[adj[inside]].tolist(), end[head[inside]].tolist())
+        return [{"char_start": a, "char_end": b, "text": text[a:b]} for a, b in spans]
+
+    def grams(self, text: str) -> list[dict]:
+        """n-grams of normalised words that may be in the dictionary, with the words they cover."""
+        words = WORD.findall(text)
+        own = np.fromiter(map(self.hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+        spans, out = None, []
+        for n in self.sizes:
+            if len(words) < n:
+                continue
+            h = np.full(len(words) - n + 1, 42, dtype=np.uint64)
+            for j in range(n):
+                h = _mixed(own[j:len(own) - n + 1 + j], h)
+            for i in np.flatnonzero(in_bitmap(self.bitmap, h)).tolist():
+                spans = spans or [m.span() for m in WORD.finditer(text)]
+                out.append({"n": n, "key": " ".join(w.rstrip(TRAILING_PUNCT).lower() for w in words[i:i + n]), "words": [
+                    {"w": i + j, "word": words[i + j], "start": spans[i + j][0], "end": spans[i + j][1]} for j in range(n)]})
+        return out
+
+    def marked(self, text: str, shape: Shape) -> list[dict]:
+        """Sentences that hold a marker."""
+        if self.marker is None:
+            return []
+        ends = shape.sentence_end
+        starts = np.append(0, ends[:-1])
+        if self.one_by_one:
+            found = [i for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())) if self.marker.search(text, a, b)]
+        else:
+            at = np.array([m.start() for m in self.marker.finditer(text)], dtype=np.int64)
+            found = np.unique(np.searchsorted(ends, at, side="right")).tolist()
+        return [{"char_start": int(starts[i]), "char_end": int(ends[i])} for i in found]
 
 
 _SPOT = "struct<char_start:long,char_end:long>"
@@ -196,18 +293,13 @@ def scan(postings: DataFrame, sizes: list[int], bitmap: np.ndarray, markers, key
     """One row per advert: rule pairs, dictionary candidates (``sizes`` words; ``bitmap`` of the dictionary's key
     hashes), marker sentences, and the numbers of tokens and sentences. Everything the extractors need, in one pass over the text where it lies."""
     shared = postings.sparkSession.sparkContext.broadcast(bitmap)
-    marker = regex.compile("|".join(map(regex.escape, markers)), regex.IGNORECASE) if markers else None
-
-    def one(text: str):
-        marked = [{"char_start": m.start(), "char_end": m.end()} for m in SENTENCE.finditer(text)
-                  if marker.search(m.group())] if marker and marker.search(text) else []
-        return _pairs(text), _grams(text, sizes, shared.value), marked, *piece_counts(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(sizes, shared.value, markers)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [one(t.as_py() or "") for t in part.column(1)]
+                rows = [scanner.one(t.as_py() or "") for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.string()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(_SCAN)[1:]))],
                     schema=_SCAN)

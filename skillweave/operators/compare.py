@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillweave.functions.text import encoder_prefix
+from skillweave.operators.encode import encoder_slot
+from skillweave.operators.match import dense_top_k
 from skillweave.operators.sweep import BIN_CHARS, running_max
+from skillweave.session import written
 
 
 def encoder_comparison(matches: DataFrame) -> DataFrame:
@@ -17,6 +21,26 @@ def encoder_comparison(matches: DataFrame) -> DataFrame:
                     (F.col("score") - F.col("next_score")).alias("margin")))
 
 
+def encoders_on_texts(texts: DataFrame, concepts: DataFrame, encoders: dict, profiles: dict) -> DataFrame:
+    """Per (model, text): the best concept, its label and score, and the margin to the second best, for several sentence
+    encoders over the same texts (text) and concepts (ord, pref_label).
+
+    ``encoders`` maps a model's name to its callable (list of texts -> vectors); the prefixes of ``profiles`` are put
+    before texts and labels as each model wants them. Each distinct text and each label is encoded once by each model."""
+    distinct = texts.select("text").distinct()
+    asked, index, counted = None, None, None
+    for name, encode in encoders.items():
+        prefixed = lambda mode, c: F.concat(encoder_prefix(profiles, F.lit(name), mode), F.col(c)).alias("said")  # noqa: B023, E731
+        q = encoder_slot(distinct.select(F.col("text").alias("key"), prefixed("query", "text")), encode, "key", "said", name)
+        i = encoder_slot(concepts.select(F.col("ord").alias("key"), prefixed("passage", "pref_label")), encode, "key", "said", name)
+        n = distinct.select(F.lit(name).alias("model_id"))
+        asked, index, counted = ((a if b is None else b.unionByName(a)) for a, b in ((q, asked), (i, index), (n, counted)))
+    index = written(index.withColumnRenamed("key", "ord"), "encoded-labels")
+    best = encoder_comparison(dense_top_k(asked, index, 2, counted=counted))
+    return best.join(concepts.select(F.col("ord").alias("top1_ord"), F.col("pref_label").alias("top1_label")), "top1_ord").select(
+        "model_id", F.col("key").alias("text"), "top1_ord", "top1_label", "top1_score", "margin")
+
+
 def extractor_overlap(spans: DataFrame, rule: str, tagger: str, bin_chars: int = BIN_CHARS) -> DataFrame:
     """Flag every span of either extractor that overlaps a span of the other.
 

@@ -79,7 +79,7 @@ def dictionary_sizes(dictionary: DataFrame) -> list[tuple[str, int]]:
 
 def key_bitmap(dictionary: DataFrame):
     """Bitmap of the hashes of all dictionary keys."""
-    return slot_bitmap(dictionary.select(F.xxhash64("key").alias("h")), "h", KEY_BITS)
+    return slot_bitmap(dictionary.select(annotate.gram_hash(F.col("key")).alias("h")), "h", KEY_BITS)
 
 
 def dictionary_hits(postings: DataFrame, dictionary: DataFrame, pairs: list[tuple[str, int]],

@@ -141,6 +141,20 @@ def hashed_trigrams(texts: list[str]):
     return out
 
 
+def hashed_pairs(texts: list[str]):
+    """Another stand-in: counts of character pairs in 64 slots (restated in the oracle)."""
+    import numpy as np
+    out = np.zeros((len(texts), 64))
+    for row, text in zip(out, texts):
+        c = [ord(x) for x in f" {text.lower()} "]
+        for i in range(len(c) - 1):
+            row[(c[i] * 31 + c[i + 1]) % 64] += 1
+    return out
+
+
+ENCODERS = {"hashed-trigrams": hashed_trigrams, "hashed-pairs": hashed_pairs}
+
+
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concept index from benchmark passages; ord = item_id (tie-break order)."""
     b = table(spark, sf_dir, "benchmark")

@@ -167,8 +167,8 @@ class Flow:
     @cached_property
     def requirements(self) -> DataFrame:
         from skillweave.operators.requirements import accepted_from_mappings, consolidate
-        return consolidate(accepted_from_mappings(self.mappings), self.postings, self.config.level_map,
-                           self.config.fallback_level)
+        return self._keep(consolidate(accepted_from_mappings(self.mappings), self.postings, self.config.level_map,
+                                      self.config.fallback_level))
 
     # --- reports ----------------------------------------------------------
     @cached_property

@@ -590,18 +590,27 @@ def _rdf_fragments():
 _rdf_fragments()
 
 
-def _slots(src: str, key: str, text: str) -> str:
-    """Counts of hashed trigrams in 64 slots, and their norm."""
+def _slots(src: str, key: str, text: str, size: int = 3) -> str:
+    """Counts of hashed character n-grams in 64 slots, and their norm."""
+    slot = " + ".join(f"ord(substr(p, k + {j}, 1)) * {31 ** (size - 1 - j)}" for j in range(size))
     return f"""
   SELECT key, slot, n, sqrt(sum(n * n) OVER (PARTITION BY key)) AS norm
-  FROM (SELECT key, (ord(substr(p, k, 1)) * 961 + ord(substr(p, k + 1, 1)) * 31 + ord(substr(p, k + 2, 1))) % 64 AS slot,
-               CAST(count(*) AS DOUBLE) AS n
-        FROM (SELECT key, p, unnest(range(1, length(p) - 1)) AS k FROM (SELECT {key} AS key, ' ' || lower({text}) || ' ' AS p FROM {src}))
+  FROM (SELECT key, ({slot}) % 64 AS slot, CAST(count(*) AS DOUBLE) AS n
+        FROM (SELECT key, p, unnest(range(1, length(p) - {size - 2})) AS k FROM (SELECT {key} AS key, ' ' || lower({text}) || ' ' AS p FROM {src}))
         GROUP BY 1, 2)"""
 
 
 frag("qslots", _slots("qtexts", "text", "text"), ["qtexts"])
 frag("cslots", _slots("benchmark", "item_id", "text"), [])
+frag("qpairs", _slots("qtexts", "text", "text", 2), ["qtexts"])
+frag("cpairs", _slots("benchmark", "item_id", "text", 2), [])
+frag("etexts", " UNION ALL ".join(f"""
+  SELECT '{model}' AS model_id, t.text, b.item_id AS ord, b.text AS label, coalesce(d.score, 0.0) AS score
+  FROM qtexts t CROSS JOIN benchmark b
+  LEFT JOIN (SELECT q.key, c.key AS ord, sum(q.n * c.n) / (max(q.norm) * max(c.norm)) AS score
+             FROM {q} q JOIN {c} c ON q.slot = c.slot GROUP BY q.key, c.key) d ON d.key = t.text AND d.ord = b.item_id"""
+                            for model, q, c in (("hashed-trigrams", "qslots", "cslots"), ("hashed-pairs", "qpairs", "cpairs"))),
+     ["qtexts", "qslots", "cslots", "qpairs", "cpairs"])
 frag("hmaps", f"""
   SELECT 'mapping-' || substr(sha256(s.id || chr(1) || CAST(m.rank AS VARCHAR)), 1, 32) AS id, s.id AS span_id, s.posting_id,
          '{CONCEPT_NS}' || CAST(m.ord AS VARCHAR) AS concept_uri, round(m.score, 4) AS score,
@@ -622,6 +631,10 @@ ORACLE.update({
         SELECT 'delivered' AS graph, count(*) = 0 AS conforms, count(*) AS n_violations FROM violations_clean
         UNION ALL SELECT 'faulty', count(*) = 0, count(*) FROM violations"""),
     "mappings_dense_flow": build(["hmaps"], "SELECT * FROM hmaps"),
+    "encoder_texts": build(["etexts"], """
+        SELECT model_id, text, ord AS top1_concept, label AS top1_label, round(score, 4) AS top1_score, round(margin, 4) AS margin
+        FROM (SELECT *, score - lead(score) OVER w AS margin, row_number() OVER w AS rank FROM etexts
+              WINDOW w AS (PARTITION BY model_id, text ORDER BY score DESC, ord)) WHERE rank = 1"""),
 })
 
 

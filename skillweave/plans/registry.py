@@ -154,6 +154,15 @@ def q_encoder_comparison(spark, sf):
                     F.round("top1_score", 4).alias("top1_score"), F.round("margin", 4).alias("margin"))
 
 
+def q_encoder_texts(spark, sf):
+    """Two encoders compared on the distinct span texts and the concepts' labels."""
+    from skillweave.operators.compare import encoders_on_texts
+    f = flow(spark, sf)
+    c = encoders_on_texts(f.spans, f.concepts, B.ENCODERS, DEFAULT.encoder_profiles)
+    return c.select("model_id", "text", F.col("top1_ord").alias("top1_concept"), "top1_label",
+                    F.round("top1_score", 4).alias("top1_score"), F.round("margin", 4).alias("margin"))
+
+
 def q_dense_requirements(spark, sf):
     """Consolidation fold on dense top-1 matches, 50 neighbouring vectors making a posting."""
     from skillweave.operators.requirements import consolidate
@@ -175,6 +184,7 @@ def q_dense_requirements(spark, sf):
 QUERIES.update({
     "dense_matches": q_dense_matches,
     "encoder_comparison": q_encoder_comparison,
+    "encoder_texts": q_encoder_texts,
     "dense_requirements": q_dense_requirements,
 })
 

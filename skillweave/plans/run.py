@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from skillweave import __version__
 from skillweave.operators import counters, rdf
 from skillweave.plans.flow import Flow
-from skillweave.session import scratch_path
+from skillweave.session import get_text, hadoop_path, put_text, scratch_path
 from skillweave.sources import sinks
 
 TABLES = ("spans", "text_counts", "mappings", "requirements", "stage_counts", "triples")
@@ -44,8 +44,7 @@ def input_digest(flow: Flow, *more: object) -> str:
 
 
 def _folder(spark: SparkSession, path: str) -> list:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, p = hadoop_path(spark, path)
     held = fs.getContentSummary(p)
     return [path, held.getLength(), held.getFileCount(), fs.getFileStatus(p).getModificationTime()]
 
@@ -59,12 +58,9 @@ class Stages:
 
     def note(self, name: str) -> dict | None:
         """The counts of a stage that is whole, written from the same input after whole stages only."""
-        path = f"{self.out}/_stages/{name}"
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not self.valid or not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return None
-        row = self.spark.read.schema("stage string, digest string, counts string").json(path).first()
-        return json.loads(row["counts"]) if row is not None and row["digest"] == self.digest else None
+        text = get_text(self.spark, f"{self.out}/_stages/{name}") if self.valid else None
+        note = json.loads(text) if text is not None else {}
+        return note["counts"] if note.get("digest") == self.digest else None
 
     def once(self, name: str, write) -> dict:
         """Runs ``write`` unless the stage is whole; the counts it returned then or now."""
@@ -73,23 +69,19 @@ class Stages:
             self.valid = False
             counts = write() or {}
             self.ran.append(name)
-            row = self.spark.createDataFrame([(name, self.digest, json.dumps(counts))], "stage string, digest string, counts string")
-            row.coalesce(1).write.mode("overwrite").json(f"{self.out}/_stages/{name}")
+            put_text(self.spark, f"{self.out}/_stages/{name}", json.dumps({"digest": self.digest, "counts": counts}))
         return counts
 
 
-def _write_observed(df: DataFrame, path: str, **sums) -> dict:
+def _sums(sums: dict) -> list:
+    return [F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()]]
+
+
+def _write_observed(df: DataFrame, path: str, sums: dict) -> dict:
     """Writes a table and observes its number of rows and ``sums`` on the way."""
     seen = Observation()
-    one = [F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()]]
-    df.observe(seen, *one).write.mode("overwrite").parquet(path)
-    counts = {k: int(v) for k, v in seen.get.items()}
-    stored = df.sparkSession.read.parquet(path)
-    n = stored.count()  # from the footers
-    if n != counts["rows"]:  # tasks ran twice after a loss and were seen twice: count what was written
-        first = stored.agg(*one).first().asDict()
-        counts = {k: int(v) for k, v in first.items()}
-    return counts
+    df.observe(seen, *_sums(sums)).write.mode("overwrite").parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
 
 
 def run(spark: SparkSession, flow: Flow, out_dir: str | None = None, input_desc: str = "postings",
@@ -102,17 +94,19 @@ def run(spark: SparkSession, flow: Flow, out_dir: str | None = None, input_desc:
     stages = Stages(spark, out, input_digest(flow, per_posting, input_desc, concepts_desc))
     counts: dict[str, int] = {}
 
-    def table(name: str, make, **sums) -> DataFrame:
-        got = stages.once(name, lambda: _write_observed(make(), paths[name], **sums))
+    sums = {"text_counts": {"n_tokens": "n_tokens", "n_sentences": "n_sentences"},
+            "mappings": {"n_accepted": (F.col("decision") == "accepted").cast("long")}}
+
+    def noted(name: str, got: dict) -> None:
         counts.update({k: v for k, v in got.items() if k != "rows"} | {f"{name}_rows": got["rows"]})
+
+    def table(name: str, make) -> DataFrame:
+        noted(name, stages.once(name, lambda: _write_observed(make(), paths[name], sums.get(name, {}))))
         return spark.read.parquet(paths[name])
 
-    for name, make, sums in (
-            ("spans", lambda: flow.spans, {}),
-            ("text_counts", lambda: counters.text_counts(flow), {"n_tokens": "n_tokens", "n_sentences": "n_sentences"}),
-            ("mappings", lambda: flow.mappings, {"n_accepted": (F.col("decision") == "accepted").cast("long")}),
-            ("requirements", lambda: flow.requirements, {})):
-        read = table(name, make, **sums)
+    for name, make in (("spans", lambda: flow.spans), ("text_counts", lambda: counters.text_counts(flow)),
+                       ("mappings", lambda: flow.mappings), ("requirements", lambda: flow.requirements)):
+        read = table(name, make)
         if name != "text_counts":
             flow.__dict__[name] = read  # what follows reads the written table
     flow.release()
@@ -126,7 +120,12 @@ def run(spark: SparkSession, flow: Flow, out_dir: str | None = None, input_desc:
     def metadata() -> dict:
         files = sinks.written_files(spark, {k: paths[k] for k in (*TABLES, *SINKS)}, TABLES)
         files.write.mode("overwrite").parquet(paths["files"])
-        outputs = spark.read.parquet(paths["files"]).where(F.col("sink").isin(*SINKS))
+        files = spark.read.parquet(paths["files"])
+        for sink, n in files.where("rows is not null").groupBy("sink").agg(F.sum("rows")).collect():
+            if n != counts[f"{sink}_rows"]:  # tasks that ran twice after a loss were seen twice: count what was written
+                stored = spark.read.parquet(paths[sink]).agg(*_sums(sums.get(sink, {}))).first().asDict()
+                noted(sink, {k: int(v) for k, v in stored.items()})
+        outputs = files.where(F.col("sink").isin(*SINKS))
         said = {"posting_count": counts["text_counts_rows"], "n_tokens": counts["n_tokens"], "n_sentences": counts["n_sentences"],
                 "n_spans": counts["spans_rows"], "n_mappings": counts["mappings_rows"], "n_accepted": counts["n_accepted"],
                 "n_requirements": counts["requirements_rows"], "n_triples": counts["triples_rows"]}

@@ -69,5 +69,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a location that Spark can reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file; it ends with a line break, so one that was cut off is known."""
+    fs, p = hadoop_path(spark, path)
+    stream = fs.create(p, True)
+    stream.write(bytearray(f"{text}\n".encode()))
+    stream.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """What ``put_text`` wrote; None where it is not there or not whole."""
+    fs, p = hadoop_path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return text[:-1] if text.endswith("\n") else None
+
+
 def bench_cpus() -> str:
     return os.environ.get("BENCH_CPUS", "8")

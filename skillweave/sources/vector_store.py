@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skillweave.session import get_text, hadoop_path, put_text
+
 KEY = ["model_id", "uri", "label_hash"]
 #: A version of more generations is compacted by the next refresh.
 MAX_GENERATIONS = 8
@@ -37,13 +39,8 @@ STORE_SCHEMA = T.StructType([
 
 # ---- versions ---------------------------------------------------------------------------------------------------
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def _pointers(spark: SparkSession, path: str) -> list[int]:
-    fs, folder = _fs(spark, f"{path}/_versions")
+    fs, folder = hadoop_path(spark, f"{path}/_versions")
     if not fs.exists(folder):
         return []
     return sorted(int(x.getPath().getName()) for x in fs.listStatus(folder) if x.getPath().getName().isdigit())
@@ -51,13 +48,8 @@ def _pointers(spark: SparkSession, path: str) -> list[int]:
 
 def _content(spark: SparkSession, path: str, number: int) -> list[str] | None:
     """The generations a pointer names, None while it is empty."""
-    fs, p = _fs(spark, f"{path}/_versions/{number:010d}")
-    stream = fs.open(p)
-    try:
-        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return text.split("\n")[:-1] if text.endswith("\n") else None
+    text = get_text(spark, f"{path}/_versions/{number:010d}")
+    return None if text is None else text.split("\n")
 
 
 def version(spark: SparkSession, path: str) -> tuple[int, list[str]]:
@@ -78,7 +70,7 @@ def version(spark: SparkSession, path: str) -> tuple[int, list[str]]:
 
 def _commit(spark: SparkSession, path: str, number: int, names: list[str]) -> bool:
     """Creates a pointer; False if there is one of that number already."""
-    fs, p = _fs(spark, f"{path}/_versions/{number:010d}")
+    fs, p = hadoop_path(spark, f"{path}/_versions/{number:010d}")
     try:
         if not fs.createNewFile(p):
             return False
@@ -86,9 +78,7 @@ def _commit(spark: SparkSession, path: str, number: int, names: list[str]) -> bo
         if fs.exists(p):  # another writer made it between the look and the creation
             return False
         raise
-    stream = fs.create(p, True)
-    stream.write(bytearray("".join(f"{n}\n" for n in names).encode()))
-    stream.close()
+    put_text(spark, f"{path}/_versions/{number:010d}", "\n".join(names))
     return True
 
 
@@ -121,7 +111,7 @@ def vacuum(spark: SparkSession, path: str) -> int:
     """Removes the generations that the current version does not name; returns how many. For a time without writers, and
     without readers of older versions."""
     names = set(version(spark, path)[1])
-    fs, folder = _fs(spark, path)
+    fs, folder = hadoop_path(spark, path)
     old = [x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("generation-")
            and x.getPath().getName() not in names]
     for p in old:

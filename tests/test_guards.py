@@ -10,6 +10,7 @@ ALLOWED = {
     ("functions/bitmaps.py", "slot_bitmap"),      # a bitmap of fixed size
     ("operators/tagger.py", "dictionary_sizes"),  # distinct (model, n) pairs of a dictionary
     ("operators/ordinals.py", "with_ordinals"),   # row counts of ranges
+    ("plans/run.py", "metadata"),                   # row counts of the run's tables
     ("sources/adverts.py", "read_postings"),      # first invalid advert, limit(1), strict mode only
 }
 

@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from skillweave.session import scratch_path
+from skillweave.session import hadoop_path, scratch_path
 from skillweave.sources import vector_store as V
 
 
@@ -54,7 +54,7 @@ def test_a_pointer_left_empty_is_passed_over(spark, monkeypatch):
     monkeypatch.setattr(V, "POINTER_SECONDS", 0)
     path, encode = scratch_path(spark, "vec-left"), V.trigram_encoder()
     V.refresh(spark, path, labels(spark, range(2)), "trigram", encode)
-    fs, p = V._fs(spark, f"{path}/_versions/{2:010d}")
+    fs, p = hadoop_path(spark, f"{path}/_versions/{2:010d}")
     assert fs.createNewFile(p)
     assert entries(spark, path) == {"u0", "u1"}
     assert V.refresh(spark, path, labels(spark, range(3)), "trigram", encode) == 1
@@ -68,7 +68,7 @@ def test_repeated_concepts_make_one_entry_and_a_lost_folder_is_an_error(spark):
     assert V.current_vectors(spark, path, twice, "trigram").count() == 3
     assert V.table(spark, scratch_path(spark, "vec-none")).count() == 0
     (name,) = V.version(spark, path)[1]
-    fs, folder = V._fs(spark, f"{path}/{name}")
+    fs, folder = hadoop_path(spark, f"{path}/{name}")
     fs.delete(folder, True)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         V.table(spark, path).agg(F.count("*")).collect()
