@@ -16,7 +16,7 @@ def text_counts(flow) -> DataFrame:
     if flow.reader is not None:
         of = lambda part: F.count(F.when(F.col("part") == part, 1))
         own = flow.parts.groupBy("posting_id").agg(of("token").alias("n_tokens"), of("sentence").alias("n_sentences"))
-        return (flow.postings.select(F.col("id").alias("posting_id")).join(own, "posting_id", "left")
+        return (flow.facts.select(F.col("id").alias("posting_id")).join(own, "posting_id", "left")
                 .select("posting_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tokens", "n_sentences")]))
     scanned = flow.scanned.select("posting_id", "n_tokens", "n_sentences")
     if flow.annotator is None:

@@ -9,7 +9,7 @@ cardinalities are counts per (focus, path), value checks are row predicates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,39 +138,40 @@ def validate(triples: DataFrame, cons: DataFrame) -> DataFrame:
     fv = fc.join(vals, ["focus", "path"], "left")
     base = ["focus", "shape", "path", "message"]
 
-    counts = fv.groupBy(*base, "min_count", "max_count").agg(F.count("o").alias("n"))
-    card = counts.select(
-        *base,
-        F.explode(F.array(
-            F.when(F.col("n") < F.col("min_count"), F.lit("minCount")),
-            F.when(F.col("n") > F.col("max_count"), F.lit("maxCount")),
-        )).alias("constraint"),
-        F.col("n").cast("string").alias("value"),
-    ).filter(F.col("constraint").isNotNull())
-
-    v = fv.filter(F.col("o").isNotNull())
+    # values are counted where the join put them: one pass gives both the counts and the faults of single values
+    same = Window.partitionBy(*base, "min_count", "max_count")
+    fv = fv.select("*", F.count("o").over(same).alias("n"),
+                   F.row_number().over(same.orderBy("o", "o_kind", "datatype", "lang")).alias("nth"))
+    count_of = lambda cond, name: F.when((F.col("nth") == 1) & cond, _found(name, F.col("n").cast("string")))
+    fault = lambda cond, name: F.when(F.col("o").isNotNull() & cond, _found(name, F.col("o")))
+
     num = F.col("o").try_cast("decimal(38,18)")
     is_date = F.col("datatype") == XSD_NS + "date"
     is_dec = F.col("datatype") == XSD_NS + "decimal"
     ill_formed = ((is_date & F.try_to_date("o", "yyyy-MM-dd").isNull())
                   | (is_dec & (num.isNull() | ~F.col("o").rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"))))
+    has = lambda c: F.col(c).isNotNull()
+    known = lambda c: F.coalesce(c, F.lit(False))
     checks = F.array(
-        F.when(F.col("node_kind").isNotNull() & (F.col("o_kind") != "iri"), F.lit("nodeKind")),
-        F.when(F.col("datatype_c").isNotNull()
-               & ((F.col("o_kind") != "literal") | ~F.coalesce(F.col("datatype") == F.col("datatype_c"), F.lit(False))
-                  | ill_formed), F.lit("datatype")),
-        F.when(F.col("pattern").isNotNull() & ~F.regexp_like(F.col("o"), F.col("pattern")), F.lit("pattern")),
-        F.when(F.col("allowed").isNotNull()
-               & ~((F.col("o_kind") == "literal") & F.coalesce(F.col("datatype") == XSD_NS + "string", F.lit(False))
-                   & F.array_contains("allowed", F.col("o"))), F.lit("in")),
-        F.when(F.col("min_incl").isNotNull() & ~F.coalesce(num >= F.col("min_incl"), F.lit(False)), F.lit("minInclusive")),
-        F.when(F.col("max_incl").isNotNull() & ~F.coalesce(num <= F.col("max_incl"), F.lit(False)), F.lit("maxInclusive")),
-        F.when(F.col("min_excl").isNotNull() & ~F.coalesce(num > F.col("min_excl"), F.lit(False)), F.lit("minExclusive")),
-        F.when(F.col("min_length").isNotNull() & (F.length("o") < F.col("min_length")), F.lit("minLength")),
+        count_of(F.col("n") < F.col("min_count"), "minCount"),
+        count_of(F.col("n") > F.col("max_count"), "maxCount"),
+        fault(has("node_kind") & (F.col("o_kind") != "iri"), "nodeKind"),
+        fault(has("datatype_c") & ((F.col("o_kind") != "literal") | ~known(F.col("datatype") == F.col("datatype_c")) | ill_formed),
+              "datatype"),
+        fault(has("pattern") & ~F.regexp_like(F.col("o"), F.col("pattern")), "pattern"),
+        fault(has("allowed") & ~((F.col("o_kind") == "literal") & known(F.col("datatype") == XSD_NS + "string")
+                                 & F.array_contains("allowed", F.col("o"))), "in"),
+        fault(has("min_incl") & ~known(num >= F.col("min_incl")), "minInclusive"),
+        fault(has("max_incl") & ~known(num <= F.col("max_incl")), "maxInclusive"),
+        fault(has("min_excl") & ~known(num > F.col("min_excl")), "minExclusive"),
+        fault(has("min_length") & (F.length("o") < F.col("min_length")), "minLength"),
     )
-    value_v = (v.select(*base, F.explode(checks).alias("constraint"), F.col("o").alias("value"))
-               .filter(F.col("constraint").isNotNull()))
-    return card.unionByName(value_v)
+    return (fv.select(*base, F.explode(F.array_compact(checks)).alias("found"))
+            .select(*base, "found.constraint", "found.value"))
+
+
+def _found(name: str, value):
+    return F.struct(F.lit(name).alias("constraint"), value.alias("value"))
 
 
 def conforms(violations: DataFrame) -> DataFrame:

@@ -44,11 +44,12 @@ class Flow:
         self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return self._kept[-1]
 
-    def release(self) -> None:
-        """Frees what the flow keeps."""
+    def release(self, *but: DataFrame) -> None:
+        """Frees what the flow keeps, but for the tables named."""
         for df in self._kept:
-            df.unpersist()
-        self._kept.clear()
+            if not any(df is b for b in but):
+                df.unpersist()
+        self._kept[:] = but
 
     def fresh(self) -> Flow:
         """A flow of the same inputs and models that keeps nothing yet."""
@@ -68,6 +69,11 @@ class Flow:
                     self.tag, "dictionary")},
                 "tagger_models": self.tagger_models, "encoder": self.encoder}
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """The adverts without their texts, kept: everything behind the scan needs no more of them."""
+        return self._keep(self.postings.drop("raw_text"))
+
     # --- annotation -----------------------------------------------------
     @cached_property
     def parts(self) -> DataFrame:
@@ -131,7 +137,7 @@ class Flow:
 
     @cached_property
     def span_counts(self) -> DataFrame:
-        return extract.span_counts(self.spans, self.postings, ["adj_noun", self.config.tagger_name], key="id")
+        return extract.span_counts(self.spans, self.facts, ["adj_noun", self.config.tagger_name], key="id")
 
     @cached_property
     def drafts(self) -> DataFrame:
@@ -167,7 +173,7 @@ class Flow:
     @cached_property
     def requirements(self) -> DataFrame:
         from skillweave.operators.requirements import accepted_from_mappings, consolidate
-        return self._keep(consolidate(accepted_from_mappings(self.mappings), self.postings, self.config.level_map,
+        return self._keep(consolidate(accepted_from_mappings(self.mappings), self.facts, self.config.level_map,
                                       self.config.fallback_level))
 
     # --- reports ----------------------------------------------------------
@@ -185,9 +191,9 @@ class Flow:
     @cached_property
     def triples(self) -> DataFrame:
         from skillweave.operators.rdf import triples
-        return triples(self.postings, self.requirements, self.config)
+        return self._keep(triples(self.facts, self.requirements, self.config))
 
     @cached_property
     def turtle(self) -> DataFrame:
         from skillweave.operators.rdf import turtle_documents
-        return turtle_documents(self.postings, self.requirements, self.config)
+        return turtle_documents(self.facts, self.requirements, self.config)

@@ -196,7 +196,7 @@ def q_extractor_overlap(spark, sf):
 def q_extractor_totals(spark, sf):
     from skillweave.operators.compare import extractor_totals
     f = flow(spark, sf)
-    return extractor_totals(f.overlap, f.postings, "adj_noun", f.config.tagger_name)
+    return extractor_totals(f.overlap, f.facts, "adj_noun", f.config.tagger_name)
 
 
 def q_stage_counts(spark, sf):

@@ -109,11 +109,11 @@ def run(spark: SparkSession, flow: Flow, out_dir: str | None = None, input_desc:
         read = table(name, make)
         if name != "text_counts":
             flow.__dict__[name] = read  # what follows reads the written table
-    flow.release()
+    flow.release(flow.facts)
     texts = spark.read.parquet(paths["text_counts"])
     table("stage_counts", lambda: counters.stage_counts(flow, texts))
     stages.once("mappings_csv", lambda: _csv(spark, flow, paths["mappings_csv"], per_posting))
-    triples = table("triples", lambda: rdf.triples(flow.postings, flow.requirements, flow.config))
+    triples = table("triples", lambda: rdf.triples(flow.facts, flow.requirements, flow.config))
     stages.once("ntriples", lambda: {} if sinks.write_text(rdf.n_triples(triples), paths["ntriples"]) else {})
     stages.once("turtle", lambda: _turtle(spark, flow, paths["turtle"], per_posting))
 
@@ -129,10 +129,11 @@ def run(spark: SparkSession, flow: Flow, out_dir: str | None = None, input_desc:
         said = {"posting_count": counts["text_counts_rows"], "n_tokens": counts["n_tokens"], "n_sentences": counts["n_sentences"],
                 "n_spans": counts["spans_rows"], "n_mappings": counts["mappings_rows"], "n_accepted": counts["n_accepted"],
                 "n_requirements": counts["requirements_rows"], "n_triples": counts["triples_rows"]}
-        sinks.write_json(sinks.run_metadata(flow.postings, input_desc, outputs, flow.config, flow.models(), concepts_desc,
+        sinks.write_json(sinks.run_metadata(flow.facts, input_desc, outputs, flow.config, flow.models(), concepts_desc,
                                             said), paths["run_metadata"])
         return said
     stages.once("run_metadata", metadata)
+    flow.release()
     return paths
 
 
@@ -144,7 +145,7 @@ def _csv(spark: SparkSession, flow: Flow, path: str, per_posting: bool) -> dict:
 
 
 def _turtle(spark: SparkSession, flow: Flow, path: str, per_posting: bool) -> dict:
-    documents = rdf.turtle_documents(flow.postings, flow.requirements, flow.config)
+    documents = rdf.turtle_documents(flow.facts, flow.requirements, flow.config)
     sinks.write_text(documents, path, col="turtle", partition_col="posting_id" if per_posting else None)
     if per_posting:
         sinks.name_per_posting(spark, path, ".ttl")
