@@ -84,15 +84,14 @@ FROM p
 """
 
 ORACLE["op3_quotation_linking"] = r"""
-WITH opening AS (
-  SELECT conv_id, turn, min(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS q
-  FROM conversations GROUP BY 1, 2),
+WITH RECURSIVE turns AS (SELECT conv_id, turn, min(text) AS q FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2),
 mail AS (
   SELECT row_number() OVER () AS id, c.conv_id, c.turn, c.role,
-         concat_ws(chr(10), '>> ' || b.q, '> ' || a.q, c.text) AS text
+         concat_ws(chr(10), array_to_string(list_transform(string_split(b.q, chr(10)), lambda x: '>> ' || x), chr(10)),
+                   array_to_string(list_transform(string_split(a.q, chr(10)), lambda x: '> ' || x), chr(10)), c.text) AS text
   FROM conversations c
-  LEFT JOIN opening a ON a.conv_id = c.conv_id AND a.turn + 1 = c.turn
-  LEFT JOIN opening b ON b.conv_id = c.conv_id AND b.turn + 2 = c.turn),
+  LEFT JOIN turns a ON a.conv_id = c.conv_id AND a.turn + 1 = c.turn
+  LEFT JOIN turns b ON b.conv_id = c.conv_id AND b.turn + 2 = c.turn),
 lines AS (
   SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS raw,
          generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM mail),
@@ -103,21 +102,33 @@ said AS (
          lower(trim(regexp_replace(substr(raw, len(marks) + 1), '\s+', ' ', 'g'))) AS said FROM leveled),
 runs AS (
   SELECT *, line_no - row_number() OVER (PARTITION BY id, level ORDER BY line_no) AS run FROM said),
-firsts AS (
-  SELECT conv_id, said, min(turn) AS first_turn FROM said WHERE level = 0 AND said <> '' GROUP BY 1, 2),
+own AS (
+  SELECT id, conv_id, turn, chr(30) || string_agg(said, chr(30) ORDER BY line_no) || chr(30) AS words
+  FROM said WHERE level = 0 AND said <> '' GROUP BY 1, 2, 3),
+quoted AS (
+  SELECT id, conv_id, turn, level, chr(30) || string_agg(said, chr(30) ORDER BY line_no) || chr(30) AS words
+  FROM runs WHERE level > 0 AND said <> '' GROUP BY id, conv_id, turn, level, run),
 passages AS (
-  SELECT r.id, r.level, r.run, count(*) = count(f.first_turn) AS linked, max(f.first_turn) AS original
-  FROM runs r LEFT JOIN firsts f ON f.conv_id = r.conv_id AND f.said = r.said AND f.first_turn < r.turn
-  WHERE r.level > 0 AND r.said <> '' GROUP BY 1, 2, 3),
+  SELECT q.id, q.level, (SELECT min(o.turn) FROM own o WHERE o.conv_id = q.conv_id AND o.turn < q.turn
+                         AND contains(o.words, q.words)) AS original FROM quoted q),
 each AS (
-  SELECT id, count(*) AS n_passages, count(*) FILTER (linked) AS n_linked,
-         max(original) FILTER (linked AND level = 1) AS reply_to FROM passages GROUP BY 1),
+  SELECT id, count(*) AS n_passages, count(original) AS n_linked,
+         max(original) FILTER (level = 1) AS reply_to FROM passages GROUP BY 1),
+up AS (
+  SELECT m.conv_id, m.turn, max(e.reply_to) AS reply_to FROM mail m JOIN each e USING (id)
+  WHERE e.reply_to IS NOT NULL GROUP BY 1, 2),
+chain AS (
+  SELECT m.id, m.conv_id, e.reply_to AS thread, 1 AS depth FROM mail m JOIN each e USING (id) WHERE e.reply_to IS NOT NULL
+  UNION ALL
+  SELECT c.id, c.conv_id, u.reply_to, c.depth + 1 FROM chain c JOIN up u ON u.conv_id = c.conv_id AND u.turn = c.thread),
+ends AS (SELECT id, min(thread) AS thread, max(depth) AS depth FROM chain GROUP BY 1),
 bodies AS (
   SELECT id, max(level) AS max_level,
          trim(coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (level = 0), ''), chr(10)) AS body FROM said GROUP BY 1)
 SELECT m.conv_id, m.turn, m.role, b.body, CAST(b.max_level AS INTEGER) AS max_level,
-       CAST(coalesce(e.n_passages, 0) AS BIGINT) AS n_passages, CAST(coalesce(e.n_linked, 0) AS BIGINT) AS n_linked, e.reply_to
-FROM mail m JOIN bodies b USING (id) LEFT JOIN each e USING (id)
+       CAST(coalesce(e.n_passages, 0) AS BIGINT) AS n_passages, CAST(coalesce(e.n_linked, 0) AS BIGINT) AS n_linked, e.reply_to,
+       coalesce(t.thread, m.turn) AS thread, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth
+FROM mail m JOIN bodies b USING (id) LEFT JOIN each e USING (id) LEFT JOIN ends t USING (id)
 """
 
 ORACLE["op13_slot_hard_negatives"] = r"""

@@ -178,7 +178,7 @@ def test_quotations_are_linked_and_removed(spark):
     assert got == {
         (1, 0, "First point here.\nSecond   POINT here."): (0, 0, 0, None),
         (1, 1, "Yes to that."): (1, 1, 1, 0),
-        (1, 2, "But why?"): (2, 3, 3, 1),
+        (1, 2, "But why?"): (2, 3, 2, 1),  # lines in another order are nobody's words
         (1, 3, "Ok"): (1, 1, 0, None),
         (1, 4, "no > mark"): (2, 1, 1, None),
         (2, 0, ""): (1, 1, 0, None), (2, 1, ""): (0, 0, 0, None), (2, 2, ""): (0, 0, 0, None), (2, 3, ""): (3, 0, 0, None),
