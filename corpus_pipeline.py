@@ -40,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
                                                            F.col("k.n").alias("n")), "near-duplicate-keeps")
     kept = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("row_key") == F.col("k_key"))
     out = without(docs, found.join(keeps, kept, "left_anti"))
-    repeated = keeps.where("n > 1").select(F.col("k_id").alias("doc_id"), F.col("k_key").alias("row_key"))
+    repeated = written(keeps.where("n > 1").select(F.col("k_id").alias("doc_id"), F.col("k_key").alias("row_key")), "repeated")
     if repeated.isEmpty():
         return out
     once, several = split_rows(out, repeated)

@@ -140,17 +140,37 @@ class WordScanner:
 
 # ---- joins that move only what they must ----------------------------------------------------------------------
 
-def split_rows(docs: DataFrame, keys: DataFrame, bits: int = 25) -> tuple[DataFrame, DataFrame]:
-    """(rows surely not in ``keys``, rows perhaps in it) of ``docs``, by doc_id and text; ``keys`` has (doc_id,
-    row_key). A bitmap of fixed size decides in the scan, so only the second part needs a join and moves its texts."""
-    bitmap = slot_bitmap(keys.select(F.xxhash64("doc_id", "row_key").alias("h")), "h", bits)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+#: Bits of the largest bitmap (64 MB); one of a few keys takes 8 KB. A key that is not there passes one of 2**SPARE
+#: times as many bits with a chance of about one in 2**SPARE.
+MOST_BITS, LEAST_BITS, SPARE = 29, 16, 4
+
+
+def bitmap_bits(n_keys: int) -> int:
+    return max(LEAST_BITS, min(MOST_BITS, max(1, n_keys).bit_length() + SPARE))
+
+
+def _maybe(keys: DataFrame, *columns: str):
+    """A function of a hash column: whether it may be that of a row of ``keys``, by a bitmap that grows with them."""
+    bitmap = slot_bitmap(keys.select(F.xxhash64(*columns).alias("h")), "h", bitmap_bits(keys.count()))
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(shared.value, h.to_numpy(dtype=np.int64).astype(np.uint64)))
+    return maybe
+
+
+def perhaps_in(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``keys``; the others need no join."""
+    return rows.where(_maybe(keys, column)(F.xxhash64(column)))
+
 
-    flag = maybe(F.xxhash64("doc_id", F.xxhash64("text")))
+def split_rows(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows surely not in ``keys``, rows perhaps in it) of ``docs``, by doc_id and text; ``keys``, a written table, has
+    (doc_id, row_key). A bitmap decides in the scan, so only the second part needs a join and moves its texts. The bitmap
+    takes 16 to 32 bits for a key up to its bound (MOST_BITS: 32 million keys at that rate, more at a lower one); with
+    many times as many keys most texts are perhaps in them and move, which is right and no faster than a join."""
+    flag = _maybe(keys, "doc_id", "row_key")(F.xxhash64("doc_id", F.xxhash64("text")))
     return docs.where(~flag), docs.where(flag)
 
 

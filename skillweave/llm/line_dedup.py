@@ -1,17 +1,21 @@
 """Reversible line deduplication: sharded cuckoo filters backed by exact reference counts.
 
-State: ``postings`` (key, doc_id), one row per document and line key, from which the exact reference counts (key,
-n_docs, max_doc) are aggregated; and the cuckoo filters, one per shard, of the keys that reached ``min_docs``. A
-document is added by appending its postings, deleted by subtracting them; keys that cross ``min_docs`` are inserted
-into or deleted from their shard's filter. Cleaning probes the broadcast filters in the scan; only positive lines are
-joined with the exact counts, and only texts that may lose a line move.
+State: ``postings`` (key, doc_id, step), one row per document and line key, and one with step -1 for each that is taken
+back, from which the exact reference counts (key, n_docs, max_doc) are aggregated; and the cuckoo filters, one per shard,
+of the keys that reached ``min_docs``. A document is added or deleted by appending its postings; only the counts of its
+keys are made anew, as a layer over the counts before, and keys that cross ``min_docs`` are inserted into or deleted from
+their shard's filter. Cleaning probes the broadcast filters in the scan; only positive lines are joined with the exact
+counts, and only texts that may lose a line move.
 
-The filters have a fixed size (SHARDS * BUCKETS * SLOTS * 2 bytes, 16 MB). A shard with more keys than it holds is
-marked as full; then each of its lines is positive and the exact join alone decides.
+There are as many shards as the keys need (SHARD_KEYS each) up to SHARDS, whose filters take 128 MB; when keys outgrow
+them, the filters are rebuilt with more shards. Beyond that a shard that cannot take a key is marked as full; then each
+of its lines is positive and the exact join alone decides. A full shard whose keys fit again is rebuilt from the counts.
 
 Defined results: a null or empty text is one empty line; each row counts as a document of its own, also where a
 doc_id repeats, and all rows of the largest doc_id keep a line; a null doc_id is below any other, and if a line lies
-in no document with a doc_id it stays everywhere.
+in no document with a doc_id it stays everywhere. Texts of any length are taken whole. Taking back a document that was
+not added changes nothing. Extra columns pass through, also where they are called as a column made here; ``clean``
+calls its own n_lines and n_dropped, and leaves those of the input out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.llm.common import row_key, same_row, split_rows, written
+from skillweave.llm.common import perhaps_in, row_key, same_row, split_rows, written
 
 MIN_DOCS, MIN_CHARS = 3, 20
-SHARDS, BUCKETS, SLOTS = 64, 1 << 15, 4
+#: Most shards, and the size of a filter; a shard is to hold SHARD_KEYS of its BUCKETS * SLOTS places.
+SHARDS, BUCKETS, SLOTS = 512, 1 << 15, 4
+SHARD_KEYS = 90_000
 KICKS = 200
+#: Layers of changed counts, and of postings, that are kept apart.
+LAYERS = 8
 #: Parts into which the lines of a hot key are dealt for the join with its count.
 SALTS = 16
 _STRIP = b" \t\n\r\x0b\x0c"
@@ -102,8 +110,13 @@ class CuckooFilter:
         return ((self.cells[first] == mark[:, None]) | (self.cells[second] == mark[:, None])).any(axis=1)
 
 
-def _shard(h: np.ndarray) -> np.ndarray:
-    return (h.astype(np.uint64) >> np.uint64(58)).astype(np.int64) % SHARDS
+def shard_count(n_keys: int) -> int:
+    """Shards for so many keys, a power of two."""
+    return min(SHARDS, 1 << (max(1, -(-n_keys // SHARD_KEYS)) - 1).bit_length())
+
+
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h.astype(np.uint64) >> np.uint64(55)) & np.uint64(shards - 1)).astype(np.int64)
 
 
 def _hash(keys) -> np.ndarray:
@@ -149,24 +162,30 @@ def reference_counts(lines: DataFrame) -> DataFrame:
 _FILTERS = "shard int, cells binary, full boolean"
 
 
-def _with_shard(counts: DataFrame) -> DataFrame:
-    return counts.withColumn("shard", (F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("int") / 4).cast("int"))
+def _with_shard(keys: DataFrame, shards: int) -> DataFrame:
+    first = F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int")
+    return keys.withColumn("shard", F.shiftright(first, 7).bitwiseAND(F.lit(shards - 1)).cast("int"))
 
 
 def build_filters(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One cuckoo filter per shard of the keys found in at least ``min_docs`` documents. A shard stops at its
-    capacity, so its task holds no more than one filter and one batch of keys."""
-    return change_filters(None, counts.where(F.col("n_docs") >= min_docs).select("key", F.lit(1).alias("step")))
+    """A cuckoo filter for each of the shards that the keys found in at least ``min_docs`` documents need."""
+    keys = counts.where(F.col("n_docs") >= min_docs).select("key", F.lit(1).alias("step"))
+    shards = shard_count(keys.count())
+    return change_filters(_empty_filters(counts, range(shards)), keys, shards)
+
 
+def _empty_filters(counts: DataFrame, shards) -> DataFrame:
+    return counts.sparkSession.createDataFrame([(s, None, False) for s in shards], _FILTERS)
 
-def change_filters(filters: DataFrame | None, changes: DataFrame) -> DataFrame:
-    """Filters after inserting (step 1) and deleting (step -1) the keys of ``changes`` (key, step)."""
-    rows = _with_shard(changes).select("shard", "key", "step", F.lit(None).cast("binary").alias("cells"),
-                                       F.lit(False).alias("full"))
-    if filters is not None:
-        rows = rows.unionByName(filters.select("shard", F.lit(None).cast("binary").alias("key"), F.lit(0).alias("step"),
-                                               "cells", "full"))
-    rows = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "step", "key")
+
+def change_filters(filters: DataFrame, changes: DataFrame, shards: int) -> DataFrame:
+    """Filters after inserting (step 1) and deleting (step -1) the keys of ``changes`` (key, step). A shard stops at its
+    capacity, so its task holds no more than the filters of its shards and one batch of keys."""
+    rows = _with_shard(changes, shards).select("shard", "key", "step", F.lit(None).cast("binary").alias("cells"),
+                                               F.lit(False).alias("full"))
+    rows = rows.unionByName(filters.select("shard", F.lit(None).cast("binary").alias("key"), F.lit(0).alias("step"),
+                                           "cells", "full"))
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "step", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, CuckooFilter] = {}
@@ -175,16 +194,14 @@ def change_filters(filters: DataFrame | None, changes: DataFrame) -> DataFrame:
             f = batch.to_pandas()
             for shard, part in f.groupby("shard"):
                 for _, r in part[part["step"] == 0].iterrows():
-                    cells = np.frombuffer(bytes(r["cells"]), dtype=np.uint16).reshape(BUCKETS, SLOTS).copy()
+                    cells = None if r["cells"] is None else np.frombuffer(bytes(r["cells"]), np.uint16).reshape(BUCKETS, SLOTS).copy()
                     held[shard] = CuckooFilter(cells, bool(r["full"]))
                 gone = part[part["step"] < 0]
                 if len(gone):
                     late.setdefault(shard, []).append(_hash(gone["key"]))
                 new = part[part["step"] > 0]
-                if len(new):
-                    own = held.setdefault(shard, CuckooFilter())
-                    if not own.full:
-                        own.insert(_hash(new["key"]))
+                if len(new) and shard in held and not held[shard].full:
+                    held[shard].insert(_hash(new["key"]))
         for shard, hashes in late.items():
             if shard in held and not held[shard].full:
                 held[shard].delete(np.concatenate(hashes))
@@ -201,7 +218,7 @@ def clean(documents: DataFrame, counts: DataFrame, filters: DataFrame, min_docs:
     """``documents`` (doc_id, text and any other columns) with text replaced by the kept lines, plus n_lines and
     n_dropped."""
     spark = documents.sparkSession
-    parts = filters.collect()  # at most SHARDS filters of fixed size
+    parts = filters.collect()  # at most SHARDS filters of fixed size, one for each shard
     shared = spark.sparkContext.broadcast({r["shard"]: (None if r["full"] else bytes(r["cells"])) for r in parts})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +232,7 @@ def clean(documents: DataFrame, counts: DataFrame, filters: DataFrame, min_docs:
                 at.extend([row] * len(own))
             h, at = _hash(keys), np.array(at, dtype=np.int64)
             positive = np.zeros(len(h), dtype=bool)
-            shard = _shard(h)
+            shard = _shard(h, max(1, len(held)))
             for s, own in held.items():
                 here = shard == s
                 positive[here] = own.holds(h[here])
@@ -256,36 +273,80 @@ def _key_of(line):
 class LineDedupState:
     """Postings, counts and filters as written tables; ``add`` and ``delete`` give the next state."""
 
-    def __init__(self, lines: DataFrame, filters: DataFrame, min_docs: int = MIN_DOCS) -> None:
-        self.postings, self.filters, self.min_docs = lines, filters, min_docs
-        self.counts = written(reference_counts(lines), "line-counts")
+    def __init__(self, lines: list[DataFrame], base: DataFrame, layers: list[DataFrame], filters: DataFrame, min_docs: int) -> None:
+        #: postings (key, doc_id, step) of the documents at the start, and of each change
+        self.lines, self.base, self.layers, self.filters, self.min_docs = lines, base, layers, filters, min_docs
 
     @classmethod
     def of(cls, documents: DataFrame, min_docs: int = MIN_DOCS) -> LineDedupState:
-        state = cls.__new__(cls)
-        state.min_docs, state.postings = min_docs, postings(documents)
-        state.counts = written(reference_counts(state.postings), "line-counts")
-        state.filters = written(build_filters(state.counts, min_docs), "line-filters")
+        lines = postings(documents)
+        base = written(reference_counts(lines), "line-counts")
+        return cls([lines.withColumn("step", F.lit(1))], base, [], written(build_filters(base, min_docs), "line-filters"), min_docs)
+
+    @property
+    def counts(self) -> DataFrame:
+        """Exact (key, n_docs, max_doc): the base's, but for keys that a later layer has anew."""
+        if not self.layers:
+            return self.base
+        latest = None
+        for number, layer in enumerate(self.layers):
+            layer = layer.withColumn("layer", F.lit(number))
+            latest = layer if latest is None else latest.unionByName(layer)
+        latest = latest.groupBy("key").agg(F.max_by(F.struct("n_docs", "max_doc"), "layer").alias("c")).select("key", "c.*")
+        return (self.base.join(latest.select("key"), "key", "left_anti")
+                .unionByName(latest.where("n_docs > 0")))
+
+    def _next(self, delta: DataFrame) -> LineDedupState:
+        """The state after the postings of ``delta``: only its keys' postings are gathered and counted."""
+        if len(self.lines) == 1:  # until the first change they need not be kept
+            self.lines = [written(self.lines[0], "line-postings")]
+        delta = written(delta, "line-postings")
+        keys = written(delta.select("key").distinct(), "line-keys")
+        before = self.lines[0]
+        for more in self.lines[1:]:
+            before = before.unionByName(more)
+        touched = perhaps_in(before, "key", keys).join(keys, "key", "left_semi").unionByName(delta)
+        # row by row: as many as were added and not taken back
+        held = touched.groupBy("key", "doc_id").agg(F.sum("step").alias("n")).where("n > 0")
+        after = held.groupBy("key").agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        layer = written(keys.join(after, "key", "left").select("key", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "max_doc"),
+                        "line-counts")
+        old = perhaps_in(self.counts, "key", keys).select(F.col("key").alias("k2"), F.col("n_docs").alias("n2"))
+        was, now = F.coalesce("n2", F.lit(0)) >= self.min_docs, F.col("n_docs") >= self.min_docs
+        step = F.when(now & ~was, 1).when(was & ~now, -1)
+        changes = written(layer.join(old, F.col("key") == F.col("k2"), "left").select("key", step.alias("step"))
+                          .where("step is not null"), "line-changes")
+        lines, layers, base = [*self.lines, delta], [*self.layers, layer], self.base
+        if len(layers) > LAYERS:
+            base, layers = written(LineDedupState(lines, base, layers, self.filters, self.min_docs).counts, "line-counts"), []
+            whole = before.unionByName(delta).groupBy("key", "doc_id").agg(F.sum("step").cast("int").alias("step")).where("step > 0")
+            lines = [written(whole.select("key", "doc_id", F.explode(F.sequence(F.lit(1), "step")).alias("one"))
+                             .select("key", "doc_id", F.lit(1).alias("step")), "line-postings")]
+        state = LineDedupState(lines, base, layers, self.filters, self.min_docs)
+        state.filters = written(state._filters_after(changes), "line-filters")
         return state
 
-    def _next(self, lines: DataFrame, name: str) -> LineDedupState:
-        lines = written(lines, name)
-        after = reference_counts(lines).select(F.col("key").alias("k2"), F.col("n_docs").alias("n2"))
-        before = self.counts.select("key", "n_docs")
-        both = before.join(after, F.col("key") == F.col("k2"), "full").select(
-            F.coalesce("key", "k2").alias("key"), F.coalesce("n_docs", F.lit(0)).alias("a"),
-            F.coalesce("n2", F.lit(0)).alias("b"))
-        was, now = F.col("a") >= self.min_docs, F.col("b") >= self.min_docs
-        step = F.when(now & ~was, 1).when(was & ~now, -1)
-        changes = both.select("key", step.alias("step")).where("step is not null")
-        return LineDedupState(lines, written(change_filters(self.filters, changes), "line-filters"), self.min_docs)
+    def _filters_after(self, changes: DataFrame) -> DataFrame:
+        shards = self.filters.count()
+        keys = self.counts.where(F.col("n_docs") >= self.min_docs).select("key", F.lit(1).alias("step"))
+        if shard_count(keys.count()) > shards:
+            return build_filters(self.counts, self.min_docs)
+        changed = written(change_filters(self.filters, changes, shards), "line-filters")
+        full = [r["shard"] for r in changed.where("full").select("shard").collect()]  # at most SHARDS numbers
+        if not full:
+            return changed
+        sizes = _with_shard(keys, shards).where(F.col("shard").isin(full)).groupBy("shard").count().collect()
+        fits = sorted({*full} - {r["shard"] for r in sizes if r["count"] > SHARD_KEYS})
+        mine = _with_shard(keys, shards).where(F.col("shard").isin(fits)).drop("shard")
+        anew = change_filters(_empty_filters(self.counts, fits), mine, shards)
+        return changed.where(~F.col("shard").isin(fits)).unionByName(anew)
 
     def add(self, documents: DataFrame) -> LineDedupState:
-        return self._next(self.postings.unionByName(postings(documents)), "line-postings")
+        return self._next(postings(documents).withColumn("step", F.lit(1)))
 
     def delete(self, documents: DataFrame) -> LineDedupState:
         """Takes back documents that were added, row by row."""
-        return self._next(self.postings.exceptAll(postings(documents)), "line-postings")
+        return self._next(postings(documents).withColumn("step", F.lit(-1)))
 
     def clean(self, documents: DataFrame) -> DataFrame:
         return clean(documents, self.counts, self.filters, self.min_docs)

@@ -4,21 +4,21 @@ ORACLE = {}
 
 ORACLE["op6_cuckoo_line_dedup"] = r"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT doc, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no
-  FROM documents),
+  FROM (SELECT *, row_number() OVER () AS doc FROM documents)),
 keyed AS (
-  SELECT doc_id, line_no, line,
+  SELECT doc, doc_id, line_no, line,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
 held AS (
-  SELECT key, count(DISTINCT doc_id) AS n, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key),
+  SELECT key, count(DISTINCT doc) AS n, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key),
 marked AS (
-  SELECT k.doc_id, k.line_no, k.line, coalesce(h.n >= 3 AND k.doc_id < h.top, false) AS gone
+  SELECT k.doc, k.doc_id, k.line_no, k.line, coalesce(h.n >= 3 AND k.doc_id < h.top, false) AS gone
   FROM keyed k LEFT JOIN held h ON h.key = k.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY doc, doc_id
 """
 
 ORACLE["op7_source_mixing"] = r"""
