@@ -57,7 +57,8 @@ def lines_of(messages: DataFrame) -> DataFrame:
     line's hash and its part for sums, are null for blank lines."""
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     rows = messages.select("conv_id", "turn", F.xxhash64("text").alias("row_key"), F.posexplode(split).alias("at", "line"))
-    said = rows.select(*_MESSAGE, "at", _level(F.col("line")).alias("level"), F.nullif(_said(F.col("line")), F.lit("")).alias("s"))
+    said = rows.select(*_MESSAGE, "at", _level(F.col("line")).alias("level"),
+                       F.nullif(_said(F.col("line")), F.lit("")).alias("s"))
     key = F.when(F.col("s").isNotNull(), F.xxhash64("s"))
     return said.select(*_MESSAGE, "at", "level", key.alias("key"), key.bitwiseAND(F.lit(_HASH)).alias("h")).distinct()
 
@@ -71,7 +72,8 @@ def passages(lines: DataFrame) -> DataFrame:
     said = quoted.where("key is not null").withColumn("place", F.row_number().over(inside))
     return said.groupBy(*_MESSAGE, "level", "passage").agg(
         F.count("*").alias("n"), F.max(F.when(F.col("place") == 1, F.col("key"))).alias("first"),
-        _exact(F.sum(_exact(F.col("h")))).alias("s0"), _exact(F.sum(_exact(F.col("h")) * F.col("place"))).alias("s1")).drop("passage")
+        _exact(F.sum(_exact(F.col("h")))).alias("s0"),
+        _exact(F.sum(_exact(F.col("h")) * F.col("place"))).alias("s1")).drop("passage")
 
 
 def runs_said(lines: DataFrame, asked: DataFrame) -> DataFrame:
@@ -116,17 +118,19 @@ def threads(replies: DataFrame) -> DataFrame:
     many steps. ``replies`` is (conv_id, turn, reply_to), each reply_to an earlier turn."""
     steps = (replies.where("reply_to is not null").groupBy("conv_id", "turn").agg(F.max("reply_to").alias("thread"))
              .withColumn("depth", F.lit(1).cast("long")))
-    steps = written(steps, "reply-steps")
-    while True:
-        up = steps.select(F.col("conv_id").alias("u_conv"), F.col("turn").alias("u_turn"), F.col("thread").alias("u_thread"),
+    active, done = written(steps, "reply-steps"), None
+    while True:  # rows whose thread replies to nothing are done; the others go on from where that turn has come to
+        known = active if done is None else done.unionByName(active)
+        up = known.select(F.col("conv_id").alias("u_conv"), F.col("turn").alias("u_turn"), F.col("thread").alias("u_thread"),
                           F.col("depth").alias("u_depth"))
-        longer = steps.join(up, (F.col("conv_id") == F.col("u_conv")) & (F.col("thread") == F.col("u_turn")), "left")
+        longer = active.join(up, (F.col("conv_id") == F.col("u_conv")) & (F.col("thread") == F.col("u_turn")), "left")
         after = written(longer.select("conv_id", "turn", F.coalesce("u_thread", "thread").alias("thread"),
                                       (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth"),
                                       F.col("u_turn").isNotNull().alias("moved")), "reply-steps")
-        steps = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return steps
+        ended, active = after.where("not moved").drop("moved"), after.where("moved").drop("moved")
+        done = ended if done is None else done.unionByName(ended)
+        if active.isEmpty():
+            return done
 
 
 def link(messages: DataFrame) -> DataFrame:
