@@ -3,14 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``. Each works on every row its predecessor kept; all but the last return the columns of ``documents``.
 
-Defined results: extra columns pass through; null and empty texts follow the operators (see their modules); where rows
-share a doc_id but not a text each row is decided by its own text. Near-dedup keeps one row of each group of near
-copies, with or without doc_ids.
+Defined results: extra columns pass through with their values, whatever their names; what the last stage adds (size,
+source_size, target, copy) takes the place of columns of that name, which are then called given_size and so on. A table
+without n_chars has none after either. Null, empty and very long texts follow the operators (see their modules); where
+rows share a doc_id but not a text each row is decided by its own text. Near-dedup keeps one row of each group of near
+copies, with or without doc_ids; of rows that differ in other columns only, the first by a hash of the whole row. An empty
+table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skillweave.llm import decontaminate, line_dedup, mixing, simhash, toxicity
@@ -25,9 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in several documents stay in one of them; n_chars follows a changed text."""
-    cleaned = line_dedup.LineDedupState.of(docs).clean(docs)
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cleaned.withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in docs.columns])
+    given = {c: f"__given_{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}
+    held = docs.withColumnsRenamed(given)
+    cleaned = line_dedup.LineDedupState.of(held).clean(held)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        cleaned = cleaned.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*[F.col(f"`{given.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +51,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if repeated.isEmpty():
         return out
     once, several = split_rows(out, repeated)
-    return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
+    # of rows equal in both the first by a hash of the whole row, so that reruns keep the same one
+    by_row = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy("__row")
+    first = several.withColumn("__row", _row_hash(docs)).withColumn("__nth", F.row_number().over(by_row)).where("__nth = 1")
+    return once.unionByName(first.drop("__row", "__nth"))
+
+
+def _row_hash(docs: DataFrame):
+    """A hash of all of a row; of a map as its text, as Spark hashes no maps."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +70,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks, with size, source_size, target and the number of the copy."""
-    return mixing.emit(mixing.mix(docs))
+    given = {c: f"given_{c}" for c in ("size", "source_size", "target", "copies", "copy") if c in docs.columns}
+    return mixing.emit(mixing.mix(docs.withColumnsRenamed(given)))
 
 
 STAGES = [

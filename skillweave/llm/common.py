@@ -17,13 +17,15 @@ from skillweave.session import scratch_path
 SLICE_BYTES = 1 << 20
 
 
-#: Rows in an Arrow batch, where the session has Spark's default of 10,000: rows here are whole texts.
-BATCH_ROWS = 1_000
+#: Rows and bytes in an Arrow batch, where the session has Spark's defaults of 10,000 and 64 MB: rows are whole texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """A table of the data folder. The session's Arrow batches are made smaller, unless the caller has set them."""
+    for key, default, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(own))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

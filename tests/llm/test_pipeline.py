@@ -66,3 +66,32 @@ def test_near_dedup_keeps_unlike_texts_without_an_id_or_under_one(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert {"doc_id", "text", "source", "size", "target", "copy"} <= set(out.columns) and out.count() > 0
+
+
+def test_columns_of_the_caller_keep_their_values(spark):
+    text = "one two three four five six\na line that is long enough to count"
+    rows = [(i, text.replace("one", f"w{i} v{i} u{i}"), f"s{i % 2}", 77, 66, 88, "t", {"k": i}) for i in range(6)]
+    rows += [(9, "only words here", "s0", 77, 66, 88, a, {"k": 1}) for a in "zxy"]  # rows apart in another column
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int, n_dropped int, size int, "
+                                       "target string, extra map<string,int>")
+    cleaned = corpus_pipeline.drop_repeated_lines(spark, docs, SMALL)
+    assert cleaned.columns == docs.columns  # there is no n_chars, and none comes
+    assert {(r.n_lines, r.n_dropped, r.size) for r in cleaned.collect()} == {(77, 66, 88)}
+    assert sum("long enough" in r.text for r in cleaned.collect()) == 1
+    once = {tuple(map(str, r)) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).where("doc_id = 9").collect()}
+    again = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(5, "target"), SMALL).where("doc_id = 9").collect()
+    assert len(once) == 1 and once == {tuple(map(str, r)) for r in again}
+    mixed = corpus_pipeline.mix_sources(spark, docs, SMALL)
+    assert {(r.given_size, r.given_target) for r in mixed.where("doc_id < 9").collect()} == {(88, "t")}
+    assert {r["size"] for r in mixed.where("doc_id = 0").collect()} <= {16}
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    docs = table(spark, SMALL, "documents")
+    long = spark.range(40).selectExpr("id as doc_id", "repeat('word ', 200000) as text").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+    assert docs.columns and max(r.n for r in long.mapInArrow(sizes, "n long").collect()) <= 6
