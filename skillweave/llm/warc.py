@@ -1,19 +1,27 @@
 """Legacy archive converter: ARC files to WARC files.
 
-ARC files (version 1 and 2) are read as their own version block says: header lines of that version's fields, then as
-many content bytes as the line declares. For each record an equivalent WARC record is synthesised: an identifier
-(UUID of target, date and content digest, so a retried task writes the same), an ISO date from the 14-digit one,
-block and payload digests, and the type. Of records with equal payloads of at least MIN_REVISIT bytes the one with the
-largest key stays a response, the others become revisits that keep their HTTP headers and refer to it.
+ARC files (version 1 and 2) are read as their own version block says: header lines of that version's fields, anchored on
+the address and the date (targets and content types may hold blanks), then as many content bytes as the line declares.
+For each record an equivalent WARC record is synthesised: an identifier (UUID of target, date and content digest, so a
+retried task writes the same), an ISO date from the 14-digit one, block and payload digests, and the type: response for
+HTTP messages, resource for anything else (dns:, ftp:), and a warcinfo record for the version block. Of responses with
+equal payloads of at least MIN_REVISIT bytes one stays a response - that with the largest key, where the messages name
+one, or else the earliest (the first target of that date) - and the others become revisits that keep their HTTP headers
+and refer to it.
 
 Files are written and read by Spark's own text and binaryFile sources, so any store that Spark reaches will do. An
-archive holds one partition's records. A fixed-size bitmap of the repeated payload digests decides in the parsing
-task which records may be revisits; only those are shuffled (salted by key) to meet their response.
+ARC file holds one partition's records, a WARC file at most FILE_RECORDS. A fixed-size bitmap of the repeated payload
+digests decides in the parsing task which records may be revisits; only those are shuffled (salted) to meet their
+response.
+
+Malformed archives: what is no record line where one is due is skipped up to the next line that is one, and becomes a
+row of ``rejects`` with its bytes; a file without a version block, or of an unknown version, is one reject; a record cut
+off at the end of its file keeps what is there and is marked WARC-Truncated. Nothing of this stops the job.
 
 Defined results: a null html is an empty payload; a null url becomes urn:page:<id>, and white space in a url is
-percent-encoded; rows repeated with the largest key are all responses; records without a key never beat one with a
-key, and are responses where no record of the payload has one; a cut-off last ARC record keeps what is there and is
-marked WARC-Truncated; an empty table gives no records.
+percent-encoded; rows repeated with the largest key are all responses, as are records that share target and date with
+the response; records without a key never beat one with a key. Payloads of any length are taken whole. Extra columns,
+whatever their names, are not read. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -51,6 +59,11 @@ ARC_FIELDS = {
         "Filename", "Archive-length"],
 }
 KEY_HEADER = b"X-Record-Key"
+#: Records in a WARC file.
+FILE_RECORDS = 50_000
+#: What a field of a record line looks like; the target and the content type may hold blanks.
+_SHAPES = {"URL": rb"(.*)", "IP-address": rb"(\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*|-)",
+           "Archive-date": rb"(\d{4,14})", "Content-type": rb"(.*)", "Archive-length": rb"(\d+)"}
 
 
 # ---- ARC -------------------------------------------------------------------------------------------------------
@@ -72,29 +85,56 @@ def http_message(key, payload: bytes) -> bytes:
     return head + payload
 
 
-def read_arc(stream) -> Iterator[dict]:
-    """Records of an open ARC file, without its version block; declared lengths rule, never line breaks."""
-    fields = None
+def record_line(fields: list[str]) -> re.Pattern:
+    """What a record line with these fields looks like."""
+    return re.compile(b" ".join(_SHAPES.get(f, rb"(\S+)") for f in fields), re.DOTALL)
+
+
+def read_arc(stream, bad=None, info: bool = False) -> Iterator[dict]:
+    """Records of an open ARC file; declared lengths rule, never line breaks. With ``info`` the version block comes first,
+    as a record with its ``version``. What is malformed raises an error, or is given to ``bad(bytes, reason)`` and skipped up to the next
+    record line."""
+    def fail(data: bytes, reason: str) -> None:
+        if bad is None:
+            raise ValueError(f"{reason}: {data[:200]!r}")
+        bad(data, reason)
+
+    fields, shape, lost = None, None, []
     while line := stream.readline():
         if not line.strip(b"\r\n"):
             continue
-        line = line.rstrip(b"\r\n")
+        bare = line.rstrip(b"\r\n")
         if fields is None:
-            if not line.startswith(b"filedesc://"):
-                raise ValueError("not an ARC file: no version block")
-            block = stream.read(int(line.rsplit(b" ", 1)[1])).split(b"\n")
-            version = int(block[0].split(b" ", 1)[0])
-            if version not in ARC_FIELDS:
-                raise ValueError(f"ARC version {version}")
-            fields = block[1].decode().split(" ") if len(block) > 1 and block[1] else ARC_FIELDS[version]
+            if not bare.startswith(b"filedesc://") or not bare.rsplit(b" ", 1)[-1].isdigit():
+                fail(line + stream.read(), "no version block")
+                return
+            text = stream.read(int(bare.rsplit(b" ", 1)[1]))
+            block = text.split(b"\n")
+            version = block[0].split(b" ", 1)[0].decode("utf-8", "replace")
+            if not version.isdigit() or int(version) not in ARC_FIELDS:
+                fail(line + text + stream.read(), "unknown ARC version")
+                return
+            fields = block[1].decode().split(" ") if len(block) > 1 and block[1] else ARC_FIELDS[int(version)]
+            shape = record_line(fields)
+            parts = bare.decode("utf-8", "surrogateescape").split(" ")
+            if info:
+                yield {"version": int(version), "URL": parts[0], "IP-address": parts[1] if len(parts) > 2 else "-",
+                       "Archive-date": next((x for x in parts[1:-1] if x.isdigit()), PAGE_DATE), "Content-type": "text/plain",
+                       "content": text, "truncated": False}
             continue
-        values = line.rsplit(b" ", len(fields) - 1)  # a URL may hold spaces
-        if len(values) != len(fields):
-            raise ValueError(f"bad ARC record line: {line[:200]!r}")
-        record = dict(zip(fields, (v.decode("utf-8", "surrogateescape") for v in values)))
+        found = shape.fullmatch(bare)
+        if found is None:
+            lost.append(line)
+            continue
+        if lost:
+            fail(b"".join(lost), "bad record line")
+            lost = []
+        record = dict(zip(fields, (v.decode("utf-8", "surrogateescape") for v in found.groups())))
         length = int(record["Archive-length"])
         content = stream.read(length)
-        yield record | {"content": content, "truncated": len(content) < length}
+        yield record | {"version": None, "content": content, "truncated": len(content) < length}
+    if lost:
+        fail(b"".join(lost), "bad record line")
 
 
 def split_http(content: bytes) -> tuple[bytes, bytes]:
@@ -126,9 +166,11 @@ def digest_label(digest: bytes) -> str:
 
 def warc_record(record: dict, holder: dict | None) -> bytes:
     """WARC record of a parsed ARC record, without the blank lines that close it; a revisit of ``holder`` if given."""
+    if record["version"] is not None:
+        return info_record(record)
     head, payload = record["head"], record["payload"]
     block = head if holder else head + payload
-    lines = ["WARC/1.0", f"WARC-Type: {'revisit' if holder else 'response'}",
+    lines = ["WARC/1.0", f"WARC-Type: {'revisit' if holder else 'response' if head else 'resource'}",
              f"WARC-Record-ID: {record_id(record['url'], record['date'], record['digest'], record['key'])}",
              f"WARC-Date: {iso_date(record['date'])}", f"WARC-Target-URI: {record['url']}"]
     if record["ip"] not in ("0.0.0.0", "-", ""):
@@ -141,12 +183,30 @@ def warc_record(record: dict, holder: dict | None) -> bytes:
         refers = record_id(holder["url"], holder["date"], record["digest"], holder["key"])
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest",
                   f"WARC-Refers-To: {refers}", f"WARC-Refers-To-Target-URI: {holder['url']}",
-                  f"WARC-Refers-To-Date: {iso_date(holder['date'])}", f"Refers-To-Key: {holder['key']}"]
+                  f"WARC-Refers-To-Date: {iso_date(holder['date'])}"]
+        if holder["key"] is not None:
+            lines.append(f"Refers-To-Key: {holder['key']}")
     lines += [f"Content-Type: {'application/http; msgtype=response' if head else record['mime']}",
               f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block
 
 
+def info_record(record: dict) -> bytes:
+    """warcinfo of an ARC file's version block."""
+    name = record["url"].removeprefix("filedesc://")
+    origin = record["payload"].split(b"\n")[0].decode("utf-8", "replace").split(" ")
+    fields = {"software": "skillweave", "format": "WARC File Format 1.0", "converted-from": f"ARC version {record['version']}"}
+    if len(origin) > 2 and origin[2]:
+        fields["publisher"] = " ".join(origin[2:])
+    block = "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode()
+    lines = ["WARC/1.0", "WARC-Type: warcinfo",
+             f"WARC-Record-ID: {record_id(record['url'], record['date'], record['digest'], None)}",
+             f"WARC-Date: {iso_date(record['date'])}", f"WARC-Filename: {name}",
+             f"WARC-Block-Digest: {digest_label(hashlib.sha1(block).digest())}", "Content-Type: application/warc-fields",
+             f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block
+
+
 def read_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields in lower case, block) of each record of an open WARC file, by declared length."""
     while line := stream.readline():
@@ -183,9 +243,10 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
 
 
-def _save(records: DataFrame, path: str, separator: str) -> str:
-    """Binary ``record`` rows as gzip files, each row closed by ``separator``."""
+def _save(records: DataFrame, path: str, separator: str, most: int = 0) -> str:
+    """Binary ``record`` rows as gzip files of at most ``most`` rows, each row closed by ``separator``."""
     (records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator)
+     .option("maxRecordsPerFile", most)
      .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path))
     return path
 
@@ -214,19 +275,24 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
 _KEYS = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("h", pa.int64()),
                    ("url", pa.string()), ("date", pa.string())])
 _FULL = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("url", pa.string()), ("date", pa.string()),
-                   ("ip", pa.string()), ("mime", pa.string()), ("truncated", pa.bool_()), ("head", pa.binary()),
-                   ("payload", pa.binary()), ("size", pa.int64())])
+                   ("ip", pa.string()), ("mime", pa.string()), ("truncated", pa.bool_()), ("version", pa.int32()),
+                   ("head", pa.binary()), ("payload", pa.binary()), ("size", pa.int64())])
 
 
-def _parsed(content: bytes) -> Iterator[dict]:
-    for r in read_arc(opened(content)):
-        head, payload = split_http(r["content"])
+def _text(value: str) -> str:
+    """A field as Unicode text; bytes that are none are percent-encoded."""
+    return "".join(f"%{ord(c) - 0xDC00:02X}" if 0xDC80 <= ord(c) <= 0xDCFF else c for c in value)
+
+
+def _parsed(content: bytes, bad=lambda data, reason: None) -> Iterator[dict]:
+    for r in read_arc(opened(content), bad, info=True):
+        head, payload = split_http(r["content"]) if r["version"] is None else (b"", r["content"])
         key = header_value(head, KEY_HEADER)
         digest = hashlib.sha1(payload).digest()
-        yield {"key": int(key) if key else None, "digest": digest, "size": len(payload),
-               "h": int.from_bytes(digest[:8], "big", signed=True), "url": r["URL"], "date": r["Archive-date"],
-               "ip": r["IP-address"], "mime": r["Content-type"], "truncated": r["truncated"], "head": head,
-               "payload": payload}
+        yield {"key": int(key) if key and key.lstrip(b"-").isdigit() else None, "digest": digest, "size": len(payload),
+               "h": int.from_bytes(digest[:8], "big", signed=True), "url": _text(r["URL"]), "date": r["Archive-date"],
+               "ip": r["IP-address"], "mime": _text(r["Content-type"]), "truncated": r["truncated"], "version": r["version"],
+               "head": head, "payload": payload}
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
@@ -236,7 +302,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = (tuple(r[n] for n in _KEYS.names) for c in _contents(batches) for r in _parsed(c))
+    rows = (tuple(r[n] for n in _KEYS.names) for c in _contents(batches) for r in _parsed(c) if r["head"])
     yield from _batches(rows, _KEYS, lambda r: 100)
 
 
@@ -248,7 +314,7 @@ def _full(bitmap_ref, repeated: bool, min_size: int):
         def rows():
             for c in _contents(batches):
                 for r in _parsed(c):
-                    maybe = r["size"] >= min_size and bool(in_bitmap(bitmap, np.array([r["h"]]).astype(np.uint64))[0])
+                    maybe = bool(r["head"]) and r["size"] >= min_size and bool(in_bitmap(bitmap, np.array([r["h"]]).astype(np.uint64))[0])
                     if maybe == repeated:
                         yield tuple(r[n] for n in _FULL.names)
         yield from _batches(rows(), _FULL, lambda r: r[-1] + len(r[-3]) + 200)
@@ -259,13 +325,13 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for batch in batches:
             for r in batch.to_pylist():
-                holder = {"url": r["to_url"], "date": r["to_date"], "key": r["to_key"]} if r["to_key"] is not None else None
+                holder = {"url": r["to_url"], "date": r["to_date"], "key": r["to_key"]} if r["to_url"] is not None else None
                 yield (warc_record(r, holder),)
     yield from _batches(rows(), pa.schema([("record", pa.binary())]), lambda r: len(r[0]))
 
 
-_FULL_SQL = ("key long, digest binary, url string, date string, ip string, mime string, truncated boolean, head binary, "
-             "payload binary, size long")
+_FULL_SQL = ("key long, digest binary, url string, date string, ip string, mime string, truncated boolean, version int, "
+             "head binary, payload binary, size long")
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_size: int = MIN_REVISIT) -> str:
@@ -274,8 +340,9 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_size: int =
     keys = arcs.mapInArrow(_keys, "key long, digest binary, size long, h long, url string, date string")
     holders = written(
         keys.where(F.col("size") >= min_size).groupBy("digest", "size", "h")
-        .agg(F.max_by(F.struct("url", "date", "key"), "key").alias("to"), F.count("*").alias("n"))
-        .where("n > 1 and to is not null"), "arc-holders")
+        .agg(F.coalesce(F.max_by(F.struct("url", "date", "key"), "key"),
+                        F.min_by(F.struct("url", "date", "key"), F.struct("date", "url"))).alias("to"), F.count("*").alias("n"))
+        .where("n > 1"), "arc-holders")
     bitmap = spark.sparkContext.broadcast(slot_bitmap(holders, "h", FILTER_BITS))
     alone = (arcs.mapInArrow(_full(bitmap, False, min_size), _FULL_SQL)
              .withColumns({"to_key": F.lit(None).cast("long"), "to_url": F.lit(None).cast("string"),
@@ -286,12 +353,29 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_size: int =
     repeated = (arcs.mapInArrow(_full(bitmap, True, min_size), _FULL_SQL)
                 .withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
                 .join(salted, ["digest", "size", "salt"], "left").drop("salt"))
-    first = F.col("key") == F.col("to_key")
-    repeated = repeated.withColumns({c: F.when(~F.coalesce(first, F.lit(False)), F.col(c))
-                                     for c in ("to_url", "to_date")}
-                                    | {"to_key": F.when(~F.coalesce(first, F.lit(False)), F.col("to_key"))})
+    # the response itself: by its key, or without keys by target and date
+    first = F.when(F.col("to_key").isNotNull(), F.coalesce(F.col("key") == F.col("to_key"), F.lit(False))).otherwise(
+        (F.col("url") == F.col("to_url")) & (F.col("date") == F.col("to_date")))
+    repeated = repeated.withColumn("first", F.coalesce(first, F.lit(False)))
+    repeated = repeated.withColumns({c: F.when(~F.col("first"), F.col(c)) for c in ("to_key", "to_url", "to_date")}).drop("first")
     both = alone.unionByName(repeated.select(*alone.columns))
-    return _save(both.mapInArrow(_to_warc, "record binary"), warc_path, "\r\n\r\n")
+    return _save(both.mapInArrow(_to_warc, "record binary"), warc_path, "\r\n\r\n", FILE_RECORDS)
+
+
+def rejects(spark: SparkSession, arc_path: str) -> DataFrame:
+    """(file, reason, data): what ``convert`` skips in the ARC files under ``arc_path``."""
+    arcs = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc_path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found: list[tuple] = []
+                for _ in _parsed(content.as_py(), lambda data, reason: found.append((reason, data))):  # noqa: B023
+                    pass
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()),
+                                                  pa.array([r for r, _ in found], pa.string()),
+                                                  pa.array([d for _, d in found], pa.binary())], ["file", "reason", "data"])
+    return arcs.mapInArrow(run, "file string, reason string, data binary")
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
@@ -306,10 +390,16 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head, payload = split_http(block)
                 if digest_label(hashlib.sha1(block).digest()) != fields["warc-block-digest"]:
                     raise ValueError("block digest does not match")
+                if fields["warc-type"] == "warcinfo":
+                    yield (None, None, None, "warcinfo", None, fields["warc-record-id"], None, fields["warc-date"])
+                    continue
                 digest = base64.b32decode(fields["warc-payload-digest"].partition(":")[2])
+                if not head:
+                    payload = block
                 size = len(payload)
                 if fields["warc-type"] == "revisit":
-                    size = int(header_value(head, b"Content-Length"))
+                    declared = header_value(head, b"Content-Length")  # genuine messages may state none
+                    size = int(declared) if declared and declared.isdigit() else None
                 elif hashlib.sha1(payload).digest() != digest:
                     raise ValueError("payload digest does not match")
                 key, to = header_value(head, KEY_HEADER), fields.get("refers-to-key")
@@ -326,7 +416,7 @@ def read_records(spark: SparkSession, warc_path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """``pages`` through ARC files, the converter and WARC files, read back."""
+    """``pages`` through ARC files, the converter and WARC files, read back: their responses and revisits."""
     spark = pages.sparkSession
     arcs = write_arc(pages, scratch_path(spark, "arc"))
-    return read_records(spark, convert(spark, arcs, scratch_path(spark, "warc")))
+    return read_records(spark, convert(spark, arcs, scratch_path(spark, "warc"))).where("record_type <> 'warcinfo'")
