@@ -8,7 +8,8 @@ third of all documents) and are extended: a hit counts only where the n words ar
 
 Defined results: a null or empty text has no words and no hits; repeated rows each get their own row; rows that
 share a doc_id but not a text are apart; items without words never hit; an item with a null item_id marks words
-but is not listed; an empty benchmark hits nothing.
+but is not listed; an empty benchmark hits nothing, and no documents give no rows. Texts of any length are taken whole.
+Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ that finds too few in a block widens its radius there. Rotation and radius are l
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without a vec_id, take
 no part; nor do vectors of another than the most frequent length (the larger of equals). Rows with the query's vec_id
-are its own. Each repeated row is a candidate; equal scores go by vec_id. An empty table gives no rows.
+are its own. Each repeated row is a candidate, a repeated query is asked once; equal scores go by vec_id. Extra columns,
+whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

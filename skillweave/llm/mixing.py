@@ -6,7 +6,9 @@ again by weight. A document's copies are floor(rate) plus one if a hash of its d
 reruns and retried tasks agree.
 
 Defined results: a null text has no words; null is a source of its own, sorted last; sources without words have
-target 0 and their documents rate 0; repeated rows with one doc_id share their draw; an empty table gives no rows.
+target 0 and their documents rate 0; repeated rows with one doc_id share their draw, and so do rows without one; an
+empty table gives no rows. Sources capped at the same level go in code-point order. Texts of any length are taken whole.
+Extra columns pass through; columns called size, source_size, target or copies give way to those made here.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ components follow from min-label contraction over written tables.
 
 Copies share one fingerprint and are one node from the start. Defined results: texts with fewer than ``shingle`` words
 are one shingle; texts without words (null, empty) have fingerprint zero and link like any other; repeated rows each
-get a row; the component of documents without any doc_id is null.
+get a row; the component of documents without any doc_id is null. Texts of any length are taken whole; a bit that half
+of the shingles set is not set. Extra columns, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

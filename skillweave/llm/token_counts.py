@@ -6,7 +6,9 @@ mergeable pair, and the surviving symbols are counted. Counts are kept per piece
 
 Only files of the supported shape (BPE over byte symbols with an end-of-word suffix, NFC, lower case, white space
 dropped) are taken; others raise an error. Defined results: a null text is empty, with 0 bytes and 0 tokens; texts
-are never truncated; special strings inside a text count as one token each, as the library does by default.
+are never truncated; special strings inside a text count as one token each, as the library does by default. Each row
+gives a row, repeated ones and those without a doc_id too. Extra columns, whatever their names, are not read. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
