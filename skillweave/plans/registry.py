@@ -16,12 +16,19 @@ from skillweave.operators import tagger
 from skillweave.plans import bindings as B
 from skillweave.plans.flow import Flow
 
+#: The flow of the last session and data folder that were asked for.
 _FLOWS: dict = {}
 
 
 def flow(spark: SparkSession, sf_dir: str) -> Flow:
-    key = (id(spark), sf_dir)
+    """The flow of a data folder. Queries over the same folder share it; one over another folder, or of another session,
+    frees what the one before keeps."""
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), sf_dir)
     if key not in _FLOWS:
+        for (application, _, _), old in _FLOWS.items():
+            if application == key[0]:  # another one's data went with it
+                old.release()
+        _FLOWS.clear()
         bench = B.table(spark, sf_dir, "benchmark")
         dic = None
         for model in B.TAGGER_MODELS:

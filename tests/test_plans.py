@@ -55,3 +55,16 @@ def test_no_exchange_carries_a_text(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
         registry._FLOWS.clear()
+
+
+def test_one_flow_is_kept_and_the_one_before_freed(spark):
+    registry._FLOWS.clear()
+    spark.catalog.clearCache()
+    first = registry.flow(spark, SF)
+    first.facts.count()
+    assert registry.flow(spark, SF) is first and spark.sparkContext._jsc.getPersistentRDDs()
+    second = registry.flow(spark, "/root/testdata/sf0.01")
+    assert second is not first and len(registry._FLOWS) == 1
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    assert first.facts.count() > 0  # a table of it still works
+    registry._FLOWS.clear()
