@@ -52,6 +52,20 @@ def test_batches_of_two_rows_carry_the_open_group(spark):
     assert got == {k: v[3] for k, v in sequential(rows).items()}
 
 
+def test_batches_whose_columns_are_declared_free_of_nulls(spark):
+    rows = random_rows(9, 300, 2)
+    kind = F.when(F.col("requirement_kind") == "must", "must").otherwise("nice_to_have")  # as the flow makes it
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        df = spark.createDataFrame(rows, ROWS).withColumn("requirement_kind", kind)
+        assert not df.schema["requirement_kind"].nullable
+        got = {(r.posting_id, r.concept_uri): r.id for r in fold.ordered_fold(
+            df, ["posting_id", "concept_uri"], "span_ord", "mapping_score", F.col("requirement_kind") == "must", "id", 7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: v[3] for k, v in sequential(rows).items()}
+
+
 def test_merging_is_associative():
     rng = np.random.default_rng(5)
     for _ in range(300):
