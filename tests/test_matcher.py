@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skillweave.operators import match
 
@@ -91,3 +92,34 @@ def test_one_side_or_both_empty(spark):
     index = q.withColumnRenamed("key", "ord")
     assert match.dense_top_k(none, index, 2).count() == match.dense_top_k(q, index.limit(0), 2).count() == 0
     assert match.dense_top_k(q, index, 2, exclude_self=True).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "wide", "tiny", "not finite"])
+def test_tiles_give_the_exact_best(monkeypatch, kind):
+    """Estimates in single precision lose none of the best, whatever the vectors' sizes, ties and order."""
+    monkeypatch.setattr(match, "TILE", 64)
+    monkeypatch.setattr(match, "CHUNK_BYTES", 8 * 64 * 32)
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(500, 12))
+    m = m[np.argsort(m[:, 0])]  # nearer ones come last
+    if kind == "ties":
+        m[100:400] = m[7]
+        m[450:] = m[3] * (1 + 1e-12)
+    m *= {"wide": 10.0 ** rng.integers(-6, 6, (500, 1)), "tiny": 1e-25}.get(kind, 1.0)
+    if kind == "not finite":
+        m[5, 2], m[9, 1] = np.inf, 1e30
+    block = match.DenseBlock(np.arange(500)[::-1], m[::-1])
+    found = [np.concatenate(x) for x in zip(*block.best(m, 4))]
+    with np.errstate(invalid="ignore"):
+        for i in range(500) if kind != "not finite" else (1, 100, 499):
+            s = (m * m[i]).sum(axis=1)
+            want = np.lexsort((np.arange(500), -s))[:4]
+            assert found[1][found[0] == i].tolist() == want.tolist()
+            assert found[2][found[0] == i].tolist() == s[want].tolist()
+
+
+def test_a_small_index_is_many_tasks(spark):
+    """2 MB of vectors met in a single task before, however many cores there were; a few rows still are one block."""
+    for size, want in ((2_048_000.0, (6, 6)), (100_000.0, (1, 1)), (float(100 << 20), (6, 6)), (float(320 << 20), (10, 10))):
+        got = spark.range(1).select(*match._blocks(F.lit(size), F.lit(size), 32 << 20, match.WAYS)).first()
+        assert tuple(got) == want
