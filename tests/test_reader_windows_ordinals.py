@@ -36,6 +36,24 @@ def test_a_reader_sees_each_text_once_and_yields_both(spark):
     parts.unpersist()
 
 
+def test_spots_are_what_the_spans_need_and_no_more(spark):
+    """The rows of the whole reading, sorted out after it, give the same pairs and marker sentences; ids may repeat."""
+    from pyspark.sql import functions as F
+
+    from skillweave.functions.text import has_marker
+    from skillweave.operators import extract
+    texts = ["gute freundliche Leitung der Station.\nNICHT ruhig\nauch", None, "", "ein Satz, sportlich und ruhige Bildung nicht",
+             "gute freundliche Leitung der Station.\nNICHT ruhig\nauch", "Zeitung"]
+    post = spark.createDataFrame([(f"p{i % 4}", t) for i, t in enumerate(texts)], f"id {TEXT}")
+    parts, spots = reader.read_parts(post, B.line_reader), reader.read_spots(post, B.line_reader, B.TEST_MARKERS)
+    pairs = lambda tokens: sorted(tuple(r) for r in extract.adj_noun_spans(tokens, post, key="id").select(
+        "id", "char_start", "char_end", "text").collect())
+    assert pairs(reader.tokens_of(spots)) == pairs(reader.tokens_of(parts)) != []
+    marked = lambda s: sorted(tuple(r) for r in s.select("posting_id", "char_start", "char_end").collect())
+    assert marked(spots.where("part = 'sentence'")) == marked(reader.sentences_of(parts).where(has_marker("text", B.TEST_MARKERS))) != []
+    assert spots.where(F.col("pos") == "X").count() == 0 and "text" not in spots.columns
+
+
 @pytest.mark.parametrize("size, context", [(5, 2), (7, 2), (50, 2), (9, 4)])
 def test_windows_give_the_hits_of_the_whole_text(spark, size, context):
     rnd = random.Random(size)
