@@ -210,3 +210,18 @@ def test_dense_exclude_self_against_brute_force(spark):
             order = sorted((j for j in range(40) if j != i), key=lambda j: (-sc[j], j))[:3]
             want += [(i, r + 1, j) for r, j in enumerate(order)]
         assert got == sorted(want)
+
+
+def test_words_of_a_text_are_those_of_the_pattern():
+    """Split and placed without a match object for each word; blanks that only Python takes for such belong to words."""
+    from skillweave.operators import annotate
+    rnd = random.Random(4)
+    parts = ["gute", "Ä.", "\U0001d518x", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028",
+             "\u202f", "\u205f", "\u3000", "\u200b"]
+    assert all(annotate.OTHER_BLANK.match(chr(c)) or chr(c) in " \t\n\x0b\x0c\r" for c in range(0x110000) if chr(c).isspace())
+    for _ in range(2_000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(12)))
+        want = [(m.group(), *m.span()) for m in annotate.WORD.finditer(text)]
+        starts, ends = annotate.word_places(text)
+        assert annotate.word_list(text) == [w for w, _, _ in want]
+        assert list(zip(starts.tolist(), ends.tolist())) == [x[1:] for x in want]
