@@ -158,3 +158,12 @@ def test_typed_columns_of_parquet(spark):
                           "title long, raw_text string, isco_group double").write.parquet(path)
     got = {r.id: r.reasons for r in adverts.rejected(adverts.read_raw(spark, path, "parquet")).collect()}
     assert got == {"a": "bad_type:title", "b": "missing:title|bad_type:isco_group"}
+
+
+def test_a_text_is_parsed_once_for_all_its_fields(spark):
+    """Filters and fields on top of the reader took a copy of the parser each, 1,115 of them."""
+    from skillweave.sources.adverts import accepted, parsed, quality, rejected
+    raw = parsed(spark.createDataFrame([('{"id": "a"}',)], "value string").repartition(2))
+    for df in (accepted(raw).withColumn("quality", quality()), rejected(raw)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.lower().count("variant_get") < 100
