@@ -94,3 +94,37 @@ def test_portions_hold_every_text_once(monkeypatch):
     assert [k for ids, _ in got for k in ids] == list("0123456")
     assert [t for _, held in got for t in held] == [t or "" for t in texts]
     assert all(len(held) == 1 or sum(map(len, held)) <= 10 for _, held in got)
+
+
+def test_hashes_of_many_words_are_those_of_each():
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcXYZ019.,;:!?)(-" if rnd.random() < 0.8 else "äÖßΣİ漢\U0001d518\0'") for _ in range(rnd.randrange(50)))
+             for _ in range(5_000)] + ["A" * n + "." for n in range(70)]
+    got = annotate._WordHashes().of(pa.array(words).slice(7))
+    assert got.tolist() == [xxhash.xxh64_intdigest(w.rstrip(annotate.TRAILING_PUNCT).lower(), 42) for w in words[7:]]
+
+
+def test_words_of_ascii_letters_are_not_hashed_one_by_one():
+    class Counted(annotate._WordHashes):
+        asked = []
+
+        def __missing__(self, word):
+            Counted.asked.append(word)
+            return super().__missing__(word)
+    scanner = annotate.Scanner([3], np.zeros(1 << 10, dtype=np.uint8), ())
+    scanner.hashes = Counted()
+    scanner.scan(pa.array(["a"]), [" ".join(f"Wort{i}, schön{i % 3}" for i in range(1_000))])
+    assert sorted(Counted.asked) == ["schön0", "schön1", "schön2"]
+
+
+@pytest.mark.parametrize("extra", ["", "\u0130", "\u0131", "\u017f", "\u212a", "ΑΣ", "\U0001d518"])
+def test_places_of_plain_markers_are_those_of_the_expression(extra):
+    rnd = random.Random(6)
+    markers = ("nicht", "Auch", "sk 1", "not", "pas")
+    scanner = annotate.Scanner([3], np.zeros(1 << 10, dtype=np.uint8), markers)
+    parts = ["NICHT", "auch", "SK 1", "\u212a", "no", "Not", "pa", "s", "pas", "\u017f", " ", "é", extra]
+    for _ in range(200):
+        text = "".join(rnd.choice(parts if extra else parts[:3] + parts[4:9]) for _ in range(20)) + extra
+        got = scanner.marker_places(text)
+        assert sorted(got) == sorted({m.start() for m in scanner.marker.finditer(text, overlapped=True)}) or any(
+            c in text for c in annotate.OTHER_CASES) and got == [m.start() for m in scanner.marker.finditer(text)]
